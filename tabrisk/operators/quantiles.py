@@ -22,11 +22,19 @@ from pyspark.sql import functions as F
 from tabrisk.operators.ranking import _cols
 
 
+# Largest number of distinct values per group ranked in one window partition.
+SMALL_GROUP_LIMIT = 2_000_000
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols=None,
-                    buckets: int = 128, accuracy: int = 10000) -> DataFrame:
+                    buckets: int = 128, accuracy: int = 10000,
+                    small_group_limit: int | None = SMALL_GROUP_LIMIT) -> DataFrame:
     """Rows ``(*group_cols, q_index, prob, quantile)``; NULL values are skipped.
 
-    ``q_index`` is the position of the probability in ``probs``.
+    ``q_index`` is the position of the probability in ``probs``.  When the
+    largest group has at most ``small_group_limit`` distinct values (checked
+    with one small aggregation) the ranks come from one window pass per group;
+    beyond it the bucketed path below is used.
     """
     g = _cols(group_cols)
     ungrouped = not g
@@ -35,6 +43,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     vals = (df.select(*g, F.col(value_col).cast("double").alias("_v"))
             .where(F.col("_v").isNotNull()))
     vc = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if small_group_limit:
+        widest = vc.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+        if widest <= small_group_limit:
+            res = _window_quantiles(vc, g, probs)
+            return res.drop("_g") if ungrouped else res
 
     cut_probs = [i / buckets for i in range(1, buckets)]
     bounds = vc.groupBy(*g).agg(
@@ -80,6 +93,29 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     return res.drop("_g") if ungrouped else res
 
 
+def _window_quantiles(vc: DataFrame, g: list[str], probs: Sequence[float]) -> DataFrame:
+    """Bounded groups: cumulative counts in one window, order statistics by
+    conditional aggregation (no join)."""
+    before = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    cum = (vc.withColumn("_lo", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+           .withColumn("_n", F.sum("_c").over(Window.partitionBy(*g))))
+    aggs = [F.first("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        r0 = F.floor((F.col("_n") - 1) * F.lit(float(p)))
+        r1 = F.least(r0 + 1, F.col("_n") - 1)
+        hit = lambda r: (F.col("_lo") <= r) & (r < F.col("_lo") + F.col("_c"))
+        aggs += [F.max(F.when(hit(r0), F.col("_v"))).alias(f"_x0_{i}"),
+                 F.max(F.when(hit(r1), F.col("_v"))).alias(f"_x1_{i}")]
+    wide = cum.groupBy(*g).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(i).alias("q_index"), F.lit(float(p)).alias("prob"),
+                              F.col(f"_x0_{i}").alias("x0"), F.col(f"_x1_{i}").alias("x1"))
+                     for i, p in enumerate(probs)])
+    long = wide.select(*g, "_n", F.explode(rows).alias("t")).select(*g, "_n", "t.*")
+    h = (F.col("_n") - 1) * F.col("prob")
+    return long.select(*g, F.col("q_index").cast("int").alias("q_index"), "prob",
+                       (F.col("x0") + (h - F.floor(h)) * (F.col("x1") - F.col("x0"))).alias("quantile"))
+
+
 def quantile_array(df: DataFrame, value_col: str, probs: Sequence[float], group_cols=None,
                    name: str = "quantiles") -> DataFrame:
     """Quantiles of each group collected into an array ordered like ``probs``."""

@@ -120,3 +120,197 @@ FROM subjects""" for i, c in enumerate(CORR_CANDIDATES)))
 def q_corr_with_target(spark, sf):
     c = profile.corr_with(subjects(spark, sf), "max_price", CORR_CANDIDATES)
     return c.select("feature", r6("corr").alias("corr"), r6("abs_corr").alias("abs_corr"), "pos")
+
+
+# ------------------------------------------------- filters, keys, reshaping
+
+from tabrisk.functions.rnd import sql_uniform  # noqa: E402
+from tabrisk.functions.text import map_lookup  # noqa: E402
+from tabrisk.operators import clean, encode, qcut, reshape, scale  # noqa: E402
+from tabrisk.operators import select as fselect  # noqa: E402
+from tabrisk.operators.ranking import hash_rank, with_row_index  # noqa: E402
+
+
+@register("filter_valid_category", SUBJ + r"""
+SELECT key, segment FROM subjects
+WHERE segment IS NOT NULL AND regexp_replace(segment, '^\s+|\s+$', '', 'g') <> ''
+  AND lower(segment) <> 'machinery'""")
+def q_filter_valid_category(spark, sf):
+    return clean.filter_valid_category(subjects(spark, sf), "segment", reject="machinery").select(
+        "key", "segment")
+
+
+@register("with_row_index", SUBJ + """
+SELECT key, row_number() OVER (ORDER BY key) - 1 AS row_index FROM subjects""")
+def q_with_row_index(spark, sf):
+    return with_row_index(subjects(spark, sf), "key", "row_index").select("key", "row_index")
+
+
+def _positive_key_list(spark, sf):
+    """Key list with positions: positive subjects in a seeded random order."""
+    pos = subjects(spark, sf).where(F.col("label") == 1).select("key")
+    return hash_rank(pos, None, "key", 42, "pick", "pos")
+
+
+POSITIVE_KEY_LIST_SQL = f"""
+key_list AS (
+  SELECT key, row_number() OVER (ORDER BY {sql_uniform(42, 'pick', 'key')}, key) - 1 AS pos
+  FROM subjects WHERE label = 1
+)"""
+
+
+@register("take_keys", with_views(SUBJECTS_SQL, POSITIVE_KEY_LIST_SQL) + """
+SELECT s.key, k.pos, s.segment, s.avg_price FROM subjects s JOIN key_list k ON s.key = k.key""")
+def q_take_keys(spark, sf):
+    return clean.take_keys(subjects(spark, sf), _positive_key_list(spark, sf), "key").select(
+        "key", "pos", "segment", "avg_price")
+
+
+@register("exclude_keys", SUBJ + """
+SELECT key, segment, label FROM subjects
+WHERE key NOT IN (SELECT key FROM subjects WHERE top_priority = '1-URGENT')""")
+def q_exclude_keys(spark, sf):
+    s = subjects(spark, sf)
+    urgent = s.where(F.col("top_priority") == "1-URGENT").select("key")
+    return clean.exclude_keys(s, urgent, "key").select("key", "segment", "label")
+
+
+def _scaled_numeric(s):
+    z = scale.fit_zscore(s, SUBJECT_NUMERIC)
+    return z, z.transform(s)
+
+
+def _sql_z(c):
+    return f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)"
+
+
+@register("align_twins", SUBJ + f"""
+SELECT key, {", ".join(f"round({_sql_z(c)}, 6) AS {c}" for c in SUBJECT_NUMERIC)},
+       {", ".join(f"{c} AS {c}_original" for c in SUBJECT_NUMERIC)}, label
+FROM subjects""")
+def q_align_twins(spark, sf):
+    s = subjects(spark, sf).select("key", *SUBJECT_NUMERIC, "label")
+    _, scaled = _scaled_numeric(s)
+    scaled = scaled.select("key", *[r6(c).alias(c) for c in SUBJECT_NUMERIC], "label")
+    return clean.align(scaled, s.select("key", *SUBJECT_NUMERIC), "key")
+
+
+# Display labels of the encoded market segment used by the
+# ``map_labels`` query (code 4 deliberately unmapped to exercise the fallback).
+SEGMENT_LABELS = {0: "Automobile", 1: "Building", 2: "Furniture", 3: "Household"}
+
+
+def _sql_codes(col):
+    return (f"CAST(dense_rank() OVER (ORDER BY coalesce(CAST({col} AS VARCHAR), 'nan')) - 1 AS DOUBLE)")
+
+
+def _sql_map(expr, mapping):
+    whens = " ".join(f"WHEN {k} THEN '{v}'" for k, v in mapping.items())
+    return f"coalesce(CASE CAST(trunc({expr}) AS INTEGER) {whens} END, CAST({expr} AS VARCHAR))"
+
+
+@register("map_labels", SUBJ + f"""
+SELECT key, code, {_sql_map('code', SEGMENT_LABELS)} AS segment_label
+FROM (SELECT key, {_sql_codes('segment')} AS code FROM subjects)""")
+def q_map_labels(spark, sf):
+    s = subjects(spark, sf)
+    enc = encode.fit_ordinal(s, ["segment"])
+    coded = enc.transform(s).select("key", F.col("segment").alias("code"))
+    return coded.withColumn("segment_label", map_lookup("code", SEGMENT_LABELS))
+
+
+@register("to_long", SUBJ + " UNION ALL ".join(
+    f"SELECT key, '{c}' AS feature, {i} AS feature_pos, CAST({c} AS DOUBLE) AS value FROM subjects"
+    for i, c in enumerate(["many_orders"] + SUBJECT_NUMERIC)))
+def q_to_long(spark, sf):
+    return reshape.to_long(subjects(spark, sf), "key", ["many_orders"] + SUBJECT_NUMERIC).select(
+        "key", "feature", "feature_pos", "value")
+
+
+@register("append_rows", SUBJ + """
+SELECT key, segment, n_orders, avg_price, CAST(label AS DOUBLE) AS label FROM subjects WHERE label = 1
+UNION ALL
+SELECT key, segment, n_orders, NULL AS avg_price, CAST(NULL AS DOUBLE) AS label FROM subjects
+WHERE many_orders = 1 AND key NOT IN (SELECT key FROM subjects WHERE label = 1)""")
+def q_append_rows(spark, sf):
+    s = subjects(spark, sf)
+    base = s.where(F.col("label") == 1).select("key", "segment", "n_orders", "avg_price",
+                                               F.col("label").cast("double").alias("label"))
+    new = s.where(F.col("many_orders") == 1).select("key", "segment", "n_orders")
+    return reshape.append_rows(base, new, dedup_key="key")
+
+
+# ------------------------------------------------ encode, select, scale, bin
+
+ENCODE_SQL = f"""
+encoded AS (
+  SELECT key, {_sql_codes('segment')} AS segment, {_sql_codes('top_priority')} AS top_priority,
+         many_orders, n_orders, avg_price, max_price, label
+  FROM subjects
+)"""
+
+
+@register("ordinal_codes", SUBJ + """
+SELECT feature, category, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT 'segment' AS feature, coalesce(segment, 'nan') AS category FROM subjects
+      UNION SELECT DISTINCT 'top_priority', coalesce(top_priority, 'nan') FROM subjects)""")
+def q_ordinal_codes(spark, sf):
+    return encode.fit_ordinal(subjects(spark, sf), SUBJECT_CATEGORICAL).table
+
+
+@register("ordinal_encode", with_views(SUBJECTS_SQL, ENCODE_SQL) + """
+SELECT key, segment, top_priority FROM encoded""")
+def q_ordinal_encode(spark, sf):
+    s = subjects(spark, sf)
+    return encode.fit_ordinal(s, SUBJECT_CATEGORICAL).transform(s).select(
+        "key", "segment", "top_priority")
+
+
+ALL_NUMERIC = ["key", "segment", "top_priority", "many_orders", "n_orders", "avg_price",
+               "max_price", "label"]
+
+
+@register("select_by_corr", with_views(SUBJECTS_SQL, ENCODE_SQL) + " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, {i + 1} AS pos, round(abs({_sql_corr(c, 'max_price')}), 6) AS abs_corr,
+       coalesce(abs({_sql_corr(c, 'max_price')}) > 0.2, false) OR '{c}' = 'max_price' AS selected
+FROM encoded""" for i, c in enumerate(ALL_NUMERIC)))
+def q_select_by_corr(spark, sf):
+    s = subjects(spark, sf)
+    enc = encode.fit_ordinal(s, SUBJECT_CATEGORICAL).transform(s)
+    chosen, table = fselect.select_by_corr(enc, "max_price", ALL_NUMERIC, 0.2)
+    return table.select("feature", "pos", r6("abs_corr").alias("abs_corr"),
+                        F.col("feature").isin(chosen).alias("selected"))
+
+
+@register("zscore", SUBJ + f"""
+SELECT key, {", ".join(f"round({_sql_z(c)}, 6) AS {c}" for c in SUBJECT_NUMERIC)} FROM subjects""")
+def q_zscore(spark, sf):
+    s = subjects(spark, sf).select("key", *SUBJECT_NUMERIC)
+    _, z = _scaled_numeric(s)
+    return z.select("key", *[r6(c).alias(c) for c in SUBJECT_NUMERIC])
+
+
+@register("zscore_inverse", SUBJ + f"""
+SELECT key, {", ".join(f"round({c}, 6) AS {c}" for c in SUBJECT_NUMERIC)} FROM subjects""")
+def q_zscore_inverse(spark, sf):
+    s = subjects(spark, sf).select("key", *SUBJECT_NUMERIC)
+    z, scaled = _scaled_numeric(s)
+    return z.inverse(scaled).select("key", *[r6(c).alias(c) for c in SUBJECT_NUMERIC])
+
+
+QCUT_SPEC = [("n_orders", 5), ("avg_price", 3), ("max_price", 3)]
+
+
+def _sql_qcut(col, q, by):
+    probs = ", ".join(repr(p) for p in qcut.qcut_probs(q))
+    edges = f"(SELECT list_sort(list_distinct(quantile_cont({col}, [{probs}]))) FROM subjects i WHERE i.{by} = o.{by})"
+    return (f"CASE WHEN {col} IS NULL THEN NULL ELSE "
+            f"CAST(greatest(0, len(list_filter({edges}, lambda e: e < {col})) - 1) AS INTEGER) END")
+
+
+@register("qcut_bins", SUBJ + f"""
+SELECT key, label, {", ".join(f"{_sql_qcut(c, q, 'label')} AS {c}_bin" for c, q in QCUT_SPEC)}
+FROM subjects o""")
+def q_qcut_bins(spark, sf):
+    out = qcut.qcut_many(subjects(spark, sf), QCUT_SPEC, ["label"])
+    return out.select("key", "label", *[f"{c}_bin" for c, _ in QCUT_SPEC])
