@@ -314,3 +314,91 @@ FROM subjects o""")
 def q_qcut_bins(spark, sf):
     out = qcut.qcut_many(subjects(spark, sf), QCUT_SPEC, ["label"])
     return out.select("key", "label", *[f"{c}_bin" for c, _ in QCUT_SPEC])
+
+
+# ------------------------------------------------------- kNN and imputation
+
+from tabrisk.operators import impute, knn  # noqa: E402
+
+IMPUTE_COLS = ["n_orders", "avg_price", "max_price"]
+
+
+def _sql_dist(cols, qa="q", da="d", weights=None):
+    """Brute-force NaN-aware distance in SQL; ``weights`` = SQL 0/1 column selectors."""
+    terms, pres = [], []
+    for c in cols:
+        w = f"{weights}.{c} * " if weights else ""
+        p = f"CAST({qa}.{c} IS NOT NULL AND {da}.{c} IS NOT NULL AS INTEGER)"
+        terms.append(f"{w}CASE WHEN {p} = 1 THEN ({qa}.{c} - {da}.{c}) * ({qa}.{c} - {da}.{c}) ELSE 0.0 END")
+        pres.append(f"{w}{p}")
+    n = f"CAST({' + '.join(f'{weights}.{c}' for c in cols)} AS DOUBLE)" if weights else f"CAST({len(cols)} AS DOUBLE)"
+    m = "(" + " + ".join(pres) + ")"
+    return f"CASE WHEN {m} > 0 THEN sqrt({n} / {m} * ({' + '.join(terms)})) END"
+
+
+def _sql_knn(q_sql, d_sql, cols, k, weights_cte=None):
+    wjoin = f", {weights_cte} w" if weights_cte else ""
+    return f"""
+SELECT q_key, d_key, dist, nn_rank FROM (
+  SELECT q_key, d_key, dist, row_number() OVER (PARTITION BY q_key ORDER BY dist, d_key) - 1 AS nn_rank
+  FROM (SELECT q.key AS q_key, d.key AS d_key, {_sql_dist(cols, weights='w' if weights_cte else None)} AS dist
+        FROM ({q_sql}) q, ({d_sql}) d{wjoin})
+  WHERE dist IS NOT NULL)
+WHERE nn_rank < {k}"""
+
+
+def _sql_impute_value(nn_sql, d_sql, target):
+    return f"""
+SELECT nn.q_key AS key,
+       CASE WHEN count(*) FILTER (WHERE nn.dist = 0) > 0
+            THEN avg(d.{target}) FILTER (WHERE nn.dist = 0)
+            ELSE sum(d.{target} / nn.dist) FILTER (WHERE nn.dist > 0)
+                 / sum(CAST(1 AS DOUBLE) / nn.dist) FILTER (WHERE nn.dist > 0) END AS imp
+FROM ({nn_sql}) nn JOIN ({d_sql}) d ON nn.d_key = d.key
+GROUP BY nn.q_key"""
+
+
+_Q_MISSING = "SELECT key, n_orders, avg_price, max_price FROM subjects WHERE max_price IS NULL"
+_D_PRESENT = "SELECT key, n_orders, avg_price, max_price FROM subjects WHERE max_price IS NOT NULL"
+
+
+@register("knn_join", SUBJ + f"""
+SELECT q_key, d_key, round(dist, 6) AS dist, CAST(nn_rank AS INTEGER) AS nn_rank FROM (
+{_sql_knn(_Q_MISSING, _D_PRESENT, IMPUTE_COLS, 5)})""")
+def q_knn_join(spark, sf):
+    s = subjects(spark, sf)
+    qs = s.where(F.col("max_price").isNull())
+    ds = s.where(F.col("max_price").isNotNull())
+    nn = knn.knn_join(qs, ds, IMPUTE_COLS, 5)
+    return nn.select("q_key", "d_key", r6("dist").alias("dist"), "nn_rank")
+
+
+@register("knn_impute", SUBJ + f"""
+SELECT s.key, s.n_orders, s.avg_price,
+       round(coalesce(s.max_price, i.imp, (SELECT avg(max_price) FROM subjects)), 6) AS max_price
+FROM subjects s LEFT JOIN ({_sql_impute_value(_sql_knn(_Q_MISSING, _D_PRESENT, IMPUTE_COLS, 5), _D_PRESENT, 'max_price')}) i
+ON s.key = i.key""")
+def q_knn_impute(spark, sf):
+    s = subjects(spark, sf).select("key", *IMPUTE_COLS)
+    out = impute.knn_impute(s, IMPUTE_COLS, "key", 5)
+    return out.select("key", "n_orders", "avg_price", r6("max_price").alias("max_price"))
+
+
+_Q_NEW = ("SELECT key, n_orders, avg_price, max_price FROM subjects "
+          "WHERE label = 1 AND max_price IS NULL")
+_D_FIT = ("SELECT key, n_orders, avg_price, max_price FROM subjects "
+          "WHERE label = 0 AND max_price IS NOT NULL")
+
+
+@register("knn_impute_new_rows", SUBJ + f"""
+SELECT s.key, s.n_orders, s.avg_price,
+       round(coalesce(s.max_price, i.imp, (SELECT avg(max_price) FROM subjects WHERE label = 0)), 6) AS max_price
+FROM subjects s LEFT JOIN ({_sql_impute_value(_sql_knn(_Q_NEW, _D_FIT, IMPUTE_COLS, 5), _D_FIT, 'max_price')}) i
+ON s.key = i.key
+WHERE s.label = 1""")
+def q_knn_impute_new_rows(spark, sf):
+    s = subjects(spark, sf)
+    fitted = impute.fit_knn_imputer(s.where(F.col("label") == 0), IMPUTE_COLS, "key", 5)
+    new = s.where(F.col("label") == 1).select("key", *IMPUTE_COLS)
+    out = fitted.transform(new)
+    return out.select("key", "n_orders", "avg_price", r6("max_price").alias("max_price"))
