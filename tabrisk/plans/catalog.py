@@ -402,3 +402,161 @@ def q_knn_impute_new_rows(spark, sf):
     new = s.where(F.col("label") == 1).select("key", *IMPUTE_COLS)
     out = fitted.transform(new)
     return out.select("key", "n_orders", "avg_price", r6("max_price").alias("max_price"))
+
+
+# ---------------------------------------------------- sampling and SMOTE
+
+from tabrisk.operators import sample, smote  # noqa: E402
+
+
+def _sql_mode(counts_cte, count_col, draws_sql, name):
+    """Largest-remainder allocation of ``draws_sql`` rows over classes (ties by label)."""
+    return f"""
+{name} AS (
+  SELECT label, CAST(fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS BIGINT) AS alloc FROM (
+    SELECT label, fl, row_number() OVER (ORDER BY cont - fl DESC, label) AS rk,
+           ({draws_sql}) - sum(fl) OVER () AS need
+    FROM (SELECT label, {count_col} / (SELECT sum({count_col}) FROM {counts_cte}) * ({draws_sql}) AS cont,
+                 floor({count_col} / (SELECT sum({count_col}) FROM {counts_cte}) * ({draws_sql})) AS fl
+          FROM {counts_cte})))"""
+
+
+STRAT_SQL = (
+    "cc AS (SELECT label, count(*) AS c FROM subjects GROUP BY label),\n"
+    "tot AS (SELECT sum(c) AS n, CAST(ceil(CAST(0.05 AS DOUBLE) * sum(c)) AS BIGINT) AS n_test FROM cc),"
+    + _sql_mode("cc", "c", "SELECT n - n_test FROM tot", "tr") + ",\n"
+    "left_over AS (SELECT cc.label, cc.c - tr.alloc AS c FROM cc JOIN tr ON cc.label = tr.label),"
+    + _sql_mode("left_over", "c", "SELECT n_test FROM tot", "te") + f""",
+strat AS (
+  SELECT s.*, split_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_uniform(42, 'split', 'key')}, key) - 1 AS split_rank
+    FROM subjects) s JOIN te ON s.label = te.label
+  WHERE split_rank < te.alloc)""")
+
+
+@register("stratified_sample", SUBJ.rstrip() + ",\n" + STRAT_SQL + """
+SELECT key, label, CAST(split_rank AS BIGINT) AS split_rank FROM strat""")
+def q_stratified_sample(spark, sf):
+    st = sample.stratified_sample(subjects(spark, sf), "label", "key", 0.05, 42)
+    return st.select("key", "label", "split_rank")
+
+
+DIVERSE_BINS = [("n_orders", 5), ("avg_price", 3), ("max_price", 3)]
+DIVERSE_STRATA = ["n_orders_bin", "many_orders", "avg_price_bin", "max_price_bin", "top_priority"]
+DIVERSE_N = {1: 5, 0: 10}
+
+
+def _sql_bin_in(col, q, src):
+    probs = ", ".join(repr(p) for p in qcut.qcut_probs(q))
+    edges = (f"(SELECT list_sort(list_distinct(quantile_cont(i.{col}, [{probs}]))) "
+             f"FROM {src} i WHERE i.label = o.label)")
+    return (f"CASE WHEN o.{col} IS NULL THEN NULL ELSE "
+            f"CAST(greatest(0, len(list_filter({edges}, lambda e: e < o.{col})) - 1) AS INTEGER) END")
+
+
+DIVERSE_SQL = STRAT_SQL + f""",
+sized AS (SELECT s.*, count(*) OVER (PARTITION BY label) AS size,
+                 CASE label {" ".join(f"WHEN {c} THEN {n}" for c, n in DIVERSE_N.items())} END AS n
+          FROM strat s),
+big AS (SELECT * FROM sized WHERE size > n),
+binned AS (
+  SELECT o.*, {", ".join(f"{_sql_bin_in(c, q, 'big')} AS {c}_bin" for c, q in DIVERSE_BINS)}
+  FROM big o),
+stratified AS (
+  SELECT *, concat_ws('_', {", ".join(f"coalesce(CAST({c} AS VARCHAR), 'nan')" for c in DIVERSE_STRATA)}) AS stratum
+  FROM binned),
+strata AS (
+  SELECT label, stratum, so,
+         greatest(0, least(a, n - coalesce(sum(a) OVER (PARTITION BY label ORDER BY so
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take
+  FROM (SELECT label, stratum, n, least(greatest(1, floor(n / count(*) OVER (PARTITION BY label))), ss) AS a,
+               row_number() OVER (PARTITION BY label ORDER BY ss DESC, stratum) AS so
+        FROM (SELECT label, stratum, count(*) AS ss, any_value(n) AS n FROM stratified GROUP BY label, stratum))),
+first_pass AS (
+  SELECT r.key, r.label, 1 AS pass, st.so, CAST(r.rk AS DOUBLE) AS ord FROM (
+    SELECT key, label, stratum, row_number() OVER (PARTITION BY label, stratum
+                                 ORDER BY {sql_uniform(42, 'stratum', 'key')}, key) AS rk
+    FROM stratified) r JOIN strata st ON r.label = st.label AND r.stratum = st.stratum
+  WHERE r.rk <= st.take),
+got AS (SELECT label, count(*) AS got FROM first_pass GROUP BY label),
+second_pass AS (
+  SELECT key, label, 2 AS pass, 0 AS so, CAST(rk AS DOUBLE) AS ord FROM (
+    SELECT b.key, b.label, b.n - coalesce(g.got, 0) AS need,
+           row_number() OVER (PARTITION BY b.label ORDER BY {sql_uniform(42, 'fill', 'b.key')}, b.key) AS rk
+    FROM big b LEFT JOIN got g ON b.label = g.label
+    WHERE b.key NOT IN (SELECT key FROM first_pass))
+  WHERE rk <= need),
+whole AS (SELECT key, label, 0 AS pass, 0 AS so, {sql_uniform(42, 'whole', 'key')} AS ord
+          FROM sized WHERE size <= n),
+chosen AS (
+  SELECT key, label, pass, row_number() OVER (PARTITION BY label ORDER BY pass, so, ord, key) - 1 AS p
+  FROM (SELECT * FROM first_pass UNION ALL SELECT * FROM second_pass UNION ALL SELECT * FROM whole)),
+class_off AS (
+  SELECT label, coalesce(sum(k) OVER (ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM (SELECT label, count(*) AS k,
+               CASE label {" ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(DIVERSE_N))} END AS ci
+        FROM chosen GROUP BY label)),
+diverse AS (
+  SELECT c.key, c.label, CAST(c.pass AS INTEGER) AS pass, CAST(o.off + c.p AS INTEGER) AS pos
+  FROM chosen c JOIN class_off o ON c.label = o.label)"""
+
+
+def _diverse(spark, sf):
+    st = sample.stratified_sample(subjects(spark, sf), "label", "key", 0.05, 42).drop("split_rank")
+    return sample.diverse_sample(st, "label", "key", DIVERSE_N, DIVERSE_BINS, DIVERSE_STRATA, 42)
+
+
+@register("diverse_sample", SUBJ.rstrip() + ",\n" + DIVERSE_SQL + """
+SELECT key, label, pass, pos FROM diverse""")
+def q_diverse_sample(spark, sf):
+    return _diverse(spark, sf).select("key", "label", "pass", "pos")
+
+
+SMOTE_FEATURES = ["n_orders", "avg_price", "many_orders"]
+
+
+def _smote_sql():
+    u = lambda tag, col: sql_uniform(42, tag, col)
+    m = ("SELECT key, n_orders, avg_price, CAST(many_orders AS DOUBLE) AS many_orders "
+         "FROM subjects WHERE label = 1")
+    nn = _sql_knn(m, m, SMOTE_FEATURES, 6).replace(
+        "WHERE dist IS NOT NULL", "WHERE dist IS NOT NULL AND q_key <> d_key")
+    return f""",
+m AS ({m}),
+nn AS ({nn}),
+ranked AS (SELECT key, row_number() OVER (ORDER BY {u('base:1', 'key')}, key) - 1 AS base_rank FROM m),
+cnt AS (SELECT (SELECT count(*) FROM subjects WHERE label = 0) AS maj, (SELECT count(*) FROM m) AS nmin),
+slots AS (SELECT unnest(generate_series(0, (SELECT maj - nmin - 1 FROM cnt))) AS slot),
+draws AS (SELECT slot, CAST(floor({u('pick:1', 'slot')} * (SELECT nmin FROM cnt)) AS BIGINT) AS base_rank,
+                 CAST(floor({u('nbr:1', 'slot')} * 5) AS INTEGER) AS nn_rank, {u('step:1', 'slot')} AS step
+          FROM slots),
+synth AS (
+  SELECT 's:1:' || CAST(d.slot AS VARCHAR) AS sample_id, CAST(NULL AS BIGINT) AS key,
+         {", ".join(f"b.{c} + d.step * (x.{c} - b.{c}) AS {c}" for c in SMOTE_FEATURES)},
+         1 AS label, true AS synthetic
+  FROM draws d JOIN ranked r ON d.base_rank = r.base_rank JOIN m b ON b.key = r.key
+  JOIN nn ON nn.q_key = b.key AND nn.nn_rank = d.nn_rank JOIN m x ON x.key = nn.d_key),
+smoted AS (
+  SELECT 'o:' || CAST(key AS VARCHAR) AS sample_id, key, n_orders, avg_price,
+         CAST(many_orders AS DOUBLE) AS many_orders, label, false AS synthetic FROM subjects
+  UNION ALL SELECT * FROM synth)"""
+
+
+@register("smote", SUBJ.rstrip() + _smote_sql() + """
+SELECT sample_id, key, round(n_orders, 6) AS n_orders, round(avg_price, 6) AS avg_price,
+       CAST(trunc(many_orders) AS INTEGER) AS many_orders, label, synthetic FROM smoted""")
+def q_smote(spark, sf):
+    s = subjects(spark, sf)
+    out = smote.smote(s, "label", "key", SMOTE_FEATURES, k=5, seed=42, discrete_cols=["many_orders"])
+    return out.select("sample_id", "key", r6("n_orders").alias("n_orders"),
+                      r6("avg_price").alias("avg_price"), "many_orders", "label", "synthetic")
+
+
+@register("class_balance_after_smote", SUBJ.rstrip() + _smote_sql() + """
+SELECT label, count(*) AS count, count(*) FILTER (WHERE synthetic) AS n_synthetic
+FROM smoted GROUP BY label""")
+def q_class_balance_after_smote(spark, sf):
+    s = subjects(spark, sf)
+    out = smote.smote(s, "label", "key", SMOTE_FEATURES, k=5, seed=42, discrete_cols=["many_orders"])
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("count"),
+                                    F.count_if("synthetic").alias("n_synthetic"))
