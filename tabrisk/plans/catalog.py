@@ -560,3 +560,92 @@ def q_class_balance_after_smote(spark, sf):
     out = smote.smote(s, "label", "key", SMOTE_FEATURES, k=5, seed=42, discrete_cols=["many_orders"])
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("count"),
                                     F.count_if("synthetic").alias("n_synthetic"))
+
+
+# ------------------------------------------------ folds, metrics, decisions
+
+from tabrisk.operators import metrics  # noqa: E402
+
+
+def _scored(spark, sf):
+    """Deterministic scores with ties: floor(10 * (0.35 label + 0.65 u)) / 10."""
+    s = subjects(spark, sf).select("key", "label")
+    s = metrics.with_folds(s, "label", "key", 5, 42)
+    u = uniform(42, "score", F.col("key"))
+    score = F.floor((F.lit(0.35) * F.col("label") + F.lit(0.65) * u) * 10) / 10
+    return s.withColumn("score", score).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+
+
+SCORED_SQL = f"""
+scored AS (
+  SELECT key, label, fold, score, CAST(score >= 0.5 AS INTEGER) AS pred FROM (
+    SELECT key, label,
+           CAST((row_number() OVER (PARTITION BY label ORDER BY {sql_uniform(42, 'fold', 'key')}, key) - 1) % 5 AS INTEGER) AS fold,
+           floor((0.35::DOUBLE * label + 0.65::DOUBLE * {sql_uniform(42, 'score', 'key')}) * 10) / 10 AS score
+    FROM subjects))"""
+
+from tabrisk.functions.rnd import uniform  # noqa: E402
+
+AUC_SQL = """
+auc AS (
+  SELECT fold, CASE WHEN sum(pos) * sum(neg) > 0
+                    THEN sum(pos * (nb + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END AS auc
+  FROM (SELECT fold, score, pos, neg,
+               coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY score
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+        FROM (SELECT fold, score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY fold, score))
+  GROUP BY fold)"""
+
+FOLD_METRICS_SQL = """
+fm AS (
+  SELECT c.fold, n, tp, fp, fn, tn,
+         CASE WHEN n > 0 THEN (tp + tn) / CAST(n AS DOUBLE) ELSE 0 END AS "Accuracy",
+         CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS "Precision",
+         CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS "Recall",
+         CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0 END AS "F1",
+         a.auc AS "ROC-AUC"
+  FROM (SELECT fold, count(*) AS n,
+               count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
+               count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+               count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn,
+               count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn
+        FROM scored GROUP BY fold) c JOIN auc a ON c.fold = a.fold)"""
+
+
+@register("stratified_folds", SUBJ.rstrip() + "," + SCORED_SQL + """
+SELECT fold, label, count(*) AS n FROM scored GROUP BY fold, label""")
+def q_stratified_folds(spark, sf):
+    return _scored(spark, sf).groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("auc_exact", SUBJ.rstrip() + "," + SCORED_SQL + "," + AUC_SQL + """
+SELECT fold, round(auc, 6) AS auc FROM auc""")
+def q_auc_exact(spark, sf):
+    a = metrics.auc_exact(_scored(spark, sf), "label", "score", ["fold"], name="auc")
+    return a.select("fold", r6("auc").alias("auc"))
+
+
+@register("fold_metrics", SUBJ.rstrip() + "," + SCORED_SQL + "," + AUC_SQL + "," + FOLD_METRICS_SQL + """
+SELECT fold, n, tp, fp, fn, tn, """ + ", ".join(f'round("{m}", 6) AS "{m}"' for m in metrics.METRIC_NAMES)
+    + " FROM fm")
+def q_fold_metrics(spark, sf):
+    m = metrics.binary_metrics(_scored(spark, sf), "label", "pred", "score", ["fold"])
+    return m.select("fold", "n", "tp", "fp", "fn", "tn",
+                    *[r6(F.col(f"`{c}`")).alias(c) for c in metrics.METRIC_NAMES])
+
+
+@register("cv_summary", SUBJ.rstrip() + "," + SCORED_SQL + "," + AUC_SQL + "," + FOLD_METRICS_SQL
+    + "\nSELECT " + ", ".join(f'round(avg("{m}"), 6) AS "{m}_mean", round(stddev_pop("{m}"), 6) AS "{m}_std"'
+                            for m in metrics.METRIC_NAMES) + " FROM fm")
+def q_cv_summary(spark, sf):
+    m = metrics.binary_metrics(_scored(spark, sf), "label", "pred", "score", ["fold"])
+    s = metrics.cv_summary(m)
+    return s.select([r6(F.col(f"`{c}`")).alias(c) for c in s.columns])
+
+
+@register("threshold_decision", SUBJ.rstrip() + "," + SCORED_SQL + """
+SELECT key, score, CAST(score >= 0.1 AS INTEGER) AS decision,
+       CASE WHEN score >= 0.1 THEN 'Risk' ELSE 'No Risk' END AS decision_label FROM scored""")
+def q_threshold_decision(spark, sf):
+    return metrics.decide(_scored(spark, sf), "score", 0.1).select(
+        "key", "score", "decision", "decision_label")
