@@ -649,3 +649,85 @@ SELECT key, score, CAST(score >= 0.1 AS INTEGER) AS decision,
 def q_threshold_decision(spark, sf):
     return metrics.decide(_scored(spark, sf), "score", 0.1).select(
         "key", "score", "decision", "decision_label")
+
+
+# ------------------------------------------------------ preparation plan
+
+from tabrisk.plans.prepare import PrepSpec, prepare  # noqa: E402
+
+SUBJECT_SPEC = PrepSpec(
+    key="key", label="label", categorical=["segment", "top_priority"],
+    scaled=["n_orders", "avg_price", "max_price"], impute_target="max_price",
+    feature_order=["segment", "top_priority", "many_orders", "n_orders", "avg_price", "max_price"])
+FEATURES = SUBJECT_SPEC.feature_order
+CANDIDATES = ["key", "segment", "top_priority", "many_orders", "n_orders", "avg_price", "max_price", "label"]
+
+
+def _prepared_sql(fit: str, apply: str) -> str:
+    """CTEs ``enc``, ``w`` (selection), ``disp`` (imputed), ``scaled`` for rows fitted on ``fit``."""
+    codes = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, category, dense_rank() OVER (ORDER BY category) - 1 AS code "
+        f"FROM (SELECT DISTINCT coalesce({c}, 'nan') AS category FROM subjects WHERE {fit})"
+        for c in SUBJECT_SPEC.categorical)
+    sel = ", ".join(
+        f"CAST(coalesce(abs({_sql_corr(c, 'max_price')}) > 0.2, false) OR '{c}' = 'max_price' AS INTEGER) AS {c}"
+        for c in CANDIDATES)
+    q = "SELECT * FROM enc WHERE is_apply AND max_price IS NULL"
+    d = "SELECT * FROM enc WHERE is_fit AND max_price IS NOT NULL"
+    nn = _sql_knn(q, d, CANDIDATES, 5, weights_cte="w")
+    imp = _sql_impute_value(nn, d, "max_price")
+    scaled = ", ".join(
+        f"(d.{c} - m.{c}_m) / coalesce(nullif(m.{c}_s, 0), 1) AS {c}" for c in SUBJECT_SPEC.scaled)
+    moments = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in SUBJECT_SPEC.scaled)
+    return f""",
+codes AS ({codes}),
+enc AS (
+  SELECT s.key, CAST(cs.code AS DOUBLE) AS segment, CAST(ct.code AS DOUBLE) AS top_priority,
+         s.many_orders, s.n_orders, s.avg_price, s.max_price, s.label,
+         ({fit}) AS is_fit, ({apply}) AS is_apply
+  FROM subjects s
+  LEFT JOIN codes cs ON cs.feature = 'segment' AND cs.category = coalesce(s.segment, 'nan')
+  LEFT JOIN codes ct ON ct.feature = 'top_priority' AND ct.category = coalesce(s.top_priority, 'nan')),
+w AS (SELECT {sel} FROM enc WHERE is_fit),
+imp AS ({imp}),
+disp AS (
+  SELECT e.key, e.segment, e.top_priority, e.many_orders, e.n_orders, e.avg_price,
+         coalesce(e.max_price, i.imp, (SELECT avg(max_price) FROM enc WHERE is_fit)) AS max_price,
+         e.label, e.is_fit, e.is_apply
+  FROM enc e LEFT JOIN imp i ON e.key = i.key),
+mom AS (SELECT {moments} FROM disp WHERE is_fit),
+scaled AS (
+  SELECT d.key, d.segment, d.top_priority, d.many_orders, {scaled}, d.label, d.is_fit, d.is_apply
+  FROM disp d, mom m)"""
+
+
+def _out_cols(df):
+    return df.select("key", "segment", "top_priority", F.col("many_orders").cast("double").alias("many_orders"),
+                     *[r6(c).alias(c) for c in SUBJECT_SPEC.scaled], "label")
+
+
+def _sql_out(table):
+    return (f"SELECT key, segment, top_priority, CAST(many_orders AS DOUBLE) AS many_orders, "
+            + ", ".join(f"round({c}, 6) AS {c}" for c in SUBJECT_SPEC.scaled) + f", label FROM {table}")
+
+
+@register("prepared_scaled", SUBJ.rstrip() + _prepared_sql("true", "true") + "\n" + _sql_out("scaled"))
+def q_prepared_scaled(spark, sf):
+    _, scaled, _ = prepare(subjects(spark, sf), SUBJECT_SPEC)
+    return _out_cols(scaled)
+
+
+@register("prepared_display", SUBJ.rstrip() + _prepared_sql("true", "true") + "\n" + _sql_out("disp"))
+def q_prepared_display(spark, sf):
+    _, _, display = prepare(subjects(spark, sf), SUBJECT_SPEC)
+    return _out_cols(display)
+
+
+@register("apply_and_append", SUBJ.rstrip() + _prepared_sql("label = 0", "true") + "\n"
+          + _sql_out("scaled"))
+def q_apply_and_append(spark, sf):
+    s = subjects(spark, sf)
+    fitted, scaled, display = prepare(s.where(F.col("label") == 0), SUBJECT_SPEC)
+    new_rows = s.where(F.col("label") == 1)
+    all_scaled, _ = fitted.append(scaled, display, new_rows)
+    return _out_cols(all_scaled)
