@@ -78,5 +78,6 @@ def format_value(feature: Column | str, value: Column | str,
 
 
 def signed4(c: Column | str) -> Column:
-    """``%+.4f`` form of an attribution."""
-    return F.format_string("%+.4f", _c(c).cast("double"))
+    """``%+.4f`` form of an attribution, rounded first as in :func:`fixed1`."""
+    c = _c(c).cast("double")
+    return F.format_string("%+.4f", F.floor(c * 10000 + 0.5) / 10000)

@@ -16,18 +16,24 @@ rows stay partitioned: ``mapInPandas`` evaluates numpy per Arrow batch.
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabrisk.session import checkpoint_dir
 
+# Functions that run in Python workers are shipped by value, so executors do
+# not need this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_NODES = 5_000_000  # model-sized payload bound for the broadcast
 
 NODE_SCHEMA = ("tree_id int, node_id int, left int, right int, feature int, threshold double, "

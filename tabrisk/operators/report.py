@@ -12,9 +12,11 @@ by lineage.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,10 @@ def reasons_inline(shap_col: str, features: Sequence[str], display_names: Mappin
     return F.array_join(F.transform(F.slice(ordered, 1, k), lambda s: F.element_at(names, s["i"] + 1)), ", ")
 
 
+# Functions that run in Python workers are shipped by value, so executors do
+# not need this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 

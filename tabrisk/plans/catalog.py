@@ -731,3 +731,218 @@ def q_apply_and_append(spark, sf):
     new_rows = s.where(F.col("label") == 1)
     all_scaled, _ = fitted.append(scaled, display, new_rows)
     return _out_cols(all_scaled)
+
+
+# ------------------------------------------------ model (rows-only checks)
+
+from tabrisk.functions import dictionaries as D  # noqa: E402
+from tabrisk.functions.text import signed4  # noqa: E402
+from tabrisk.operators import explain, forest, report  # noqa: E402
+
+SMALL_FOREST = {"n_estimators": 10, "max_depth": 4, "min_samples_leaf": 1, "max_features": "sqrt"}
+
+
+def _prepared_with_folds(spark, sf):
+    _, scaled, _ = prepare(subjects(spark, sf), SUBJECT_SPEC)
+    return metrics.with_folds(scaled, "label", "key", 5, 42)
+
+
+@register("forest_predictions")
+def q_forest_predictions(spark, sf):
+    data = _prepared_with_folds(spark, sf)
+    model = forest.fit_forest(data, FEATURES, "label", SMALL_FOREST)
+    scored = forest.predict(data, model, FEATURES)
+    return metrics.decide(scored, "prob", D.DECISION_THRESHOLD).select(
+        "key", "label", "prob", "pred", "decision", "decision_label")
+
+
+@register("forest_cv_metrics")
+def q_forest_cv_metrics(spark, sf):
+    data = _prepared_with_folds(spark, sf)
+    return forest.cross_validate(data, FEATURES, "label", SMALL_FOREST, "fold", 5)
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    data = _prepared_with_folds(spark, sf)
+    grid = {"n_estimators": [10], "max_depth": [3, 5], "max_features": ["sqrt", "log2"]}
+    _, table = forest.grid_search(spark, data, FEATURES, "label", grid, "fold", parallelism=2)
+    return table
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    data = _prepared_with_folds(spark, sf)
+    model = forest.fit_forest(data, FEATURES, "label", SMALL_FOREST)
+    return forest.feature_importance(spark, model, FEATURES, 10)
+
+
+@register("shap_values")
+def q_shap_values(spark, sf):
+    data = _prepared_with_folds(spark, sf)
+    model = forest.fit_forest(data, FEATURES, "label", SMALL_FOREST)
+    return explain.tree_shap(data, explain.forest_nodes(model), FEATURES, "key")
+
+
+@register("shap_stump", SUBJ.rstrip() + """,
+st AS (
+  SELECT t, count(*) AS n, count(*) FILTER (WHERE avg_price <= t) AS nl,
+         sum(label) FILTER (WHERE avg_price <= t) AS pl, sum(label) FILTER (WHERE avg_price > t) AS pr,
+         sum(label) AS p
+  FROM subjects, (SELECT avg(avg_price) AS t FROM subjects) GROUP BY t)
+SELECT key, round(p / n, 6) AS base_value,
+       round(CASE WHEN avg_price <= t THEN pl / nl ELSE pr / (n - nl) END, 6) AS prediction,
+       0.0 AS shap_n_orders,
+       round(CASE WHEN avg_price <= t THEN pl / nl ELSE pr / (n - nl) END - p / n, 6) AS shap_avg_price
+FROM subjects, st""")
+def q_shap_stump(spark, sf):
+    s = subjects(spark, sf)
+    nodes = explain.stump_nodes(s, "avg_price", 1, "label", F.avg("avg_price"))
+    sh = explain.tree_shap(s, nodes, ["n_orders", "avg_price"], "key")
+    return sh.select("key", r6("base_value").alias("base_value"), r6("prediction").alias("prediction"),
+                     r6(F.col("shap")[0]).alias("shap_n_orders"), r6(F.col("shap")[1]).alias("shap_avg_price"))
+
+
+# ------------------------------------------- attributions and report text
+
+# This repository's linear scorer over the prepared table: its exact
+# attributions w_j (x_j - mean_j) drive the report chain with an oracle.
+LINEAR_WEIGHTS = {"segment": 0.015, "top_priority": -0.02, "many_orders": 0.04,
+                  "n_orders": 0.05, "avg_price": -0.03, "max_price": 0.06}
+LINEAR_INTERCEPT = 0.08
+
+
+def _explained(spark, sf):
+    fitted, scaled, display = prepare(subjects(spark, sf), SUBJECT_SPEC)
+    # reference point: the origin of the prepared features (exact products)
+    shap = explain.linear_shap(scaled, "key", LINEAR_WEIGHTS, LINEAR_INTERCEPT)
+    return fitted, scaled, display, shap
+
+
+def _sql_lit(x):
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+ATT_SQL = ",\natt AS (" + " UNION ALL ".join(
+        f"SELECT s.key, {i} AS feature_pos, '{c}' AS feature, CAST(s.{c} AS DOUBLE) AS value_scaled, "
+        f"CAST(d.{c} AS DOUBLE) AS value_original, "
+        f"{_sql_lit(LINEAR_WEIGHTS[c])} * s.{c} AS shap_value "
+        f"FROM scaled s JOIN disp d ON s.key = d.key"
+        for i, c in enumerate(FEATURES)) + "),\n" + \
+    "top AS (SELECT * FROM (SELECT key, feature_pos, feature, shap_value, row_number() OVER " \
+    "(PARTITION BY key ORDER BY shap_value DESC, feature_pos) AS reason_rank FROM att WHERE shap_value > 0) " \
+    "WHERE reason_rank <= 3),\n" + \
+    "names AS (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, '{v}' AS display_name"
+                                       for k, v in D.SUBJECT_DISPLAY_NAMES.items()) + ")"
+PREP_ALL = SUBJ.rstrip() + _prepared_sql("true", "true")
+
+
+@register("attribution_table", PREP_ALL + ATT_SQL + """
+SELECT key, feature_pos, feature, round(value_scaled, 6) AS value_scaled,
+       round(value_original, 6) AS value_original, round(shap_value, 6) AS shap_value,
+       round(abs(shap_value), 6) AS abs_shap FROM att""")
+def q_attribution_table(spark, sf):
+    _, scaled, display, shap = _explained(spark, sf)
+    a = explain.attributions(shap, scaled, display, "key", FEATURES)
+    return a.select("key", "feature_pos", "feature", *[r6(c).alias(c) for c in
+                                                      ["value_scaled", "value_original", "shap_value", "abs_shap"]])
+
+
+@register("top_reasons", PREP_ALL + ATT_SQL + """
+SELECT key, CAST(reason_rank AS INTEGER) AS reason_rank, feature_pos, feature,
+       round(shap_value, 6) AS shap_value FROM top""")
+def q_top_reasons(spark, sf):
+    _, _, _, shap = _explained(spark, sf)
+    t = explain.top_reasons(shap, "key", FEATURES, 3)
+    return t.select("key", "reason_rank", "feature_pos", "feature", r6("shap_value").alias("shap_value"))
+
+
+@register("sorted_attributions", PREP_ALL + ATT_SQL + """
+SELECT a.key, a.feature,
+       CAST(row_number() OVER (PARTITION BY a.key ORDER BY abs(a.shap_value) DESC, a.feature_pos) AS INTEGER) AS impact_rank,
+       n.display_name || ': ' || printf('%+.4f', floor(a.shap_value * 10000 + 0.5) / 10000) AS line
+FROM att a JOIN names n ON a.feature = n.feature""")
+def q_sorted_attributions(spark, sf):
+    _, scaled, display, shap = _explained(spark, sf)
+    a = explain.sorted_attributions(explain.attributions(shap, scaled, display, "key", FEATURES), "key")
+    names = F.create_map(*[x for k, v in D.SUBJECT_DISPLAY_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    return a.select("key", "feature", "impact_rank",
+                    F.concat(F.element_at(names, F.col("feature")), F.lit(": "), signed4("shap_value")).alias("line"))
+
+
+@register("reason_list", PREP_ALL + ATT_SQL + """
+SELECT t.key, string_agg(n.display_name, ', ' ORDER BY t.reason_rank) AS reasons
+FROM top t JOIN names n ON t.feature = n.feature GROUP BY t.key""")
+def q_reason_list(spark, sf):
+    _, _, _, shap = _explained(spark, sf)
+    return report.reason_list(explain.top_reasons(shap, "key", FEATURES, 3), "key", D.SUBJECT_DISPLAY_NAMES)
+
+
+def _sql_block():
+    def cat(c):
+        return (f"coalesce((SELECT category FROM codes WHERE feature = '{c}' AND code = CAST(trunc(d.{c}) AS INTEGER)), "
+                f"CAST(d.{c} AS VARCHAR))")
+    lines = {
+        "segment": cat("segment"), "top_priority": cat("top_priority"),
+        "many_orders": "CASE CAST(trunc(d.many_orders) AS INTEGER) WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END",
+        "n_orders": "CAST(CAST(trunc(d.n_orders) AS BIGINT) AS VARCHAR) || ' orders'",
+        "avg_price": "printf('%.1f', floor(d.avg_price * 10 + 0.5) / 10) || ' USD'",
+        "max_price": "printf('%.1f', floor(d.max_price * 10 + 0.5) / 10) || ' USD'",
+    }
+    return " || chr(10) || ".join(f"'{D.SUBJECT_DISPLAY_NAMES[c]}: ' || {lines[c]}" for c in FEATURES)
+
+
+def _subject_labels(fitted):
+    labels = dict(D.SUBJECT_VALUE_LABELS)
+    for c in SUBJECT_SPEC.categorical:
+        labels[c] = fitted.encoder.decode_labels(c)
+    return labels
+
+
+@register("feature_block", PREP_ALL + f"""
+SELECT d.key, {_sql_block()} AS feature_block FROM disp d""")
+def q_feature_block(spark, sf):
+    fitted, _, display, _ = _explained(spark, sf)
+    fb = report.feature_block(display, FEATURES, D.SUBJECT_DISPLAY_NAMES, _subject_labels(fitted),
+                              D.SUBJECT_RULES)
+    return fb.select("key", "feature_block")
+
+
+def _prompt_frame(spark, sf):
+    fitted, _, display, shap = _explained(spark, sf)
+    fb = report.feature_block(display, FEATURES, D.SUBJECT_DISPLAY_NAMES, _subject_labels(fitted),
+                              D.SUBJECT_RULES).select("key", "feature_block")
+    sh = shap.withColumn("reasons", report.reasons_inline("shap", FEATURES, D.SUBJECT_DISPLAY_NAMES, 3))
+    sh = metrics.decide(sh, "prediction", D.DECISION_THRESHOLD, labels=D.STATUS_LABELS)
+    return report.prompts(sh.join(fb, "key"))
+
+
+def _sql_str(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register("prompts", PREP_ALL + ATT_SQL + f""",
+pred AS (SELECT s.key, {_sql_lit(LINEAR_INTERCEPT)} + """
+          + " + ".join(f"{_sql_lit(LINEAR_WEIGHTS[c])} * s.{c}" for c in FEATURES) + f""" AS prediction
+         FROM scaled s),
+rl AS (SELECT t.key, string_agg(n.display_name, ', ' ORDER BY t.reason_rank) AS reasons
+       FROM top t JOIN names n ON t.feature = n.feature GROUP BY t.key),
+blk AS (SELECT d.key, {_sql_block()} AS feature_block FROM disp d)
+SELECT p.key, {_sql_str(D.SYSTEM_PROMPT)} AS system_prompt,
+       replace(replace(replace({_sql_str(D.USER_PROMPT_TEMPLATE)},
+               '{{top_feature_list}}', coalesce(rl.reasons, '')),
+               '{{risk_label}}', CASE WHEN p.prediction >= 0.1 THEN 'Risk' ELSE 'No Risk' END),
+               '{{patient_feature_block}}', b.feature_block) AS user_prompt
+FROM pred p JOIN blk b ON p.key = b.key LEFT JOIN rl ON p.key = rl.key""")
+def q_prompts(spark, sf):
+    return _prompt_frame(spark, sf).select("key", "system_prompt", "user_prompt")
+
+
+@register("completions")
+def q_completions(spark, sf):
+    return report.complete(_prompt_frame(spark, sf), report.EchoClient, "key")
+
+
+@register("completions_with_metadata")
+def q_completions_with_metadata(spark, sf):
+    return report.complete(_prompt_frame(spark, sf), report.EchoClient, "key", with_metadata=True)
