@@ -32,10 +32,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_GRID_DIMS = 3
+FINE_QUANTILES = 1000  # resolution of the donor quantiles the grid edges come from
 EPS_REL = 1e-9
 
 
@@ -86,29 +88,40 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     # 1. identical donors: only the kk smallest keys can ever be chosen
     same = Window.partitionBy(*[f"d_{c}" for c in cols]).orderBy("_dk")
     d = d.withColumn("_dup", F.row_number().over(same)).where(F.col("_dup") <= kk).drop("_dup")
-
-    # 2. grid columns: present in every query and donor (one small aggregation each)
-    qnull = q.agg(*[F.count_if(F.col(f"q_{c}").isNull()).alias(c) for c in cols]).first()
-    dstat = d.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.count_if(F.col(f"d_{c}").isNull()).alias(c) for c in cols]).first()
-    complete = [c for c in cols if qnull[c] == 0 and dstat[c] == 0]
+    # both sides are read by the statistics below and by every round
+    q = q.persist(StorageLevel.MEMORY_AND_DISK)
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+
+    # 2. one statistics job: null counts of both sides, donor count and fine
+    #    approximate quantiles of every donor column (edges are picked from them)
+    fine = [i / FINE_QUANTILES for i in range(1, FINE_QUANTILES)]
+    sides = (q.select(F.lit("q").alias("_side"), *[F.col(f"q_{c}").alias(c) for c in cols])
+             .unionByName(d.select(F.lit("d").alias("_side"), *[F.col(f"d_{c}").alias(c) for c in cols])))
+    stats = {r["_side"]: r for r in sides.groupBy("_side").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"{c}__null") for c in cols],
+        *[F.percentile_approx(c, fine, 4 * FINE_QUANTILES).alias(f"{c}__q") for c in cols]).collect()}
+    qs_, ds_ = stats.get("q"), stats.get("d")
+    if qs_ is None or ds_ is None:
+        return queries.sparkSession.createDataFrame(
+            [], "q_key bigint, d_key bigint, dist double, nn_rank int")
+    complete = [c for c in cols if qs_[f"{c}__null"] == 0 and ds_[f"{c}__null"] == 0]
     if not complete:
         raise ValueError("knn_join needs at least one column present in every row to prune candidates")
     grid = complete[:grid_dims]
-    n_donors = int(dstat["_n"])
+    n_donors = int(ds_["_n"])
     target = cell_target or max(16 * k, 64)
     per_dim = max(1, int(math.ceil((max(n_donors, 1) / target) ** (1.0 / len(grid)))))
-    probs = [i / per_dim for i in range(1, per_dim)]
     edges: dict[str, list[float]] = {}
-    if probs and n_donors:
-        qs = d.approxQuantile([f"d_{c}" for c in grid], probs, 1.0 / (8 * per_dim))
-        for c, vals in zip(grid, qs):
-            edges[c] = sorted(set(float(v) for v in vals))
-    else:
-        edges = {c: [] for c in grid}
+    for c in grid:
+        qv = ds_[f"{c}__q"] or []
+        picks = [qv[min(len(qv) - 1, round(i * FINE_QUANTILES / per_dim) - 1)]
+                 for i in range(1, per_dim)] if qv else []
+        edges[c] = sorted(set(float(v) for v in picks if v is not None))
     nb = {c: len(edges[c]) + 1 for c in grid}
 
-    d = d.withColumns({f"_b{j}": _bin(F.col(f"d_{c}"), edges[c]) for j, c in enumerate(grid)})
+    d = d.withColumns({f"_b{j}": _bin(F.col(f"d_{c}"), edges[c]) for j, c in enumerate(grid)}).persist(
+        StorageLevel.MEMORY_AND_DISK)
     q = q.withColumns({f"_b{j}": _bin(F.col(f"q_{c}"), edges[c]) for j, c in enumerate(grid)})
     dist = nan_distance([F.col(f"q_{c}") for c in cols], [F.col(f"d_{c}") for c in cols], n)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +109,8 @@ def prepare(df: DataFrame, spec: PrepSpec) -> tuple[FittedPrep, DataFrame, DataF
     if spec.valid_filter:
         col, reject = spec.valid_filter
         df = clean.filter_valid_category(df, col, reject)
+    # the input is read by four fits (categories, correlations, means, kNN)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     enc_fit = encode.fit_ordinal(df, spec.categorical)
     enc = enc_fit.transform(df)
     candidates = [c for c in numeric_columns(enc) if c not in set(spec.corr_exclude)]
