@@ -108,7 +108,10 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     complete = [c for c in cols if qs_[f"{c}__null"] == 0 and ds_[f"{c}__null"] == 0]
     if not complete:
         raise ValueError("knn_join needs at least one column present in every row to prune candidates")
-    grid = complete[:grid_dims]
+    # grid columns: the most spread ones first (most distinct fine quantiles),
+    # so a value held by a large share of the donors does not make one fat cell
+    spread = {c: len(set(ds_[f"{c}__q"] or [])) for c in complete}
+    grid = sorted(complete, key=lambda c: -spread[c])[:grid_dims]
     n_donors = int(ds_["_n"])
     target = cell_target or max(16 * k, 64)
     per_dim = max(1, int(math.ceil((max(n_donors, 1) / target) ** (1.0 / len(grid)))))

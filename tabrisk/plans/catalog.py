@@ -305,7 +305,7 @@ def _sql_qcut(col, q, by):
     probs = ", ".join(repr(p) for p in qcut.qcut_probs(q))
     edges = f"(SELECT list_sort(list_distinct(quantile_cont({col}, [{probs}]))) FROM subjects i WHERE i.{by} = o.{by})"
     return (f"CASE WHEN {col} IS NULL THEN NULL ELSE "
-            f"CAST(greatest(0, len(list_filter({edges}, lambda e: e < {col})) - 1) AS INTEGER) END")
+            f"CAST(greatest(0, len(list_filter({edges}, lambda e: e < {col})) - 1) AS DOUBLE) END")
 
 
 @register("qcut_bins", SUBJ + f"""
@@ -313,7 +313,8 @@ SELECT key, label, {", ".join(f"{_sql_qcut(c, q, 'label')} AS {c}_bin" for c, q
 FROM subjects o""")
 def q_qcut_bins(spark, sf):
     out = qcut.qcut_many(subjects(spark, sf), QCUT_SPEC, ["label"])
-    return out.select("key", "label", *[f"{c}_bin" for c, _ in QCUT_SPEC])
+    # bin codes with missing values are reported as double (NaN), on both sides
+    return out.select("key", "label", *[F.col(f"{c}_bin").cast("double").alias(f"{c}_bin") for c, _ in QCUT_SPEC])
 
 
 # ------------------------------------------------------- kNN and imputation
@@ -543,12 +544,14 @@ smoted AS (
 
 
 @register("smote", SUBJ.rstrip() + _smote_sql() + """
-SELECT sample_id, key, round(n_orders, 6) AS n_orders, round(avg_price, 6) AS avg_price,
+SELECT sample_id, CAST(key AS DOUBLE) AS key, round(n_orders, 6) AS n_orders, round(avg_price, 6) AS avg_price,
        CAST(trunc(many_orders) AS INTEGER) AS many_orders, label, synthetic FROM smoted""")
 def q_smote(spark, sf):
     s = subjects(spark, sf)
     out = smote.smote(s, "label", "key", SMOTE_FEATURES, k=5, seed=42, discrete_cols=["many_orders"])
-    return out.select("sample_id", "key", r6("n_orders").alias("n_orders"),
+    # key is NULL on synthetic rows: reported as double so that both engines
+    # hand the same (float, NaN) column to the comparison
+    return out.select("sample_id", F.col("key").cast("double").alias("key"), r6("n_orders").alias("n_orders"),
                       r6("avg_price").alias("avg_price"), "many_orders", "label", "synthetic")
 
 
