@@ -139,3 +139,16 @@ def test_smote_balances_and_interpolates(spark):
     # every synthetic point lies inside the bounding box of the minority class
     assert (syn.x >= mins[:, 0].min() - 1e-9).all() and (syn.x <= mins[:, 0].max() + 1e-9).all()
     assert syn.key.isna().all() and len(syn) == 200
+
+
+def test_ordinal_encoder_join_path_equals_literal_path(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"c{i % 37}", f"d{i % 5}") for i in range(300)], "k int, s string, t string")
+    small = encode.fit_ordinal(df, ["s", "t"])
+    monkeypatch.setattr(encode, "MAX_LITERAL_CATEGORIES", 10)
+    big = encode.fit_ordinal(df, ["s", "t"])
+    assert big.mapping is None
+    a = sorted(tuple(r) for r in small.transform(df).collect())
+    b = sorted(tuple(r) for r in big.transform(df).collect())
+    assert a == b
+    with pytest.raises(Exception):
+        big.transform(spark.createDataFrame([(1, "zz", "d1")], df.schema)).collect()
