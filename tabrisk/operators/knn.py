@@ -10,7 +10,10 @@ Plan (all DataFrame operations, no driver loop over data):
 1. Donors with identical coordinates are reduced to the ``k`` smallest keys
    (a top-k window, planned as a partial limit before the shuffle): only
    those can ever be chosen, so a value repeated by a third of the table
-   costs ``k`` rows.
+   costs ``k`` rows.  Queries with identical coordinates (and gaps) have
+   identical neighbours, so the search runs once per distinct query vector
+   (``k + 1`` neighbours when a row may not be its own neighbour; the row
+   itself is dropped after the vector's result is joined back to its rows).
 2. A grid over up to ``grid_dims`` columns that are present in every row.
    Bin edges are approximate quantiles of the donors (a few hundred numbers
    on the driver), so cells hold about ``cell_target`` donors whatever the
@@ -82,8 +85,13 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     cols = list(cols)
     n = n_cols or len(cols)
     kk = k + 1 if exclude_self else k
-    q = queries.select(F.col(qkey).alias("_qk"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols])
+    vec = [f"q_{c}" for c in cols]
+    q_rows = queries.select(F.col(qkey).alias("_qk"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols])
+    # one search per distinct query vector (groupBy treats NULLs as equal);
+    # the smallest key of the vector stands for it (partial aggregation)
+    q = q_rows.groupBy(*vec).agg(F.min("_qk").alias("_qk"))
     d = donors.select(F.col(dkey).alias("_dk"), *[F.col(c).cast("double").alias(f"d_{c}") for c in cols])
+    k_rows, k = k, kk  # the search below runs without self exclusion
 
     # 1. identical donors: only the kk smallest keys can ever be chosen
     same = Window.partitionBy(*[f"d_{c}" for c in cols]).orderBy("_dk")
@@ -135,11 +143,12 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
         dd = d.select("_dk", *[f"d_{c}" for c in cols],
                       *[F.col(f"_b{j}").alias(f"_c{j}") for j in range(len(grid))])
         pairs = cells.join(dd, [f"_c{j}" for j in range(len(grid))])
-        if exclude_self:
-            pairs = pairs.where(F.col("_qk") != F.col("_dk"))
         pairs = pairs.select("_qk", "_dk", dist.alias("dist")).where(F.col("dist").isNotNull())
         w = Window.partitionBy("_qk").orderBy("dist", "_dk")
-        return pairs.withColumn("nn_rank", F.row_number().over(w) - 1).where(F.col("nn_rank") < k)
+        # ``row_number() <= k`` (not ``row_number() - 1 < k``) is planned as a
+        # per-partition group limit before the shuffle
+        return (pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+                .select("_qk", "_dk", "dist", (F.col("_rn") - 1).alias("nn_rank")))
 
     def ring(qq: DataFrame, r: int) -> DataFrame:
         lo = [F.greatest(F.col(f"_b{j}") - r, F.lit(0)) for j in range(len(grid))]
@@ -191,5 +200,17 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "_qk bigint, _dk bigint, dist double, nn_rank int")
-    return out.select(F.col("_qk").alias("q_key"), F.col("_dk").alias("d_key"), "dist",
+    # back from vectors to query rows: null-safe equi-join on the vector
+    # (planned as an equi-join; a vector shared by many rows is a skewed key
+    # that AQE splits, and its output is rows x k by definition)
+    per_vec = out.join(q.select(F.col("_qk"), *[F.col(c).alias(f"_v{c}") for c in vec]), "_qk").drop("_qk")
+    cond = [q_rows[c].eqNullSafe(per_vec[f"_v{c}"]) for c in vec]
+    res = q_rows.select("_qk", *vec).join(per_vec, cond).select(
+        "_qk", "_dk", "dist", "nn_rank")
+    if exclude_self:
+        res = (res.where(F.col("_qk") != F.col("_dk"))
+               .withColumn("nn_rank", F.row_number().over(
+                   Window.partitionBy("_qk").orderBy("nn_rank")) - 1)
+               .where(F.col("nn_rank") < k_rows))
+    return res.select(F.col("_qk").alias("q_key"), F.col("_dk").alias("d_key"), "dist",
                       F.col("nn_rank").cast("int").alias("nn_rank"))

@@ -152,3 +152,27 @@ def test_ordinal_encoder_join_path_equals_literal_path(spark, monkeypatch):
     assert a == b
     with pytest.raises(Exception):
         big.transform(spark.createDataFrame([(1, "zz", "d1")], df.schema)).collect()
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_knn_join_with_a_third_identical_queries(spark, exclude_self):
+    rng = np.random.default_rng(9)
+    n = 150
+    rows, arr = [], []
+    for i in range(n):
+        if i % 3 == 0:   # a third of the rows: one identical vector with a gap
+            a, b, c = 0.0, 1.0, None
+        else:
+            a, b, c = round(float(rng.normal()), 2), float(rng.integers(0, 4)), float(rng.normal())
+        rows.append((i, a, b, c))
+        arr.append([i, a, b, np.nan if c is None else c])
+    df = spark.createDataFrame(rows, "key bigint, a double, b double, c double")
+    arr = np.array(arr)
+    got = knn.knn_join(df, df, ["a", "b", "c"], 4, exclude_self=exclude_self, cell_target=16).collect()
+    want = _brute_knn(arr, arr, 4, exclude_self)
+    by_q = {}
+    for r in got:
+        by_q.setdefault(r.q_key, []).append((r.nn_rank, r.d_key))
+    assert set(by_q) == set(want)
+    for qk, lst in by_q.items():
+        assert [x[1] for x in sorted(lst)] == [x[1] for x in want[qk]], qk
