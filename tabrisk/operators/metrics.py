@@ -10,6 +10,8 @@ scores, so no single task orders a whole fold.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -45,8 +47,11 @@ def _neg_below(counts: DataFrame, g: list[str], buckets: int = 128) -> DataFrame
     if widest <= SMALL_SCORE_LIMIT:
         w = Window.partitionBy(*g).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("_nb", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    # about a million distinct scores per bucket (one task sorts a bucket)
+    buckets = max(buckets, math.ceil(widest / 1_000_000))
     cut = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*g).agg(F.array_distinct(F.percentile_approx("_s", cut, 10000)).alias("_bd"))
+    bounds = counts.groupBy(*g).agg(
+        F.array_distinct(F.percentile_approx("_s", cut, max(10000, 10 * buckets))).alias("_bd"))
     cb = (counts.join(bounds, g)
           .withColumn("_bk", F.size(F.filter("_bd", lambda e: e < F.col("_s")))).drop("_bd"))
     per = cb.groupBy(*g, "_bk").agg(F.sum("_neg").alias("_bneg"))

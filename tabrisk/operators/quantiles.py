@@ -14,6 +14,8 @@ bounded tables:
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -24,6 +26,8 @@ from tabrisk.operators.ranking import _cols
 
 # Largest number of distinct values per group ranked in one window partition.
 SMALL_GROUP_LIMIT = 2_000_000
+# Distinct values per bucket aimed at by the bucketed path (one task sorts a bucket).
+VALUES_PER_BUCKET = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols=None,
@@ -48,6 +52,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
         if widest <= small_group_limit:
             res = _window_quantiles(vc, g, probs)
             return res.drop("_g") if ungrouped else res
+        # enough buckets that one holds about VALUES_PER_BUCKET distinct values
+        buckets = max(buckets, math.ceil(widest / VALUES_PER_BUCKET))
+        accuracy = max(accuracy, 10 * buckets)
 
     cut_probs = [i / buckets for i in range(1, buckets)]
     bounds = vc.groupBy(*g).agg(

@@ -176,3 +176,18 @@ def test_knn_join_with_a_third_identical_queries(spark, exclude_self):
     assert set(by_q) == set(want)
     for qk, lst in by_q.items():
         assert [x[1] for x in sorted(lst)] == [x[1] for x in want[qk]], qk
+
+
+def test_auc_exact_bucketed_path(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SMALL_SCORE_LIMIT", 3)
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 2, size=500)
+    s = np.round(rng.random(500) * 0.6 + 0.3 * y, 2)
+    df = spark.createDataFrame([(int(a), float(b), int(i % 2)) for i, (a, b) in enumerate(zip(y, s))],
+                               "y int, s double, g int")
+    got = {r.g: r["ROC-AUC"] for r in metrics.auc_exact(df, "y", "s", by="g").collect()}
+    for g in (0, 1):
+        yy, ss = y[np.arange(500) % 2 == g], s[np.arange(500) % 2 == g]
+        pos, neg = ss[yy == 1], ss[yy == 0]
+        want = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+        assert got[g] == pytest.approx(want, abs=1e-12)
