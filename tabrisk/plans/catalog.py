@@ -91,6 +91,27 @@ def q_missing_counts(spark, sf):
     return profile.missing_counts(subjects(spark, sf))
 
 
+# DuckDB type names as Spark prints them (fixed values of the two engines)
+_DUCK_TO_SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                       "BOOLEAN": "boolean", "SMALLINT": "smallint", "FLOAT": "float"}
+
+
+@register("column_info", SUBJ + f"""
+, types AS (SELECT column_name AS "column", column_type FROM (DESCRIBE SELECT * FROM subjects)),
+miss AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM subjects"
+                             for c in SUBJECT_COLUMNS)})
+SELECT CAST(list_position({"[" + ", ".join(f"'{c}'" for c in SUBJECT_COLUMNS) + "]"}, t."column") - 1 AS INTEGER) AS pos,
+       t."column", CASE t.column_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _DUCK_TO_SPARK_TYPE.items())}
+       ELSE lower(t.column_type) END AS type, m.n_missing
+FROM types t JOIN miss m ON t."column" = m.col""")
+def q_column_info(spark, sf):
+    """Column types with missing counts (what a dtypes + isnull().sum() report shows)."""
+    s = subjects(spark, sf)
+    return (profile.column_types(spark, s)
+            .join(profile.missing_counts(s), "column")
+            .select("pos", "column", "type", "n_missing"))
+
+
 @register("describe_numeric", SUBJ + " UNION ALL ".join(f"""
 SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 6) AS mean,
        round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
@@ -166,6 +187,20 @@ def q_take_keys(spark, sf):
         "key", "pos", "segment", "avg_price")
 
 
+@register("lookup_keys", SUBJ + """
+, req AS (SELECT key FROM subjects WHERE label = 1 UNION ALL SELECT -key FROM subjects WHERE label = 1)
+SELECT r.key, s.key IS NOT NULL AS found FROM req r LEFT JOIN subjects s ON r.key = s.key""")
+def q_lookup_keys(spark, sf):
+    """Bounds-checked point lookup: every requested key with whether a row exists
+    (requests: the positive keys and their negatives, which never exist)."""
+    s = subjects(spark, sf)
+    pos = s.where(F.col("label") == 1)
+    req = pos.select("key").unionByName(pos.select((-F.col("key")).alias("key")))
+    found, missing = clean.lookup_keys(s, req, "key")
+    return (found.select("key", F.lit(True).alias("found"))
+            .unionByName(missing.select("key", F.lit(False).alias("found"))))
+
+
 @register("exclude_keys", SUBJ + """
 SELECT key, segment, label FROM subjects
 WHERE key NOT IN (SELECT key FROM subjects WHERE top_priority = '1-URGENT')""")
