@@ -35,10 +35,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabrisk.session import cache
+
 DEFAULT_GRID_DIMS = 3
 FINE_QUANTILES = 1000  # resolution of the donor quantiles the grid edges come from
 EPS_REL = 1e-9
@@ -97,8 +98,8 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     same = Window.partitionBy(*[f"d_{c}" for c in cols]).orderBy("_dk")
     d = d.withColumn("_dup", F.row_number().over(same)).where(F.col("_dup") <= kk).drop("_dup")
     # both sides are read by the statistics below and by every round
-    q = q.persist(StorageLevel.MEMORY_AND_DISK)
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    q = cache(q)
+    d = cache(d)
 
     # 2. one statistics job: null counts of both sides, donor count and fine
     #    approximate quantiles of every donor column (edges are picked from them)
@@ -131,8 +132,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
         edges[c] = sorted(set(float(v) for v in picks if v is not None))
     nb = {c: len(edges[c]) + 1 for c in grid}
 
-    d = d.withColumns({f"_b{j}": _bin(F.col(f"d_{c}"), edges[c]) for j, c in enumerate(grid)}).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    d = cache(d.withColumns({f"_b{j}": _bin(F.col(f"d_{c}"), edges[c]) for j, c in enumerate(grid)}))
     q = q.withColumns({f"_b{j}": _bin(F.col(f"q_{c}"), edges[c]) for j, c in enumerate(grid)})
     dist = nan_distance([F.col(f"q_{c}") for c in cols], [F.col(f"d_{c}") for c in cols], n)
 
@@ -181,8 +181,8 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     box_parts = []
     for _ in range(max_rounds):
         top, info = ring(pending, r)
-        top = top.persist()
-        info = info.persist()
+        top = cache(top)
+        info = cache(info)
         status = {row["_status"]: row["count"] for row in info.groupBy("_status").count().collect()}
         done_parts.append(top.join(info.where(F.col("_status") == "done").select("_qk"), "_qk", "left_semi"))
         if status.get("box"):

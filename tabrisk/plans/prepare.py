@@ -12,14 +12,13 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrisk.operators import clean, encode, impute, scale
 from tabrisk.operators import select as fselect
 from tabrisk.operators.reshape import append_rows
-from tabrisk.session import cut_lineage
+from tabrisk.session import cache, cut_lineage, release_cached
 
 
 @dataclass
@@ -110,7 +109,7 @@ def prepare(df: DataFrame, spec: PrepSpec) -> tuple[FittedPrep, DataFrame, DataF
         col, reject = spec.valid_filter
         df = clean.filter_valid_category(df, col, reject)
     # the input is read by four fits (categories, correlations, means, kNN)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cache(df)
     enc_fit = encode.fit_ordinal(df, spec.categorical)
     enc = enc_fit.transform(df)
     candidates = [c for c in numeric_columns(enc) if c not in set(spec.corr_exclude)]
@@ -120,6 +119,8 @@ def prepare(df: DataFrame, spec: PrepSpec) -> tuple[FittedPrep, DataFrame, DataF
     display = imp.transform(enc)
     if spec.checkpoint:
         display = cut_lineage(display)
+        # the checkpoint no longer depends on the frames the fits persisted
+        release_cached()
     scaler = scale.fit_zscore(display, spec.scaled)
     scaled = scaler.transform(display)
     return FittedPrep(spec, enc_fit, selected, imp, scaler), scaled, display

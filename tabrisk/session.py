@@ -9,9 +9,14 @@ session and sets one only when the session has none (local tests).
 from __future__ import annotations
 
 import tempfile
+import threading
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_cached: list[DataFrame] = []
+_cached_lock = threading.Lock()
+
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
@@ -57,3 +62,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cache(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) a frame that several jobs read, and
+    remember it so that :func:`release_cached` can free it once the results
+    that depend on it have been checkpointed or written."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    with _cached_lock:
+        _cached.append(out)
+    return out
+
+
+def release_cached() -> None:
+    """Unpersist every frame persisted through :func:`cache` so far."""
+    with _cached_lock:
+        frames = list(_cached)
+        _cached.clear()
+    for df in frames:
+        df.unpersist(blocking=False)
