@@ -57,11 +57,18 @@ class KnnImputer:
         return complete.unionByName(filled.select(*df.columns))
 
 
-def fit_knn_imputer(df: DataFrame, cols: Sequence[str], key: str, k: int = 5) -> KnnImputer:
+def fit_knn_imputer(df: DataFrame, cols: Sequence[str], key: str, k: int = 5,
+                    means: dict | None = None) -> KnnImputer:
+    """``means`` (column means already computed by an earlier pass) saves the
+    aggregation; columns it lacks are averaged here."""
     cols = list(cols)
-    row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    known = {c: means[c] for c in cols if means and c in means}
+    todo = [c for c in cols if c not in known]
+    if todo:
+        row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in todo]).first()
+        known.update({c: row[c] for c in todo})
     donors = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
-    return KnnImputer(cols, key, k, donors, {c: row[c] for c in cols})
+    return KnnImputer(cols, key, k, donors, known)
 
 
 def knn_impute(df: DataFrame, cols: Sequence[str], key: str, k: int = 5) -> DataFrame:

@@ -97,12 +97,14 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def corr_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
+def corr_with(df: DataFrame, target: str, cols: Sequence[str], with_mean: bool = False) -> DataFrame:
     """Pearson correlation of each column with ``target`` (pairwise complete).
 
     ``covar_pop / (stddev_pop * stddev_pop)`` over the rows where both sides
     are present; a constant column gives NULL instead of the division error
-    that ``corr`` raises under ANSI mode.  One aggregation for all columns.
+    that ``corr`` raises under ANSI mode.  One aggregation for all columns;
+    ``with_mean`` adds each column's mean over its present values to the
+    same pass.
     """
     t = F.col(target).cast("double")
     aggs = []
@@ -111,15 +113,18 @@ def corr_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
         both = x.isNotNull() & t.isNotNull()
         xm, tm = F.when(both, x), F.when(both, t)
         aggs += [F.covar_pop(xm, tm).alias(f"{c}__cov"),
-                 F.stddev_pop(xm).alias(f"{c}__sx"), F.stddev_pop(tm).alias(f"{c}__st")]
+                 F.stddev_pop(xm).alias(f"{c}__sx"), F.stddev_pop(tm).alias(f"{c}__st"),
+                 (F.avg(x) if with_mean else F.lit(None).cast("double")).alias(f"{c}__mean")]
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `{c}__cov`, `{c}__sx`, `{c}__st`" for c in cols)
-    long = wide.selectExpr(f"stack({len(cols)}, {stack}) as (feature, cov, sx, st)")
+    stack = ", ".join(f"'{c}', `{c}__cov`, `{c}__sx`, `{c}__st`, `{c}__mean`" for c in cols)
+    long = wide.selectExpr(f"stack({len(cols)}, {stack}) as (feature, cov, sx, st, mean)")
     denom = F.col("sx") * F.col("st")
     corr = F.when(denom > 0, F.col("cov") / denom)
-    return long.select(
+    out = long.select(
         F.col("feature"), corr.alias("corr"), F.abs(corr).alias("abs_corr"),
-        F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).cast("int").alias("pos"))
+        F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).cast("int").alias("pos"),
+        "mean")
+    return out if with_mean else out.drop("mean")
 
 
 __all__ = ["row_count", "distinct_values", "value_counts", "profile_categorical",

@@ -113,9 +113,11 @@ def prepare(df: DataFrame, spec: PrepSpec) -> tuple[FittedPrep, DataFrame, DataF
     enc_fit = encode.fit_ordinal(df, spec.categorical)
     enc = enc_fit.transform(df)
     candidates = [c for c in numeric_columns(enc) if c not in set(spec.corr_exclude)]
-    selected, _ = fselect.select_by_corr(enc, spec.impute_target, candidates, spec.corr_threshold)
+    # correlations and the imputer's column means in one pass
+    selected, _, means = fselect.select_by_corr_with_means(enc, spec.impute_target, candidates,
+                                                           spec.corr_threshold)
     enc = enc.withColumns({c: F.col(c).cast("double") for c in selected})
-    imp = impute.fit_knn_imputer(enc, selected, spec.key, spec.k)
+    imp = impute.fit_knn_imputer(enc, selected, spec.key, spec.k, means)
     display = imp.transform(enc)
     if spec.checkpoint:
         display = cut_lineage(display)
