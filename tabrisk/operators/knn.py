@@ -14,10 +14,11 @@ Plan (all DataFrame operations, no driver loop over data):
    identical neighbours, so the search runs once per distinct query vector
    (``k + 1`` neighbours when a row may not be its own neighbour; the row
    itself is dropped after the vector's result is joined back to its rows).
-2. A grid over up to ``grid_dims`` columns that are present in every row.
-   Bin edges are approximate quantiles of the donors (a few hundred numbers
-   on the driver), so cells hold about ``cell_target`` donors whatever the
-   density.
+2. A grid over up to ``grid_dims`` columns that are present in every donor
+   (at least one of them present in every query); a query with a gap in a
+   grid column spans that axis whole.  Bin edges are approximate quantiles
+   of the donors (a few hundred numbers on the driver), so cells hold about
+   ``cell_target`` donors whatever the density.
 3. Round 1: each query is exploded to its ring of neighbouring cells and
    equi-joined with the donors on the cell; the top ``k`` by (distance, key)
    are kept per query.  A query is *resolved* when its k-th distance is
@@ -114,13 +115,20 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     if qs_ is None or ds_ is None:
         return queries.sparkSession.createDataFrame(
             [], "q_key bigint, d_key bigint, dist double, nn_rank int")
-    complete = [c for c in cols if qs_[f"{c}__null"] == 0 and ds_[f"{c}__null"] == 0]
-    if not complete:
+    # grid columns must be present in every donor; a query with a gap in one
+    # spans that whole grid axis (the column adds nothing to its distance).
+    # At least one grid column must be present in every query as well.
+    d_complete = [c for c in cols if ds_[f"{c}__null"] == 0]
+    both = [c for c in d_complete if qs_[f"{c}__null"] == 0]
+    if not both:
         raise ValueError("knn_join needs at least one column present in every row to prune candidates")
-    # grid columns: the most spread ones first (most distinct fine quantiles),
-    # so a value held by a large share of the donors does not make one fat cell
-    spread = {c: len(set(ds_[f"{c}__q"] or [])) for c in complete}
-    grid = sorted(complete, key=lambda c: -spread[c])[:grid_dims]
+    # the most spread columns first (most distinct fine quantiles), so a value
+    # held by a large share of the donors does not make one fat cell
+    spread = {c: len(set(ds_[f"{c}__q"] or [])) for c in d_complete}
+    grid = sorted(d_complete, key=lambda c: -spread[c])[:grid_dims]
+    if not set(grid) & set(both):
+        grid[-1] = max(both, key=lambda c: spread[c])
+    q_gaps = {c for c in grid if qs_[f"{c}__null"] > 0}
     n_donors = int(ds_["_n"])
     target = cell_target or max(16 * k, 64)
     per_dim = max(1, int(math.ceil((max(n_donors, 1) / target) ** (1.0 / len(grid)))))
@@ -150,9 +158,14 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
         return (pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
                 .select("_qk", "_dk", "dist", (F.col("_rn") - 1).alias("nn_rank")))
 
+    def gap_in(c: str) -> Column:
+        return F.col(f"q_{c}").isNull() if c in q_gaps else F.lit(False)
+
     def ring(qq: DataFrame, r: int) -> DataFrame:
-        lo = [F.greatest(F.col(f"_b{j}") - r, F.lit(0)) for j in range(len(grid))]
-        hi = [F.least(F.col(f"_b{j}") + r, F.lit(nb[c] - 1)) for j, c in enumerate(grid)]
+        lo = [F.when(gap_in(c), F.lit(0)).otherwise(F.greatest(F.col(f"_b{j}") - r, F.lit(0)))
+              for j, c in enumerate(grid)]
+        hi = [F.when(gap_in(c), F.lit(nb[c] - 1)).otherwise(F.least(F.col(f"_b{j}") + r, F.lit(nb[c] - 1)))
+              for j, c in enumerate(grid)]
         top = candidates(qq, lo, hi)
         stat = top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_cnt"), F.max("dist").alias("_dk_max"))
         info = qq.join(stat, "_qk", "left").fillna({"_cnt": 0})
@@ -163,9 +176,9 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
             x = F.col(f"q_{c}")
             left = x - _edge(edges[c], b - r - 1, -math.inf)
             right = _edge(edges[c], b + r, math.inf) - x
-            gj = F.least(left, right)
+            gj = F.when(gap_in(c), F.lit(math.inf)).otherwise(F.least(left, right))
             gap = gj if gap is None else F.least(gap, gj)
-            fj = (b - r <= 0) & (b + r >= nb[c] - 1)
+            fj = gap_in(c) | ((b - r <= 0) & (b + r >= nb[c] - 1))
             full = fj if full is None else full & fj
         status = (F.when(full, F.lit("done"))
                   .when((F.col("_cnt") >= k) & (F.col("_dk_max") * (1 + EPS_REL) < gap), F.lit("done"))
@@ -188,8 +201,9 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
         if status.get("box"):
             boxed = info.where(F.col("_status") == "box")
             rho = F.col("_dk_max") * (1 + EPS_REL) + F.lit(1e-12)
-            lo = [_bin(F.col(f"q_{c}") - rho, edges[c]) for c in grid]
-            hi = [_bin(F.col(f"q_{c}") + rho, edges[c]) for c in grid]
+            lo = [F.when(gap_in(c), F.lit(0)).otherwise(_bin(F.col(f"q_{c}") - rho, edges[c])) for c in grid]
+            hi = [F.when(gap_in(c), F.lit(nb[c] - 1)).otherwise(_bin(F.col(f"q_{c}") + rho, edges[c]))
+                  for c in grid]
             box_parts.append(candidates(boxed.select(q.columns + ["_dk_max"]), lo, hi))
         if not status.get("wider"):
             break

@@ -191,3 +191,34 @@ def test_auc_exact_bucketed_path(spark, monkeypatch):
         pos, neg = ss[yy == 1], ss[yy == 0]
         want = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
         assert got[g] == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_knn_join_queries_with_gaps_in_grid_columns(spark, exclude_self):
+    """Donors complete, queries with gaps in some columns (the imputation case)."""
+    rng = np.random.default_rng(21)
+    def make(n, start, gaps):
+        rows, arr = [], []
+        for i in range(n):
+            a, b, c = round(float(rng.normal()), 2), float(rng.integers(0, 40)), float(rng.normal())
+            if gaps and i % 4 == 1:
+                a = None
+            if gaps and i % 4 == 2:
+                c = None
+            rows.append((start + i, a, b, c))
+            arr.append([start + i, np.nan if a is None else a, b, np.nan if c is None else c])
+        return spark.createDataFrame(rows, "key bigint, a double, b double, c double"), np.array(arr)
+    if exclude_self:
+        dq, aq = make(200, 0, True)
+        dd, ad = dq, aq
+    else:
+        dq, aq = make(120, 0, True)
+        dd, ad = make(500, 10_000, False)
+    got = knn.knn_join(dq, dd, ["a", "b", "c"], 5, exclude_self=exclude_self, cell_target=16).collect()
+    want = _brute_knn(aq, ad, 5, exclude_self)
+    by_q = {}
+    for r in got:
+        by_q.setdefault(r.q_key, []).append((r.nn_rank, r.d_key))
+    assert set(by_q) == set(want)
+    for qk, lst in by_q.items():
+        assert [x[1] for x in sorted(lst)] == [x[1] for x in want[qk]], qk
