@@ -8,6 +8,7 @@ session and sets one only when the session has none (local tests).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 
@@ -39,18 +40,24 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session.
+    """The shared folder for checkpoints and scratch tables.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local runs, tests) a fresh scratch folder is
-    created.
+    The folder the caller set on the context, else the one the cluster names in
+    ``spark.checkpoint.dir``.  Neither is ever replaced.  Only a local session
+    (tests, bench) without one gets a scratch folder; on a cluster the lack of
+    one is an error, because executors cannot see a folder of the driver.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="tabrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    context = spark.sparkContext
+    current = context.getCheckpointDir()  # a folder of its own below the one that was set
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tabrisk-ckpt-")
+    context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
