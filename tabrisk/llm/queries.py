@@ -4,7 +4,11 @@ and the DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
 from tabrisk.llm.exact_dedup import exact_dedup
+from tabrisk.llm.packing import pack_documents
 from tabrisk.llm.shared import table
+from tabrisk.llm.token_counts import token_counts
+from tabrisk.llm.token_files import token_file_digest
+from tabrisk.llm.tokens import vocabulary
 
 QUERIES = {}
 ORACLES = {}
@@ -26,3 +30,18 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 FROM n JOIN g USING (t)""")
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op7_token_files")
+def op7_token_files(spark, sf_dir):
+    return token_file_digest(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
