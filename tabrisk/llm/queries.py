@@ -3,9 +3,12 @@ and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabrisk.llm.exact_dedup import exact_dedup
+from tabrisk.llm.language import fit_language, predict_language
 from tabrisk.llm.packing import pack_documents
-from tabrisk.llm.shared import table
+from tabrisk.llm.shared import crc_mod, table
 from tabrisk.llm.token_counts import token_counts
 from tabrisk.llm.token_files import token_file_digest
 from tabrisk.llm.tokens import vocabulary
@@ -23,6 +26,14 @@ def query(name, sql=None):
     return register
 
 
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(docs, crc_mod("doc_id", 5) != 0)
+    out = predict_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query("op2_exact_dedup", r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
      g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
