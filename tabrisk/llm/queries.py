@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabrisk.llm.exact_dedup import exact_dedup
 from tabrisk.llm.language import fit_language, predict_language
 from tabrisk.llm.packing import pack_documents
+from tabrisk.llm.quality import fit_quality, score_quality
 from tabrisk.llm.shared import crc_mod, table
 from tabrisk.llm.token_counts import token_counts
 from tabrisk.llm.token_files import token_file_digest
@@ -48,6 +49,16 @@ def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = fit_quality(docs.where(crc_mod("doc_id", 3) != 1).join(labels, "doc_id"))
+    out = score_quality(docs, model)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op7_token_files")
 def op7_token_files(spark, sf_dir):
     return token_file_digest(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
