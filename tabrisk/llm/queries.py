@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabrisk.llm.exact_dedup import exact_dedup
 from tabrisk.llm.language import fit_language, predict_language
+from tabrisk.llm.mixing import mix, quality_domains
 from tabrisk.llm.packing import pack_documents
 from tabrisk.llm.quality import fit_quality, score_quality
 from tabrisk.llm.shared import crc_mod, table
@@ -59,6 +60,22 @@ def op5_quality_classifier(spark, sf_dir):
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Shares of the training mixture's tokens.
+MIXTURE = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
+
+
+def labelled_domains(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(labels.select("doc_id", quality_domains(labels).alias("domain")), "doc_id")
+
+
+@query("op6_source_mixing")
+def op6_source_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mix(docs, labelled_domains(spark, sf_dir), MIXTURE).drop("_u")
+
+
 @query("op7_token_files")
 def op7_token_files(spark, sf_dir):
     return token_file_digest(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
