@@ -148,7 +148,7 @@ def memberships(docs: DataFrame, model: DomainModel | None, domains: Sequence[st
                     [part.column("_id"), pa.array(counts.astype(np.int64)), *[pa.array(p[:, i]) for i in range(len(domains))],
                      part.column("_u")], ["_id", "n_tokens", *names, "_u"])
 
-    schema = rows.select("_id").schema.add("n_tokens", "bigint")
+    schema = rows.select("_id").schema.add("n_tokens", "long")
     for name in names:
         schema = schema.add(name, "double")
     return rows.mapInArrow(member, schema.add("_u", "double")).withColumnRenamed("_id", id_col)
