@@ -36,7 +36,7 @@ RIDGE = 1e-3
 SHARPNESS = 4.0    # of the softmax over the regression outputs
 BITS = 7           # of a letter's code; 0 is the boundary
 BLOCK = 256        # texts scored by one matrix product
-SLICE = 4 << 20    # text bytes turned into grams at once
+SLICE = 1 << 20    # text bytes turned into grams at once
 UNDETERMINED = "und"
 
 _codes: np.ndarray | None = None

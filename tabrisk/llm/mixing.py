@@ -44,7 +44,7 @@ STEPS = 80             # gradient steps at most
 TOLERANCE = 1e-6       # of the change of the domain totals, as a share of all tokens
 RIDGE = 1e-3
 FOLDED = 6             # steps folded into one expression before the rates are written
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ SAMPLE = 3000       # labelled documents used to fit, both classes together
 SAMPLE_BYTES = 8 << 20  # a longer single text is not drawn into the sample
 STEPS = 150
 PENALTY = 1e-4
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 _PUNCTUATION = [i for i in range(33, 127) if not chr(i).isalnum()]
 _KIND = np.zeros(256, np.int64)          # 0 other, 1 upper, 2 lower, 3 digit, 4 space, 5 not ASCII, 6.. marks
