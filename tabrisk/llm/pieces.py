@@ -19,7 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Text bytes worked on at once; a longer single text is worked on whole.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
@@ -72,7 +72,7 @@ def cut_pieces(texts: pa.Array, lower: bool = False) -> Pieces:
         begins[inner] = word[inner]
     start = np.flatnonzero(begins)
     packed = data[word]
-    before = np.concatenate([[0], np.cumsum(word)])  # non-space bytes before each byte
+    before = np.concatenate([[0], np.cumsum(word, dtype=np.int32 if len(word) < 2 ** 31 else np.int64)])  # non-space bytes before each byte
     offsets = np.append(before[start], len(packed))
     if len(packed) < 2 ** 31 - 1:
         flat = pa.Array.from_buffers(pa.string(), len(start), [

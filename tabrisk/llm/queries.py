@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabrisk.llm.exact_dedup import exact_dedup
 from tabrisk.llm.language import fit_language, predict_language
 from tabrisk.llm.mixing import mix, quality_domains
+from tabrisk.llm.ngram_join import ngram_components
 from tabrisk.llm.packing import pack_documents
 from tabrisk.llm.quality import fit_quality, score_quality
 from tabrisk.llm.shared import crc_mod, table
@@ -84,3 +85,8 @@ def op7_token_files(spark, sf_dir):
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+
+
+@query("op9_ngram_jaccard")
+def op9_ngram_jaccard(spark, sf_dir):
+    return ngram_components(table(spark, sf_dir, "documents")).drop("row")

@@ -48,7 +48,7 @@ SKIPPABLE = 0x184D2A5E
 ENTRY = np.dtype([("id", "<i8"), ("has_id", "<u4"), ("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 FOOTER = struct.Struct("<IIIB3s")
 TAG = b"ID\n"
-FILE_BYTES = 16 << 20  # compressed bytes after which a task starts another file
+FILE_BYTES = 8 << 20  # compressed bytes after which a task starts another file
 
 
 def seek_table(task: int, number: int, entries: np.ndarray, width: int) -> bytes:
