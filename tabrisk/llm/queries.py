@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabrisk.llm.context_tree import context_tree_scores
 from tabrisk.llm.exact_dedup import exact_dedup
 from tabrisk.llm.language import fit_language, predict_language
 from tabrisk.llm.mixing import mix, quality_domains
@@ -90,3 +91,10 @@ def op8_best_fit_packing(spark, sf_dir):
 @query("op9_ngram_jaccard")
 def op9_ngram_jaccard(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op10_lm_scores")
+def op10_lm_scores(spark, sf_dir):
+    out = context_tree_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score", "n_bytes")
