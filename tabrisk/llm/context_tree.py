@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from tabrisk.llm.pieces import cut_pieces, ranges, text_slices
 from tabrisk.llm.shared import cut
 
-DEPTH = 4                  # context bytes
-BLOCK_BYTES = 16 << 20     # text of a block
+DEPTH = 6                  # context bytes, at most 7
+BLOCK_BYTES = 8 << 20      # text of a block
 SLICE = 1 << 20
 END = 10                   # newline: end of a text, and what stands before its start
 STRINGS, WORDS_, TOP = 0, 1, 2
@@ -97,6 +97,19 @@ def _count(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return own, np.bincount(at, counts, len(own)).astype(np.int64)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").tobytes())
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u8"), dtype=np.uint64)
+
+
 def _string_fragment(key: np.ndarray, depth: int, fragments: int) -> np.ndarray:
     recent = key >> np.uint64(8 * (depth - 1)) if depth > 1 else key >> np.uint64(8)
     return (((recent * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(fragments)).astype(np.int64)
@@ -153,6 +166,8 @@ def _block_strings(data: bytes, depth: int):
         train = part.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
         strings.append(_count([(own.key, np.repeat(train, np.diff(own.bounds)))]))
         words.append(_count([(own.word, np.repeat(train, np.diff(own.word_bounds)))]))
+        if len(strings) >= 4:
+            strings = [_count(strings)]
     return _count(strings), _count(words)
 
 
@@ -170,9 +185,8 @@ def _sent(blocks: DataFrame, depth: int, fragments: int) -> DataFrame:
                     cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
                     for f in np.flatnonzero(np.diff(cuts)):
                         at = order[cuts[f]:cuts[f + 1]]
-                        rows.append((int(f), block, kind, key[at].astype("<u8").tobytes(),
-                                     count[at].astype("<i8").tobytes()))
-                rows.append((block % fragments, block, TOP, b"", np.array([docs], "<i8").tobytes()))
+                        rows.append((int(f), block, kind, _pack_keys(key[at]), count[at].astype("<i4").tobytes()))
+                rows.append((block % fragments, block, TOP, b"", np.array([docs], "<i4").tobytes()))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
@@ -290,7 +304,7 @@ class Top:
 
 
 def _read(rows, kind):
-    return [(np.frombuffer(r["key"], "<u8"), np.frombuffer(r["count"], "<i8")) for r in rows if r["kind"] == kind]
+    return [(_unpack_keys(r["key"]), np.frombuffer(r["count"], "<i4")) for r in rows if r["kind"] == kind]
 
 
 def _tops(depth: int):
@@ -299,7 +313,7 @@ def _tops(depth: int):
         tree = Subtrees(*_count(_read(rows, STRINGS)), depth)
         own, n0, n1 = tree.top
         _, words = _count(_read(rows, WORDS_))
-        docs = sum(int(np.frombuffer(r["count"], "<i8")[0]) for r in rows if r["kind"] == TOP)
+        docs = sum(int(np.frombuffer(r["count"], "<i4")[0]) for r in rows if r["kind"] == TOP)
         extra = [words.sum(), (words > 0).sum(), docs]
         return pa.table({
             "context": pa.array(np.append((own >> np.uint64(8)).astype(np.int32), -1), pa.int32()),
@@ -318,13 +332,12 @@ def _answers(depth: int, top: Top):
         words, total = _count(_read(rows, WORDS_))
         out = []
         for r in rows:
-            key = np.frombuffer(r["key"], "<u8")
             if r["kind"] == STRINGS:
-                got = values[np.searchsorted(keys, key)]
-                out.append((r["block"], r["frag"], STRINGS, b"", got.astype("<f8").tobytes()))
+                got = values[np.searchsorted(keys, _unpack_keys(r["key"]))]
+                out.append((r["block"], r["frag"], STRINGS, b"", got.astype("<f4").tobytes()))
             elif r["kind"] == WORDS_:  # only counts that other blocks add to
-                got = total[np.searchsorted(words, key)]
-                other = np.flatnonzero(got != np.frombuffer(r["count"], "<i8"))
+                got = total[np.searchsorted(words, _unpack_keys(r["key"]))]
+                other = np.flatnonzero(got != np.frombuffer(r["count"], "<i4"))
                 if len(other):
                     out.append((r["block"], r["frag"], WORDS_, other.astype("<i4").tobytes(),
                                 got[other].astype("<i8").tobytes()))
@@ -348,7 +361,7 @@ def _scores(depth: int, fragments: int, tokens: int, distinct: int, docs: int):
             value = np.zeros(len(strings))
             frag = _string_fragment(strings, depth, fragments)
             for f in np.unique(frag):
-                value[frag == f] = np.frombuffer(got[STRINGS, int(f)]["value"], "<f8")
+                value[frag == f] = np.frombuffer(got[STRINGS, int(f)]["value"], "<f4")
             known = known.copy()
             frag = _word_fragment(words, fragments)
             for (kind, f), r in got.items():
@@ -380,8 +393,8 @@ def context_tree_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col
     ``<id>, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes``.
     ``-score / log10(2) / n_bytes`` is the code length in bits per byte."""
     spark = docs.sparkSession
-    if depth < 2:
-        raise ValueError("depth must be at least 2")
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be 2 to 7")
     fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = cut(_blocks(docs, train, id_col, text_col))
     sent = _sent(blocks, depth, fragments)
