@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabrisk.llm.context_tree import context_tree_scores
+from tabrisk.llm.embeddings import near_duplicates
 from tabrisk.llm.exact_dedup import exact_dedup
 from tabrisk.llm.language import fit_language, predict_language
 from tabrisk.llm.mixing import mix, quality_domains
@@ -47,6 +48,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op3_embedding_near_dedup")
+def op3_embedding_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
