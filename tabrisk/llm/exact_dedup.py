@@ -110,15 +110,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, all columns unchanged."""
     digests = cut(_digests(docs, id_col, text_col))
     level0, merged, rounds = _tree(digests)
-    back = _way_back(level0, merged).select(
-        F.col("_run").alias("_b0"), *[F.col(c).alias(f"_b{c}") for c in KEY], F.col("keep_id").alias("_keep"))
+    back = _way_back(level0, merged).select("_run", *KEY, F.col("keep_id").alias("_keep"), F.lit(True).alias("_several"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                         F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
     rows = _digests(whole, "_i", "_t", "_row").withColumn("_run", _run(rounds))
-    on = (F.col("_run") == F.col("_b0")) & F.col("_digest").eqNullSafe(F.col("_b_digest")) \
-        & (F.col("_bytes") == F.col("_b_bytes")) & (F.col("_witness") == F.col("_b_witness"))
-    joined = rows.join(back, on, "left")
-    alone = joined.where(F.col("_b0").isNull()).select("_row")
-    several = joined.where(F.col("_b0").isNotNull() & F.col("_id").eqNullSafe(F.col("_keep")))
-    one = several.groupBy("_run", *KEY).agg(F.first("_row").alias("_row")).select("_row")
-    return alone.unionByName(one).select("_row.*")
+    stay = rows.join(back, ["_run", *KEY], "left").where(
+        F.col("_several").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
+    # rows that repeat the identifier that stays are one; grouped as the join left them
+    return stay.dropDuplicates(["_run", *KEY]).select("_row.*")

@@ -174,13 +174,9 @@ def fit_language(docs: DataFrame, where: Column, lang_col: str = "lang", text_co
                          (mean_y - mean_x @ solved).astype(np.float32))
 
 
-def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
-                     lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the prediction appended."""
-    import copy
-
-    kept = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+def _predicted(docs: DataFrame, model: LanguageModel | None, text_col: str) -> DataFrame:
+    """``_row`` (the whole row), ``_lang, _score``."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.col(text_col).cast("string").alias("_text"))
 
     def predict(batches):
@@ -197,16 +193,21 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str
                     [part.column("_row"), pa.array(names, pa.string()), pa.array(score)],
                     ["_row", "_lang", "_score"])
 
-    schema = copy.deepcopy(rows.select("_row").schema).add("_lang", "string").add("_score", "double")
-    out = rows.mapInArrow(predict, schema)
-    return out.select("_row.*", F.col("_lang").alias(lang_name), F.col("_score").alias(score_name))
+    schema = rows.select("_row").schema.add("_lang", "string").add("_score", "double")
+    return rows.mapInArrow(predict, schema)
+
+
+def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
+                     lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the prediction appended."""
+    return _predicted(docs, model, text_col).select(
+        "_row.*", F.col("_lang").alias(lang_name), F.col("_score").alias(score_name))
 
 
 def keep_identified(docs: DataFrame, where: Column, least: float = 0.4) -> DataFrame:
     """The rows whose language is recognised: with letters, and a score of at
     least ``least`` (far below what any text of a known language gets)."""
-    model = fit_language(docs, where)
-    found = predict_language(docs, model, lang_name="_pred", score_name="_sure")
-    return found.where((F.col("_pred") != UNDETERMINED) & (F.col("_sure") >= least)).select(*docs.columns)
+    found = _predicted(docs, fit_language(docs, where), "text")
+    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)).select("_row.*")
 
 

@@ -37,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrisk.llm.components import connected_components
@@ -173,7 +173,7 @@ def _collect_block(words_percent: int):
         """One block: every text with its set size, and its shared shingles if they reach the bound."""
         rows = table.to_pylist()
         texts = next(r for r in rows if r["kind"] == _TEXTS)
-        head = np.frombuffer(texts["doc"], "<i8").reshape(-1, 3)  # identifier, has one, set size
+        head = np.frombuffer(texts["doc"], "<i8").reshape(-1, 4)  # identifier, has one, set size, tag
         doc, key = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
         for r in rows:
             if r["kind"] == _KNOWN:
@@ -190,7 +190,7 @@ def _collect_block(words_percent: int):
         sets = pa.array([key[a:b] if g else None for a, b, g in zip(cuts, cuts[1:], good)], pa.list_(pa.int64()))
         row = (np.int64(texts["block"]) << 20) + np.arange(len(head))
         return pa.table({"row": pa.array(row), "id": pa.array(head[:, 0], mask=head[:, 1] == 0),
-                         "n": pa.array(n), "shared": sets})
+                         "n": pa.array(n), "shared": sets, "tag": pa.array(head[:, 3])})
 
     return collect
 
@@ -199,7 +199,7 @@ def _shared_sets(packed: DataFrame, min_percent: int) -> DataFrame:
     """``row, id, n, shared``: ``shared`` is NULL where the bound rules a partner out."""
     answers = packed.groupBy("frag").applyInArrow(_answer, _BLOB)
     return answers.groupBy("block").applyInArrow(
-        _collect_block(min_percent), "row bigint, id bigint, n bigint, shared array<bigint>")
+        _collect_block(min_percent), "row bigint, id bigint, n bigint, shared array<bigint>, tag bigint")
 
 
 class _Blocks:
@@ -210,20 +210,22 @@ class _Blocks:
         self._clear()
 
     def _clear(self):
-        self.ids, self.sizes, self.doc, self.key, self.held = [], [], [], [], 0
+        self.ids, self.sizes, self.tags, self.doc, self.key, self.held = [], [], [], [], [], 0
 
-    def add(self, ids, sizes, doc, key):
+    def add(self, ids, sizes, tags, doc, key):
         """``key``: fragment in the high bits, 40 bits of hash below."""
         self.doc.append(doc + len(self.ids))
         self.key.append(key)
         self.ids.extend(ids)
         self.sizes.extend(sizes)
+        self.tags.extend(tags)
         self.held += len(key)
         if self.held >= BLOCK_SHINGLES or len(self.ids) >= 1 << 18:
             yield self.flush()
 
     def flush(self):
-        head = np.array([[i or 0, i is not None, n] for i, n in zip(self.ids, self.sizes)], "<i8").reshape(-1, 3)
+        head = np.array([[i or 0, i is not None, n, t] for i, n, t in zip(self.ids, self.sizes, self.tags)],
+                        "<i8").reshape(-1, 4)
         rows = _deal(self.next, np.concatenate(self.doc), np.concatenate(self.key), self.fragments)
         rows.append((self.next % self.fragments, self.next, _TEXTS, head.tobytes(), b"", b""))
         self.next += 1
@@ -245,14 +247,21 @@ def _pack_texts(docs: DataFrame, fragments: int, words: int, id_col: str, text_c
             for part in text_slices(batch, "_text", SLICE):
                 doc, value = shingles(part.column("_text"), words)
                 sizes = np.bincount(doc, minlength=part.num_rows).tolist()
-                yield from blocks.add(part.column("_id").to_pylist(), sizes, doc, _keys(value, fragments))
+                yield from blocks.add(part.column("_id").to_pylist(), sizes, part.column("_tag").to_pylist(),
+                                      doc, _keys(value, fragments))
         if blocks.ids:
             yield blocks.flush()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"),
+                       _tag(text_col).alias("_tag"))
     return rows.mapInArrow(pack, _BLOB)
 
 
+def _tag(text_col: str):
+    """Tells rows of one identifier apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def _pack_sets(sets: DataFrame, fragments: int) -> DataFrame:
     """Like :func:`_pack_texts` for rows ``row, n, shared``; the row number is the identifier."""
     def pack(batches):
@@ -267,7 +276,7 @@ def _pack_sets(sets: DataFrame, fragments: int) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 b = min(a + 500, batch.num_rows)
                 doc = np.repeat(np.arange(b - a), np.diff(ends[a:b + 1]))
-                yield from blocks.add(ids[a:b], sizes[a:b], doc, key[ends[a]:ends[b]])
+                yield from blocks.add(ids[a:b], sizes[a:b], [0] * (b - a), doc, key[ends[a]:ends[b]])
         if blocks.ids:
             yield blocks.flush()
 
@@ -350,7 +359,9 @@ def _link_sets(sets: DataFrame, min_percent: int) -> DataFrame:
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                      min_percent: int = MIN_PERCENT) -> DataFrame:
-    """``<id>, n_shingles, component_id`` and ``row`` (the operator's own number) of every row."""
+    """``<id>, n_shingles, component_id, kept`` of every row, and ``linked, row, tag`` (whether it has
+    a link, the operator's own row number, the hash of the text).  ``kept``: the one row that stays of
+    its component, the smallest identifier."""
     spark = docs.sparkSession
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // TEXTS_PER_FRAGMENT))
     texts = cut(_shared_sets(_pack_texts(docs, fragments, words, id_col, text_col), min_percent))
@@ -373,8 +384,28 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = copies.select(F.col("rep").alias("row")).distinct().join(
         parts, F.col("row") == F.col("node"), "left_anti").select("row", F.col("row").alias("c"))
     member = cut(member.unionByName(alone))
-    names = member.join(texts.select("row", "id"), "row").groupBy("c").agg(F.min("id").alias("component_id"))
-    labelled = member.join(names, "c").select("row", "component_id", F.lit(True).alias("linked"))
-    return texts.select("row", "id", "n").join(labelled, "row", "left").select(
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    names = member.join(texts.select("row", "id"), "row").groupBy("c").agg(first).select(
+        "c", F.col("first.id").alias("component_id"), F.col("first.row").alias("stays"))
+    labelled = member.join(names, "c").select("row", "component_id", "stays", F.lit(True).alias("linked"))
+    linked = F.coalesce("linked", F.lit(False))
+    return texts.select("row", "id", "n", "tag").join(labelled, "row", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "row")
+        F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        (~linked | (F.col("stays") == F.col("row"))).alias("kept"), linked.alias("linked"), "row", "tag")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                     min_percent: int = MIN_PERCENT) -> DataFrame:
+    """One row of each component of ``docs``, all columns unchanged."""
+    found = ngram_components(docs, id_col, text_col, words, min_percent).where("linked")
+    names = found.groupBy(F.col(id_col).isNull().alias("_none"), F.coalesce(F.col(id_col), F.lit(0)).alias("_id"),
+                          F.col("tag").alias("_tag")).agg(F.max("kept").alias("_stays"))
+    on = ["_none", "_id", "_tag"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col(id_col).isNull().alias("_none"), F.coalesce(F.col(id_col), F.lit(0)).alias("_id"),
+                       _tag(text_col).alias("_tag"))
+    stay = rows.join(names, on, "left").where(F.coalesce("_stays", F.lit(True)))
+    # equal rows of a linked text are one; rows without a link are left as they are
+    number = F.row_number().over(Window.partitionBy(*on).orderBy("_id"))
+    return stay.withColumn("_number", number).where(F.col("_stays").isNull() | (F.col("_number") == 1)).select("_row.*")

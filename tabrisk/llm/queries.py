@@ -96,7 +96,8 @@ def op8_best_fit_packing(spark, sf_dir):
 
 @query("op9_ngram_jaccard")
 def op9_ngram_jaccard(spark, sf_dir):
-    return ngram_components(table(spark, sf_dir, "documents")).drop("row")
+    out = ngram_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op10_lm_scores")
