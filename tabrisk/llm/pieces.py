@@ -19,7 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Text bytes worked on at once; a longer single text is worked on whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):

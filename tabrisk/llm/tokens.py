@@ -25,6 +25,8 @@ from tabrisk.llm.pieces import Pieces, cut_buffer, cut_pieces, ranges
 REMEMBER = 200_000
 #: Pieces handed to the library as one string.
 JOINED = 256
+#: Such strings encoded by one call; their encodings are large.
+AT_ONCE = 16
 
 
 class TextEncoder:
@@ -51,7 +53,9 @@ class TextEncoder:
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), " ").to_pylist()
         lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         ids, spans, counts = [], [], []
-        for a, b, e in zip(cuts, cuts[1:], self.tokenizer.encode_batch(joined, add_special_tokens=False)):
+        encoded = (e for i in range(0, len(joined), AT_ONCE)
+                   for e in self.tokenizer.encode_batch(joined[i:i + AT_ONCE], add_special_tokens=False))
+        for a, b, e in zip(cuts, cuts[1:], encoded):
             starts = np.cumsum(lengths[a:b] + 1) - lengths[a:b] - 1
             at = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
             owner = np.searchsorted(starts, at[:, 0], "right") - 1
