@@ -1,8 +1,11 @@
 """Near-duplicate embeddings by iterative quantisation.
 
-1. A rotation is learnt from a bounded sample (PCA, then alternating between
-   signs and the orthogonal Procrustes solution), so that the signs of the
-   rotated vectors are balanced bits.  More bits than dimensions come from
+1. A rotation is learnt from a bounded sample (principal axes, then alternating
+   between signs and the orthogonal Procrustes solution), so that the signs of
+   the rotated vectors are balanced bits.  The vectors are not centred first:
+   planes through the origin are what makes a bit's chance to differ depend on
+   the angle alone, and a cluster that dominates the sample would otherwise
+   take the centre and get random codes.  More bits than dimensions come from
    further rotations with other starts.
 2. The code is cut into tables of ``width`` bits each; two vectors meet if they
    agree in all bits of one table (any two codes whose distance is less than
@@ -47,10 +50,9 @@ CHUNK = 512        # entries of one chunk of a bucket
 ITERATIONS = 30
 
 
-def learn_rotations(sample: np.ndarray, bits: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, dimension x bits) by PCA and iterative quantisation."""
-    mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
-    x = sample - mean
+def learn_rotations(sample: np.ndarray, bits: int, seed: int = 0) -> np.ndarray:
+    """dimension x bits, by iterative quantisation on the principal axes."""
+    x = sample
     _, axes = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(x.shape[1]))
     axes = axes[:, ::-1]
     x = x @ axes
@@ -62,7 +64,7 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 0) -> tuple[np.nd
             u, _, v = np.linalg.svd(np.where(x @ turn >= 0, 1.0, -1.0).T @ x)
             turn = (u @ v).T
         made.append(axes @ turn)
-    return mean, np.concatenate(made, 1)[:, :bits] if made else np.zeros((x.shape[1], 0))
+    return np.concatenate(made, 1)[:, :bits]
 
 
 def tables_for(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -91,13 +93,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _bucket_keys(entries: DataFrame, mean: np.ndarray, turn: np.ndarray, width: int, tables: int) -> DataFrame:
+def _bucket_keys(entries: DataFrame, turn: np.ndarray, width: int, tables: int) -> DataFrame:
     """``entry, label, vec`` -> a row for each table: ``table, bucket`` and the vector with its keys."""
     def hashed(batches):
         power = 1 << np.arange(width)
         for batch in batches:
             x = _unit(_matrix(batch.column("vec")))
-            keys = (((x - mean) @ turn) >= 0).reshape(len(x), tables, width) @ power
+            keys = ((x @ turn) >= 0).reshape(len(x), tables, width) @ power
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))],
                 [*batch.schema.names, "keys"])
@@ -177,8 +179,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         largest = same.groupBy("label").count().agg(F.max("count")).first()[0]
         width, tables = tables_for(largest, threshold, miss)
         drawn = same.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).toArrow()
-        mean, turn = learn_rotations(_unit(_matrix(drawn.column("vec"))), width * tables)
-        coded = cut(_bucket_keys(same.select("entry", "label", "copies", "vec"), mean, turn, width, tables))
+        turn = learn_rotations(_unit(_matrix(drawn.column("vec"))), width * tables)
+        coded = cut(_bucket_keys(same.select("entry", "label", "copies", "vec"), turn, width, tables))
         place = ["label", "table", "bucket"]
         often = coded.groupBy(*place).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select(
             *place, F.ceil(F.col("k") / chunk).cast("int").alias("parts"))
