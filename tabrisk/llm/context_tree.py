@@ -16,10 +16,11 @@ probability to the same event.
 
 On Spark the tree is never in one place:
 
-1. Texts are written once as compressed blocks to the checkpoint folder.
-2. Every block sends its distinct context+byte strings and words, with their
-   training counts, to fragments: strings by their two most recent context
-   bytes, words by hash.  Counts are summed before the shuffle.
+1. Texts are written once as compressed blocks to the checkpoint folder, and
+   with them each block's distinct context+byte strings and words with their
+   training counts, so texts are gone through once to count and once to score.
+2. These go to fragments: strings by their two most recent context bytes, words
+   by hash.  Counts are summed before the shuffle.
 3. A fragment holds whole subtrees below depth 2 and works them out bottom-up.
    Of depth 1 and 0 there are at most 256 * 255 nodes; their counts and sums
    are collected, a proven bound, and broadcast.
@@ -42,11 +43,11 @@ from pyspark.sql import functions as F
 from tabrisk.llm.pieces import cut_pieces, ranges, text_slices
 from tabrisk.llm.shared import cut
 
-DEPTH = 6                  # context bytes, at most 7
-BLOCK_BYTES = 8 << 20      # text of a block
+DEPTH = 5                  # context bytes, at most 7
+BLOCK_BYTES = 32 << 20     # text of a block
 SLICE = 1 << 20
 END = 10                   # newline: end of a text, and what stands before its start
-STRINGS, WORDS_, TOP = 0, 1, 2
+STRINGS, WORDS_, TOP, BLOCK = 0, 1, 2, 3
 
 _SENT = "frag int, block bigint, kind int, key binary, count binary"
 
@@ -119,80 +120,74 @@ def _word_fragment(key: np.ndarray, fragments: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(fragments)).astype(np.int64)
 
 
+def _tally(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs where ``train``."""
+    own = np.sort(keys[train])
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    rest = np.unique(keys[~train])
+    return _count([(own[first], np.diff(np.append(first, len(own)))), (rest, np.zeros(len(rest), np.int64))])
+
+
 # ---- blocks ------------------------------------------------------------------
 
-def _blocks(docs: DataFrame, train, id_col: str, text_col: str) -> DataFrame:
-    """``block, data``: texts with identifier and training flag, compressed."""
+def _open(data: bytes):
+    with pa.ipc.open_stream(pa.py_buffer(data)) as stream:
+        for batch in stream:
+            yield from text_slices(batch, "text", SLICE)
+
+
+def _block_rows(block: int, parts: list[pa.RecordBatch], strings, words, fragments: int, depth: int):
+    """The rows of one block: its texts, and what it sends to each fragment."""
+    sink = pa.BufferOutputStream()
+    whole = pa.Table.from_batches(parts)
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(whole)
+    docs = sum(int(p.column("train").to_numpy(zero_copy_only=False).sum()) for p in parts)
+    yield -1, block, BLOCK, sink.getvalue().to_pybytes(), b""
+    yield block % fragments, block, TOP, b"", np.array([docs], "<i4").tobytes()
+    for kind, (key, count), frag in ((STRINGS, strings, _string_fragment(strings[0], depth, fragments)),
+                                     (WORDS_, words, _word_fragment(words[0], fragments))):
+        order = np.argsort(frag, kind="stable")
+        cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
+        for f in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[f]:cuts[f + 1]]
+            yield int(f), block, kind, _pack_keys(key[at]), count[at].astype("<i4").tobytes()
+
+
+def _blocks(docs: DataFrame, train, id_col: str, text_col: str, depth: int, fragments: int) -> DataFrame:
+    """Rows of :func:`_block_rows` for blocks of about ``BLOCK_BYTES`` of text."""
     def write(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 20
-        held, size = [], 0
+        held, size, strings, words = [], 0, [], []
 
-        def row():
-            sink = pa.BufferOutputStream()
-            whole = pa.Table.from_batches(held)
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(whole)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()),
-                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+        def rows():
+            made = _block_rows(block, held, _count(strings), _count(words), fragments, depth)
+            for row in made:
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, (
+                    pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                    ["frag", "block", "kind", "key", "count"])
 
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
+                own = Slice(part.column("text"), depth)
+                flag = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                strings.append(_tally(own.key, np.repeat(flag, np.diff(own.bounds))))
+                words.append(_tally(own.word, np.repeat(flag, np.diff(own.word_bounds))))
+                if len(strings) >= 6:
+                    strings, words = [_count(strings)], [_count(words)]
                 held.append(part)
-                size += sum(len(t.as_buffer()) for t in part.column("text") if t.is_valid)
+                size += len(own.key)
                 if size >= BLOCK_BYTES:
-                    yield row()
-                    held, size, block = [], 0, block + 1
+                    yield from rows()
+                    held, size, strings, words, block = [], 0, [], [], block + 1
         if held:
-            yield row()
+            yield from rows()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    return rows.mapInArrow(write, "block bigint, data binary")
-
-
-def _open(data: bytes):
-    with pa.ipc.open_stream(pa.py_buffer(data)) as stream:
-        for batch in stream:
-            yield from text_slices(batch, "text", SLICE)
-
-
-def _block_strings(data: bytes, depth: int):
-    """(distinct strings, counts), (distinct words, counts) of a block; counts of training texts only."""
-    strings, words = [], []
-    for part in _open(data):
-        own = Slice(part.column("text"), depth)
-        train = part.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
-        strings.append(_count([(own.key, np.repeat(train, np.diff(own.bounds)))]))
-        words.append(_count([(own.word, np.repeat(train, np.diff(own.word_bounds)))]))
-        if len(strings) >= 4:
-            strings = [_count(strings)]
-    return _count(strings), _count(words)
-
-
-def _sent(blocks: DataFrame, depth: int, fragments: int) -> DataFrame:
-    def send(batches):
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                data = data.as_buffer().to_pybytes()
-                rows = []
-                (strings, n), (words, m) = _block_strings(data, depth)
-                docs = sum(int(part.column("train").to_numpy(zero_copy_only=False).sum()) for part in _open(data))
-                for kind, key, count, frag in ((STRINGS, strings, n, _string_fragment(strings, depth, fragments)),
-                                               (WORDS_, words, m, _word_fragment(words, fragments))):
-                    order = np.argsort(frag, kind="stable")
-                    cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
-                    for f in np.flatnonzero(np.diff(cuts)):
-                        at = order[cuts[f]:cuts[f + 1]]
-                        rows.append((int(f), block, kind, _pack_keys(key[at]), count[at].astype("<i4").tobytes()))
-                rows.append((block % fragments, block, TOP, b"", np.array([docs], "<i4").tobytes()))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                    ["frag", "block", "kind", "key", "count"])
-
-    return blocks.mapInArrow(send, _SENT)
+    return rows.mapInArrow(write, _SENT)
 
 
 # ---- the tree ----------------------------------------------------------------
@@ -334,39 +329,39 @@ def _answers(depth: int, top: Top):
         for r in rows:
             if r["kind"] == STRINGS:
                 got = values[np.searchsorted(keys, _unpack_keys(r["key"]))]
-                out.append((r["block"], r["frag"], STRINGS, b"", got.astype("<f4").tobytes()))
-            elif r["kind"] == WORDS_:  # only counts that other blocks add to
+                out.append((r["block"], STRINGS, r["key"], got.astype("<f4").tobytes()))
+            elif r["kind"] == WORDS_:
                 got = total[np.searchsorted(words, _unpack_keys(r["key"]))]
-                other = np.flatnonzero(got != np.frombuffer(r["count"], "<i4"))
-                if len(other):
-                    out.append((r["block"], r["frag"], WORDS_, other.astype("<i4").tobytes(),
-                                got[other].astype("<i8").tobytes()))
-        columns = list(zip(*out)) if out else [[]] * 5
+                out.append((r["block"], WORDS_, r["key"], got.astype("<i8").tobytes()))
+        columns = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns, (
-            pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["block", "frag", "kind", "at", "value"])
+            pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "kind", "key", "value"])
 
     return answer
 
 
-def _scores(depth: int, fragments: int, tokens: int, distinct: int, docs: int):
+def _merged(rows, kind, dtype):
+    """Answered keys in order, with their values."""
+    keys = [_unpack_keys(r["key"]) for r in rows if r["kind"] == kind]
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    keys = np.concatenate(keys)
+    values = np.concatenate([np.frombuffer(r["value"], dtype) for r in rows if r["kind"] == kind])
+    order = np.argsort(keys)
+    return keys[order], values[order].astype(float)
+
+
+def _scores(depth: int, tokens: int, distinct: int, docs: int):
     floor = tokens + distinct + 1
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["id", "train", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
         out = []
-        got = {(r["kind"], r["frag"]): r for r in answers.to_pylist()}
-        for data in block.column("data"):
+        got = answers.to_pylist()
+        strings, value = _merged(got, STRINGS, "<f4")
+        words, known = _merged(got, WORDS_, "<i8")
+        for data in block.column("key"):
             data = data.as_buffer().to_pybytes()
-            (strings, _), (words, known) = _block_strings(data, depth)
-            value = np.zeros(len(strings))
-            frag = _string_fragment(strings, depth, fragments)
-            for f in np.unique(frag):
-                value[frag == f] = np.frombuffer(got[STRINGS, int(f)]["value"], "<f4")
-            known = known.copy()
-            frag = _word_fragment(words, fragments)
-            for (kind, f), r in got.items():
-                if kind == WORDS_:
-                    known[np.flatnonzero(frag == f)[np.frombuffer(r["at"], "<i4")]] = np.frombuffer(r["value"], "<i8")
             base = np.log10((known + 1) / floor)
             end = np.log10((docs + 1) / floor)
             for part in _open(data):
@@ -396,8 +391,8 @@ def context_tree_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7")
     fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = cut(_blocks(docs, train, id_col, text_col))
-    sent = _sent(blocks, depth, fragments)
+    rows = cut(_blocks(docs, train, id_col, text_col, depth, fragments))
+    blocks, sent = rows.where(F.col("kind") == BLOCK), rows.where(F.col("kind") != BLOCK)
     tops = sent.groupBy("frag").applyInArrow(
         _tops(depth), "context int, node int, n0 double, n1 double, lw double").groupBy("context", "node").agg(
         *[F.sum(c).alias(c) for c in ("n0", "n1", "lw")]).collect()  # at most 256 * 255 + 1 rows
@@ -406,9 +401,9 @@ def context_tree_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col
     tokens, distinct = words + ends, distinct + (ends > 0)
     top = Top([r for r in tops if r["context"] >= 0])
     answers = sent.groupBy("frag").applyInArrow(
-        _answers(depth, top), "block bigint, frag int, kind int, at binary, value binary")
+        _answers(depth, top), "block bigint, kind int, key binary, value binary")
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scores(depth, fragments, tokens, distinct, ends),
+        _scores(depth, tokens, distinct, ends),
         "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint")
     return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known",
                          F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "n_bytes")
