@@ -21,11 +21,11 @@ import uuid
 
 from tabrisk.llm.exact_dedup import drop_copies
 from tabrisk.llm.language import keep_identified
-from tabrisk.llm.mixing import apply_copies, mix, quality_domains
+from tabrisk.llm.mixing import apply_copies, mix
 from tabrisk.llm.ngram_join import drop_near_copies
 from tabrisk.llm.packing import pack_documents
-from tabrisk.llm.queries import MIXTURE
-from tabrisk.llm.shared import crc_mod, table
+from tabrisk.llm.queries import MIXTURE, labelled_domains
+from tabrisk.llm.shared import crc_mod
 from tabrisk.llm.tokens import vocabulary
 from tabrisk.session import checkpoint_dir
 
@@ -43,10 +43,7 @@ def ngram_dedup(spark, docs, sf_dir):
 
 
 def source_mixing(spark, docs, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    domains = labels.select("doc_id", quality_domains(labels).alias("domain"))
-    labelled = docs.select("doc_id", "text").join(domains, "doc_id")
-    return apply_copies(docs, mix(docs.select("doc_id", "text"), labelled, MIXTURE))
+    return apply_copies(docs, mix(docs, labelled_domains(spark, sf_dir), MIXTURE))
 
 
 def best_fit_packing(spark, docs, sf_dir):

@@ -30,11 +30,11 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.llm.pieces import cut_pieces, text_slices
-from tabrisk.llm.shared import cut
+from tabrisk.llm.shared import cut, labelled_sample
 
 SAMPLE = 4000          # labelled documents used to fit, all domains together
 SAMPLE_BYTES = 4 << 20  # a longer single text is not drawn into the sample
@@ -98,17 +98,13 @@ def _fit(doc, word, label, domains, steps: int = FIT_STEPS) -> DomainModel:
     return DomainModel(domains, theta[:-1].astype(np.float32), theta[-1])
 
 
-def fit_domains(labelled: DataFrame, domains: Sequence[str], text_col: str = "text", domain_col: str = "domain",
-                sample: int = SAMPLE) -> DomainModel | None:
-    """Fit on rows ``text, domain``; at most ``sample`` of them, shared out over the domains."""
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str = "doc_id",
+                text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE) -> DomainModel | None:
+    """Fit on the documents that ``labels`` puts in one of ``domains``; at most ``sample`` of them,
+    shared out over the domains."""
     domains = list(domains)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = (labelled.where(F.col(domain_col).isin(domains) & (F.octet_length(text) <= SAMPLE_BYTES))
-            .select(text.alias("_text"), F.col(domain_col).alias("_d")).withColumn("_hash", F.xxhash64("_text")))
-    order = Window.partitionBy("_d").orderBy("_hash")
-    drawn = (rows.select("_d", "_hash").distinct().withColumn("_rank", F.row_number().over(order))
-             .where(F.col("_rank") <= sample // len(domains)).select("_d", "_hash"))
-    picked = rows.join(F.broadcast(drawn), ["_d", "_hash"])  # at most ``sample`` keys
+    picked = labelled_sample(docs, labels.where(F.col(domain_col).isin(domains)), id_col, text_col, domain_col,
+                             sample // len(domains), SAMPLE_BYTES)
 
     def sets(batches):
         for batch in batches:
@@ -116,12 +112,12 @@ def fit_domains(labelled: DataFrame, domains: Sequence[str], text_col: str = "te
                 doc, word, _ = word_sets(part.column("_text"))
                 cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("_d"), part.column("_hash"),
+                    part.column("_y"), part.column("_key"),
                     pa.array([word[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
                     ["d", "hash", "words"])
 
-    got = picked.select("_d", "_hash", "_text").mapInArrow(sets, "d string, hash bigint, words binary").limit(
-        2 * sample).collect()
+    got = picked.select("_y", F.col("_key").cast("string"), "_text").mapInArrow(
+        sets, "d string, hash string, words binary").limit(2 * sample).collect()
     got = sorted({(r["d"], r["hash"]): r for r in got}.values(), key=lambda r: (r["d"], r["hash"]))
     if not got:
         return None
@@ -186,15 +182,15 @@ def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE
     return table.withColumn("rate", rate)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], size: float | None = 1.0,
+def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], size: float | None = 1.0,
         id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """``<id>, n_tokens, p_<domain>.., rate, copies`` of every row.
 
-    ``weights`` are the target shares; the mixture holds ``size`` times the
+    ``labels`` names the domain of some documents; ``weights`` are the target shares; the mixture holds ``size`` times the
     tokens of ``docs``.
     """
     domains = list(weights)
-    model = fit_domains(labelled, domains, text_col, domain_col)
+    model = fit_domains(docs, labels, domains, id_col, text_col, domain_col)
     members = memberships(docs, model, domains, id_col, text_col)
     scale = size / sum(weights.values())
     rated = fit_rates(members, [weights[d] * scale for d in domains])

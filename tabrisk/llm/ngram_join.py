@@ -15,13 +15,13 @@ shingle set that falls into it, and counts there; partial counts are summed.
    representatives.
 3. *Candidates.*  What is left is ordered rarest first; two linked sets share a
    shingle among the first ``n - ceil(0.8 n) + 1`` of each (shingles without a
-   second text count as the rarest and can't match).
-4. *Links.*  Candidate pairs are verified by partial overlaps per fragment,
-   summed per pair.  Only pairs that can still join two components are looked
-   at: first every text against one member of its candidate list, again with
-   other members while lists hold many components, and at last every remaining
-   pair across components.  So a large group of near copies costs a few checks a
-   text, and no link between different components is lost.
+   second text count as the rarest and can't match).  Texts that share such a
+   shingle, directly or through others, form a candidate group.
+4. *Links.*  A candidate group is compared in blocks of bounded size: a group is
+   cut into chunks, two chunks meet in one task, and the task adds up the partial
+   overlaps of all their pairs fragment by fragment, as matrix products.  Only a
+   spanning forest of the links leaves the task, never the pairs, so a large group
+   of near copies that are not near each other costs arithmetic, not rows.
 
 ``min_percent`` is compared in integers: ``100 * overlap >= min_percent * union``.
 
@@ -47,7 +47,8 @@ from tabrisk.llm.shared import cut
 WORDS = 5
 MIN_PERCENT = 80
 TEXTS_PER_FRAGMENT = 5000
-PARTS = 4             # fragments in which a candidate pair is verified
+CHUNK = 1500          # texts of a candidate group in one chunk
+FRAGMENT_COLUMNS = 2048  # shingles of one fragment when chunks are compared
 LOW = np.uint64((1 << 40) - 1)
 SLICE = 2 << 20
 BLOCK_SHINGLES = 2_000_000
@@ -283,22 +284,6 @@ def _pack_sets(sets: DataFrame, fragments: int) -> DataFrame:
     return sets.select("row", "n", "shared").mapInArrow(pack, _BLOB)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are linked: partial overlaps per fragment, summed per pair."""
-    def fragment(p: int):
-        return F.struct(F.lit(p).alias("part"), F.filter("shared", lambda h: F.pmod(h, F.lit(PARTS)) == p).alias("own"))
-
-    part = F.explode(F.array(*[fragment(p) for p in range(PARTS)])).alias("p")
-    parts = sets.select("row", "n", part).select("row", "n", "p.part", "p.own")
-    left = parts.select(F.col("row").alias("a"), F.col("n").alias("na"), "part", F.col("own").alias("oa"))
-    right = parts.select(F.col("row").alias("b"), F.col("n").alias("nb"), "part", F.col("own").alias("ob"))
-    spread = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    counted = (spread.join(right, ["b", "part"]).join(left, ["a", "part"])
-               .select("a", "b", "na", "nb", F.size(F.array_intersect("oa", "ob")).alias("o")))
-    total = counted.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.where(100 * F.col("o") >= min_percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
-
-
 def _rare_first(sets: DataFrame, min_percent: int) -> DataFrame:
     """Candidate lists ``h, row, n``: the rarest shingles of every set, enough for any link."""
     each = sets.select("row", "n", F.explode("shared").alias("h"))
@@ -309,51 +294,78 @@ def _rare_first(sets: DataFrame, min_percent: int) -> DataFrame:
     return kept.select("row", "n", F.explode(F.slice("s", F.lit(1), F.col("first"))).alias("s")).select("s.h", "row", "n")
 
 
-def _link_sets(sets: DataFrame, min_percent: int) -> DataFrame:
-    """``node, component`` of the linked rows among distinct sets ``row, n, shared``."""
-    lists = cut(_rare_first(sets, min_percent))
-    size_ok = 100 * F.least("n", "n2") >= min_percent * F.greatest("n", "n2")
-    links, checked, stuck = None, None, False
-    member = lists.withColumn("c", F.col("row"))
-    number = 0
-    while True:
-        # candidate lists that still hold more than one component
-        spread = member.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(
-            F.count(F.lit(1)).alias("cs"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("sq"))
-        spread = cut(spread.where(F.col("cs") > 1))
-        open_pairs, rows = spread.agg(F.sum((F.col("size") * F.col("size") - F.col("sq")) / 2), F.sum("size")).first()
-        if not open_pairs:
-            break
-        mine = member.join(spread.select("h"), "h")
-        last = number > 0 and (open_pairs <= 4 * rows or stuck)
-        if last:
-            other = mine.select("h", F.col("row").alias("a"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = mine.withColumnRenamed("row", "b").join(other, "h").where(
-                (F.col("a") < F.col("b")) & (F.col("c") != F.col("c2")) & size_ok)
-        else:
-            pick = F.struct(F.xxhash64(F.lit(number), "row").alias("o"), F.col("row").alias("a"), F.col("n").alias("n2"),
-                            F.col("c").alias("c2")) if number else F.struct(
-                F.col("row").alias("o"), F.col("row").alias("a"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            hubs = mine.groupBy("h").agg(F.min(pick).alias("hub")).select("h", "hub.a", "hub.n2", "hub.c2")
-            pairs = mine.withColumnRenamed("row", "b").join(hubs, "h").where(
-                (F.col("a") != F.col("b")) & (F.col("c") != F.col("c2")) & size_ok)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = cut(_verified(pairs, sets, min_percent))
-        stuck = found.isEmpty()
-        links = found if links is None else links.unionByName(found)
-        if last:
+def _forest(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links ``left - right`` (indices into ``rows``)."""
+    up = np.arange(len(rows))
+    while True:  # minimum label over links, with shortcuts
+        low = np.minimum(up[left], up[right])
+        new = up.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == up).all():
             break
-        if not stuck:
-            parts = connected_components(links)
-            member = cut(lists.join(parts, lists["row"] == parts["node"], "left").select(
-                "h", "row", "n", F.coalesce("component", "row").alias("c")))
-        number += 1
-    if links is None:
-        return sets.sparkSession.createDataFrame([], "node bigint, component bigint")
+        up = new
+    moved = np.flatnonzero(up != np.arange(len(rows)))
+    return list(zip(rows[moved].tolist(), rows[up[moved]].tolist()))
+
+
+def _compare(min_percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        """Links between two chunks of a candidate group (or within one).
+
+        The shared order of the shingles is cut into fragments; each fragment
+        is a 0/1 matrix of texts and shingles, its product with itself the partial
+        overlaps, and the sum over the fragments the overlap of every pair.
+        """
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        chunk, n = table.column("chunk").to_numpy(), table.column("n").to_numpy()
+        row = table.column("row").to_numpy()
+        lists = table.column("shared").combine_chunks()
+        doc = np.repeat(np.arange(len(row)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        key, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        often = np.bincount(at, minlength=len(key)) > 1        # a shingle of one text here overlaps with nothing
+        place = np.cumsum(often) - 1
+        doc, at = doc[often[at]], place[at[often[at]]]
+        a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        overlap = np.zeros((len(a), len(b)), np.float32)
+        spot = np.full(len(row), -1)
+        for begin in range(0, int(often.sum()), FRAGMENT_COLUMNS):
+            here = (at >= begin) & (at < begin + FRAGMENT_COLUMNS)
+            parts = []
+            for own in (a, b):
+                spot[:] = -1
+                spot[own] = np.arange(len(own))
+                mine = here & (spot[doc] >= 0)
+                part = np.zeros((len(own), FRAGMENT_COLUMNS), np.float32)
+                part[spot[doc[mine]], at[mine] - begin] = 1
+                parts.append(part)
+            overlap += parts[0] @ parts[1].T
+        total = n[a][:, None] + n[b][None, :] - overlap
+        hit = 100 * overlap >= min_percent * total
+        hit &= row[a][:, None] != row[b][None, :]
+        left, right = np.nonzero(hit)
+        links = _forest(row, a[left], b[right]) if len(left) else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compare
+
+
+def _link_sets(sets: DataFrame, min_percent: int, chunk: int = CHUNK) -> DataFrame:
+    """``node, component`` of the linked rows among distinct sets ``row, n, shared``."""
+    lists = _rare_first(sets, min_percent)
+    # texts that share a candidate list, directly or through others
+    first = Window.partitionBy("h").orderBy("row")
+    groups = connected_components(lists.select("row", F.min("row").over(first).alias("hub")).where(
+        F.col("row") != F.col("hub")), "row", "hub")
+    group = cut(sets.join(groups.withColumnRenamed("node", "row"), "row"))
+    size = group.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    parts = F.ceil(F.col("k") / chunk).cast("int")
+    dealt = group.join(size.select("component", parts.alias("parts")), "component").withColumn(
+        "chunk", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "component", "row", "n", "shared", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    links = cut(pairs.groupBy("component", "i", "j").applyInArrow(_compare(min_percent), "a bigint, b bigint"))
     return connected_components(links)
 
 

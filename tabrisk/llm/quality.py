@@ -9,7 +9,7 @@ the same training documents turns the share into a probability.
 
 The chain is fitted on the driver by gradient ascent, from the line features of
 a bounded sample of labelled documents (``sample``, half of each class, drawn
-in the order of a hash of the text); the lines of a training document carry its
+in the order of a hash of the identifier); the lines of a training document carry its
 label.  Labels, language, source and identifiers are never features.
 
 Scoring is vectorised over the documents of a batch: the recursion walks line
@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.llm.pieces import cut_pieces, text_slices
+from tabrisk.llm.shared import labelled_sample
 
 SAMPLE = 3000       # labelled documents used to fit, both classes together
 SAMPLE_BYTES = 8 << 20  # a longer single text is not drawn into the sample
@@ -211,29 +212,24 @@ def fit_chain(features: np.ndarray, size: np.ndarray, first: np.ndarray, label:
     return model
 
 
-def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
-                sample: int = SAMPLE) -> QualityModel | None:
-    """Fit on rows ``text, label`` (1 good, 0 bad); None unless both classes occur."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(F.coalesce(text_col, F.lit(""))) <= SAMPLE_BYTES)
-                          ).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-                                   F.col(label_col).cast("int").alias("_y")).withColumn("_hash", F.xxhash64("_text"))
-    order = Window.partitionBy("_y").orderBy("_hash")
-    drawn = (rows.select("_y", "_hash").distinct().withColumn("_rank", F.row_number().over(order))
-             .where(F.col("_rank") <= sample // 2).select("_y", "_hash"))
-    picked = rows.join(F.broadcast(drawn), ["_y", "_hash"])  # at most ``sample`` keys
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                label_col: str = "quality", sample: int = SAMPLE) -> QualityModel | None:
+    """Fit on the documents that ``labels`` marks 1 (good) or 0 (bad); None unless both classes occur."""
+    marked = labels.where(F.col(label_col).isin(0, 1))
+    picked = labelled_sample(docs, marked, id_col, text_col, label_col, sample // 2, SAMPLE_BYTES)
 
     def features(batches):
         for batch in batches:
             for part in text_slices(batch, "_text", SLICE):
                 x, size, first = line_features(part.column("_text"))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("_y"), part.column("_hash"), pa.array(np.diff(first)),
+                    part.column("_y"), part.column("_key"), pa.array(np.diff(first)),
                     pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:])], pa.binary()),
                     pa.array([size[a:b].astype(np.int64).tobytes() for a, b in zip(first, first[1:])], pa.binary())],
                     ["y", "hash", "n", "x", "size"])
 
-    got = picked.select("_y", "_hash", "_text").mapInArrow(
-        features, "y int, hash bigint, n bigint, x binary, size binary").limit(2 * sample).collect()
+    got = picked.select(F.col("_y").cast("int"), F.col("_key").cast("string"), "_text").mapInArrow(
+        features, "y int, hash string, n bigint, x binary, size binary").limit(2 * sample).collect()
     got = sorted({(r["y"], r["hash"]): r for r in got}.values(), key=lambda r: (r["y"], r["hash"]))
     label = np.array([r["y"] for r in got])
     if not len(got) or label.min() == label.max():

@@ -62,7 +62,7 @@ def op4_token_counts(spark, sf_dir):
 def op5_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = fit_quality(docs.where(crc_mod("doc_id", 3) != 1).join(labels, "doc_id"))
+    model = fit_quality(docs, labels.where(crc_mod("doc_id", 3) != 1))
     out = score_quality(docs, model)
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -74,8 +74,7 @@ MIXTURE = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 
 def labelled_domains(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(labels.select("doc_id", quality_domains(labels).alias("domain")), "doc_id")
+    return labels.select("doc_id", quality_domains(labels).alias("domain"))
 
 
 @query("op6_source_mixing")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabrisk.session import checkpoint_dir
@@ -27,7 +27,18 @@ def crc_mod(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
-    """Tasks for ``rows``, never fewer than the session's shuffle partitions."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // rows_per_task))
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, each: int,
+                    most_bytes: int) -> DataFrame:
+    """``_y, _key, _text`` of at most ``each`` documents a label.
+
+    Identifiers and labels are joined and drawn first, in the order of a hash of
+    the identifier; the drawn keys (a proven bound) are broadcast to one scan of
+    the texts, so no text but the sample's is moved.  Longer texts are not drawn.
+    """
+    short = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= most_bytes
+    keys = docs.where(short).select(F.col(id_col).alias("_key")).join(
+        labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(label_col).alias("_y")), "_key")
+    order = Window.partitionBy("_y").orderBy(F.xxhash64("_key"), "_key")
+    drawn = keys.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("_key", "_y")
+    texts = docs.where(short).select(F.col(id_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return texts.join(F.broadcast(drawn), "_key").select("_y", "_key", "_text")

@@ -97,7 +97,7 @@ def test_quality_held_out(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
     both = docs.select("doc_id", "text").join(labels, "doc_id")
-    model = quality.fit_quality(both.where(crc_mod("doc_id", 3) != 1))
+    model = quality.fit_quality(docs, labels.where(crc_mod("doc_id", 3) != 1))
     held = both.where(crc_mod("doc_id", 3) == 1)
     got = quality.score_quality(held, model).join(labels, "doc_id").select("score", "quality").toPandas()
     good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
@@ -108,9 +108,9 @@ def test_quality_held_out(spark):
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "ok text", 1), (2, None, 0), (None, "", None), (3, "A\n" * 5000, 1), (3, "A\n" * 5000, 1)],
                                  "doc_id bigint, text string, quality int")
-    assert quality.fit_quality(docs.where("quality = 1")) is None
+    assert quality.fit_quality(docs, docs.where("quality = 1")) is None
     assert {r.score for r in quality.score_quality(docs, None).collect()} == {0.5}
-    model = quality.fit_quality(docs)
+    model = quality.fit_quality(docs, docs)
     got = quality.score_quality(docs, model).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id == 3}) == 1
