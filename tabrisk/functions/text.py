@@ -36,14 +36,36 @@ def map_lookup(c: Column | str, mapping: Mapping[int, str]) -> Column:
     return F.coalesce(code, c.cast("string"))
 
 
-def fixed1(c: Column | str) -> Column:
-    """Round to one decimal as ``floor(10x + 0.5) / 10`` before printing.
+def _printf(c: Column, digits: int) -> Column:
+    """``%.<digits>f`` of a double as C prints it.
 
-    Java's ``%.1f`` and C's ``printf`` disagree on binary ties; rounding first
-    makes the printed digit the same in Spark and DuckDB.
+    Java's formatter rounds the shortest decimal form half up; C rounds the exact
+    binary value.  They differ only next to a tie of the shortest form: there the
+    distance between the double and the tie decides, and it is computed exactly
+    (``x * 10**d`` split into its rounded product and the product's error).
     """
-    c = _c(c).cast("double")
-    return F.format_string("%.1f", F.floor(c * 10 + 0.5) / 10)
+    unit = float(10 ** digits)
+    low = F.floor(F.abs(c) * unit).cast("double")     # candidate, perhaps one off by rounding of the product
+    # error of the product by splitting both factors into halves (Dekker)
+    x, y = F.abs(c), F.lit(unit)
+    big = x * F.lit(134217729.0)
+    xh = big - (big - x)
+    xl = x - xh
+    p = x * y
+    err = (xh * y - p) + xl * y                      # 10**d has few bits, so y needs no splitting
+    tie = p - low - F.lit(0.5)
+    up = (tie > 0) | ((tie == 0) & ((err > 0) | ((err == 0) & (low % 2 == 1))))
+    rounded = F.when(up, low + 1).otherwise(low) / unit
+    text = F.format_string(f"%.{digits}f", rounded)
+    negative = (c < 0) | (c.cast("string") == "-0.0")
+    return F.when(F.abs(c) < 1e11, F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)).otherwise(
+        F.format_string(f"%.{digits}f", c))
+
+
+def fixed1(c: Column | str) -> Column:
+    """One decimal as C's ``printf("%.1f")`` prints it: the exact binary value is
+    rounded, a tie to the even digit."""
+    return _printf(_c(c).cast("double"), 1)
 
 
 def format_by_rule(c: Column | str, rule: tuple[str, str]) -> Column:
@@ -78,6 +100,7 @@ def format_value(feature: Column | str, value: Column | str,
 
 
 def signed4(c: Column | str) -> Column:
-    """``%+.4f`` form of an attribution, rounded first as in :func:`fixed1`."""
+    """``%+.4f`` form of an attribution, rounded as in :func:`fixed1`."""
     c = _c(c).cast("double")
-    return F.format_string("%+.4f", F.floor(c * 10000 + 0.5) / 10000)
+    negative = (c < 0) | (c.cast("string") == "-0.0")
+    return F.concat(F.when(negative, "-").otherwise("+"), F.regexp_replace(_printf(c, 4), "^-", ""))

@@ -1,10 +1,8 @@
 """Ordinal encoder: sorted distinct strings -> codes 0..c-1 per column.
 
-The fitted state is the table ``(feature, category, code)``.  When it holds
-at most ``MAX_LITERAL_CATEGORIES`` rows (checked by collecting at most one
-more), transform turns it into one map literal per column, so encoding is a
-projection with no join; a larger category table is joined instead (a
-shuffle join, or a broadcast when AQE measures it small enough).
+The fitted state is the table ``(feature, category, code)``, whatever its size;
+it is joined (broadcast when AQE measures it small enough), never collected.
+A stream is encoded the same way, as a stream-static join.
 Codes are plain doubles without ML attribute metadata, so tree learners split
 them by threshold like any number.
 """
@@ -18,54 +16,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrisk.functions.text import str_or_nan
-
-MAX_LITERAL_CATEGORIES = 20_000
-
+from tabrisk.session import cut_lineage
 
 @dataclass
 class OrdinalEncoding:
     cols: list[str]
     table: DataFrame                      # feature, category, code
-    mapping: dict[str, dict[str, float]] | None  # collected from ``table``; None when too large
 
     def transform(self, df: DataFrame, on_unknown: str = "error") -> DataFrame:
         out = df
         for c in self.cols:
-            raw = str_or_nan(c)
-            if self.mapping is None:
-                codes = self.table.where(F.col("feature") == c).select(
-                    F.col("category").alias("_enc_cat"), F.col("code").cast("double").alias("_enc_code"))
-                out = out.withColumn("_enc_raw", raw).join(codes, F.col("_enc_raw") == F.col("_enc_cat"), "left")
-                raw, code = F.col("_enc_raw"), F.col("_enc_code")
-            else:
-                pairs = self.mapping.get(c, {})
-                m = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), F.lit(float(v)))])
-                code = F.try_element_at(m, raw) if pairs else F.lit(None).cast("double")
+            codes = self.table.where(F.col("feature") == c).select(
+                F.col("category").alias("_enc_cat"), F.col("code").cast("double").alias("_enc_code"))
+            out = out.withColumn("_enc_raw", str_or_nan(c)).join(codes, F.col("_enc_raw") == F.col("_enc_cat"), "left")
+            code = F.col("_enc_code")
             if on_unknown == "error":
                 code = F.when(code.isNull(), F.raise_error(
-                    F.concat(F.lit(f"unknown category in {c}: "), raw))).otherwise(code)
-            out = out.withColumn(c, code.cast("double"))
-            if self.mapping is None:
-                out = out.drop("_enc_raw", "_enc_cat", "_enc_code")
+                    F.concat(F.lit(f"unknown category in {c}: "), F.col("_enc_raw")))).otherwise(code)
+            out = out.withColumn(c, code.cast("double")).drop("_enc_raw", "_enc_cat", "_enc_code")
         return out
 
-    def decode_labels(self, c: str) -> dict[int, str]:
-        if self.mapping is None:
-            raise ValueError("decode_labels needs a literal-sized category table")
-        return {int(v): k for k, v in self.mapping.get(c, {}).items()}
+    def decode(self, df: DataFrame, c: str, name: str) -> DataFrame:
+        """Append the category of the code in ``c`` (its own text form where there is none)."""
+        labels = self.table.where(F.col("feature") == c).select(
+            F.col("code").alias("_dec_code"), F.col("category").alias("_dec_cat"))
+        out = df.join(labels, F.col(c).try_cast("double").try_cast("int") == F.col("_dec_code"), "left")
+        return out.withColumn(name, F.coalesce("_dec_cat", F.col(c).cast("string"))).drop("_dec_code", "_dec_cat")
 
 
 def fit_ordinal(df: DataFrame, cols: Sequence[str]) -> OrdinalEncoding:
     cols = list(cols)
     long = df.select([str_or_nan(c).alias(c) for c in cols]).unpivot(
         [], cols, "feature", "category").distinct()
-    # distinct categories per column: a small table
+    # distinct categories per column
     w = Window.partitionBy("feature").orderBy("category")
     table = long.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
-    rows = table.limit(MAX_LITERAL_CATEGORIES + 1).collect()  # bounded: categories only
-    if len(rows) > MAX_LITERAL_CATEGORIES:
-        return OrdinalEncoding(cols, table, None)
-    mapping: dict[str, dict[str, float]] = {c: {} for c in cols}
-    for r in rows:
-        mapping[r["feature"]][r["category"]] = float(r["code"])
-    return OrdinalEncoding(cols, table, mapping)
+    return OrdinalEncoding(cols, cut_lineage(table))

@@ -6,8 +6,9 @@ columns (computed on the original, not partly imputed, values) give the
 value ``sum(v/d) / sum(1/d)``; if some of them are at distance 0, the plain
 mean of those.  No donor at a defined distance -> the column mean.
 
-Only rows with a missing value are joined; complete rows pass through
-untouched, so the table is never shuffled as a whole.
+Only rows with a missing value look for neighbours, and only columns with gaps
+are searched for; complete rows pass through.  The donors are shuffled once for
+each such column, to find identical vectors and to place them in the grid.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ class KnnImputer:
         complete = df.where(~any_missing)
         incomplete = df.where(any_missing)
         filled = incomplete
+        gaps = incomplete.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
         for c in cols:
+            if not gaps[c]:
+                continue
             receivers = incomplete.where(F.col(c).isNull()).select(key, *cols)
             givers = self.donors.where(F.col(c).isNotNull()).select(key, *cols)
             nn = knn_join(receivers, givers, cols, self.k, qkey=key, dkey=key, n_cols=len(cols))

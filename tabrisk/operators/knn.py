@@ -5,30 +5,31 @@ Distance is the NaN-aware Euclidean distance used by kNN imputation:
 rows)`` with ``n`` the number of columns; undefined (NULL) when ``m = 0``.
 Ties are broken by the donor key, so the result is deterministic.
 
-Plan (all DataFrame operations, no driver loop over data):
+Rows may lack any columns.  Queries and donors are split by their gap pattern
+(which columns are present); two patterns meet on the columns they share, where
+both are complete, so a column that all queries of a pattern lack takes no part
+in the search.  The nearest over all donor patterns are merged per query.
+
+For one pair of patterns (all DataFrame operations, no driver loop over data):
 
 1. Donors with identical coordinates are reduced to the ``k`` smallest keys
    (a top-k window, planned as a partial limit before the shuffle): only
    those can ever be chosen, so a value repeated by a third of the table
-   costs ``k`` rows.  Queries with identical coordinates (and gaps) have
-   identical neighbours, so the search runs once per distinct query vector
-   (``k + 1`` neighbours when a row may not be its own neighbour; the row
-   itself is dropped after the vector's result is joined back to its rows).
-2. A grid over up to ``grid_dims`` columns that are present in every donor
-   (at least one of them present in every query); a query with a gap in a
-   grid column spans that axis whole.  Bin edges are approximate quantiles
-   of the donors (a few hundred numbers on the driver), so cells hold about
-   ``cell_target`` donors whatever the density.
-3. Round 1: each query is exploded to its ring of neighbouring cells and
-   equi-joined with the donors on the cell; the top ``k`` by (distance, key)
-   are kept per query.  A query is *resolved* when its k-th distance is
-   smaller than the distance to the outside of the ring: every donor outside
-   has at least that distance in one grid column, hence overall.
-4. Unresolved queries with ``k`` candidates search the box of half-width
-   equal to their k-th distance, which must contain the true neighbours.
-   Queries with fewer than ``k`` candidates widen the ring first.
-
-The work per query is the donors of a few cells, not the whole donor table.
+   costs ``k`` rows.  Queries with identical coordinates have identical
+   neighbours, so the search runs once per distinct query vector.
+2. A grid over up to ``grid_dims`` of the shared columns, the most spread-out
+   first.  Bin edges are approximate quantiles of the donors; their number
+   follows the donor count, so cells hold about ``cell_target`` donors.
+3. Each query is exploded to its ring of neighbouring cells and equi-joined
+   with the donors on the cell; the top ``k`` by (distance, key) are kept.  A
+   query is *done* when its k-th distance is smaller than the distance to the
+   outside of the ring, or the ring is the whole grid.
+4. Queries with ``k`` candidates search the box of half-width equal to their
+   k-th distance, which must contain the true neighbours; queries with fewer
+   widen the ring until they have them or have seen every cell.
+
+The result is checkpointed, and every frame that was persisted on the way is
+freed before it is returned.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabrisk.session import cache
+from tabrisk.session import Held, cut_lineage
 
 DEFAULT_GRID_DIMS = 3
-FINE_QUANTILES = 1000  # resolution of the donor quantiles the grid edges come from
+MAX_EDGES = 65_536  # of one axis, kept on the driver; beyond it cells grow
 EPS_REL = 1e-9
 
 
@@ -59,172 +60,161 @@ def nan_distance(q: Sequence[Column], d: Sequence[Column], n_cols: int) -> Colum
     return F.when(m > 0, F.sqrt(F.lit(float(n_cols)) / m * ssum))
 
 
+def _array(values: Sequence[float]) -> Column:
+    """A constant array of doubles from one literal (folded by the optimizer)."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def _bin(x: Column, edges: list[float]) -> Column:
+    """Number of edges below ``x``: first among every s-th edge, then within the stretch."""
     if not edges:
         return F.lit(0)
-    arr = F.array(*[F.lit(float(e)) for e in edges])
-    return F.size(F.filter(arr, lambda e: e < x))
+    step = max(1, math.isqrt(len(edges)))
+    if step < 8:
+        return F.size(F.filter(_array(edges), lambda e: e < x))
+    # whole stretches whose last edge is below x; the rest are in the next one
+    full = F.size(F.filter(_array(edges[step - 1::step]), lambda e: e < x))
+    stretch = F.slice(_array(edges), full * step + 1, F.lit(step))
+    return full * step + F.size(F.filter(stretch, lambda e: e < x))
 
 
 def _edge(edges: list[float], idx: Column, default: float) -> Column:
     """edges[idx] (0-based) or ``default`` outside the array."""
     if not edges:
         return F.lit(default)
-    arr = F.array(*[F.lit(float(e)) for e in edges])
-    return F.when((idx >= 0) & (idx < len(edges)), F.element_at(arr, idx + 1)).otherwise(F.lit(default))
-
-
-def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
-             qkey: str = "key", dkey: str = "key", n_cols: int | None = None,
-             exclude_self: bool = False, grid_dims: int = DEFAULT_GRID_DIMS,
-             cell_target: int | None = None, max_rounds: int = 24) -> DataFrame:
-    """For each query row, its ``k`` nearest donors: ``q_key, d_key, dist, nn_rank``.
-
-    Donors at undefined distance (no shared present column) are never chosen.
-    ``exclude_self`` drops the pair with equal keys (neighbours within one
-    table).
-    """
-    cols = list(cols)
-    n = n_cols or len(cols)
-    kk = k + 1 if exclude_self else k
+    return F.when((idx >= 0) & (idx < len(edges)), F.element_at(_array(edges), idx + 1)).otherwise(F.lit(default))
+
+
+def _grid(d: DataFrame, cols: list[str], k: int, dims: int, target: int) -> dict[str, list[float]]:
+    """Edges per grid column, from one statistics job (two if the grid is fine)."""
+    probe = [i / 100 for i in range(1, 100)]
+    first = d.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"d_{c}", probe, 1000).alias(c) for c in cols]).first()
+    spread = {c: len(set(first[c] or [])) for c in cols}
+    grid = sorted(cols, key=lambda c: -spread[c])[:dims]
+    per_dim = min(MAX_EDGES, max(1, math.ceil((max(first["n"], 1) / target) ** (1.0 / len(grid)))))
+    if per_dim == 1:
+        return {c: [] for c in grid}
+    cuts = [i / per_dim for i in range(1, per_dim)]
+    got = d.agg(*[F.percentile_approx(f"d_{c}", cuts, max(10_000, 10 * per_dim)).alias(c) for c in grid]).first()
+    return {c: sorted(set(map(float, got[c] or []))) for c in grid}
+
+
+def _search(q_rows: DataFrame, d_rows: DataFrame, cols: list[str], k: int, n: int, dims: int, target: int,
+            held: Held) -> DataFrame:
+    """``_qk, _dk, dist, nn_rank`` of the ``k`` nearest; every row has all of ``cols``."""
     vec = [f"q_{c}" for c in cols]
-    q_rows = queries.select(F.col(qkey).alias("_qk"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols])
-    # one search per distinct query vector (groupBy treats NULLs as equal);
-    # the smallest key of the vector stands for it (partial aggregation)
-    q = q_rows.groupBy(*vec).agg(F.min("_qk").alias("_qk"))
-    d = donors.select(F.col(dkey).alias("_dk"), *[F.col(c).cast("double").alias(f"d_{c}") for c in cols])
-    k_rows, k = k, kk  # the search below runs without self exclusion
-
-    # 1. identical donors: only the kk smallest keys can ever be chosen
+    # the smallest key of a distinct vector stands for it (partial aggregation)
+    q = held.cache(q_rows.groupBy(*vec).agg(F.min("_qk").alias("_qk")))
     same = Window.partitionBy(*[f"d_{c}" for c in cols]).orderBy("_dk")
-    d = d.withColumn("_dup", F.row_number().over(same)).where(F.col("_dup") <= kk).drop("_dup")
-    # both sides are read by the statistics below and by every round
-    q = cache(q)
-    d = cache(d)
-
-    # 2. one statistics job: null counts of both sides, donor count and fine
-    #    approximate quantiles of every donor column (edges are picked from them)
-    fine = [i / FINE_QUANTILES for i in range(1, FINE_QUANTILES)]
-    sides = (q.select(F.lit("q").alias("_side"), *[F.col(f"q_{c}").alias(c) for c in cols])
-             .unionByName(d.select(F.lit("d").alias("_side"), *[F.col(f"d_{c}").alias(c) for c in cols])))
-    stats = {r["_side"]: r for r in sides.groupBy("_side").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.col(c).isNull()).alias(f"{c}__null") for c in cols],
-        *[F.percentile_approx(c, fine, 4 * FINE_QUANTILES).alias(f"{c}__q") for c in cols]).collect()}
-    qs_, ds_ = stats.get("q"), stats.get("d")
-    if qs_ is None or ds_ is None:
-        return queries.sparkSession.createDataFrame(
-            [], "q_key bigint, d_key bigint, dist double, nn_rank int")
-    # grid columns must be present in every donor; a query with a gap in one
-    # spans that whole grid axis (the column adds nothing to its distance).
-    # At least one grid column must be present in every query as well.
-    d_complete = [c for c in cols if ds_[f"{c}__null"] == 0]
-    both = [c for c in d_complete if qs_[f"{c}__null"] == 0]
-    if not both:
-        raise ValueError("knn_join needs at least one column present in every row to prune candidates")
-    # the most spread columns first (most distinct fine quantiles), so a value
-    # held by a large share of the donors does not make one fat cell
-    spread = {c: len(set(ds_[f"{c}__q"] or [])) for c in d_complete}
-    grid = sorted(d_complete, key=lambda c: -spread[c])[:grid_dims]
-    if not set(grid) & set(both):
-        grid[-1] = max(both, key=lambda c: spread[c])
-    q_gaps = {c for c in grid if qs_[f"{c}__null"] > 0}
-    n_donors = int(ds_["_n"])
-    target = cell_target or max(16 * k, 64)
-    per_dim = max(1, int(math.ceil((max(n_donors, 1) / target) ** (1.0 / len(grid)))))
-    edges: dict[str, list[float]] = {}
-    for c in grid:
-        qv = ds_[f"{c}__q"] or []
-        picks = [qv[min(len(qv) - 1, round(i * FINE_QUANTILES / per_dim) - 1)]
-                 for i in range(1, per_dim)] if qv else []
-        edges[c] = sorted(set(float(v) for v in picks if v is not None))
+    d = held.cache(d_rows.select("_dk", *[f"d_{c}" for c in cols])
+                   .withColumn("_dup", F.row_number().over(same)).where(F.col("_dup") <= k).drop("_dup"))
+    edges = _grid(d, cols, k, dims, target)
+    grid = list(edges)
     nb = {c: len(edges[c]) + 1 for c in grid}
-
-    d = cache(d.withColumns({f"_b{j}": _bin(F.col(f"d_{c}"), edges[c]) for j, c in enumerate(grid)}))
-    q = q.withColumns({f"_b{j}": _bin(F.col(f"q_{c}"), edges[c]) for j, c in enumerate(grid)})
     dist = nan_distance([F.col(f"q_{c}") for c in cols], [F.col(f"d_{c}") for c in cols], n)
+    cells = [f"_c{j}" for j in range(len(grid))]
+    dd = held.cache(d.withColumns({cell: _bin(F.col(f"d_{c}"), edges[c]) for cell, c in zip(cells, grid)}))
 
     def candidates(qq: DataFrame, lo: list[Column], hi: list[Column]) -> DataFrame:
-        cells = qq
-        for j in range(len(grid)):
-            cells = cells.withColumn(f"_c{j}", F.explode(F.sequence(lo[j], hi[j])))
-        dd = d.select("_dk", *[f"d_{c}" for c in cols],
-                      *[F.col(f"_b{j}").alias(f"_c{j}") for j in range(len(grid))])
-        pairs = cells.join(dd, [f"_c{j}" for j in range(len(grid))])
-        pairs = pairs.select("_qk", "_dk", dist.alias("dist")).where(F.col("dist").isNotNull())
+        for j, cell in enumerate(cells):
+            qq = qq.withColumn(cell, F.explode(F.sequence(lo[j], hi[j])))
+        pairs = qq.join(dd, cells).select("_qk", "_dk", dist.alias("dist"))
         w = Window.partitionBy("_qk").orderBy("dist", "_dk")
         # ``row_number() <= k`` (not ``row_number() - 1 < k``) is planned as a
         # per-partition group limit before the shuffle
         return (pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
                 .select("_qk", "_dk", "dist", (F.col("_rn") - 1).alias("nn_rank")))
 
-    def gap_in(c: str) -> Column:
-        return F.col(f"q_{c}").isNull() if c in q_gaps else F.lit(False)
-
-    def ring(qq: DataFrame, r: int) -> DataFrame:
-        lo = [F.when(gap_in(c), F.lit(0)).otherwise(F.greatest(F.col(f"_b{j}") - r, F.lit(0)))
-              for j, c in enumerate(grid)]
-        hi = [F.when(gap_in(c), F.lit(nb[c] - 1)).otherwise(F.least(F.col(f"_b{j}") + r, F.lit(nb[c] - 1)))
-              for j, c in enumerate(grid)]
-        top = candidates(qq, lo, hi)
-        stat = top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_cnt"), F.max("dist").alias("_dk_max"))
-        info = qq.join(stat, "_qk", "left").fillna({"_cnt": 0})
-        gap = None
-        full = None
-        for j, c in enumerate(grid):
-            b = F.col(f"_b{j}")
-            x = F.col(f"q_{c}")
-            left = x - _edge(edges[c], b - r - 1, -math.inf)
-            right = _edge(edges[c], b + r, math.inf) - x
-            gj = F.when(gap_in(c), F.lit(math.inf)).otherwise(F.least(left, right))
-            gap = gj if gap is None else F.least(gap, gj)
-            fj = gap_in(c) | ((b - r <= 0) & (b + r >= nb[c] - 1))
-            full = fj if full is None else full & fj
-        status = (F.when(full, F.lit("done"))
-                  .when((F.col("_cnt") >= k) & (F.col("_dk_max") * (1 + EPS_REL) < gap), F.lit("done"))
-                  .when(F.col("_cnt") >= k, F.lit("box"))
-                  .otherwise(F.lit("wider")))
-        info = info.withColumn("_status", status)
-        return top, info
-
-    spark = queries.sparkSession
-    done_parts = []
-    pending = q
-    r = 1
-    box_parts = []
-    for _ in range(max_rounds):
-        top, info = ring(pending, r)
-        top = cache(top)
-        info = cache(info)
-        status = {row["_status"]: row["count"] for row in info.groupBy("_status").count().collect()}
-        done_parts.append(top.join(info.where(F.col("_status") == "done").select("_qk"), "_qk", "left_semi"))
-        if status.get("box"):
+    pending = held.cache(q.withColumns({f"_b{j}": _bin(F.col(f"q_{c}"), edges[c]) for j, c in enumerate(grid)}))
+    parts, r = [], 1
+    while True:
+        at = [F.col(f"_b{j}") for j in range(len(grid))]
+        top = held.cache(candidates(pending, [F.greatest(b - r, F.lit(0)) for b in at],
+                                    [F.least(b + r, F.lit(nb[c] - 1)) for b, c in zip(at, grid)]))
+        stat = top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_cnt"), F.max("dist").alias("_far"))
+        gap, full = F.lit(math.inf), F.lit(True)
+        for b, c in zip(at, grid):
+            gap = F.least(gap, F.col(f"q_{c}") - _edge(edges[c], b - r - 1, -math.inf),
+                          _edge(edges[c], b + r, math.inf) - F.col(f"q_{c}"))
+            full = full & (b - r <= 0) & (b + r >= nb[c] - 1)
+        status = (F.when(full | ((F.col("_cnt") >= k) & (F.col("_far") * (1 + EPS_REL) < gap)), "done")
+                  .when(F.col("_cnt") >= k, "box").otherwise("wider"))
+        info = held.cache(pending.join(stat, "_qk", "left").fillna({"_cnt": 0}).withColumn("_status", status))
+        left = {row["_status"] for row in info.select("_status").distinct().collect()}
+        parts.append(top.join(info.where(F.col("_status") == "done").select("_qk"), "_qk", "left_semi"))
+        if "box" in left:
+            rho = F.col("_far") * (1 + EPS_REL) + F.lit(1e-12)
             boxed = info.where(F.col("_status") == "box")
-            rho = F.col("_dk_max") * (1 + EPS_REL) + F.lit(1e-12)
-            lo = [F.when(gap_in(c), F.lit(0)).otherwise(_bin(F.col(f"q_{c}") - rho, edges[c])) for c in grid]
-            hi = [F.when(gap_in(c), F.lit(nb[c] - 1)).otherwise(_bin(F.col(f"q_{c}") + rho, edges[c]))
-                  for c in grid]
-            box_parts.append(candidates(boxed.select(q.columns + ["_dk_max"]), lo, hi))
-        if not status.get("wider"):
+            parts.append(candidates(boxed.select("_qk", *vec, "_far"),
+                                    [_bin(F.col(f"q_{c}") - rho, edges[c]) for c in grid],
+                                    [_bin(F.col(f"q_{c}") + rho, edges[c]) for c in grid]))
+        if "wider" not in left:
             break
-        pending = info.where(F.col("_status") == "wider").select(*q.columns)
+        pending = info.where(F.col("_status") == "wider").select(*pending.columns)
         r = 2 * r + 1
-    out = None
-    for part in done_parts + box_parts:
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "_qk bigint, _dk bigint, dist double, nn_rank int")
-    # back from vectors to query rows: null-safe equi-join on the vector
-    # (planned as an equi-join; a vector shared by many rows is a skewed key
-    # that AQE splits, and its output is rows x k by definition)
-    per_vec = out.join(q.select(F.col("_qk"), *[F.col(c).alias(f"_v{c}") for c in vec]), "_qk").drop("_qk")
-    cond = [q_rows[c].eqNullSafe(per_vec[f"_v{c}"]) for c in vec]
-    res = q_rows.select("_qk", *vec).join(per_vec, cond).select(
-        "_qk", "_dk", "dist", "nn_rank")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    per_vec = out.join(q.select("_qk", *[F.col(c).alias(f"_v{c}") for c in vec]), "_qk").drop("_qk")
+    on = [q_rows[c] == per_vec[f"_v{c}"] for c in vec]
+    return q_rows.select("_qk", *vec).join(per_vec, on).select("_qk", "_dk", "dist", "nn_rank")
+
+
+def _pattern(prefix: str, cols: list[str]) -> Column:
+    """Bit ``i`` set where column ``i`` is present."""
+    out = F.lit(0).cast("bigint")
+    for i, c in enumerate(cols):
+        out = out + F.when(F.col(f"{prefix}{c}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    return out
+
+
+def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
+             qkey: str = "key", dkey: str = "key", n_cols: int | None = None,
+             exclude_self: bool = False, grid_dims: int = DEFAULT_GRID_DIMS,
+             cell_target: int | None = None) -> DataFrame:
+    """For each query row, its ``k`` nearest donors: ``q_key, d_key, dist, nn_rank``.
+
+    Donors at undefined distance (no shared present column) are never chosen;
+    a query without any such donor has no rows.  ``exclude_self`` drops the
+    pair with equal keys (neighbours within one table).  Keys keep their types.
+    """
+    cols = list(cols)
+    if len(cols) > 60:
+        raise ValueError("knn_join takes at most 60 columns")
+    n = n_cols or len(cols)
+    kk = k + 1 if exclude_self else k
+    held = Held()
+    q = held.cache(queries.select(F.col(qkey).alias("_qk"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols])
+                   .withColumn("_p", _pattern("q_", cols)))
+    d = donors.select(F.col(dkey).alias("_dk"), *[F.col(c).cast("double").alias(f"d_{c}") for c in cols])
+    d = d.withColumn("_p", _pattern("d_", cols))
+    # gap patterns, not rows: one row for each set of present columns that occurs
+    q_patterns = sorted(r["_p"] for r in q.select("_p").distinct().collect())
+    empty = queries.sparkSession.createDataFrame([], q.select(F.col("_qk").alias("q_key")).schema.add(
+        "d_key", donors.schema[dkey].dataType).add("dist", "double").add("nn_rank", "integer"))
+    if not q_patterns:
+        held.release()
+        return empty
+    d = held.cache(d)
+    d_patterns = sorted(r["_p"] for r in d.select("_p").distinct().collect())
+    found = None
+    for qp in q_patterns:
+        for dp in d_patterns:
+            shared = [c for i, c in enumerate(cols) if qp & dp & (1 << i)]
+            if not shared:
+                continue
+            part = _search(q.where(F.col("_p") == qp), d.where(F.col("_p") == dp), shared, kk, n, grid_dims,
+                           cell_target or max(16 * kk, 64), held)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        held.release()
+        return empty
     if exclude_self:
-        res = (res.where(F.col("_qk") != F.col("_dk"))
-               .withColumn("nn_rank", F.row_number().over(
-                   Window.partitionBy("_qk").orderBy("nn_rank")) - 1)
-               .where(F.col("nn_rank") < k_rows))
-    return res.select(F.col("_qk").alias("q_key"), F.col("_dk").alias("d_key"), "dist",
-                      F.col("nn_rank").cast("int").alias("nn_rank"))
+        found = found.where(~F.col("_qk").eqNullSafe(F.col("_dk")))
+    order = Window.partitionBy("_qk").orderBy("dist", "_dk")
+    res = (found.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
+           .select(F.col("_qk").alias("q_key"), F.col("_dk").alias("d_key"), "dist",
+                   (F.col("_rn") - 1).cast("int").alias("nn_rank")))
+    res = cut_lineage(res)
+    held.release()
+    return res

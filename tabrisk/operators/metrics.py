@@ -4,23 +4,21 @@ All metrics are one grouped aggregation over the scored rows (``by`` holds
 e.g. the fold).  ROC-AUC is exact with ties counted half:
 ``sum over scores of pos * (negatives below + negatives tied / 2) / (P * N)``,
 from a ``(group, score)`` count table; the running count of negatives below a
-score uses value buckets (see ``ranking``) when a group has many distinct
-scores, so no single task orders a whole fold.
+score is taken inside value buckets and over the bucket totals, so no single
+task orders a whole fold.  Groups may be NULL.
 """
 
 from __future__ import annotations
 
-import math
-
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabrisk.operators.ranking import _cols, hash_rank
+from tabrisk.operators.ranking import _cols, hash_rank, join_groups
 
 METRIC_NAMES = ["Accuracy", "Precision", "Recall", "F1", "ROC-AUC"]
-SMALL_SCORE_LIMIT = 2_000_000
+SCORE_BUCKETS = 128  # of each group
 
 
 def with_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
@@ -41,24 +39,18 @@ def decide(df: DataFrame, prob: str, threshold: float = 0.1, name: str = "decisi
         f"{name}_label", F.when(d == 1, F.lit(labels[1])).otherwise(F.lit(labels[0])))
 
 
-def _neg_below(counts: DataFrame, g: list[str], buckets: int = 128) -> DataFrame:
+def _neg_below(counts: DataFrame, g: list[str], buckets: int = SCORE_BUCKETS) -> DataFrame:
     """Add ``_nb``: negatives with a strictly smaller score in the same group."""
-    widest = counts.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-    if widest <= SMALL_SCORE_LIMIT:
-        w = Window.partitionBy(*g).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("_nb", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
-    # about a million distinct scores per bucket (one task sorts a bucket)
-    buckets = max(buckets, math.ceil(widest / 1_000_000))
     cut = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*g).agg(
         F.array_distinct(F.percentile_approx("_s", cut, max(10000, 10 * buckets))).alias("_bd"))
-    cb = (counts.join(bounds, g)
+    cb = (join_groups(counts, bounds, g)
           .withColumn("_bk", F.size(F.filter("_bd", lambda e: e < F.col("_s")))).drop("_bd"))
     per = cb.groupBy(*g, "_bk").agg(F.sum("_neg").alias("_bneg"))
     prev = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_boff", F.coalesce(F.sum("_bneg").over(prev), F.lit(0))).drop("_bneg")
     inner = Window.partitionBy(*g, "_bk").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    return (cb.join(per, [*g, "_bk"])
+    return (join_groups(cb, per, [*g, "_bk"])
             .withColumn("_nb", F.col("_boff") + F.coalesce(F.sum("_neg").over(inner), F.lit(0)))
             .drop("_bk", "_boff"))
 
@@ -67,6 +59,9 @@ def auc_exact(df: DataFrame, label: str, score: str, by=None, name: str = "ROC-A
     """Exact ROC-AUC per group with tied scores counted half; NULL without both classes."""
     g = _cols(by)
     y = F.col(label).cast("int")
+    ungrouped = not g
+    if ungrouped:
+        df, g = df.withColumn("_one", F.lit(1)), ["_one"]
     counts = df.groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
         F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
     c = _neg_below(counts, g)
@@ -74,7 +69,8 @@ def auc_exact(df: DataFrame, label: str, score: str, by=None, name: str = "ROC-A
         F.sum(F.col("_pos") * (F.col("_nb") + F.col("_neg") / 2.0)).alias("_num"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     den = F.col("_P").cast("double") * F.col("_N")
-    return agg.select(*g, F.when(den > 0, F.col("_num") / den).alias(name))
+    out = agg.select(*g, F.when(den > 0, F.col("_num") / den).alias(name))
+    return out.drop("_one") if ungrouped else out
 
 
 def binary_metrics(df: DataFrame, label: str, pred: str, score: str | None = None,
@@ -101,7 +97,7 @@ def binary_metrics(df: DataFrame, label: str, pred: str, score: str | None = Non
         ratio(tp, tp + fn).alias("Recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("F1"))
     if score is not None:
-        out = out.join(auc_exact(df, label, score, g), g)
+        out = join_groups(out, auc_exact(df, label, score, g), g)
     return out.drop("_g") if ungrouped else out
 
 

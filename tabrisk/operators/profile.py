@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrisk.operators.quantiles import exact_quantiles
+from tabrisk.session import cut_lineage
 
 
 def row_count(df: DataFrame, conditions: dict | None = None) -> DataFrame:
@@ -33,9 +34,9 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     vc = (df.where(F.col(col).isNotNull())
           .groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("count")))
     if normalize:
-        # the total is a one-row aggregate joined on a constant (broadcast)
-        total = (df.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("_total"))
-                 .withColumn("_one", F.lit(1)))
+        # the total is the sum of the counts (a one-row aggregate): one scan of the table
+        vc = cut_lineage(vc)
+        total = vc.agg(F.sum("count").alias("_total")).withColumn("_one", F.lit(1))
         vc = (vc.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
               .withColumn("proportion", F.col("count") / F.col("_total")).drop("_one", "_total"))
     return vc.orderBy(F.desc("count"), F.asc("value"))

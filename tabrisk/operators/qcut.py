@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.operators.quantiles import quantile_array
-from tabrisk.operators.ranking import _cols
+from tabrisk.operators.ranking import _cols, join_groups
 
 
 def qcut_probs(q: int) -> list[float]:
@@ -50,7 +50,7 @@ def qcut_many(df: DataFrame, spec: list[tuple[str, int]], group_cols=None,
     wide = edges.groupBy(*g).agg(*[
         F.max(F.when(F.col("_feature") == c, F.col("_e"))).alias(f"_e_{c}") for c in cols])
     if g:
-        out = df.join(wide, g, "left")  # one row per group: AQE broadcasts it by size
+        out = join_groups(df, wide, g, "left")  # one row per group: AQE broadcasts it by size
     else:
         out = df.withColumn("_one", F.lit(1)).join(
             F.broadcast(wide.withColumn("_one", F.lit(1))), "_one").drop("_one")
@@ -66,7 +66,7 @@ def qcut(df: DataFrame, col: str, q: int, group_cols=None, name: str | None = No
     edges = qcut_edges(df, col, q, g, "_edges")
     if g:
         # one row per group: small, AQE broadcasts it by measured size
-        out = df.join(edges, g, "left")
+        out = join_groups(df, edges, g, "left")
     else:
         out = df.withColumn("_one", F.lit(1)).join(
             F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").drop("_one")

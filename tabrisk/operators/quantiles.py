@@ -3,124 +3,85 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, which does not survive a group of billions of rows.
 ``exact_quantiles`` returns the same linear-interpolated values
-(numpy/pandas ``linear``, DuckDB ``quantile_cont``) using only shuffles of
-bounded tables:
-
-1. ties are collapsed: ``(group, value) -> count`` with partial aggregation;
-2. distinct values are split into range buckets at approximate quantiles;
-3. per-bucket counts give cumulative offsets (small table);
-4. only the few buckets that contain a wanted rank are ranked row by row.
+(numpy/pandas ``linear``, DuckDB ``quantile_cont``) by bracketing, for groups of
+any size alike:
+
+1. approximate quantiles (bounded sketches) give, per group and wanted
+   probability, a low and a high value around the wanted ranks;
+2. one scan counts what lies below the low value and tallies the values between
+   the two; below and ties are aggregated before the shuffle, so only the
+   bracket (a few ten-thousandths of the group) is shuffled;
+3. a running count inside each bracket picks the wanted ranks.
+
+A sketch keeps its rank error below ``n / accuracy``; brackets are twice that
+wide on either side, and at least four ranks.  Groups may be NULL.
 """
 
 from __future__ import annotations
 
-import math
-
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabrisk.operators.ranking import _cols
-
+from tabrisk.operators.ranking import _cols, join_groups
 
-# Largest number of distinct values per group ranked in one window partition.
-SMALL_GROUP_LIMIT = 2_000_000
-# Distinct values per bucket aimed at by the bucketed path (one task sorts a bucket).
-VALUES_PER_BUCKET = 1_000_000
+ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols=None,
-                    buckets: int = 128, accuracy: int = 10000,
-                    small_group_limit: int | None = SMALL_GROUP_LIMIT) -> DataFrame:
+                    accuracy: int = ACCURACY) -> DataFrame:
     """Rows ``(*group_cols, q_index, prob, quantile)``; NULL values are skipped.
 
-    ``q_index`` is the position of the probability in ``probs``.  When the
-    largest group has at most ``small_group_limit`` distinct values (checked
-    with one small aggregation) the ranks come from one window pass per group;
-    beyond it the bucketed path below is used.
+    ``q_index`` is the position of the probability in ``probs``.
     """
     g = _cols(group_cols)
     ungrouped = not g
-    if ungrouped:  # one constant group keeps every join an equi-join
+    if ungrouped:
         df, g = df.withColumn("_g", F.lit(0)), ["_g"]
     vals = (df.select(*g, F.col(value_col).cast("double").alias("_v"))
             .where(F.col("_v").isNotNull()))
-    vc = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    if small_group_limit:
-        widest = vc.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-        if widest <= small_group_limit:
-            res = _window_quantiles(vc, g, probs)
-            return res.drop("_g") if ungrouped else res
-        # enough buckets that one holds about VALUES_PER_BUCKET distinct values
-        buckets = max(buckets, math.ceil(widest / VALUES_PER_BUCKET))
-        accuracy = max(accuracy, 10 * buckets)
-
-    cut_probs = [i / buckets for i in range(1, buckets)]
-    bounds = vc.groupBy(*g).agg(
-        F.sum("_c").alias("_n"),
-        F.array_distinct(F.percentile_approx("_v", cut_probs, accuracy)).alias("_bounds"))
+    around = 2.0 / accuracy
+    low = [max(0.0, float(p) - around) for p in probs]
+    high = [min(1.0, float(p) + around) for p in probs]
+    bounds = vals.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", low, accuracy).alias("_low"), F.percentile_approx("_v", high, accuracy).alias("_high"))
+    # brackets that reach an end of the group go to that end, and so do those
+    # that would be narrower than four ranks
+    narrow = F.col("_n") * around < 4
+    rows = F.array(*[F.struct(
+        F.lit(i).alias("q_index"), F.lit(float(p)).alias("prob"),
+        F.when(narrow | F.lit(low[i] == 0), F.col("_min")).otherwise(F.col("_low")[i]).alias("low"),
+        F.when(narrow | F.lit(high[i] == 1), F.col("_max")).otherwise(F.col("_high")[i]).alias("high"))
+        for i, p in enumerate(probs)])
+    bounds = bounds.select(*g, "_n", rows.alias("_b"))
     # one row per group: AQE broadcasts it when its measured size allows
-    vcb = vc.join(bounds, g)
-    vcb = vcb.withColumn("_b", F.size(F.filter("_bounds", lambda e: e < F.col("_v")))).drop("_bounds")
-
-    bcount = vcb.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bcount = bcount.withColumn("_boff", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-
-    # wanted 0-based ranks: floor(h) and floor(h)+1 with h = (n-1)*p
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    totals = bcount.select(*g, "_n").distinct()
-    targets = (totals.select(*g, "_n", F.posexplode(probs_arr).alias("q_index", "prob"))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
-               .withColumn("_r0", F.floor("_h").cast("bigint"))
-               .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1)))
-    wanted = targets.select(*g, "q_index", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_r0").alias("r")),
-        F.struct(F.lit(1).alias("side"), F.col("_r1").alias("r")))).alias("w")).select(
-        *g, "q_index", "w.side", "w.r")
-    located = wanted.join(bcount, g).where(
-        (F.col("r") >= F.col("_boff")) & (F.col("r") < F.col("_boff") + F.col("_bc"))).select(
-        *g, "q_index", "side", "_b", (F.col("r") - F.col("_boff")).alias("_off"))
-
-    # rank rows only inside the buckets that hold a wanted rank
-    need = located.select(*g, "_b").distinct()
-    inb = vcb.join(need, [*g, "_b"], "left_semi")
-    within = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    inb = inb.withColumn("_lo", F.coalesce(F.sum("_c").over(within), F.lit(0)))
-    picked = located.join(inb, [*g, "_b"]).where(
-        (F.col("_off") >= F.col("_lo")) & (F.col("_off") < F.col("_lo") + F.col("_c"))).select(
-        *g, "q_index", "side", "_v")
-    both = picked.groupBy(*g, "q_index").agg(
-        F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_x0"),
-        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_x1"))
-    res = targets.join(both, [*g, "q_index"]).select(
-        *g, "q_index", "prob",
-        (F.col("_x0") + (F.col("_h") - F.col("_r0")) * (F.col("_x1") - F.col("_x0"))).alias("quantile"))
-    return res.drop("_g") if ungrouped else res
-
-
-def _window_quantiles(vc: DataFrame, g: list[str], probs: Sequence[float]) -> DataFrame:
-    """Bounded groups: cumulative counts in one window, order statistics by
-    conditional aggregation (no join)."""
-    before = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cum = (vc.withColumn("_lo", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-           .withColumn("_n", F.sum("_c").over(Window.partitionBy(*g))))
-    aggs = [F.first("_n").alias("_n")]
-    for i, p in enumerate(probs):
-        r0 = F.floor((F.col("_n") - 1) * F.lit(float(p)))
-        r1 = F.least(r0 + 1, F.col("_n") - 1)
-        hit = lambda r: (F.col("_lo") <= r) & (r < F.col("_lo") + F.col("_c"))
-        aggs += [F.max(F.when(hit(r0), F.col("_v"))).alias(f"_x0_{i}"),
-                 F.max(F.when(hit(r1), F.col("_v"))).alias(f"_x1_{i}")]
-    wide = cum.groupBy(*g).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i).alias("q_index"), F.lit(float(p)).alias("prob"),
-                              F.col(f"_x0_{i}").alias("x0"), F.col(f"_x1_{i}").alias("x1"))
-                     for i, p in enumerate(probs)])
-    long = wide.select(*g, "_n", F.explode(rows).alias("t")).select(*g, "_n", "t.*")
+    near = F.filter("_b", lambda b: F.col("_v") <= b["high"])
+    hits = F.transform(near, lambda b: F.struct(b["q_index"].alias("q_index"), F.when(
+        F.col("_v") >= b["low"], F.col("_v")).alias("x")))  # NULL: below the bracket
+    tally = (join_groups(vals, bounds, g).select(*g, F.explode(hits).alias("_h"))
+             .groupBy(*g, "_h").agg(F.count(F.lit(1)).alias("_c")).select(*g, "_h.q_index", "_h.x", "_c"))
+    order = Window.partitionBy(*g, "q_index").orderBy(F.col("x").asc_nulls_first())
+    cum = tally.withColumn("_lo", F.coalesce(F.sum("_c").over(
+        order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = bounds.select(*g, "_n", F.explode("_b").alias("_w")).select(
+        *g, "_n", F.col("_w.q_index").alias("q_index"), F.col("_w.prob").alias("prob"))
+    both = join_groups(cum, wanted, [*g, "q_index"])
     h = (F.col("_n") - 1) * F.col("prob")
-    return long.select(*g, F.col("q_index").cast("int").alias("q_index"), "prob",
-                       (F.col("x0") + (h - F.floor(h)) * (F.col("x1") - F.col("x0"))).alias("quantile"))
+    r0 = F.floor(h)
+    r1 = F.least(r0 + 1, F.col("_n") - 1)
+
+    def at(r):
+        return F.max(F.when((F.col("_lo") <= r) & (r < F.col("_lo") + F.col("_c")), F.col("x")))
+
+    res = both.groupBy(*g, "q_index").agg(
+        F.first("prob").alias("prob"), at(r0).alias("_x0"), at(r1).alias("_x1"), F.first(h - r0).alias("_part"))
+    missed = F.col("_x0").isNull() | F.col("_x1").isNull()
+    value = F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket; use a higher accuracy")).cast("double"))
+    res = res.select(*g, F.col("q_index").cast("int").alias("q_index"), "prob",
+                     value.otherwise(F.col("_x0") + F.col("_part") * (F.col("_x1") - F.col("_x0"))).alias("quantile"))
+    return res.drop("_g") if ungrouped else res
 
 
 def quantile_array(df: DataFrame, value_col: str, probs: Sequence[float], group_cols=None,

@@ -32,6 +32,13 @@ def _cols(cols: Sequence[str] | str | None) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def join_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group columns in which NULL equals NULL."""
+    renamed = right.withColumnsRenamed({c: f"_j_{c}" for c in cols})
+    on = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in cols]
+    return left.join(renamed, on, how).drop(*[f"_j_{c}" for c in cols])
+
+
 def rank_in_buckets(df: DataFrame, group_cols, bucket: Column, order: Sequence[Column],
                     name: str = "rank") -> DataFrame:
     """0-based dense rank within ``group_cols`` by (bucket, *order).
@@ -47,7 +54,7 @@ def rank_in_buckets(df: DataFrame, group_cols, bucket: Column, order: Sequence[C
     # groups x buckets rows: small; AQE broadcasts it when its measured size allows
     offsets = counts.select(*g, b, F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_off"))
     inner = Window.partitionBy(*g, b).orderBy(*order)
-    return (with_b.join(offsets, [*g, b])
+    return (join_groups(with_b, offsets, [*g, b])
             .withColumn(name, (F.col("_rk_off") + F.row_number().over(inner) - 1).cast("bigint"))
             .drop(b, "_rk_off"))
 
@@ -68,12 +75,14 @@ def hash_rank(df: DataFrame, group_cols, key: str, seed: int, tag: str,
 
 
 def with_row_index(df: DataFrame, key: str, name: str = "row_index",
-                   buckets: int = 1024, relative_error: float = 1e-4) -> DataFrame:
+                   rows_per_bucket: int = 1_000_000, relative_error: float = 1e-4) -> DataFrame:
     """Dense 0..n-1 index in ascending ``key`` order (``key`` unique).
 
     Range buckets come from approximate quantiles of the key (a small array on
-    the driver); the index itself is exact.
+    the driver) and grow in number with the table; the index itself is exact.
     """
+    buckets = max(64, -(-df.count() // rows_per_bucket))
+    relative_error = min(relative_error, 0.1 / buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(b for b in df.approxQuantile(key, probs, relative_error) if b is not None))
     if bounds:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrisk.operators import profile
+from tabrisk.session import cut_lineage
 from tabrisk.sources.fixtures import (SUBJECT_CATEGORICAL, SUBJECT_COLUMNS, SUBJECT_NUMERIC,
                                       SUBJECTS_SQL, subjects, with_views)
 
@@ -898,7 +899,7 @@ def q_top_reasons(spark, sf):
 @register("sorted_attributions", PREP_ALL + ATT_SQL + """
 SELECT a.key, a.feature,
        CAST(row_number() OVER (PARTITION BY a.key ORDER BY abs(a.shap_value) DESC, a.feature_pos) AS INTEGER) AS impact_rank,
-       n.display_name || ': ' || printf('%+.4f', floor(a.shap_value * 10000 + 0.5) / 10000) AS line
+       n.display_name || ': ' || printf('%+.4f', a.shap_value) AS line
 FROM att a JOIN names n ON a.feature = n.feature""")
 def q_sorted_attributions(spark, sf):
     _, scaled, display, shap = _explained(spark, sf)
@@ -924,32 +925,30 @@ def _sql_block():
         "segment": cat("segment"), "top_priority": cat("top_priority"),
         "many_orders": "CASE CAST(trunc(d.many_orders) AS INTEGER) WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END",
         "n_orders": "CAST(CAST(trunc(d.n_orders) AS BIGINT) AS VARCHAR) || ' orders'",
-        "avg_price": "printf('%.1f', floor(d.avg_price * 10 + 0.5) / 10) || ' USD'",
-        "max_price": "printf('%.1f', floor(d.max_price * 10 + 0.5) / 10) || ' USD'",
+        "avg_price": "printf('%.1f', d.avg_price) || ' USD'",
+        "max_price": "printf('%.1f', d.max_price) || ' USD'",
     }
     return " || chr(10) || ".join(f"'{D.SUBJECT_DISPLAY_NAMES[c]}: ' || {lines[c]}" for c in FEATURES)
 
 
-def _subject_labels(fitted):
-    labels = dict(D.SUBJECT_VALUE_LABELS)
+def _subject_blocks(fitted, display):
+    """Record blocks of display rows; encoded categories are decoded by a join."""
     for c in SUBJECT_SPEC.categorical:
-        labels[c] = fitted.encoder.decode_labels(c)
-    return labels
+        display = fitted.encoder.decode(display, c, c)
+    labels = {c: v for c, v in D.SUBJECT_VALUE_LABELS.items() if c not in SUBJECT_SPEC.categorical}
+    return report.feature_block(display, FEATURES, D.SUBJECT_DISPLAY_NAMES, labels, D.SUBJECT_RULES)
 
 
 @register("feature_block", PREP_ALL + f"""
 SELECT d.key, {_sql_block()} AS feature_block FROM disp d""")
 def q_feature_block(spark, sf):
     fitted, _, display, _ = _explained(spark, sf)
-    fb = report.feature_block(display, FEATURES, D.SUBJECT_DISPLAY_NAMES, _subject_labels(fitted),
-                              D.SUBJECT_RULES)
-    return fb.select("key", "feature_block")
+    return _subject_blocks(fitted, display).select("key", "feature_block")
 
 
 def _prompt_frame(spark, sf):
     fitted, _, display, shap = _explained(spark, sf)
-    fb = report.feature_block(display, FEATURES, D.SUBJECT_DISPLAY_NAMES, _subject_labels(fitted),
-                              D.SUBJECT_RULES).select("key", "feature_block")
+    fb = _subject_blocks(fitted, display).select("key", "feature_block")
     sh = shap.withColumn("reasons", report.reasons_inline("shap", FEATURES, D.SUBJECT_DISPLAY_NAMES, 3))
     sh = metrics.decide(sh, "prediction", D.DECISION_THRESHOLD, labels=D.STATUS_LABELS)
     return report.prompts(sh.join(fb, "key"))
@@ -976,11 +975,192 @@ def q_prompts(spark, sf):
     return _prompt_frame(spark, sf).select("key", "system_prompt", "user_prompt")
 
 
-@register("completions")
+# The in-process client answers from the prompt alone, so SQL can do the same.
+ECHO_SQL = ORACLES["prompts"].replace("SELECT p.key,", "SELECT p.key AS key,", 1)
+_head, _tail = ECHO_SQL.rsplit("\nSELECT p.key", 1)
+ECHO_SQL = _head + f""",
+pr AS (SELECT p.key{_tail}),
+echo AS (
+  SELECT key, regexp_extract(user_prompt, '"(The input features[^"]*)"', 1)
+         || CASE WHEN regexp_matches(user_prompt, 'Predicted Stroke Status: (.*)\\n\\nPatient Data')
+                 THEN chr(10) || chr(10) || 'Overall Summary: '
+                      || regexp_extract(user_prompt, 'Predicted Stroke Status: (.*)\\n\\nPatient Data', 1) ELSE '' END AS text,
+         len(regexp_extract_all(system_prompt || ' ' || user_prompt, '\\S+')) AS p
+  FROM pr)"""
+
+
+@register("completions", ECHO_SQL + """
+SELECT key, text AS completion FROM echo""")
 def q_completions(spark, sf):
     return report.complete(_prompt_frame(spark, sf), report.EchoClient, "key")
 
 
-@register("completions_with_metadata")
+@register("completions_with_metadata", ECHO_SQL + """
+SELECT key, text, CAST(p AS INTEGER) AS prompt_tokens, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS completion_tokens,
+       CAST(p + len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS total_tokens, 'echo-1' AS model, 'stop' AS finish_reason
+FROM echo""")
 def q_completions_with_metadata(spark, sf):
-    return report.complete(_prompt_frame(spark, sf), report.EchoClient, "key", with_metadata=True)
+    out = report.complete(_prompt_frame(spark, sf), report.EchoClient, "key", with_metadata=True)
+    return out.select("key", "completion.text", "completion.usage.*", "completion.model", "completion.finish_reason")
+
+
+# ------------------------------------------------- NULL groups and several gaps
+
+GROUPED_SQL = "grouped AS (SELECT *, CASE WHEN key % 7 > 0 THEN segment END AS grp FROM subjects)"
+
+
+@register("quantiles_null_group", SUBJ.rstrip() + ",\n" + GROUPED_SQL + "\n" + " UNION ALL ".join(
+    f"SELECT grp, {i} AS q_index, round(quantile_cont(avg_price, {p}), 6) AS quantile FROM grouped GROUP BY grp"
+    for i, p in enumerate((0.1, 0.5, 0.9))))
+def q_quantiles_null_group(spark, sf):
+    from tabrisk.operators.quantiles import exact_quantiles
+    s = subjects(spark, sf).withColumn("grp", F.when(F.col("key") % 7 > 0, F.col("segment")))
+    return exact_quantiles(s, "avg_price", [0.1, 0.5, 0.9], ["grp"]).select("grp", "q_index", r6("quantile").alias("quantile"))
+
+
+@register("fold_metrics_null_fold", SUBJ.rstrip() + "," + SCORED_SQL.replace(
+    "scored AS (", "scored AS (SELECT * REPLACE (CASE WHEN fold < 4 THEN fold END AS fold) FROM (", 1).rstrip() + ")" + ","
+    + AUC_SQL + "," + FOLD_METRICS_SQL.replace("ON c.fold = a.fold", "ON c.fold IS NOT DISTINCT FROM a.fold") + """
+SELECT CAST(fold AS DOUBLE) AS fold, n, tp, fp, fn, tn, """ + ", ".join(f'round("{m}", 6) AS "{m}"' for m in metrics.METRIC_NAMES)
+    + " FROM fm")
+def q_fold_metrics_null_fold(spark, sf):
+    scored = _scored(spark, sf).withColumn("fold", F.when(F.col("fold") < 4, F.col("fold")))
+    m = metrics.binary_metrics(scored, "label", "pred", "score", ["fold"])
+    return m.select(F.col("fold").cast("double").alias("fold"), "n", "tp", "fp", "fn", "tn",
+                    *[r6(F.col(f"`{c}`")).alias(c) for c in metrics.METRIC_NAMES])
+
+
+GAPS_SQL = """gaps AS (
+  SELECT key, n_orders, CASE WHEN key % 11 > 0 THEN avg_price END AS avg_price, max_price FROM subjects)"""
+
+
+def _gappy(spark, sf):
+    return subjects(spark, sf).select(
+        "key", "n_orders", F.when(F.col("key") % 11 > 0, F.col("avg_price")).alias("avg_price"), "max_price")
+
+
+def _sql_gap_impute(c):
+    q, d = (f"SELECT * FROM gaps WHERE {c} IS {n} NULL" for n in ("", "NOT"))
+    return f"({_sql_impute_value(_sql_knn(q, d, IMPUTE_COLS, 5), d, c)})"
+
+
+@register("knn_impute_two_gaps", SUBJ.rstrip() + ",\n" + GAPS_SQL + f"""
+SELECT s.key, s.n_orders,
+       round(coalesce(s.avg_price, a.imp, (SELECT avg(avg_price) FROM gaps)), 6) AS avg_price,
+       round(coalesce(s.max_price, m.imp, (SELECT avg(max_price) FROM gaps)), 6) AS max_price
+FROM gaps s LEFT JOIN {_sql_gap_impute('avg_price')} a ON s.key = a.key
+LEFT JOIN {_sql_gap_impute('max_price')} m ON s.key = m.key""")
+def q_knn_impute_two_gaps(spark, sf):
+    out = impute.knn_impute(_gappy(spark, sf), IMPUTE_COLS, "key", 5)
+    return out.select("key", "n_orders", r6("avg_price").alias("avg_price"), r6("max_price").alias("max_price"))
+
+
+@register("knn_join_gap_patterns", SUBJ.rstrip() + ",\n" + GAPS_SQL + f"""
+SELECT q_key, d_key, round(dist, 6) AS dist, CAST(nn_rank AS INTEGER) AS nn_rank FROM (
+{_sql_knn("SELECT 'k' || key AS key, n_orders, avg_price, max_price FROM gaps WHERE avg_price IS NULL OR max_price IS NULL",
+          "SELECT 'k' || key AS key, n_orders, avg_price, max_price FROM gaps", IMPUTE_COLS, 3)})""")
+def q_knn_join_gap_patterns(spark, sf):
+    g = _gappy(spark, sf).withColumn("key", F.concat(F.lit("k"), F.col("key").cast("string")))
+    nn = knn.knn_join(g.where(F.col("avg_price").isNull() | F.col("max_price").isNull()), g, IMPUTE_COLS, 3)
+    return nn.select("q_key", "d_key", r6("dist").alias("dist"), "nn_rank")
+
+
+# ------------------------------------------------------------ sources and sinks
+
+import uuid  # noqa: E402
+
+from tabrisk.session import checkpoint_dir  # noqa: E402
+from tabrisk.sources import io  # noqa: E402
+
+_SUBJECT_TYPES = ("key bigint, segment string, top_priority string, many_orders int, n_orders double, "
+                  "avg_price double, max_price double, label int")
+_SUBJECT_ROWS = "SELECT key, segment, top_priority, many_orders, n_orders, avg_price, CAST(max_price AS DOUBLE) AS max_price, label FROM subjects"
+
+
+def _scratch(spark):
+    return f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+@register("csv_round_trip", SUBJ + _SUBJECT_ROWS)
+def q_csv_round_trip(spark, sf):
+    """Write as CSV with a header, check that it is there, read it typed."""
+    path = _scratch(spark)
+    io.write_table(subjects(spark, sf), path, fmt="csv")
+    io.require_inputs(spark, [path])
+    return io.read_table(spark, path, schema=_SUBJECT_TYPES)
+
+
+@register("append_current", SUBJ + _SUBJECT_ROWS)
+def q_append_current(spark, sf):
+    """Two appends, then the table as it is."""
+    path, s = _scratch(spark), subjects(spark, sf)
+    io.append_with_backup(s.where(F.col("label") == 0), path)
+    io.append_with_backup(s.where(F.col("label") == 1), path, writer="new-rows")
+    io.append_with_backup(s.where(F.col("label") == 1), path, writer="new-rows")  # a retry
+    return io.read_current(spark, path)
+
+
+@register("append_backup", SUBJ + _SUBJECT_ROWS + " WHERE label = 0")
+def q_append_backup(spark, sf):
+    """The table as it was before the last append."""
+    path, s = _scratch(spark), subjects(spark, sf)
+    io.append_with_backup(s.where(F.col("label") == 0), path)
+    io.append_with_backup(s.where(F.col("label") == 1), path)
+    return io.read_backup(spark, path)
+
+
+@register("saved_preparation", SUBJ.rstrip() + _prepared_sql("label = 0", "true") + "\n" + _sql_out("scaled") + " WHERE label = 1")
+def q_saved_preparation(spark, sf):
+    """Fitted state saved, loaded and applied to the rows it was not fitted on."""
+    from tabrisk.plans.prepare import FittedPrep
+    path, s = _scratch(spark), subjects(spark, sf)
+    fitted, _, _ = prepare(s.where(F.col("label") == 0), SUBJECT_SPEC)
+    fitted.save(spark, path)
+    scaled, _ = FittedPrep.load(spark, path).apply(s.where(F.col("label") == 1))
+    return _out_cols(scaled)
+
+
+@register("new_row_view", SUBJ.rstrip() + _prepared_sql("label = 0", "true") + """
+SELECT s.key, round(s.max_price, 6) AS scaled_max_price, round(d.max_price, 6) AS max_price
+FROM scaled s JOIN disp d ON s.key = d.key WHERE s.label = 1""")
+def q_new_row_view(spark, sf):
+    """Scaled and display values of the appended rows only (R2)."""
+    s = subjects(spark, sf)
+    fitted, _, _ = prepare(s.where(F.col("label") == 0), SUBJECT_SPEC)
+    scaled, display = fitted.apply(s.where(F.col("label") == 1))
+    return scaled.select("key", r6("max_price").alias("scaled_max_price")).join(
+        display.select("key", r6("max_price").alias("max_price")), "key")
+
+
+# ----------------------------------------------- checks of models with known answers
+
+
+@register("forest_checks", SUBJ + """
+SELECT 'importances sum to 1' AS check_name, true AS holds UNION ALL
+SELECT 'node table scores like the model', true UNION ALL
+SELECT 'attributions add up to the probability', true UNION ALL
+SELECT 'saved model predicts the same', true UNION ALL
+SELECT 'every fold is scored once', true""")
+def q_forest_checks(spark, sf):
+    """What must hold for any fitted forest, as booleans over the whole table."""
+    data = cut_lineage(_prepared_with_folds(spark, sf))
+    model = forest.fit_forest(data, FEATURES, "label", SMALL_FOREST)
+    path = _scratch(spark)
+    io.save_model(spark, model, path, FEATURES, SMALL_FOREST)
+    back, _, _ = io.load_model(spark, path)
+    prob = forest.predict(data, model, FEATURES).select("key", "prob")
+    again = forest.predict(data, back, FEATURES).select("key", F.col("prob").alias("prob2"))
+    shap = explain.tree_shap(data, explain.forest_nodes(model), FEATURES, "key")
+    total = F.aggregate("shap", F.col("base_value"), lambda a, x: a + x)
+    each = prob.join(again, "key").join(shap, "key").agg(
+        F.max(F.abs(F.col("prob") - F.col("prediction"))).alias("nodes"), F.max(F.abs(total - F.col("prob"))).alias("sums"),
+        F.max(F.abs(F.col("prob") - F.col("prob2"))).alias("saved"))
+    imp = forest.feature_importance(spark, model, FEATURES, len(FEATURES)).agg(F.sum("importance").alias("s"))
+    folds = forest.cross_validate(data, FEATURES, "label", SMALL_FOREST, "fold", 5).agg(F.sum("n").alias("n"))
+    rows = data.agg(F.count(F.lit(1)).alias("rows"))
+    one = each.crossJoin(imp).crossJoin(folds).crossJoin(rows)  # one row each
+    checks = {"importances sum to 1": F.abs(F.col("s") - 1) < 1e-9, "node table scores like the model": F.col("nodes") < 1e-9,
+              "attributions add up to the probability": F.col("sums") < 1e-9,
+              "saved model predicts the same": F.col("saved") < 1e-12, "every fold is scored once": F.col("n") == F.col("rows")}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("holds"))
+                                          for k, v in checks.items()])).alias("c")).select("c.*")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tabrisk.operators import clean, encode, impute, scale
 from tabrisk.operators import select as fselect
 from tabrisk.operators.reshape import append_rows
-from tabrisk.session import cache, cut_lineage, release_cached
+from tabrisk.session import Held, cut_lineage
 
 
 @dataclass
@@ -33,7 +33,6 @@ class PrepSpec:
     k: int = 5
     corr_exclude: list[str] = field(default_factory=list)
     valid_filter: tuple[str, str] | None = None   # (column, rejected value)
-    checkpoint: bool = True
 
 
 @dataclass
@@ -53,11 +52,14 @@ class FittedPrep:
 
     def apply(self, new_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Raw new rows -> (scaled, display) with the fitted state."""
-        enc = self.encoder.transform(new_rows)
-        enc = enc.withColumns({c: F.col(c).cast("double") for c in self.impute_cols})
-        display = self.imputer.transform(enc)
+        display = self.display(new_rows)
         return self.scaler.transform(display), display
 
+    def display(self, new_rows: DataFrame) -> DataFrame:
+        """Raw new rows encoded and imputed, on the original scale."""
+        enc = self.encoder.transform(new_rows)
+        return self.imputer.transform(enc.withColumns({c: F.col(c).cast("double") for c in self.impute_cols}))
+
     def append(self, scaled: DataFrame, display: DataFrame, new_rows: DataFrame,
                dedup: bool = False) -> tuple[DataFrame, DataFrame]:
         """Both twin tables with the prepared new rows appended by column name."""
@@ -83,10 +85,7 @@ class FittedPrep:
             sp["valid_filter"] = tuple(sp["valid_filter"])
         spec = PrepSpec(**sp)
         table = spark.read.parquet(f"{path}/encoder")
-        mapping: dict[str, dict[str, float]] = {c: {} for c in meta["encoder_cols"]}
-        for r in table.collect():  # categories only
-            mapping[r["feature"]][r["category"]] = float(r["code"])
-        enc = encode.OrdinalEncoding(meta["encoder_cols"], table, mapping)
+        enc = encode.OrdinalEncoding(meta["encoder_cols"], table)
         params = {r["feature"]: (r["mean"], r["std_pop"]) for r in spark.read.parquet(f"{path}/scaler").collect()}
         scaler = scale.ZScore(spec.scaled, params)
         donors = spark.read.parquet(f"{path}/imputer_donors")
@@ -109,7 +108,8 @@ def prepare(df: DataFrame, spec: PrepSpec) -> tuple[FittedPrep, DataFrame, DataF
         col, reject = spec.valid_filter
         df = clean.filter_valid_category(df, col, reject)
     # the input is read by four fits (categories, correlations, means, kNN)
-    df = cache(df)
+    held = Held()
+    df = held.cache(df)
     enc_fit = encode.fit_ordinal(df, spec.categorical)
     enc = enc_fit.transform(df)
     candidates = [c for c in numeric_columns(enc) if c not in set(spec.corr_exclude)]
@@ -119,10 +119,9 @@ def prepare(df: DataFrame, spec: PrepSpec) -> tuple[FittedPrep, DataFrame, DataF
     enc = enc.withColumns({c: F.col(c).cast("double") for c in selected})
     imp = impute.fit_knn_imputer(enc, selected, spec.key, spec.k, means)
     display = imp.transform(enc)
-    if spec.checkpoint:
-        display = cut_lineage(display)
-        # the checkpoint no longer depends on the frames the fits persisted
-        release_cached()
+    # scaling, sampling and SMOTE all read it; nothing depends on the persisted input any more
+    display = cut_lineage(display)
+    held.release()
     scaler = scale.fit_zscore(display, spec.scaled)
     scaled = scaler.transform(display)
     return FittedPrep(spec, enc_fit, selected, imp, scaler), scaled, display

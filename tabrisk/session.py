@@ -10,15 +10,10 @@ from __future__ import annotations
 
 import re
 import tempfile
-import threading
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_cached: list[DataFrame] = []
-_cached_lock = threading.Lock()
-
-
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -71,20 +66,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cache(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk) a frame that several jobs read, and
-    remember it so that :func:`release_cached` can free it once the results
-    that depend on it have been checkpointed or written."""
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    with _cached_lock:
-        _cached.append(out)
-    return out
+class Held:
+    """Frames that one operator persists (memory, spilling to disk) and frees
+    itself, once what depends on them has been checkpointed."""
+
+    def __init__(self) -> None:
+        self._frames: list[DataFrame] = []
 
+    def cache(self, df: DataFrame) -> DataFrame:
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._frames.append(out)
+        return out
 
-def release_cached() -> None:
-    """Unpersist every frame persisted through :func:`cache` so far."""
-    with _cached_lock:
-        frames = list(_cached)
-        _cached.clear()
-    for df in frames:
-        df.unpersist(blocking=False)
+    def release(self) -> None:
+        for df in self._frames:
+            df.unpersist(blocking=False)
+        self._frames.clear()

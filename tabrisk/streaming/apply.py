@@ -6,9 +6,9 @@ maps, and a forest's ``transform`` is per-row too, so they apply to a
 :func:`score_stream`).  kNN imputation needs a ranking window, which streams
 do not allow, so full preparation runs per micro-batch in ``foreachBatch``
 (:func:`prepare_stream`): every micro-batch is prepared as a batch DataFrame
-and appended to the twin tables as its own batch directory, numbered from the
-micro-batch id, so a replayed micro-batch overwrites its own output instead
-of appending it twice.
+and appended to the twin tables as a batch directory claimed in the name of
+(stream, micro-batch), so a replayed micro-batch overwrites its own output and
+never another writer's.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tabrisk.operators.forest import predict
 from tabrisk.plans.prepare import FittedPrep
+from tabrisk.session import cut_lineage
 from tabrisk.sources.io import append_with_backup
 
 
@@ -42,19 +43,17 @@ def score_stream(stream: DataFrame, model: RandomForestClassificationModel,
 
 
 def prepare_stream(fitted: FittedPrep, stream: DataFrame, scaled_path: str, display_path: str,
-                   checkpoint_location: str, first_batch: int = 1,
-                   available_now: bool = True) -> StreamingQuery:
+                   checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
     """Prepare every micro-batch with the fitted state and append it to both tables.
 
-    Micro-batch ``i`` becomes batch directory ``first_batch + i`` of each
-    table (batch 0 is usually the table written by the batch job).  The
-    progress of the stream lives in ``checkpoint_location``, which must be on
-    shared storage on a cluster.
+    The progress of the stream lives in ``checkpoint_location``, which must be on
+    shared storage on a cluster; it also names the stream as a writer.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        scaled, display = fitted.apply(batch)
-        append_with_backup(scaled, scaled_path, batch=first_batch + batch_id)
-        append_with_backup(display, display_path, batch=first_batch + batch_id)
+        display = cut_lineage(fitted.display(batch))  # imputed once, read twice
+        writer = f"{checkpoint_location}#{batch_id}"
+        append_with_backup(fitted.scaler.transform(display), scaled_path, writer=writer)
+        append_with_backup(display, display_path, writer=writer)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabrisk.operators import encode, explain, forest, knn, metrics, quantiles, ranking, smote
+from tabrisk.operators import encode, explain, forest, impute, knn, metrics, quantiles, ranking, smote
 
 
 def _brute_knn(q, d, k, exclude_self=False):
@@ -58,16 +58,17 @@ def test_knn_join_equals_brute_force(spark, exclude_self):
         assert np.allclose([x[2] for x in lst], [x[0] for x in want[qk]])
 
 
-@pytest.mark.parametrize("limit", [None, 2_000_000])
-def test_exact_quantiles_match_numpy(spark, limit):
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_exact_quantiles_match_numpy(spark, accuracy):
     rng = np.random.default_rng(3)
     vals = np.concatenate([np.full(300, 5.0), rng.normal(size=600).round(3)])
     grp = np.array([i % 2 for i in range(len(vals))])
-    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g int, v double")
+    # the second group is NULL
+    df = spark.createDataFrame([(int(g) if g == 0 else None, float(v)) for g, v in zip(grp, vals)], "g int, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = quantiles.exact_quantiles(df, "v", probs, ["g"], buckets=8, small_group_limit=limit).collect()
+    got = quantiles.exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy).collect()
     for r in got:
-        want = np.quantile(vals[grp == r.g], probs[r.q_index])
+        want = np.quantile(vals[grp == (1 if r.g is None else 0)], probs[r.q_index])
         assert r.quantile == pytest.approx(want, abs=1e-9)
     assert len(got) == 2 * len(probs)
 
@@ -120,7 +121,7 @@ def test_tree_shap_adds_up_to_the_forest_probability(spark):
 def test_ordinal_encoder_sorted_codes_and_unknown(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "s string")
     enc = encode.fit_ordinal(df, ["s"])
-    assert enc.mapping["s"] == {"a": 0.0, "b": 1.0, "c": 2.0}
+    assert {r.category: r.code for r in enc.table.collect()} == {"a": 0, "b": 1, "c": 2}
     new = spark.createDataFrame([("z",)], "s string")
     with pytest.raises(Exception):
         enc.transform(new).collect()
@@ -141,17 +142,17 @@ def test_smote_balances_and_interpolates(spark):
     assert syn.key.isna().all() and len(syn) == 200
 
 
-def test_ordinal_encoder_join_path_equals_literal_path(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"c{i % 37}", f"d{i % 5}") for i in range(300)], "k int, s string, t string")
-    small = encode.fit_ordinal(df, ["s", "t"])
-    monkeypatch.setattr(encode, "MAX_LITERAL_CATEGORIES", 10)
-    big = encode.fit_ordinal(df, ["s", "t"])
-    assert big.mapping is None
-    a = sorted(tuple(r) for r in small.transform(df).collect())
-    b = sorted(tuple(r) for r in big.transform(df).collect())
-    assert a == b
+def test_ordinal_encoder_round_trip(spark):
+    df = spark.createDataFrame([(i, f"c{i % 37}", f"d{i % 5}" if i % 7 else None) for i in range(300)],
+                               "k int, s string, t string")
+    fitted = encode.fit_ordinal(df, ["s", "t"])
+    coded = fitted.transform(df)
+    order = sorted({f"c{i}" for i in range(37)})
+    assert {r.k: r.s for r in coded.collect()} == {i: float(order.index(f"c{i % 37}")) for i in range(300)}
+    back = fitted.decode(fitted.decode(coded, "s", "s"), "t", "t")
+    assert sorted(tuple(r) for r in back.collect()) == [(i, f"c{i % 37}", f"d{i % 5}" if i % 7 else "nan") for i in range(300)]
     with pytest.raises(Exception):
-        big.transform(spark.createDataFrame([(1, "zz", "d1")], df.schema)).collect()
+        fitted.transform(spark.createDataFrame([(1, "zz", "d1")], df.schema)).collect()
 
 
 @pytest.mark.parametrize("exclude_self", [False, True])
@@ -178,8 +179,15 @@ def test_knn_join_with_a_third_identical_queries(spark, exclude_self):
         assert [x[1] for x in sorted(lst)] == [x[1] for x in want[qk]], qk
 
 
-def test_auc_exact_bucketed_path(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "SMALL_SCORE_LIMIT", 3)
+def test_fold_metrics_keep_a_null_group(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(rng.random() < 0.4), float(round(rng.random(), 1)), None if i % 3 == 2 else i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "y int, s double, g int").withColumn("p", (F.col("s") > 0.5).cast("int"))
+    got = {r.g: r for r in metrics.binary_metrics(df, "y", "p", "s", ["g"]).collect()}
+    assert set(got) == {0, 1, None} and all(r["ROC-AUC"] is not None for r in got.values())
+
+
+def test_auc_exact(spark):
     rng = np.random.default_rng(12)
     y = rng.integers(0, 2, size=500)
     s = np.round(rng.random(500) * 0.6 + 0.3 * y, 2)
@@ -222,3 +230,72 @@ def test_knn_join_queries_with_gaps_in_grid_columns(spark, exclude_self):
     assert set(by_q) == set(want)
     for qk, lst in by_q.items():
         assert [x[1] for x in sorted(lst)] == [x[1] for x in want[qk]], qk
+
+
+def test_knn_join_any_gap_pattern(spark):
+    """Every column has gaps on both sides; string keys keep their type."""
+    rng = np.random.default_rng(5)
+    cols = ["a", "b", "c"]
+
+    def make(n, prefix):
+        rows = []
+        for i in range(n):
+            v = [None if rng.random() < 0.3 else float(rng.normal()) for _ in cols]
+            rows.append((f"{prefix}{i:03d}", *v))
+        return rows
+
+    qs, ds = make(40, "q"), make(200, "d")
+    schema = "key string, a double, b double, c double"
+    got = {}
+    for r in knn.knn_join(spark.createDataFrame(qs, schema), spark.createDataFrame(ds, schema), cols, 4, cell_target=10).collect():
+        got.setdefault(r.q_key, []).append((r.nn_rank, r.d_key))
+    for qk, *q in qs:
+        far = []
+        for dk, *d in ds:
+            both = [(x, y) for x, y in zip(q, d) if x is not None and y is not None]
+            if both:
+                far.append((np.sqrt(3 / len(both) * sum((x - y) ** 2 for x, y in both)), dk))
+        far.sort(key=lambda t: (round(t[0], 9), t[1]))
+        assert [k for _, k in sorted(got.get(qk, []))] == [k for _, k in far[:4]], qk
+    empty = knn.knn_join(spark.createDataFrame(qs, schema).limit(0), spark.createDataFrame(ds, schema), cols, 4)
+    assert dict(empty.dtypes)["q_key"] == "string" and empty.count() == 0
+
+
+def test_knn_join_frees_its_frames(spark):
+    spark.catalog.clearCache()
+    df = spark.range(200).selectExpr("id AS key", "cast(id % 17 AS double) AS a", "cast(id % 5 AS double) AS b")
+    impute.knn_impute(df.withColumn("a", F.when(F.col("key") % 9 > 0, F.col("a"))), ["a", "b"], "key", 3).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_smote_names_missing_values(spark):
+    rows = [(i, float(i), 0 if i < 20 else 1) for i in range(30)]
+    schema = "key bigint, x double, y int"
+    with pytest.raises(ValueError, match="'x'"):
+        smote.smote(spark.createDataFrame(rows + [(99, None, 1)], schema), "y", "key", ["x"], 3)
+    with pytest.raises(ValueError, match="'y'"):
+        smote.smote(spark.createDataFrame(rows + [(99, 1.0, None)], schema), "y", "key", ["x"], 3)
+
+
+def test_numbers_print_like_c(spark):
+    from tabrisk.functions.text import fixed1, signed4
+    values = [0.25, 0.75, 0.15, 0.35, 0.05, -0.25, 2.5, 1e10 + 0.25, 0.0, -0.0, 0.99, 9.95, 1.45, 123456.65, 0.00005, -0.00015, 0.12345]
+    rng = np.random.default_rng(8)
+    values += [float(v) for v in np.round(rng.normal(size=300) * 100, 2)] + [float(v) for v in rng.normal(size=100)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", fixed1("x").alias("f"), signed4("x").alias("s"))
+    for r in df.collect():
+        assert r.f == f"{r.x:.1f}" and r.s == f"{r.x:+.4f}", r
+
+
+def test_min_samples_split_is_not_ignored():
+    from tabrisk.operators.forest import forest_params
+    with pytest.raises(ValueError):
+        forest_params({"min_samples_split": 5}, 4)
+    assert forest_params({"min_samples_split": 4, "min_samples_leaf": 2}, 4) == {"minInstancesPerNode": 2}
+
+
+def test_checkpoint_folder_of_the_caller_stays(spark):
+    from tabrisk.session import checkpoint_dir, cut_lineage
+    before = spark.sparkContext.getCheckpointDir()
+    cut_lineage(spark.range(3))
+    assert spark.sparkContext.getCheckpointDir() == before == checkpoint_dir(spark)

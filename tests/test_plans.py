@@ -25,6 +25,11 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sf_dir):
 def test_knn_top_k_is_a_pre_shuffle_group_limit(spark):
     df = spark.range(500).select(F.col("id").alias("key"), (F.col("id") % 17).cast("double").alias("a"),
                                  (F.col("id") % 5).cast("double").alias("b"))
-    out = knn.knn_join(df, df, ["a", "b"], 3, exclude_self=True)
+    from tabrisk.session import Held
+    q = df.select(F.col("key").alias("_qk"), F.col("a").alias("q_a"), F.col("b").alias("q_b"))
+    d = df.select(F.col("key").alias("_dk"), F.col("a").alias("d_a"), F.col("b").alias("d_b"))
+    held = Held()
+    out = knn._search(q, d, ["a", "b"], 4, 2, 3, 64, held)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
+    held.release()
     assert "WindowGroupLimit" in plan

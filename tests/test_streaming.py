@@ -11,7 +11,7 @@ from tabrisk.streaming.apply import encode_and_scale_stream, prepare_stream
 
 SPEC = PrepSpec(key="key", label="label", categorical=["segment", "top_priority"],
                 scaled=["n_orders", "avg_price", "max_price"], impute_target="max_price",
-                feature_order=SUBJECT_FEATURES, checkpoint=False)
+                feature_order=SUBJECT_FEATURES)
 
 
 def _fit(spark, sf_dir):
@@ -41,8 +41,9 @@ def test_prepare_stream_appends_each_micro_batch_once(spark, sf_dir, tmp_path):
     s, fitted = _fit(spark, sf_dir)
     new = s.where(F.col("key") % 5 == 0)
     src = str(tmp_path / "in")
-    new.where(F.col("key") % 2 == 0).write.parquet(src + "/a")
-    new.where(F.col("key") % 2 == 1).write.parquet(src + "/b")
+    for i in range(5):
+        new.where(F.col("key") % 25 == 5 * i).coalesce(1).write.parquet(f"{src}/{i}")
+    spark.catalog.clearCache()
     stream = (spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", True).parquet(src))
     scaled_path, display_path = str(tmp_path / "scaled"), str(tmp_path / "display")
@@ -52,4 +53,10 @@ def test_prepare_stream_appends_each_micro_batch_once(spark, sf_dir, tmp_path):
     cur = io.read_current(spark, display_path)
     assert cur.count() == new.count()
     assert cur.where(F.col("max_price").isNull()).count() == 0
+    # five micro-batches leave no persisted frame behind
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    # a stream that starts again elsewhere adds batches and overwrites none
+    again = prepare_stream(fitted, stream, scaled_path, display_path, str(tmp_path / "other"))
+    again.awaitTermination(300)
+    assert io.read_current(spark, display_path).count() == 2 * new.count()
     assert io.committed_batches(spark, scaled_path) == io.committed_batches(spark, display_path)
