@@ -4,13 +4,13 @@ attribution tables built from them.
 Tree SHAP (path-dependent, no background data) for a leaf with value ``v``
 and the distinct features ``F`` on its path: with ``z_i`` the product of the
 cover ratios of the splits on ``i`` and ``o_i`` whether the row passes all of
-them, the leaf adds ``v (o_j - z_j) sum_k k!(d-k-1)!/d! c_k`` to feature
-``j`` where ``sum_k c_k t^k = prod_{i != j} (z_i + o_i t)`` and ``d = |F|``;
-the base value is ``sum v prod z_i``.  Trees are averaged, as the forest
-averages their class-1 fractions.
+them, the leaf adds ``v (o_j - z_j)`` times the integral over ``t`` in [0, 1] of
+``prod_{i != j} ((1 - t) z_i + t o_i)`` to feature ``j``; the base value is
+``sum v prod z_i``.  Trees are averaged, as the forest averages their class-1
+fractions.
 
-The model is small (its node count is checked); it is broadcast once and the
-rows stay partitioned: ``mapInPandas`` evaluates numpy per Arrow batch.
+The model's size is checked; it is broadcast once and the rows stay
+partitioned: ``mapInPandas`` evaluates numpy per Arrow batch.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from tabrisk.session import checkpoint_dir
 # not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_NODES = 5_000_000  # model-sized payload bound for the broadcast
+MODEL_BYTES = 2 << 30  # bound of the broadcast
+NODE_BYTES = 600       # of a node and its share of the leaf paths
 
 NODE_SCHEMA = ("tree_id int, node_id int, left int, right int, feature int, threshold double, "
                "categories array<double>, num_categories int, value double, cover double")
@@ -93,87 +94,102 @@ def stump_nodes(df: DataFrame, feature: str, feature_index: int, label: str,
     return a.select(F.explode(rows).alias("n")).select("n.*")
 
 
-def _leaf_paths(nodes: list) -> list:
-    """Per tree, per leaf: (value, [(feature, z, [(kind, arg, go_left), ...])...])."""
+def _flat_paths(nodes: list) -> tuple:
+    """All leaf paths of the forest as flat arrays.
+
+    (base value, trees, blocks): a block holds the leaves whose paths have the
+    same number ``m`` of distinct features - values (leaves), features and cover
+    shares (leaves x m) - and per leaf and feature the tests on its path, padded.
+    """
     by_tree: dict[int, dict[int, dict]] = defaultdict(dict)
     for r in nodes:
         by_tree[r["tree_id"]][r["node_id"]] = r
-    trees = []
-    for tid in sorted(by_tree):
-        tn = by_tree[tid]
-        root = min(tn)
-        leaves = []
-        stack = [(root, [])]
+    groups: dict[int, list] = defaultdict(list)
+    base = 0.0
+    for tn in by_tree.values():
+        stack = [(min(tn), {})]
         while stack:
             nid, path = stack.pop()
             nd = tn[nid]
             if nd["left"] is None or nd["left"] < 0:
-                feats: dict[int, list] = {}
-                for f, ratio, cond in path:
-                    z, conds = feats.get(f, (1.0, []))
-                    feats[f] = (z * ratio, conds + [cond])
-                leaves.append((float(nd["value"]), [(f, z, c) for f, (z, c) in feats.items()]))
+                value = float(nd["value"])
+                base += value * math.prod(z for z, _, _ in path.values())
+                groups[len(path)].append((value, path))
                 continue
-            cover = float(nd["cover"]) or 1.0
+            f, cover = int(nd["feature"]), float(nd["cover"]) or 1.0
             cat = nd["num_categories"] is not None and nd["num_categories"] >= 0
-            arg = tuple(nd["categories"] or ()) if cat else float(nd["threshold"])
             for child, go_left in ((nd["left"], True), (nd["right"], False)):
-                ratio = float(tn[child]["cover"]) / cover
-                stack.append((child, path + [(int(nd["feature"]), ratio, (cat, arg, go_left))]))
-        trees.append(leaves)
-    return trees
-
-
-def _shapley_weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
-
-
-def _tree_shap_batch(x: np.ndarray, trees: list, p: int):
-    b = x.shape[0]
-    phi = np.zeros((b, p))
-    pred = np.zeros(b)
-    base = 0.0
-    for leaves in trees:
-        for v, feats in leaves:
-            d = len(feats)
-            if d == 0:
-                pred += v
-                base += v
-                continue
-            o = np.ones((b, d))
-            z = np.empty(d)
-            for i, (f, zi, conds) in enumerate(feats):
-                z[i] = zi
-                ok = np.ones(b, dtype=bool)
-                for cat, arg, go_left in conds:
-                    inside = np.isin(x[:, f], arg) if cat else x[:, f] <= arg
-                    ok &= inside if go_left else ~inside
-                o[:, i] = ok
-            pred += v * o.prod(axis=1)
-            base += v * z.prod()
-            w = _shapley_weights(d)
-            for j in range(d):
-                coef = np.zeros((b, d))
-                coef[:, 0] = 1.0
-                for i in range(d):
-                    if i == j:
-                        continue
-                    shifted = np.zeros_like(coef)
-                    shifted[:, 1:] = coef[:, :-1] * o[:, i:i + 1]
-                    coef = coef * z[i] + shifted
-                phi[:, feats[j][0]] += v * (o[:, j] - z[j]) * (coef @ w)
-    n = max(len(trees), 1)
-    return phi / n, pred / n, base / n
+                z, span, sets = path.get(f, (1.0, (-math.inf, math.inf), ()))
+                if cat:
+                    sets = (*sets, (tuple(nd["categories"] or ()), go_left))
+                elif go_left:
+                    span = (span[0], min(span[1], float(nd["threshold"])))
+                else:
+                    span = (max(span[0], float(nd["threshold"])), span[1])
+                stack.append((child, {**path, f: (z * float(tn[child]["cover"]) / cover, span, sets)}))
+    blocks = []
+    for m, leaves in groups.items():
+        names = [sorted(p) for _, p in leaves]
+        blocks.append((
+            np.array([v for v, _ in leaves]), np.array(names, dtype=np.int32).reshape(len(leaves), m),
+            np.array([[p[f][0] for f in n] for (_, p), n in zip(leaves, names)]).reshape(len(leaves), m),
+            np.array([[p[f][1] for f in n] for (_, p), n in zip(leaves, names)]).reshape(len(leaves), m, 2),
+            {(i, j): p[f][2] for i, ((_, p), n) in enumerate(zip(leaves, names)) for j, f in enumerate(n) if p[f][2]}))
+    return base, max(1, len(by_tree)), blocks
+
+
+ROWS_LEAVES = 200_000  # rows x leaves evaluated at once
+
+
+def _tree_shap_batch(x: np.ndarray, paths: tuple, p: int):
+    """Attributions of a batch of rows.
+
+    The Shapley sum over the subsets of a path's features is the integral over
+    ``t`` in [0, 1] of ``prod((1 - t) z + t o)`` without the feature itself, a
+    polynomial, so Gauss-Legendre quadrature with enough points is exact.  The
+    product without a feature is the whole product divided by its factor, which is
+    above 0 inside the interval: the work is linear in the path length.
+    """
+    base, trees, blocks = paths
+    phi, pred = np.zeros((len(x), p)), np.zeros(len(x))
+    for value, feats, z, span, sets in blocks:
+        m = feats.shape[1]
+        if m == 0:
+            pred += value.sum()
+            continue
+        nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+        nodes, weights = (nodes + 1) / 2, weights / 2
+        step = max(1, ROWS_LEAVES // max(1, len(x)))
+        for a in range(0, len(value), step):
+            v, f, zz = value[a:a + step], feats[a:a + step], z[a:a + step]
+            own = x[:, f]                                        # rows x leaves x m
+            one = (own > span[a:a + step, :, 0]) & (own <= span[a:a + step, :, 1])
+            for (i, j), tests in sets.items():
+                if a <= i < a + step:
+                    for inside, go_left in tests:
+                        one[:, i - a, j] &= np.isin(x[:, feats[i, j]], inside) == go_left
+            pred += one.all(2) @ v
+            total = np.zeros(one.shape)
+            for t, w in zip(nodes, weights):
+                factor = (1 - t) * zz + t * one
+                total += w * factor.prod(2, keepdims=True) / factor
+            total *= v[None, :, None] * (one - zz)
+            flat = f.ravel()
+            order = np.argsort(flat, kind="stable")
+            names, first = np.unique(flat[order], return_index=True)
+            phi[:, names] += np.add.reduceat(total.reshape(len(x), -1)[:, order], first, axis=1)
+    return phi / trees, pred / trees, base / trees
 
 
 def tree_shap(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str) -> DataFrame:
     """``key, base_value, prediction, shap`` (array in feature order) per row."""
     spark = df.sparkSession
+    # a node is under 200 bytes here and a leaf path some hundred: the model, not the data, sets the size
     n_nodes = nodes.count()
-    if n_nodes > MAX_NODES:
-        raise ValueError(f"model has {n_nodes} nodes; above the broadcast bound {MAX_NODES}")
-    trees = _leaf_paths([r.asDict() for r in nodes.collect()])  # model-sized, checked above
-    payload = spark.sparkContext.broadcast(trees)
+    if n_nodes * NODE_BYTES > MODEL_BYTES:
+        raise ValueError(f"a model of {n_nodes} nodes is above the broadcast bound of {MODEL_BYTES} bytes; explain it in "
+                         "parts (attributions of groups of trees, weighted by their number, add up)")
+    payload = spark.sparkContext.broadcast(_flat_paths([r.asDict() for r in nodes.collect()]))
     feats = list(features)
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("base_value", T.DoubleType()),

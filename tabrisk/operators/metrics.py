@@ -15,19 +15,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabrisk.operators.ranking import _cols, hash_rank, join_groups
+from tabrisk.operators.ranking import _cols, hash_rank, join_groups, key_rank
 
 METRIC_NAMES = ["Accuracy", "Precision", "Recall", "F1", "ROC-AUC"]
 SCORE_BUCKETS = 128  # of each group
 
 
 def with_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
-               name: str = "fold") -> DataFrame:
-    """Stratified folds: rank within class in seeded random order, modulo ``k``.
+               name: str = "fold", shuffle: bool = True) -> DataFrame:
+    """Stratified folds: rank within class, modulo ``k``; in seeded random order
+    or, unshuffled, in the order of the key.
 
     Per class the fold sizes differ by at most one.
     """
-    ranked = hash_rank(df, label, key, seed, "fold", "_fold_rank")
+    if shuffle:
+        ranked = hash_rank(df, label, key, seed, "fold", "_fold_rank")
+    else:
+        ranked = key_rank(df, label, key, "_fold_rank")
     return ranked.withColumn(name, (F.col("_fold_rank") % k).cast("int")).drop("_fold_rank")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrisk.functions.rnd import uniform
+from tabrisk.session import cut_lineage
 
 HASH_BITS = 16  # 65,536 hash buckets per group
 
@@ -74,6 +75,16 @@ def hash_rank(df: DataFrame, group_cols, key: str, seed: int, tag: str,
     return out if u_name else out.drop(u_col)
 
 
+def key_rank(df: DataFrame, group_cols, key: str, name: str = "rank", buckets: int = 128) -> DataFrame:
+    """Dense 0-based rank within groups in ascending order of the unique ``key`` (any orderable type).
+
+    Range buckets come from the ends of range partitions: Spark samples the keys,
+    and a bucket is one partition, so no task orders a whole group.
+    """
+    dealt = cut_lineage(df.repartitionByRange(buckets, key).withColumn("_rk_part", F.spark_partition_id()))
+    return rank_in_buckets(dealt, group_cols, F.col("_rk_part"), [F.col(key)], name).drop("_rk_part")
+
+
 def with_row_index(df: DataFrame, key: str, name: str = "row_index",
                    rows_per_bucket: int = 1_000_000, relative_error: float = 1e-4) -> DataFrame:
     """Dense 0..n-1 index in ascending ``key`` order (``key`` unique).

@@ -8,6 +8,7 @@ rows; doubles are rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -552,30 +553,29 @@ def q_diverse_sample(spark, sf):
 SMOTE_FEATURES = ["n_orders", "avg_price", "many_orders"]
 
 
-def _smote_sql():
+def _smote_sql(src="subjects", features=SMOTE_FEATURES):
     u = lambda tag, col: sql_uniform(42, tag, col)
-    m = ("SELECT key, n_orders, avg_price, CAST(many_orders AS DOUBLE) AS many_orders "
-         "FROM subjects WHERE label = 1")
-    nn = _sql_knn(m, m, SMOTE_FEATURES, 6).replace(
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in features)
+    m = f"SELECT key, {cols} FROM {src} WHERE label = 1"
+    nn = _sql_knn(m, m, features, 6).replace(
         "WHERE dist IS NOT NULL", "WHERE dist IS NOT NULL AND q_key <> d_key")
     return f""",
 m AS ({m}),
 nn AS ({nn}),
 ranked AS (SELECT key, row_number() OVER (ORDER BY {u('base:1', 'key')}, key) - 1 AS base_rank FROM m),
-cnt AS (SELECT (SELECT count(*) FROM subjects WHERE label = 0) AS maj, (SELECT count(*) FROM m) AS nmin),
+cnt AS (SELECT (SELECT count(*) FROM {src} WHERE label = 0) AS maj, (SELECT count(*) FROM m) AS nmin),
 slots AS (SELECT unnest(generate_series(0, (SELECT maj - nmin - 1 FROM cnt))) AS slot),
 draws AS (SELECT slot, CAST(floor({u('pick:1', 'slot')} * (SELECT nmin FROM cnt)) AS BIGINT) AS base_rank,
                  CAST(floor({u('nbr:1', 'slot')} * 5) AS INTEGER) AS nn_rank, {u('step:1', 'slot')} AS step
           FROM slots),
 synth AS (
   SELECT 's:1:' || CAST(d.slot AS VARCHAR) AS sample_id, CAST(NULL AS BIGINT) AS key,
-         {", ".join(f"b.{c} + d.step * (x.{c} - b.{c}) AS {c}" for c in SMOTE_FEATURES)},
+         {", ".join(f"b.{c} + d.step * (x.{c} - b.{c}) AS {c}" for c in features)},
          1 AS label, true AS synthetic
   FROM draws d JOIN ranked r ON d.base_rank = r.base_rank JOIN m b ON b.key = r.key
   JOIN nn ON nn.q_key = b.key AND nn.nn_rank = d.nn_rank JOIN m x ON x.key = nn.d_key),
 smoted AS (
-  SELECT 'o:' || CAST(key AS VARCHAR) AS sample_id, key, n_orders, avg_price,
-         CAST(many_orders AS DOUBLE) AS many_orders, label, false AS synthetic FROM subjects
+  SELECT 'o:' || CAST(key AS VARCHAR) AS sample_id, key, {cols}, label, false AS synthetic FROM {src}
   UNION ALL SELECT * FROM synth)"""
 
 
@@ -1164,3 +1164,86 @@ def q_forest_checks(spark, sf):
               "saved model predicts the same": F.col("saved") < 1e-12, "every fold is scored once": F.col("n") == F.col("rows")}
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("holds"))
                                           for k, v in checks.items()])).alias("c")).select("c.*")
+
+
+# ------------------------------------------------------------- training plan
+
+from tabrisk.plans import train as training  # noqa: E402
+
+
+def _training_table(spark, sf):
+    s = subjects(spark, sf)
+    _, scaled, _ = prepare(s, SUBJECT_SPEC)
+    keys = sample.stratified_sample(s, "label", "key", 0.05, 42).select("key")
+    return training.training_table(scaled, keys, "label", "key", FEATURES, 5, 42, ["many_orders"])
+
+
+@register("training_table", SUBJ.rstrip() + _prepared_sql("true", "true") + ",\n" + STRAT_SQL + """,
+rest AS (SELECT * FROM scaled WHERE key NOT IN (SELECT key FROM strat))""" + _smote_sql("rest", FEATURES) + """
+SELECT sample_id, CAST(key AS DOUBLE) AS key, """ + ", ".join(
+    f"CAST(trunc({c}) AS INTEGER) AS {c}" if c == "many_orders" else f"round({c}, 5) AS {c}" for c in FEATURES) + """,
+       label, synthetic FROM smoted""")
+def q_training_table(spark, sf):
+    """Prepared rows without the sampled ones, oversampled on all features (M8, M11, Entry 1 and 2)."""
+    out = _training_table(spark, sf)
+    return out.select("sample_id", F.col("key").cast("double").alias("key"),
+                      *[F.col(c) if c == "many_orders" else F.round(c, 5).alias(c) for c in FEATURES], "label", "synthetic")
+
+
+TRAIN_GRID = {"n_estimators": [10], "max_depth": [3, 5], "max_features": ["sqrt"]}
+
+
+@register("training_checks", """
+SELECT 'best candidate has the highest recall' AS check_name, true AS holds UNION ALL
+SELECT 'every resampled row is scored once', true UNION ALL
+SELECT 'summary is the mean over the folds', true UNION ALL
+SELECT 'classes are equal', true UNION ALL
+SELECT 'sample and training rows are disjoint', true UNION ALL
+SELECT 'within-fold resampling scores original rows only', true""")
+def q_training_checks(spark, sf):
+    """The training plan run on the resampled table, and what must hold of it."""
+    table = cut_lineage(_training_table(spark, sf))
+    got = training.train(table, "label", FEATURES, TRAIN_GRID, path=_scratch(spark))
+    inner = training.train(table, "label", FEATURES, {**TRAIN_GRID, "max_depth": [3]}, resample_within_fold=True, shuffle=False)
+    best = got.grid.agg(F.max("mean_recall").alias("top"),
+                        F.max(F.when(F.col("params") == json.dumps(got.best), F.col("mean_recall"))).alias("best"))
+    folds = got.folds.agg(F.sum("n").alias("n"), F.avg("Recall").alias("recall"))
+    summary = got.summary.select("Recall_mean")
+    counts = table.agg(F.count(F.lit(1)).alias("rows"), F.avg("label").alias("share"),
+                       F.count_if(~F.col("synthetic")).alias("originals"))
+    s = subjects(spark, sf)
+    both = sample.stratified_sample(s, "label", "key", 0.05, 42).select("key").join(table, "key").agg(F.count(F.lit(1)).alias("both"))
+    held = inner.folds.agg(F.sum("n").alias("held"))
+    one = best
+    for part in (folds, summary, counts, both, held):  # one row each
+        one = one.crossJoin(part)
+    checks = {"best candidate has the highest recall": F.col("top") == F.col("best"),
+              "every resampled row is scored once": F.col("n") == F.col("rows"),
+              "summary is the mean over the folds": F.abs(F.col("recall") - F.col("Recall_mean")) < 1e-9,
+              "classes are equal": F.col("share") == 0.5, "sample and training rows are disjoint": F.col("both") == 0,
+              "within-fold resampling scores original rows only": F.col("held") == F.col("originals")}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("holds"))
+                                          for k, v in checks.items()])).alias("c")).select("c.*")
+
+
+def _shap_explained(spark, sf):
+    """Forest SHAP of the prepared rows (E2), the display table and the fitted state."""
+    fitted, scaled, display = prepare(subjects(spark, sf), SUBJECT_SPEC)
+    model = forest.fit_forest(scaled, FEATURES, "label", SMALL_FOREST)
+    return fitted, display, explain.tree_shap(scaled, explain.forest_nodes(model), FEATURES, "key")
+
+
+@register("shap_reasons")
+def q_shap_reasons(spark, sf):
+    _, _, shap = _shap_explained(spark, sf)
+    return explain.top_reasons(shap, "key", FEATURES, 3)
+
+
+@register("shap_prompts")
+def q_shap_prompts(spark, sf):
+    """Prompts whose reasons are the forest's own attributions."""
+    fitted, display, shap = _shap_explained(spark, sf)
+    sh = shap.withColumn("reasons", report.reasons_inline("shap", FEATURES, D.SUBJECT_DISPLAY_NAMES, 3))
+    sh = metrics.decide(sh, "prediction", D.DECISION_THRESHOLD, labels=D.STATUS_LABELS)
+    blocks = _subject_blocks(fitted, display).select("key", "feature_block")
+    return report.prompts(sh.join(blocks, "key")).select("key", "system_prompt", "user_prompt")

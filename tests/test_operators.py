@@ -299,3 +299,52 @@ def test_checkpoint_folder_of_the_caller_stays(spark):
     before = spark.sparkContext.getCheckpointDir()
     cut_lineage(spark.range(3))
     assert spark.sparkContext.getCheckpointDir() == before == checkpoint_dir(spark)
+
+
+def test_tree_shap_closed_form_on_a_depth_two_tree(spark):
+    """A hand-set tree: x <= 0 ? 1 : (y <= 0 ? 2 : 6), covers 4 / 4 split 2 / 2."""
+    rows = [(0, 0, 1, 2, 0, 0.0, [], -1, 0.0, 8.0), (0, 1, -1, -1, -1, None, [], -1, 1.0, 4.0),
+            (0, 2, 3, 4, 1, 0.0, [], -1, 0.0, 4.0), (0, 3, -1, -1, -1, None, [], -1, 2.0, 2.0),
+            (0, 4, -1, -1, -1, None, [], -1, 6.0, 2.0)]
+    nodes = spark.createDataFrame(rows, explain.NODE_SCHEMA)
+    df = spark.createDataFrame([(1, -1.0, -1.0), (2, 1.0, -1.0), (3, 1.0, 1.0), (4, -1.0, 1.0)], "key int, x double, y double")
+    got = {r.key: r for r in explain.tree_shap(df, nodes, ["x", "y"], "key").collect()}
+    f = {1: (1, 1, 3), 2: (2, 4, 1.5), 3: (6, 4, 3.5), 4: (1, 1, 3.5)}  # f(x, y), E[f | x], E[f | y]
+    f[1] = (1, 1, 1.5)  # y <= 0: (1 + 2) / 2; y > 0: (1 + 6) / 2
+    mean = 2.5
+    for key, (both, x, y) in f.items():
+        assert got[key].base_value == pytest.approx(mean)
+        assert got[key].shap[0] == pytest.approx(((x - mean) + (both - y)) / 2)
+        assert got[key].shap[1] == pytest.approx(((y - mean) + (both - x)) / 2)
+        assert got[key].prediction == pytest.approx(both)
+
+
+def test_smote_rows_lie_between_two_rows_of_their_class(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.normal()), float(rng.normal()), int(i < 12)) for i in range(60)]
+    df = spark.createDataFrame(rows, "key bigint, a double, b double, y int")
+    out = smote.smote(df, "y", "key", ["a", "b"], 4).where("synthetic").collect()
+    own = np.array([(a, b) for _, a, b, y in rows if y == 1])
+    assert len(out) == 36
+    for r in out:
+        p = np.array([r.a, r.b])
+        d = own[None, :, :] - own[:, None, :]
+        cross = d[..., 0] * (p[1] - own[:, None, 1]) - d[..., 1] * (p[0] - own[:, None, 0])
+        t = ((p - own[:, None, :]) * d).sum(-1) / np.maximum((d ** 2).sum(-1), 1e-300)
+        assert ((abs(cross) < 1e-9) & (t >= -1e-9) & (t <= 1 + 1e-9)).any()
+
+
+def test_planted_signal_is_found(spark):
+    df = spark.range(600).selectExpr("id AS key", "cast(id % 37 AS double) AS noise", "cast((id * 7919) % 101 AS double) AS signal")
+    df = df.withColumn("y", (F.col("signal") > 92).cast("int"))
+    df = metrics.with_folds(df, "y", "key", 3)
+    model = forest.fit_forest(df.where("fold > 0"), ["noise", "signal"], "y", {"n_estimators": 10, "max_depth": 4})
+    auc = metrics.auc_exact(forest.predict(df.where("fold = 0"), model, ["noise", "signal"]), "y", "prob").first()[0]
+    assert auc > 0.9
+    assert forest.feature_importance(spark, model, ["noise", "signal"]).first()["feature"] == "signal"
+
+
+def test_unshuffled_folds_follow_the_key(spark):
+    df = spark.range(50).selectExpr("id AS key", "cast(id % 2 AS int) AS y").repartition(7)
+    got = {r.key: r.fold for r in metrics.with_folds(df, "y", "key", 5, shuffle=False).collect()}
+    assert got == {k: (k // 2) % 5 for k in range(50)}
