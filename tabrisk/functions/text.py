@@ -58,8 +58,9 @@ def _printf(c: Column, digits: int) -> Column:
     rounded = F.when(up, low + 1).otherwise(low) / unit
     text = F.format_string(f"%.{digits}f", rounded)
     negative = (c < 0) | (c.cast("string") == "-0.0")
-    return F.when(F.abs(c) < 1e11, F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)).otherwise(
+    shown = F.when(F.abs(c) < 1e11, F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)).otherwise(
         F.format_string(f"%.{digits}f", c))
+    return F.when(c.isNotNull(), shown)
 
 
 def fixed1(c: Column | str) -> Column:

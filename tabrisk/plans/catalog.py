@@ -931,6 +931,22 @@ def _sql_block():
     return " || chr(10) || ".join(f"'{D.SUBJECT_DISPLAY_NAMES[c]}: ' || {lines[c]}" for c in FEATURES)
 
 
+SHOWN = ["many_orders", "n_orders", "avg_price", "max_price"]
+
+
+@register("format_values", SUBJ + " UNION ALL ".join(
+    f"SELECT key, '{c}' AS feature, {e} AS shown FROM subjects" for c, e in {
+        "many_orders": "CASE many_orders WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END",
+        "n_orders": "CAST(CAST(trunc(n_orders) AS BIGINT) AS VARCHAR) || ' orders'",
+        "avg_price": "printf('%.1f', avg_price) || ' USD'", "max_price": "printf('%.1f', max_price) || ' USD'"}.items()))
+def q_format_values(spark, sf):
+    """Values of several features in one column, shown by the rule of their feature."""
+    from tabrisk.functions.text import format_value
+    long = subjects(spark, sf).select("key", *[F.col(c).cast("double").alias(c) for c in SHOWN]).unpivot(
+        ["key"], SHOWN, "feature", "value")
+    return long.select("key", "feature", format_value("feature", "value", D.SUBJECT_VALUE_LABELS, D.SUBJECT_RULES).alias("shown"))
+
+
 def _subject_blocks(fitted, display):
     """Record blocks of display rows; encoded categories are decoded by a join."""
     for c in SUBJECT_SPEC.categorical:
@@ -1190,7 +1206,7 @@ def q_training_table(spark, sf):
                       *[F.col(c) if c == "many_orders" else F.round(c, 5).alias(c) for c in FEATURES], "label", "synthetic")
 
 
-TRAIN_GRID = {"n_estimators": [10], "max_depth": [3, 5], "max_features": ["sqrt"]}
+TRAIN_GRID = {"n_estimators": [5], "max_depth": [2, 4], "max_features": ["sqrt"]}
 
 
 @register("training_checks", """
@@ -1203,8 +1219,9 @@ SELECT 'within-fold resampling scores original rows only', true""")
 def q_training_checks(spark, sf):
     """The training plan run on the resampled table, and what must hold of it."""
     table = cut_lineage(_training_table(spark, sf))
-    got = training.train(table, "label", FEATURES, TRAIN_GRID, path=_scratch(spark))
-    inner = training.train(table, "label", FEATURES, {**TRAIN_GRID, "max_depth": [3]}, resample_within_fold=True, shuffle=False)
+    got = training.train(table, "label", FEATURES, TRAIN_GRID, folds=3, path=_scratch(spark))
+    inner = training.train(table, "label", FEATURES, {**TRAIN_GRID, "max_depth": [3]}, folds=2, resample_within_fold=True,
+                           smote_k=3, shuffle=False)
     best = got.grid.agg(F.max("mean_recall").alias("top"),
                         F.max(F.when(F.col("params") == json.dumps(got.best), F.col("mean_recall"))).alias("best"))
     folds = got.folds.agg(F.sum("n").alias("n"), F.avg("Recall").alias("recall"))

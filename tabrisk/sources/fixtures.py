@@ -3,9 +3,9 @@
 ``subjects`` plays the part of the clinical record table: one row per
 customer, categorical, binary, numeric and a rare binary label, with missing
 values injected deterministically (md5 of the key, not a filter: every row is
-kept).  ``documents_labeled`` is the second, text-derived table.
+kept).
 
-Each view has a DuckDB SQL twin (``SUBJECTS_SQL`` ...) used by the oracles.
+It has a DuckDB SQL twin, ``SUBJECTS_SQL``, used by the oracles.
 """
 
 from __future__ import annotations
@@ -83,29 +83,6 @@ subjects AS (
 )"""
 
 
-def documents_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """labels ⋈ documents: language, source, size, word count, toxic label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return labels.join(docs, "doc_id").select(
-        F.col("doc_id").alias("key"),
-        "lang",
-        "source",
-        F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
-        F.col("toxic").cast("int").alias("label"),
-    )
-
-
-DOCUMENTS_LABELED_SQL = """
-documents_labeled AS (
-  SELECT l.doc_id AS key, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars,
-         CAST(len(string_split_regex(trim(d.text), '\\s+')) AS DOUBLE) AS n_words,
-         CAST(l.toxic AS INTEGER) AS label
-  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
-)"""
-
-
 def with_views(*views: str) -> str:
     """``WITH`` prefix for oracle SQL."""
     return "WITH " + ",\n".join(views) + "\n"

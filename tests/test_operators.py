@@ -348,3 +348,22 @@ def test_unshuffled_folds_follow_the_key(spark):
     df = spark.range(50).selectExpr("id AS key", "cast(id % 2 AS int) AS y").repartition(7)
     got = {r.key: r.fold for r in metrics.with_folds(df, "y", "key", 5, shuffle=False).collect()}
     assert got == {k: (k // 2) % 5 for k in range(50)}
+
+
+def test_clinical_micro_table(spark):
+    """Twelve hand-made records: valid categories, missing values, codes and labels, shown values."""
+    from tabrisk.functions import dictionaries as D
+    from tabrisk.functions.text import format_value
+    from tabrisk.operators import clean
+    genders = ["Male", "Female", "Other", " Other ", "", None, "Male", "Female", "Male", "Female", "Female", "Male"]
+    rows = [(i, g, 20.5 + i, 100.25 + i, None if i in (6, 9) else 22.25 + i) for i, g in enumerate(genders)]
+    df = spark.createDataFrame(rows, "id bigint, gender string, age double, avg_glucose_level double, bmi double")
+    kept = clean.filter_valid_category(df, "gender", "Other")
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 3, 6, 7, 8, 9, 10, 11]  # ' Other ' is not 'Other'
+    fitted = encode.fit_ordinal(kept, ["gender"])
+    assert {r.category: r.code for r in fitted.table.collect()} == {" Other ": 0, "Female": 1, "Male": 2}
+    full = impute.knn_impute(kept, ["age", "avg_glucose_level", "bmi"], "id", 2)
+    assert full.where(F.col("bmi").isNull()).count() == 0
+    long = spark.createDataFrame([("bmi", 22.25), ("bmi", None), ("nothing", 9.0)], "feature string, value double")
+    shown = [r[0] for r in long.select(format_value("feature", "value", D.CLINICAL_VALUE_LABELS, D.CLINICAL_RULES)).collect()]
+    assert shown[0].startswith("22.2") and shown[1] is None and shown[2] == "9.0"
