@@ -1,6 +1,5 @@
 """Every registered query with an oracle returns the oracle's rows (DuckDB on
-the same parquet tables), and every query without one runs with a stable
-schema."""
+the same parquet tables)."""
 
 import pytest
 
