@@ -46,12 +46,12 @@ from tabrisk.llm.shared import cut
 
 WORDS = 5
 MIN_PERCENT = 80
-TEXTS_PER_FRAGMENT = 5000
+TEXTS_PER_FRAGMENT = 2500
 CHUNK = 1500          # texts of a candidate group in one chunk
 FRAGMENT_COLUMNS = 2048  # shingles of one fragment when chunks are compared
 LOW = np.uint64((1 << 40) - 1)
-SLICE = 2 << 20
-BLOCK_SHINGLES = 2_000_000
+SLICE = 1 << 20
+BLOCK_SHINGLES = 800_000
 
 _BLOB = "frag int, block bigint, kind int, doc binary, count binary, low binary"
 
