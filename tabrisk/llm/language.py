@@ -140,16 +140,17 @@ def _sample(docs: DataFrame, lang_col: str, text_col: str, where: Column, sample
                     pa.array([(own[a:b] % GRAMS).astype(np.int32) for a, b in zip(cuts, cuts[1:])],
                              pa.list_(pa.int32()))], ["lang", "rank", "grams"])
 
-    # at most ``sample`` keys: a proven bound
+    # at most ``sample`` keys: a proven bound; a text with many copies is one row
     picked = named.join(F.broadcast(drawn.select("_lang", "_hash", "_rank")), ["_lang", "_hash"])
-    return picked.select("_lang", "_rank", "_text").mapInArrow(sets, "lang string, rank int, grams array<int>")
+    once = picked.groupBy("_lang", "_rank").agg(F.min("_text").alias("_text"))
+    return once.mapInArrow(sets, "lang string, rank int, grams array<int>")
 
 
 def fit_language(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str = "text",
                  sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel | None:
     """Fit on the rows of ``docs`` that satisfy ``where``; None without any label."""
-    rows = _sample(docs, lang_col, text_col, where, sample).limit(2 * sample).collect()
-    rows = sorted({(r["rank"], r["lang"]): r for r in rows if r["grams"]}.values(), key=lambda r: (r["rank"], r["lang"]))
+    rows = _sample(docs, lang_col, text_col, where, sample).collect()  # at most ``sample`` rows
+    rows = sorted((r for r in rows if r["grams"]), key=lambda r: (r["rank"], r["lang"]))
     if not rows:
         return None
     sets = [np.array(r["grams"], np.int64) for r in rows]

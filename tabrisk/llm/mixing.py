@@ -117,8 +117,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_c
                     ["d", "hash", "words"])
 
     got = picked.select("_y", F.col("_key").cast("string"), "_text").mapInArrow(
-        sets, "d string, hash string, words binary").limit(2 * sample).collect()
-    got = sorted({(r["d"], r["hash"]): r for r in got}.values(), key=lambda r: (r["d"], r["hash"]))
+        sets, "d string, hash string, words binary").collect()  # at most ``sample`` rows
+    got = sorted(got, key=lambda r: (r["d"], r["hash"]))
     if not got:
         return None
     words = [np.frombuffer(r["words"], np.uint16).astype(np.int64) for r in got]

@@ -229,8 +229,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                     ["y", "hash", "n", "x", "size"])
 
     got = picked.select(F.col("_y").cast("int"), F.col("_key").cast("string"), "_text").mapInArrow(
-        features, "y int, hash string, n bigint, x binary, size binary").limit(2 * sample).collect()
-    got = sorted({(r["y"], r["hash"]): r for r in got}.values(), key=lambda r: (r["y"], r["hash"]))
+        features, "y int, hash string, n bigint, x binary, size binary").collect()  # at most ``sample`` rows
+    got = sorted(got, key=lambda r: (r["y"], r["hash"]))
     label = np.array([r["y"] for r in got])
     if not len(got) or label.min() == label.max():
         return None

@@ -29,11 +29,12 @@ def crc_mod(id_col: str, mod: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, each: int,
                     most_bytes: int) -> DataFrame:
-    """``_y, _key, _text`` of at most ``each`` documents a label.
+    """``_y, _key, _text`` of at most ``each`` documents a label, one row each.
 
     Identifiers and labels are joined and drawn first, in the order of a hash of
     the identifier; the drawn keys (a proven bound) are broadcast to one scan of
-    the texts, so no text but the sample's is moved.  Longer texts are not drawn.
+    the texts, so no text but the sample's is moved.  Longer texts are not drawn;
+    of several texts under one identifier the smallest is taken.
     """
     short = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= most_bytes
     keys = docs.where(short).select(F.col(id_col).alias("_key")).join(
@@ -41,4 +42,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     order = Window.partitionBy("_y").orderBy(F.xxhash64("_key"), "_key")
     drawn = keys.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("_key", "_y")
     texts = docs.where(short).select(F.col(id_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(drawn), "_key").select("_y", "_key", "_text")
+    return texts.join(F.broadcast(drawn), "_key").groupBy("_y", "_key").agg(F.min("_text").alias("_text"))

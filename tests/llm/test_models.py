@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabrisk.llm import context_tree, language, mixing, quality
-from tabrisk.llm.shared import crc_mod
+from tabrisk.llm.shared import crc_mod, labelled_sample
 
 BIG = "/root/testdata/sf0.01"
 
@@ -60,6 +60,31 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 4
 
 
+def test_language_sample_with_many_copies(spark):
+    """A text with thousands of copies is one row of the sample; the others are learnt too."""
+    rows = [(i, "hello there my friend how are you", "en") for i in range(500)]
+    rows += [(1000, "bonjour mon ami comment allez vous", "fr"), (1001, "guten tag mein freund wie geht es", "de")]
+    docs = documents(spark, rows).coalesce(1)
+    got = language._sample(docs, "lang", "text", F.lit(True), 6).collect()
+    assert sorted((r["lang"], r["rank"]) for r in got) == [("de", 1), ("en", 1), ("fr", 1)]
+    model = language.fit_language(docs, F.lit(True), sample=6)
+    assert model.languages == ["de", "en", "fr"]
+    out = language.predict_language(docs, model).select("lang", "lang_pred").distinct().collect()
+    assert sorted(tuple(r) for r in out) == [("de", "de"), ("en", "en"), ("fr", "fr")]
+
+
+def test_labelled_sample_with_many_copies(spark):
+    """One row a drawn identifier, so repetitions cut neither the other documents nor a class."""
+    rows = [(1, "The same good text.", 1)] * 500 + [(2, "Other\nlines", 0), (2, "Another text", 0), (3, "x y z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").coalesce(1)
+    got = labelled_sample(docs, docs, "doc_id", "text", "quality", 2, 1 << 20).collect()
+    assert sorted((r["_y"], r["_key"], r["_text"]) for r in got) == [
+        (0, 2, "Another text"), (1, 1, "The same good text."), (1, 3, "x y z")]
+    assert quality.fit_quality(docs, docs, sample=4) is not None
+    labels = docs.select("doc_id", F.col("quality").cast("string").alias("domain"))
+    assert mixing.fit_domains(docs, labels, ["0", "1"], sample=4).bias.shape == (2,)
+
+
 # ---- quality ----
 
 def enumerate_marginals(emit, change, begin):
