@@ -205,10 +205,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str
         "_row.*", F.col("_lang").alias(lang_name), F.col("_score").alias(score_name))
 
 
-def keep_identified(docs: DataFrame, where: Column, least: float = 0.4) -> DataFrame:
-    """The rows whose language is recognised: with letters, and a score of at
-    least ``least`` (far below what any text of a known language gets)."""
-    found = _predicted(docs, fit_language(docs, where), "text")
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)).select("_row.*")
-
-
+def keep_identified(docs: DataFrame, where: Column) -> DataFrame:
+    """The rows whose language is recognised: all that have a letter, however short."""
+    return _predicted(docs, fit_language(docs, where), "text").where(
+        F.col("_lang") != UNDETERMINED).select("_row.*")

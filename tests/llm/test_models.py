@@ -73,6 +73,16 @@ def test_language_sample_with_many_copies(spark):
     assert sorted(tuple(r) for r in out) == [("de", "de"), ("en", "en"), ("fr", "fr")]
 
 
+def test_language_keeps_short_texts_of_many_languages(spark):
+    """Every lettered text of a learned language stays, whatever its length and the number of languages."""
+    words = ["hello", "bonjour", "guten", "hola", "ciao", "merhaba", "ahoj", "szia", "tere", "labas"]
+    rows = [(10 * i + j, f"{w} {x}", f"l{i}") for i, w in enumerate(words) for j, x in enumerate(("a", "b"))]
+    short = [(1000 + i, t, f"l{i % 10}") for i, t in enumerate(["Avec.", "De.", "x", "q!", "Die tz.", "o"])]
+    docs = documents(spark, rows + short + [(2000, "12 !", "l0"), (2001, None, "l0")])
+    kept = {r.doc_id for r in language.keep_identified(docs, F.col("doc_id") < 1000).collect()}
+    assert kept == {r[0] for r in rows + short}
+
+
 def test_labelled_sample_with_many_copies(spark):
     """One row a drawn identifier, so repetitions cut neither the other documents nor a class."""
     rows = [(1, "The same good text.", 1)] * 500 + [(2, "Other\nlines", 0), (2, "Another text", 0), (3, "x y z", 1)]
