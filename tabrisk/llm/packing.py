@@ -12,8 +12,10 @@ is evolved on several islands, one task each, from different seeds.  After a
 round each island keeps its elites and sends its best to the next island of
 the shard, as a row; the next round starts from both.  The best solution of a
 shard is then taken.  Bins that a shard could not fill are dissolved and
-packed again together with those of other shards, level by level, until one
-shard is left, so the loss does not grow with the number of shards.
+packed again together with those of other shards, level by level, until what
+is left fits one shard.  If the lengths do not allow fuller bins, a level
+changes little; the bins are then accepted, and only those at most half full
+are packed on, as whole items.  No level has larger shards than the first.
 
 Defined results: items of full capacity or more than it are the caller's to
 cut (:func:`document_pieces` does); items of length 0 take no room and go to
@@ -41,6 +43,8 @@ ROUNDS = 2
 CHILDREN = 16        # crossovers of an island in one round
 ELITES = 3
 LOW_FILL = 0.98      # bins below this are packed again with other shards'
+FEWER_ITEMS = 0.75   # a level that leaves more of its items than this ...
+FEWER_BINS = 0.99    # ... and more of the bins they were in than this ends the levels
 
 
 def _best_fit(lengths: np.ndarray, items: np.ndarray, fills: list[int], assign: np.ndarray, capacity: int) -> None:
@@ -135,7 +139,7 @@ def _seed(*parts) -> np.random.Generator:
 
 
 def _evolve_shards(items: DataFrame, capacity: int, islands: int, rounds: int, seed: int) -> DataFrame:
-    """``item, length, _shard, _bin, _at`` for ``item, length, _shard``."""
+    """``item, length, _shard, _bin, _at, _fill, _first`` for ``item, length, _shard``; one row of a bin is ``_first``."""
     schema = "_shard bigint, _island int, _rank int, _score double, _assign binary"
     dealt = items.withColumn("_island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
     elites = items.sparkSession.createDataFrame([], schema)
@@ -165,33 +169,52 @@ def _evolve_shards(items: DataFrame, capacity: int, islands: int, rounds: int, s
         own["_bin"] = np.frombuffer(best["_assign"].iloc[0], np.int32).astype(np.int64)
         own["_at"] = own.groupby("_bin")["length"].cumsum() - own["length"]
         own["_fill"] = own.groupby("_bin")["length"].transform("sum")
-        return own[["item", "length", "_shard", "_bin", "_at", "_fill"]]
+        own["_first"] = ~own["_bin"].duplicated()
+        return own[["item", "length", "_shard", "_bin", "_at", "_fill", "_first"]]
 
-    return (items.groupBy("_shard").cogroup(best.groupBy("_shard"))
-            .applyInPandas(place, "item bigint, length bigint, _shard bigint, _bin bigint, _at bigint, _fill bigint"))
+    return (items.groupBy("_shard").cogroup(best.groupBy("_shard")).applyInPandas(
+        place, "item bigint, length bigint, _shard bigint, _bin bigint, _at bigint, _fill bigint, _first boolean"))
 
 
 def pack(items: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS,
-         rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+         rounds: int = ROUNDS, seed: int = 0, level: int = 0) -> DataFrame:
     """``item, length`` (unique items, lengths up to ``capacity``) -> ``item,
-    sequence_id, offset``; offsets of a sequence are gapless from 0."""
+    sequence_id, offset``; offsets of a sequence are gapless from 0.  Sequences
+    are numbered from ``level`` on."""
     todo = items.select(F.col("item").cast("bigint").alias("item"), F.col("length").cast("bigint").alias("length"))
-    done, level = None, 0
-    shards = max(1, -(-todo.count() // shard_items))
+    out = "item", "sequence_id", F.col("_at").alias("offset")
+    low, half = F.col("_fill") < LOW_FILL * capacity, 2 * F.col("_fill") <= capacity
+    done, left, bins = None, todo.count(), None
     while True:
+        shards = max(1, -(-left // shard_items))
         dealt = todo.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + level), "item"), F.lit(shards)))
         placed = cut(_evolve_shards(dealt, capacity, islands, rounds, seed + level))
         placed = placed.withColumn("sequence_id", F.lit(level << 56) + F.shiftleft("_shard", 20) + F.col("_bin"))
-        last = shards == 1
-        full = placed if last else placed.where(F.col("_fill") >= LOW_FILL * capacity)
-        full = full.select("item", "sequence_id", F.col("_at").alias("offset"))
+        level += 1
+        first, before = F.col("_first"), left
+        left, used, low_bins, half_bins = placed.agg(
+            F.count_if(low), F.count_if(first), F.count_if(first & low), F.count_if(first & half)).first()
+        # a level goes on with a quarter fewer items, or with a hundredth fewer bins than best fit's
+        # few per cent above the bound, so the number of levels is bounded by the logarithm of the items
+        ends = bins is not None and left > FEWER_ITEMS * before and used > FEWER_BINS * bins
+        if shards == 1 or not left:
+            full = placed.select(*out)
+        elif not ends:
+            full = placed.where(~low).select(*out)
+        elif half_bins > 1 and 2 * half_bins <= before:
+            # best fit leaves about one such bin a shard; they go on as items
+            whole = pack(placed.where(half & first).select(F.col("sequence_id").alias("item"), F.col("_fill").alias("length")),
+                         capacity, shard_items, islands, rounds, seed, level)
+            moved = placed.where(half).select("item", F.col("sequence_id").alias("_from"), "_at").join(
+                whole.withColumnRenamed("item", "_from"), "_from")
+            full = placed.where(~half).select(*out).unionByName(
+                moved.select("item", "sequence_id", (F.col("offset") + F.col("_at")).alias("offset")))
+        else:
+            full = placed.select(*out)
         done = full if done is None else done.unionByName(full)
-        if last:
+        if shards == 1 or not left or ends:
             return done
-        todo = placed.where(F.col("_fill") < LOW_FILL * capacity).select("item", "length")
-        # at least half as many shards go on, so the levels are bounded by log2(shards)
-        shards = min(-(-shards // 2), max(1, -(-todo.count() // shard_items)))
-        level += 1
+        todo, bins = placed.where(low).select("item", "length"), low_bins
 
 
 def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id",

@@ -222,6 +222,31 @@ def test_pack_levels_reach_the_bound(spark):
     assert packing.pack(items.limit(0), 1000).count() == 0
 
 
+@pytest.mark.parametrize("lengths, capacity, most", [
+    (np.random.default_rng(2).integers(1400, 2001, 300), 4096, 155),  # two a bin, none is filled
+    (np.ones(300, int), 100, 5),                                      # a shard does not fill a bin
+    (np.random.default_rng(3).integers(2049, 4013, 200), 4096, 200)])
+def test_pack_keeps_shards_bounded(spark, monkeypatch, lengths, capacity, most):
+    """Lengths that cannot be packed to LOW_FILL do not end in one shard."""
+    sizes, evolve = [], packing._evolve_shards
+
+    def measured(items, *rest):
+        sizes.extend(r["count"] for r in items.groupBy("_shard").count().collect())
+        return evolve(items, *rest)
+
+    monkeypatch.setattr(packing, "_evolve_shards", measured)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item bigint, length bigint")
+    got = packing.pack(items, capacity, shard_items=40).toPandas().set_index("item").sort_index()
+    assert max(sizes) <= 80
+    assert got.index.tolist() == list(range(len(lengths)))
+    got["length"] = lengths
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["length"].sum() <= capacity
+        assert (own["offset"] == own["length"].cumsum() - own["length"]).all()
+    assert got["sequence_id"].nunique() <= most
+
+
 def test_pack_documents_pieces(spark):
     rows = ROWS + [(500, "word " * 9000)]
     got = packing.pack_documents(documents(spark, rows), VOCABULARY, 1, 512).toPandas()
