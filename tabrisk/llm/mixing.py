@@ -8,11 +8,11 @@
 
        1/2 sum_k (sum_d r_d t_d p_dk - T_k)^2 / (N q_k)  +  ridge/2 sum_d t_d (r_d - 1)^2
 
-   (``N`` all tokens, ``q_k`` the domain's share now), by projected gradient
-   steps.  The gradient at a document needs only the ``k`` residuals, so a step
-   is one sum over the table, with the previous step folded into the same
-   expression; the rates live in the table and never leave the executors.  In
-   this scaling the curvature is at most ``1 + ridge``, which fixes the step.
+   (``N`` all tokens, ``q_k`` the domain's share now).  At the minimum ``r_d``
+   is ``max(0, 1 - g . p_d / ridge)`` with one number ``g_k`` a domain, the
+   domain's miss over ``q_k``.  These few numbers are the zero of the gradient
+   of a strictly convex function, found by damped Newton steps; a step is one
+   sum over the table, and an unfinished search is an error.
 3. The rate becomes a number of copies by ``floor(rate + u)`` with ``u`` a hash
    of identifier and text, so expected totals are kept and a retried task draws
    alike.
@@ -40,10 +40,9 @@ SAMPLE = 4000          # labelled documents used to fit, all domains together
 SAMPLE_BYTES = 4 << 20  # a longer single text is not drawn into the sample
 BUCKETS = 1 << 15      # hashed words
 FIT_STEPS = 60
-STEPS = 80             # gradient steps at most
-TOLERANCE = 1e-6       # of the change of the domain totals, as a share of all tokens
+STEPS = 80             # sums over the table at most
+TOLERANCE = 1e-6       # of the residual of the domain totals, as a share of all tokens
 RIDGE = 1e-3
-FOLDED = 6             # steps folded into one expression before the rates are written
 SLICE = 2 << 20
 
 
@@ -159,27 +158,49 @@ def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE
               tolerance: float = TOLERANCE) -> DataFrame:
     """Append ``rate``: ``targets`` are wanted tokens per domain, as multiples of all tokens now."""
     names = [f"p{i}" for i in range(len(targets))]
-    table = cut(members.withColumn("rate", F.lit(1.0)))
+    table = cut(members)
     total, *now = table.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col(p)) for p in names]).first()
     if not total:
-        return table
-    share = [max((x or 0.0) / total, 1e-9) for x in now]
-    step = 1 / (1 + ridge)
-    totals = [(x or 0.0) / total for x in now]
-    rate = F.col("rate")
-    for number in range(steps):
-        pull = [(x - t) / q for x, t, q in zip(totals, targets, share)]
-        slope = sum((F.lit(float(g)) * F.col(p) for g, p in zip(pull, names)), F.lit(0.0)) + F.lit(ridge) * (rate - 1)
-        rate = F.greatest(F.lit(0.0), rate - F.lit(step) * slope)
-        if number % FOLDED == FOLDED - 1:
-            table = cut(table.withColumn("rate", rate))
-            rate = F.col("rate")
-        weight = rate * F.col("n_tokens")
-        before, totals = totals, [(x or 0.0) / total for x in table.agg(
-            *[F.sum(weight * F.col(p)) for p in names]).first()]
-        if max(abs(a - b) for a, b in zip(before, totals)) < tolerance:
+        return table.withColumn("rate", F.lit(1.0))
+    # a domain that no document belongs to has no say
+    some = [i for i, x in enumerate(now) if x]
+    share = np.array([max(now[i] / total, 1e-9) for i in some])
+    wanted = np.array([targets[i] for i in some], float)
+    p = [F.col(names[i]) for i in some]
+
+    def rate(g: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), 1 - sum((F.lit(float(x)) * c for x, c in zip(g, p)), F.lit(0.0)) / ridge)
+
+    pairs = [(i, j) for i in range(len(p)) for j in range(i + 1)]
+
+    def at(g: np.ndarray):
+        """Value, gradient and curvature of the dual function."""
+        r, weight = rate(g), F.col("n_tokens") / F.lit(float(total))
+        moves = F.when(r > 0, weight).otherwise(0.0)
+        got = table.agg(F.sum(weight * r * r), *[F.sum(weight * r * c) for c in p],
+                        *[F.sum(moves * p[i] * p[j]) for i, j in pairs]).first()
+        curve = np.diag(share)
+        for (i, j), x in zip(pairs, got[1 + len(p):]):
+            curve[i, j] += x / ridge
+            curve[j, i] = curve[i, j]
+        return (share * g * g).sum() / 2 + wanted @ g + ridge / 2 * got[0], share * g + wanted - np.array(got[1:1 + len(p)]), curve
+
+    g = np.zeros(len(p))
+    value, slope, curve = at(g)
+    move, size = np.linalg.solve(curve, -slope), 1.0
+    for _ in range(steps - 1):
+        if abs(slope).max() < tolerance:
             break
-    return table.withColumn("rate", rate)
+        tried = at(g + size * move)
+        if tried[0] <= value + 1e-4 * size * (slope @ move) or abs(tried[1]).max() < abs(slope).max():
+            g = g + size * move
+            value, slope, curve = tried
+            move, size = np.linalg.solve(curve, -slope), 1.0
+        else:
+            size /= 2
+    if not abs(slope).max() < tolerance:
+        raise RuntimeError(f"rates not found in {steps} sums: residual {abs(slope).max():.3g} of all tokens")
+    return table.withColumn("rate", rate(g))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], size: float | None = 1.0,

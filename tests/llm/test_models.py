@@ -179,6 +179,28 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert np.allclose(((r * s)[:, None] * p).sum(0), targets, atol=0.02)
 
 
+def test_rates_converge_with_soft_posteriors(spark):
+    """Production settings, calibrated posteriors that are right in about three of four cases."""
+    rng = np.random.default_rng(3)
+    now, targets = np.array([0.6, 0.25, 0.15]), np.array([0.90, 0.07, 0.03])
+    y = rng.choice(3, 600, p=now)
+    x = np.eye(3)[y] + 0.8 * rng.standard_normal((600, 3))
+    p = now * np.exp(x / 0.64)
+    p /= p.sum(1, keepdims=True)
+    t = rng.integers(1, 500, 600)
+    frame = spark.createDataFrame([(int(n), *map(float, q)) for n, q in zip(t, p)],
+                                  "n_tokens bigint, p0 double, p1 double, p2 double")
+    got = mixing.fit_rates(frame, list(targets)).toPandas()
+    q = got[["p0", "p1", "p2"]].to_numpy()
+    s = got.n_tokens.to_numpy() / t.sum()
+    share, r = (s[:, None] * q).sum(0), np.ones(600)
+    for _ in range(30000):
+        r = np.maximum(0, r - (q @ (((s * r) @ q - targets) / share) + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE))
+    assert np.allclose((s * got.rate.to_numpy()) @ q, (s * r) @ q, atol=1e-4)
+    with pytest.raises(RuntimeError, match="residual"):
+        mixing.fit_rates(frame, list(targets), steps=2)
+
+
 def test_rates_edges(spark):
     frame, _, _ = members(spark, 5)
     assert mixing.fit_rates(frame.limit(0), [0.5, 0.3, 0.2]).count() == 0
