@@ -328,7 +328,7 @@ def _compare(min_percent: int):
         place = np.cumsum(often) - 1
         doc, at = doc[often[at]], place[at[often[at]]]
         a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        overlap = np.zeros((len(a), len(b)), np.float32)
+        overlap = np.zeros((len(a), len(b)), np.int64)
         spot = np.full(len(row), -1)
         for begin in range(0, int(often.sum()), FRAGMENT_COLUMNS):
             here = (at >= begin) & (at < begin + FRAGMENT_COLUMNS)
@@ -340,7 +340,7 @@ def _compare(min_percent: int):
                 part = np.zeros((len(own), FRAGMENT_COLUMNS), np.float32)
                 part[spot[doc[mine]], at[mine] - begin] = 1
                 parts.append(part)
-            overlap += parts[0] @ parts[1].T
+            overlap += (parts[0] @ parts[1].T).astype(np.int64)  # a fragment's counts are exact in float32
         total = n[a][:, None] + n[b][None, :] - overlap
         hit = 100 * overlap >= min_percent * total
         hit &= row[a][:, None] != row[b][None, :]

@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tabrisk.llm import ngram_join
 from tabrisk.llm.components import connected_components
 from tabrisk.llm.embeddings import learn_rotations, near_duplicates, tables_for
 from tabrisk.llm.exact_dedup import drop_copies, exact_dedup
@@ -258,3 +260,15 @@ def test_tables_follow_the_size():
     assert tables_for(10)[0] == 4
     assert tables_for(10 ** 6)[0] == 14
     assert tables_for(10 ** 6)[1] > tables_for(10 ** 4)[1]
+
+
+def test_threshold_is_exact_for_millions_of_shared_shingles(monkeypatch):
+    """A pair exactly at 80 %, where 100 times the overlap is no float32."""
+    monkeypatch.setattr(ngram_join, "FRAGMENT_COLUMNS", 1 << 20)  # few turns
+    m = 671089
+    common, n = 4 * m, (3019900, 3019901)
+    lists = [np.concatenate([np.arange(common), np.arange(common, k) + (i << 32)]) for i, k in enumerate(n)]
+    assert 100 * common == 80 * (sum(n) - common)
+    table = pa.table({"i": [0, 0], "j": [0, 0], "chunk": [0, 0], "n": list(n), "row": [3, 7],
+                      "shared": pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate(lists))})
+    assert len(ngram_join._compare(80)(table)) == 1
