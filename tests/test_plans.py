@@ -33,3 +33,18 @@ def test_knn_top_k_is_a_pre_shuffle_group_limit(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     held.release()
     assert "WindowGroupLimit" in plan
+
+
+def test_registered_grid_has_distinct_candidates(monkeypatch):
+    """No two candidates of the registered search map to the same forest."""
+    import json
+
+    from tabrisk.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog, "_prepared_with_folds", lambda spark, sf: None)
+    monkeypatch.setattr(catalog.forest, "grid_search", lambda *a, **k: (seen.append(a[4]), None))
+    catalog.q_grid_search(None, None)
+    candidates = catalog.forest.expand_grid(seen[0])
+    mapped = {json.dumps(catalog.forest.forest_params(c, len(catalog.FEATURES)), sort_keys=True) for c in candidates}
+    assert len(mapped) == len(candidates) > 2
