@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabrisk.llm.context_tree import context_tree_scores
+from tabrisk.llm.conversations import damage, repair_digest
 from tabrisk.llm.embeddings import near_duplicates
 from tabrisk.llm.exact_dedup import exact_dedup
 from tabrisk.llm.language import fit_language, predict_language
@@ -104,3 +105,9 @@ def op10_lm_scores(spark, sf_dir):
     out = context_tree_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                       "base_score", "score", "n_bytes")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    convs = table(spark, sf_dir, "conversations")
+    return repair_digest(damage(convs), convs)
