@@ -15,9 +15,11 @@ from tabrisk.llm.ngram_join import ngram_components
 from tabrisk.llm.packing import pack_documents
 from tabrisk.llm.quality import fit_quality, score_quality
 from tabrisk.llm.shared import crc_mod, table
+from tabrisk.llm.suffix_index import remove_repeats
 from tabrisk.llm.token_counts import token_counts
 from tabrisk.llm.token_files import token_file_digest
 from tabrisk.llm.tokens import vocabulary
+from tabrisk.llm.whitening import whiten
 
 QUERIES = {}
 ORACLES = {}
@@ -107,6 +109,18 @@ def op10_lm_scores(spark, sf_dir):
                       "base_score", "score", "n_bytes")
 
 
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_suffix_array_dedup")
+def op12_suffix_array_dedup(spark, sf_dir):
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op13_conversation_repair")
 def op13_conversation_repair(spark, sf_dir):
     convs = table(spark, sf_dir, "conversations")
