@@ -50,7 +50,7 @@ from tabrisk.llm.shared import cut
 LENGTH = 100
 BATCHES = 4                  # batches a whole table is added in
 CHUNK = 1 << 20              # bytes hashed at once
-FLUSH = 1 << 20              # entries a task holds before it sends them
+FLUSH = 1 << 19              # entries a task holds before it sends them
 FRAGMENT_BYTES = 16 << 20    # text bytes behind a fragment, and in a bucket
 WIDE = 5_000                 # entries of one anchor that are compared in one group
 
