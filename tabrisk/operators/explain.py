@@ -9,63 +9,29 @@ them, the leaf adds ``v (o_j - z_j)`` times the integral over ``t`` in [0, 1] of
 ``sum v prod z_i``.  Trees are averaged, as the forest averages their class-1
 fractions.
 
-The model's size is checked; it is broadcast once and the rows stay
-partitioned: ``mapInPandas`` evaluates numpy per Arrow batch.
+Leaf paths are packed by groups of trees and meet the rows in
+``nodes.sum_over_trees``: broadcast if they are one group of bounded size, else
+joined with blocks of rows, the partial attributions summed.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-import uuid
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabrisk.session import checkpoint_dir
+from tabrisk.operators.nodes import GROUP_BYTES, NODE_SCHEMA, ROWS_PER_BLOCK, forest_nodes, sum_over_trees
 
 # Functions that run in Python workers are shipped by value, so executors do
 # not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODEL_BYTES = 2 << 30  # bound of the broadcast
-NODE_BYTES = 600       # of a node and its share of the leaf paths
-
-NODE_SCHEMA = ("tree_id int, node_id int, left int, right int, feature int, threshold double, "
-               "categories array<double>, num_categories int, value double, cover double")
-
-
-def forest_nodes(model) -> DataFrame:
-    """The forest as a node table (``NODE_SCHEMA``), read from its saved form.
-
-    The model is written under the session's checkpoint folder (shared
-    storage on a cluster) and its parquet node data read back as a DataFrame.
-    """
-    spark = SparkSession.active()
-    path = f"{checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
-    model.write().save(path)
-    raw = spark.read.parquet(f"{path}/data")
-    nd = F.col("nodeData")
-    stats = nd["impurityStats"]
-    total = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
-    pos = F.coalesce(F.try_element_at(stats, F.lit(2)), F.lit(0.0))
-    return raw.select(
-        F.col("treeID").cast("int").alias("tree_id"), nd["id"].alias("node_id"),
-        nd["leftChild"].alias("left"), nd["rightChild"].alias("right"),
-        nd["split"]["featureIndex"].alias("feature"),
-        F.try_element_at(nd["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"),
-        nd["split"]["leftCategoriesOrThreshold"].alias("categories"),
-        nd["split"]["numCategories"].alias("num_categories"),
-        F.when(total > 0, pos / total).otherwise(F.lit(0.0)).alias("value"),
-        total.alias("cover"))
-
-
 def stump_nodes(df: DataFrame, feature: str, feature_index: int, label: str,
                 threshold: Column) -> DataFrame:
     """A one-split tree fitted by aggregation: leaf values are class-1 shares.
@@ -95,9 +61,9 @@ def stump_nodes(df: DataFrame, feature: str, feature_index: int, label: str,
 
 
 def _flat_paths(nodes: list) -> tuple:
-    """All leaf paths of the forest as flat arrays.
+    """All leaf paths of some trees as flat arrays.
 
-    (base value, trees, blocks): a block holds the leaves whose paths have the
+    (base value, blocks): a block holds the leaves whose paths have the
     same number ``m`` of distinct features - values (leaves), features and cover
     shares (leaves x m) - and per leaf and feature the tests on its path, padded.
     """
@@ -135,14 +101,14 @@ def _flat_paths(nodes: list) -> tuple:
             np.array([[p[f][0] for f in n] for (_, p), n in zip(leaves, names)]).reshape(len(leaves), m),
             np.array([[p[f][1] for f in n] for (_, p), n in zip(leaves, names)]).reshape(len(leaves), m, 2),
             {(i, j): p[f][2] for i, ((_, p), n) in enumerate(zip(leaves, names)) for j, f in enumerate(n) if p[f][2]}))
-    return base, max(1, len(by_tree)), blocks
+    return base, blocks
 
 
 ROWS_LEAVES = 200_000  # rows x leaves evaluated at once
 
 
 def _tree_shap_batch(x: np.ndarray, paths: tuple, p: int):
-    """Attributions of a batch of rows.
+    """Attributions, prediction and base value of a batch of rows, summed over the trees.
 
     The Shapley sum over the subsets of a path's features is the integral over
     ``t`` in [0, 1] of ``prod((1 - t) z + t o)`` without the feature itself, a
@@ -150,7 +116,7 @@ def _tree_shap_batch(x: np.ndarray, paths: tuple, p: int):
     product without a feature is the whole product divided by its factor, which is
     above 0 inside the interval: the work is linear in the path length.
     """
-    base, trees, blocks = paths
+    base, blocks = paths
     phi, pred = np.zeros((len(x), p)), np.zeros(len(x))
     for value, feats, z, span, sets in blocks:
         m = feats.shape[1]
@@ -178,35 +144,19 @@ def _tree_shap_batch(x: np.ndarray, paths: tuple, p: int):
             order = np.argsort(flat, kind="stable")
             names, first = np.unique(flat[order], return_index=True)
             phi[:, names] += np.add.reduceat(total.reshape(len(x), -1)[:, order], first, axis=1)
-    return phi / trees, pred / trees, base / trees
-
-
-def tree_shap(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str) -> DataFrame:
-    """``key, base_value, prediction, shap`` (array in feature order) per row."""
-    spark = df.sparkSession
-    # a node is under 200 bytes here and a leaf path some hundred: the model, not the data, sets the size
-    n_nodes = nodes.count()
-    if n_nodes * NODE_BYTES > MODEL_BYTES:
-        raise ValueError(f"a model of {n_nodes} nodes is above the broadcast bound of {MODEL_BYTES} bytes; explain it in "
-                         "parts (attributions of groups of trees, weighted by their number, add up)")
-    payload = spark.sparkContext.broadcast(_flat_paths([r.asDict() for r in nodes.collect()]))
-    feats = list(features)
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("base_value", T.DoubleType()),
-                           T.StructField("prediction", T.DoubleType()),
-                           T.StructField("shap", T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        tr = payload.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[feats].to_numpy(dtype=float)
-            phi, pred, base = _tree_shap_batch(x, tr, len(feats))
-            yield pd.DataFrame({key: pdf[key], "base_value": base, "prediction": pred,
-                                "shap": list(phi)})
-
-    return df.select(key, *[F.col(c).cast("double").alias(c) for c in feats]).mapInPandas(run, schema)
+    return np.column_stack([phi, pred, np.full(len(x), base)])
+
+
+def tree_shap(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str,
+              group_bytes: int = GROUP_BYTES, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """``key, base_value, prediction, shap`` (array in feature order) per row, for a
+    model of any size; ``group_bytes`` bounds the part of it one task holds."""
+    p = len(features)
+    trees = max(1, nodes.select("tree_id").distinct().count())
+    out = sum_over_trees(df.select(key, *features), nodes, features, _flat_paths, lambda paths, x: _tree_shap_batch(x, paths, p),
+                         p + 2, "_sums", group_bytes, rows_per_block)
+    mean = F.transform("_sums", lambda v: v / F.lit(float(trees)))
+    return out.select(key, mean[p + 1].alias("base_value"), mean[p].alias("prediction"), F.slice(mean, 1, p).alias("shap"))
 
 
 def linear_shap(df: DataFrame, key: str, weights: Mapping[str, float], intercept: float = 0.0,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabrisk.operators import profile
 from tabrisk.session import cut_lineage
+from tabrisk.sources import io
 from tabrisk.sources.fixtures import (SUBJECT_CATEGORICAL, SUBJECT_COLUMNS, SUBJECT_NUMERIC,
                                       SUBJECTS_SQL, subjects, with_views)
 
@@ -579,11 +580,27 @@ smoted AS (
   UNION ALL SELECT * FROM synth)"""
 
 
-@register("smote", SUBJ.rstrip() + _smote_sql() + """
+# a literal customer without orders: an incomplete row at every size
+GAP_ROW = {"key": -1, "segment": "BUILDING", "many_orders": 0, "n_orders": 0.0, "label": 1}
+COMPLETE_SQL = """,
+with_gap AS (
+  SELECT key, n_orders, avg_price, many_orders, label FROM subjects
+  UNION ALL SELECT -1, 0.0, NULL, 0, 1),
+complete AS (SELECT * FROM with_gap WHERE avg_price IS NOT NULL)"""
+
+
+def _complete(spark, sf):
+    """The rows that have all features; oversampling takes no others."""
+    s = subjects(spark, sf).select("key", *SMOTE_FEATURES, "label")
+    extra = io.new_rows(spark, [{c: GAP_ROW.get(c) for c in s.columns}], s.schema)
+    return s.unionByName(extra).dropna(subset=SMOTE_FEATURES)
+
+
+@register("smote", SUBJ.rstrip() + COMPLETE_SQL + _smote_sql("complete") + """
 SELECT sample_id, CAST(key AS DOUBLE) AS key, round(n_orders, 6) AS n_orders, round(avg_price, 6) AS avg_price,
        CAST(trunc(many_orders) AS INTEGER) AS many_orders, label, synthetic FROM smoted""")
 def q_smote(spark, sf):
-    s = subjects(spark, sf)
+    s = _complete(spark, sf)
     out = smote.smote(s, "label", "key", SMOTE_FEATURES, k=5, seed=42, discrete_cols=["many_orders"])
     # key is NULL on synthetic rows: reported as double so that both engines
     # hand the same (float, NaN) column to the comparison
@@ -591,11 +608,11 @@ def q_smote(spark, sf):
                       r6("avg_price").alias("avg_price"), "many_orders", "label", "synthetic")
 
 
-@register("class_balance_after_smote", SUBJ.rstrip() + _smote_sql() + """
+@register("class_balance_after_smote", SUBJ.rstrip() + COMPLETE_SQL + _smote_sql("complete") + """
 SELECT label, count(*) AS count, count(*) FILTER (WHERE synthetic) AS n_synthetic
 FROM smoted GROUP BY label""")
 def q_class_balance_after_smote(spark, sf):
-    s = subjects(spark, sf)
+    s = _complete(spark, sf)
     out = smote.smote(s, "label", "key", SMOTE_FEATURES, k=5, seed=42, discrete_cols=["many_orders"])
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("count"),
                                     F.count_if("synthetic").alias("n_synthetic"))
@@ -1087,7 +1104,6 @@ def q_knn_join_gap_patterns(spark, sf):
 import uuid  # noqa: E402
 
 from tabrisk.session import checkpoint_dir  # noqa: E402
-from tabrisk.sources import io  # noqa: E402
 
 _SUBJECT_TYPES = ("key bigint, segment string, top_priority string, many_orders int, n_orders double, "
                   "avg_price double, max_price double, label int")

@@ -288,10 +288,9 @@ def test_numbers_print_like_c(spark):
 
 
 def test_min_samples_split_is_not_ignored():
-    from tabrisk.operators.forest import forest_params
-    with pytest.raises(ValueError):
-        forest_params({"min_samples_split": 5}, 4)
+    from tabrisk.operators.forest import forest_params, split_bound
     assert forest_params({"min_samples_split": 4, "min_samples_leaf": 2}, 4) == {"minInstancesPerNode": 2}
+    assert [split_bound({"min_samples_split": s, "min_samples_leaf": m}) for s, m in ((5, 1), (5, 2), (4, 2), (2, 1))] == [5, 5, 2, 2]
 
 
 def test_checkpoint_folder_of_the_caller_stays(spark):
