@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabrisk.llm.pieces import cut_pieces, ranges, text_slices
+from tabrisk.llm.pieces import SPACE, cut_pieces, text_slices
 from tabrisk.llm.shared import cut
 
 DEPTH = 5                  # context bytes, at most 7
@@ -73,14 +73,21 @@ class Slice:
         stop = depth + at[first[1:]] + spaces[1:] + depth * np.arange(docs)   # where the text's end stands
         start = depth + at[first[:-1]] + spaces[:-1] + depth * np.arange(docs)
         x = np.full(int(stop[-1]) + 1 if docs else 0, END, np.uint8)
-        x[ranges(base, pieces.length)] = pieces.data[ranges(pieces.start, pieces.length)]
-        x[(base - 1)[np.arange(len(owner)) != first[owner]]] = 32
+        text = np.ones(len(x), bool)                           # bytes of a text, its end included
+        text[(start[:, None] - 1 - np.arange(depth)).ravel()] = False
+        text[stop] = True                                      # also the context of the next text
+        spaced = (base - 1)[np.arange(len(owner)) != first[owner]]
+        x[spaced] = 32
+        word = text.copy()
+        word[spaced] = word[stop] = False
+        x[word] = pieces.data[~SPACE[pieces.data]]
         size = stop - start + 1
-        place = ranges(start, size)
-        key = np.zeros(len(place), np.uint64)
+        key = np.zeros(max(len(x) - depth, 0), np.uint64)     # of all bytes that have a context
         for back in range(1, depth + 1):
-            key = (key << np.uint64(8)) | x[place - back]
-        self.key = (key << np.uint64(8)) | x[place]
+            key |= x[depth - back:len(x) - back]
+            key <<= np.uint64(8)
+        key |= x[depth:]
+        self.key = key[text[depth:]]
         self.bounds = np.concatenate([[0], np.cumsum(size)])
         hashes = (pd.util.hash_array(np.array(pieces.words.to_pylist(), object)) if len(pieces.words)
                   else np.zeros(0, np.uint64))
@@ -366,10 +373,13 @@ def _scores(depth: int, tokens: int, distinct: int, docs: int):
             end = np.log10((docs + 1) / floor)
             for part in _open(data):
                 own = Slice(part.column("text"), depth)
-                at = np.searchsorted(words, own.word)
+                hashes, place = np.unique(own.word, return_inverse=True)
+                at = np.searchsorted(words, hashes)[place]
                 n = np.diff(own.word_bounds)
                 owner = np.repeat(np.arange(len(n)), n)
-                bits = value[np.searchsorted(strings, own.key)]
+                # each distinct string is looked up once, in order
+                keys, place = np.unique(own.key, return_inverse=True)
+                bits = value[np.searchsorted(strings, keys)][place]
                 out.append(pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("train"), pa.array(n + 1),
                     pa.array(np.bincount(owner, known[at] > 0, len(n)).astype(np.int64) + (docs > 0)),
@@ -402,7 +412,9 @@ def context_tree_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col
     top = Top([r for r in tops if r["context"] >= 0])
     answers = sent.groupBy("frag").applyInArrow(
         _answers(depth, top), "block bigint, kind int, key binary, value binary")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    spread = 4 * max(1, blocks.count())  # so that few tasks get two blocks
+    scored = blocks.repartition(spread, "block").groupBy("block").cogroup(
+        answers.repartition(spread, "block").groupBy("block")).applyInArrow(
         _scores(depth, tokens, distinct, ends),
         "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint")
     return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known",

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -64,7 +64,7 @@ def cut_pieces(texts: pa.Array, lower: bool = False) -> Pieces:
     data, bounds = cut_buffer(texts)
     if lower:
         data = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     begins = word.copy()
     if len(data):
         begins[1:] &= ~word[:-1]

@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary: str, rule: str = "majority", max_c
         raise ValueError(f"rule must be one of {RULES}")
 
     def count(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, spans=True)
         for batch in batches:
             for part in text_slices(batch, "_text"):
                 texts = part.column("_text")

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabrisk.llm.pieces import text_slices
+from tabrisk.llm.shared import cut
 from tabrisk.llm.tokens import encoder
 from tabrisk.session import checkpoint_dir
 
@@ -142,7 +143,11 @@ def file_totals(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["task", "number", "n"])
 
-    files = _files(spark, path).mapInArrow(totals, "task bigint, number bigint, n bigint")
+    return _first_tokens(_files(spark, path).mapInArrow(totals, "task bigint, number bigint, n bigint"))
+
+
+def _first_tokens(files: DataFrame) -> DataFrame:
+    """``task, number, first_token`` from the ids per file."""
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each writing task
     tasks = (files.groupBy("task").agg(F.sum("n").alias("_n"))
              .select("task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
@@ -194,10 +199,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def token_file_digest(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None) -> DataFrame:
-    """Write, read back: ``doc_id, start, n_tokens, ids_crc32`` (and place in the files)."""
+    """Write, read back: ``doc_id, start, n_tokens, ids_crc32`` (and place in the files).
+
+    Files are read once; what comes before each file is summed from the rows read."""
     spark = docs.sparkSession
     path = path or new_folder(spark, "token-files")
     write_token_files(docs, path, vocabulary, end_id)
-    return (read_token_files(spark, path, digest=True).join(file_totals(spark, path), ["task", "number"])
-            .select("doc_id", (F.col("first_token") + F.col("local_start")).alias("start"), "n_tokens",
-                    "ids_crc32", "task", "number", "position"))
+    rows = cut(read_token_files(spark, path, digest=True))
+    sizes = rows.groupBy("task", "number").agg(F.sum("n_tokens").alias("n"))
+    return rows.join(_first_tokens(sizes), ["task", "number"]).select(
+        "doc_id", (F.col("first_token") + F.col("local_start")).alias("start"), "n_tokens",
+        "ids_crc32", "task", "number", "position")

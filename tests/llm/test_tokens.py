@@ -45,7 +45,7 @@ def test_memory_of_pieces_is_bounded_and_harmless():
     for t in texts:
         ids, bounds = enc.encode(pa.array([t]))
         assert ids.tolist() == library([t])[0]
-        assert len(enc.words) <= 50
+        assert enc.memory.start.size <= 50
 
 
 def test_pieces_and_slices():
@@ -261,3 +261,13 @@ def test_pack_documents_pieces(spark):
     assert sorted(rows_got, key=key) == sorted(want, key=key)
     assert (got.groupby("sequence_id")["length"].sum() <= 512).all()
     assert packing.pack_documents(documents(spark, []), VOCABULARY, 1).count() == 0
+
+
+def test_remembered_pieces_of_one_hash(monkeypatch):
+    from tabrisk.llm import tokens
+    monkeypatch.setattr(tokens, "_hashes", lambda data, start, length: length.astype(np.uint64) % np.uint64(3))
+    enc = TextEncoder(VOCABULARY)
+    for texts in (["one two three", "a bb ccc dddd"], ["two one", "bb a eeee three three"], ["one", "", "x" * 200]) * 2:
+        ids, bounds, spans = enc.encode(pa.array(texts), spans=True)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library(texts)
+    assert enc.memory.start.size <= 3
