@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.functions.text import str_or_nan
+from tabrisk.operators.ranking import ROWS_PER_BUCKET, prefix_sums
 from tabrisk.session import cut_lineage
 
 @dataclass
@@ -44,11 +45,11 @@ class OrdinalEncoding:
         return out.withColumn(name, F.coalesce("_dec_cat", F.col(c).cast("string"))).drop("_dec_code", "_dec_cat")
 
 
-def fit_ordinal(df: DataFrame, cols: Sequence[str]) -> OrdinalEncoding:
+def fit_ordinal(df: DataFrame, cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> OrdinalEncoding:
+    """Codes are ranks of the distinct categories within their column, taken in range
+    buckets: a column with very many categories is sorted by many tasks."""
     cols = list(cols)
     long = df.select([str_or_nan(c).alias(c) for c in cols]).unpivot(
         [], cols, "feature", "category").distinct()
-    # distinct categories per column
-    w = Window.partitionBy("feature").orderBy("category")
-    table = long.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
-    return OrdinalEncoding(cols, cut_lineage(table))
+    codes = prefix_sums(cut_lineage(long), ["feature"], ["category"], {"code": F.lit(1)}, rows_per_bucket)
+    return OrdinalEncoding(cols, cut_lineage(codes.withColumn("code", F.col("code").cast("int"))))

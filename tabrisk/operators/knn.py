@@ -5,28 +5,27 @@ Distance is the NaN-aware Euclidean distance used by kNN imputation:
 rows)`` with ``n`` the number of columns; undefined (NULL) when ``m = 0``.
 Ties are broken by the donor key, so the result is deterministic.
 
-Rows may lack any columns.  Queries and donors are split by their gap pattern
-(which columns are present); two patterns meet on the columns they share, where
-both are complete, so a column that all queries of a pattern lack takes no part
-in the search.  The nearest over all donor patterns are merged per query.
+Rows may lack any columns.  A query's and a donor's gap pattern (which columns are
+present) meet on the columns they share; each (donor pattern, shared columns)
+that occurs is a root of one cell tree, and all roots are searched together, so
+the number of jobs does not depend on the patterns.
 
-For one pair of patterns (all DataFrame operations, no driver loop over data):
-
-1. Donors with identical coordinates are reduced to the ``k`` smallest keys
+1. Donors with identical coordinates under a root are reduced to the ``k`` smallest keys
    (a top-k window, planned as a partial limit before the shuffle): only
    those can ever be chosen, so a value repeated by a third of the table
    costs ``k`` rows.  Queries with identical coordinates have identical
    neighbours, so the search runs once per distinct query vector.
-2. A grid over up to ``grid_dims`` of the shared columns, the most spread-out
-   first.  Bin edges are approximate quantiles of the donors; their number
-   follows the donor count, so cells hold about ``cell_target`` donors.
-3. Each query is exploded to its ring of neighbouring cells and equi-joined
-   with the donors on the cell; the top ``k`` by (distance, key) are kept.  A
-   query is *done* when its k-th distance is smaller than the distance to the
-   outside of the ring, or the ring is the whole grid.
-4. Queries with ``k`` candidates search the box of half-width equal to their
-   k-th distance, which must contain the true neighbours; queries with fewer
-   widen the ring until they have them or have seen every cell.
+2. The tree grows level by level.  A cell with more than ``cell_target`` donors
+   is cut at up to 15 quantiles of one axis, the one with the most of them
+   (weighted by the share of queries that have the column), and its parts are
+   cells of the next level; heavy parts are cut again, so cells stay small
+   whatever the distribution and the number of donors.  Every cell knows the box
+   of its donors.  Cells are rows of tables, never collected.
+3. Each query goes down to one cell per root; its ``k`` nearest there (or, in a
+   cell with fewer, the far corner of the parent's box) bound the distance of
+   the true neighbours.
+4. It goes down again, into every cell whose box is within the smallest bound,
+   and the donors met there are ranked by (distance, key).
 
 The result is checkpointed, and every frame that was persisted on the way is
 freed before it is returned.
@@ -36,15 +35,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabrisk.operators.ranking import join_groups
 from tabrisk.session import Held, cut_lineage
 
-DEFAULT_GRID_DIMS = 3
-MAX_EDGES = 65_536  # of one axis, kept on the driver; beyond it cells grow
+FAN_OUT = 16
 EPS_REL = 1e-9
+_CUTS = [i / FAN_OUT for i in range(1, FAN_OUT)]
 
 
 def nan_distance(q: Sequence[Column], d: Sequence[Column], n_cols: int) -> Column:
@@ -60,104 +61,141 @@ def nan_distance(q: Sequence[Column], d: Sequence[Column], n_cols: int) -> Colum
     return F.when(m > 0, F.sqrt(F.lit(float(n_cols)) / m * ssum))
 
 
-def _array(values: Sequence[float]) -> Column:
-    """A constant array of doubles from one literal (folded by the optimizer)."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
-
-
-def _bin(x: Column, edges: list[float]) -> Column:
-    """Number of edges below ``x``: first among every s-th edge, then within the stretch."""
-    if not edges:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(edges)))
-    if step < 8:
-        return F.size(F.filter(_array(edges), lambda e: e < x))
-    # whole stretches whose last edge is below x; the rest are in the next one
-    full = F.size(F.filter(_array(edges[step - 1::step]), lambda e: e < x))
-    stretch = F.slice(_array(edges), full * step + 1, F.lit(step))
-    return full * step + F.size(F.filter(stretch, lambda e: e < x))
-
-
-def _edge(edges: list[float], idx: Column, default: float) -> Column:
-    """edges[idx] (0-based) or ``default`` outside the array."""
-    if not edges:
-        return F.lit(default)
-    return F.when((idx >= 0) & (idx < len(edges)), F.element_at(_array(edges), idx + 1)).otherwise(F.lit(default))
-
-
-def _grid(d: DataFrame, cols: list[str], k: int, dims: int, target: int) -> dict[str, list[float]]:
-    """Edges per grid column, from one statistics job (two if the grid is fine)."""
-    probe = [i / 100 for i in range(1, 100)]
-    first = d.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"d_{c}", probe, 1000).alias(c) for c in cols]).first()
-    spread = {c: len(set(first[c] or [])) for c in cols}
-    grid = sorted(cols, key=lambda c: -spread[c])[:dims]
-    per_dim = min(MAX_EDGES, max(1, math.ceil((max(first["n"], 1) / target) ** (1.0 / len(grid)))))
-    if per_dim == 1:
-        return {c: [] for c in grid}
-    cuts = [i / per_dim for i in range(1, per_dim)]
-    got = d.agg(*[F.percentile_approx(f"d_{c}", cuts, max(10_000, 10 * per_dim)).alias(c) for c in grid]).first()
-    return {c: sorted(set(map(float, got[c] or []))) for c in grid}
-
-
-def _search(q_rows: DataFrame, d_rows: DataFrame, cols: list[str], k: int, n: int, dims: int, target: int,
-            held: Held) -> DataFrame:
-    """``_qk, _dk, dist, nn_rank`` of the ``k`` nearest; every row has all of ``cols``."""
+# ---- the cell tree ---------------------------------------------------------------
+#
+# A cell is (_g, _node): the number of its root and its own, 1 for the root and
+# FAN_OUT * number + part for the parts of a cell.
+
+def _bin(x: Column, edges: Column) -> Column:
+    """The part of a cell: number of edges below ``x``."""
+    return F.size(F.filter(edges, lambda e: e < x))
+
+
+def _above(node: str = "_node") -> Column:
+    return F.expr(f"{node} div {FAN_OUT}")
+
+
+def _on_axis(prefix: str, cols: Sequence[str], axis: str = "_axis") -> Column:
+    return F.coalesce(*[F.when(F.col(axis) == i, F.col(f"{prefix}{c}")) for i, c in enumerate(cols)])
+
+
+def _part(prefix: str, cols: Sequence[str]) -> Column:
+    return F.col("_node") * FAN_OUT + _bin(_on_axis(prefix, cols), F.col("_edges"))
+
+
+def _cells(d: DataFrame, cols: Sequence[str], target: int) -> DataFrame:
+    """Size, box and, if it is to be cut, axis and edges of every cell of ``d``."""
+    stats = d.groupBy("_g", "_node").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[f(f"d_{c}").alias(f"{p}_{c}") for c in cols for f, p in ((F.min, "lo"), (F.max, "hi"))],
+        *[F.array_distinct(F.percentile_approx(f"d_{c}", _CUTS, 1_000)).alias(f"e_{c}") for c in cols])
+    # an edge is a donor's value below the largest, so no part is empty
+    def usable(c):
+        return F.filter(f"e_{c}", lambda e: e < F.col(f"hi_{c}"))
+
+    edges = [usable(c) for c in cols]
+    stats = stats.withColumns({f"s_{i}": F.when(F.size(e) > 0, F.size(e)).otherwise(0) for i, e in enumerate(edges)})
+    best = F.greatest(*[F.col(f"s_{i}") for i in range(len(cols))]) if len(cols) > 1 else F.col("s_0")
+    axis = F.when((F.col("_n") > target) & (best > 0), F.coalesce(*[F.when(F.col(f"s_{i}") == best, i) for i in range(len(cols))]))
+    stats = stats.withColumn("_axis", axis)
+    cut = F.coalesce(*[F.when(F.col("_axis") == i, F.array_sort(e)) for i, e in enumerate(edges)])
+    return stats.select("_g", "_node", "_n", "_axis", cut.alias("_edges"), *[f"{p}_{c}" for c in cols for p in ("lo", "hi")])
+
+
+def _grow(d: DataFrame, cols: Sequence[str], target: int, held: Held) -> tuple[DataFrame, list[DataFrame]]:
+    """(donors with their cell, cells of each level)."""
+    whole = d.withColumn("_node", F.lit(1).cast("bigint"))
+    open_, settled, levels = whole, [], []
+    while True:
+        cells = held.cache(_cells(open_, cols, target))
+        levels.append(cells)
+        cut = cells.where(F.col("_axis").isNotNull())
+        both = open_.join(cut.select("_g", "_node", "_axis", "_edges"), ["_g", "_node"], "left")
+        if not cut.limit(1).count():
+            return reduce(DataFrame.union, [*settled, open_.select(whole.columns)]), levels
+        both = held.cache(both)
+        settled.append(both.where(F.col("_axis").isNull()).select(whole.columns))
+        open_ = both.where(F.col("_axis").isNotNull()).withColumn("_node", _part("d_", cols)).select(whole.columns)
+
+
+def _box_distance(cols: Sequence[str], n: int, far: bool) -> Column:
+    """Least (or ``far``: greatest) distance of a query to what a cell's box may
+    hold, over the columns that query and donors share."""
+    terms, shared = [], []
+    for c in cols:
+        q, lo, hi = F.col(f"q_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        side = F.greatest(F.abs(q - lo), F.abs(hi - q)) if far else F.greatest(lo - q, q - hi, F.lit(0.0))
+        both = q.isNotNull() & lo.isNotNull()
+        terms.append(F.when(both, side * side).otherwise(F.lit(0.0)))
+        shared.append(both.cast("int"))
+    m = sum(shared[1:], shared[0])
+    return F.sqrt(F.lit(float(n)) / F.when(m > 0, m) * sum(terms[1:], terms[0]))  # NULL without a box
+
+
+def _nearest(pairs: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    # ``row_number() <= k`` (not ``row_number() - 1 < k``) is planned as a
+    # per-partition group limit before the shuffle
+    w = Window.partitionBy(*by).orderBy("dist", "_dk")
+    return pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+
+
+def _search(q_rows: DataFrame, d_rows: DataFrame, cols: list[str], k: int, n: int, target: int, held: Held) -> DataFrame:
+    """``_qk, _dk, dist, nn_rank`` of the ``k`` nearest."""
+    spark = q_rows.sparkSession
     vec = [f"q_{c}" for c in cols]
     # the smallest key of a distinct vector stands for it (partial aggregation)
-    q = held.cache(q_rows.groupBy(*vec).agg(F.min("_qk").alias("_qk")))
-    same = Window.partitionBy(*[f"d_{c}" for c in cols]).orderBy("_dk")
-    d = held.cache(d_rows.select("_dk", *[f"d_{c}" for c in cols])
+    q = held.cache(q_rows.groupBy(*vec).agg(F.min("_qk").alias("_qk")).withColumn("_p", _pattern("q_", cols)))
+    d_rows = held.cache(d_rows.withColumn("_p", _pattern("d_", cols)))
+    # gap patterns, not rows: one number for each set of present columns that occurs
+    q_patterns, d_patterns = (sorted(r["_p"] for r in x.select("_p").distinct().collect()) for x in (q, d_rows))
+    meet = [(qp, dp, qp & dp) for qp in q_patterns for dp in d_patterns if qp & dp]
+    root = {pair: i for i, pair in enumerate(sorted({m[1:] for m in meet}))}
+    of_donors = spark.createDataFrame([(dp, both, i) for (dp, both), i in root.items()], "_p bigint, _shared bigint, _g int")
+    of_queries = spark.createDataFrame([(qp, root[dp, both]) for qp, dp, both in meet], "_p bigint, _g int")
+    d_rows = d_rows.join(of_donors, "_p").withColumns({
+        f"d_{c}": F.when(F.col("_shared").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"d_{c}")) for i, c in enumerate(cols)})
+    same = Window.partitionBy("_g", *[f"d_{c}" for c in cols]).orderBy("_dk")
+    d = held.cache(d_rows.select("_g", "_dk", *[f"d_{c}" for c in cols])
                    .withColumn("_dup", F.row_number().over(same)).where(F.col("_dup") <= k).drop("_dup"))
-    edges = _grid(d, cols, k, dims, target)
-    grid = list(edges)
-    nb = {c: len(edges[c]) + 1 for c in grid}
+    d, levels = _grow(d, cols, target, held)
+    d = held.cache(d)
     dist = nan_distance([F.col(f"q_{c}") for c in cols], [F.col(f"d_{c}") for c in cols], n)
-    cells = [f"_c{j}" for j in range(len(grid))]
-    dd = held.cache(d.withColumns({cell: _bin(F.col(f"d_{c}"), edges[c]) for cell, c in zip(cells, grid)}))
-
-    def candidates(qq: DataFrame, lo: list[Column], hi: list[Column]) -> DataFrame:
-        for j, cell in enumerate(cells):
-            qq = qq.withColumn(cell, F.explode(F.sequence(lo[j], hi[j])))
-        pairs = qq.join(dd, cells).select("_qk", "_dk", dist.alias("dist"))
-        w = Window.partitionBy("_qk").orderBy("dist", "_dk")
-        # ``row_number() <= k`` (not ``row_number() - 1 < k``) is planned as a
-        # per-partition group limit before the shuffle
-        return (pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-                .select("_qk", "_dk", "dist", (F.col("_rn") - 1).alias("nn_rank")))
-
-    pending = held.cache(q.withColumns({f"_b{j}": _bin(F.col(f"q_{c}"), edges[c]) for j, c in enumerate(grid)}))
-    parts, r = [], 1
-    while True:
-        at = [F.col(f"_b{j}") for j in range(len(grid))]
-        top = held.cache(candidates(pending, [F.greatest(b - r, F.lit(0)) for b in at],
-                                    [F.least(b + r, F.lit(nb[c] - 1)) for b, c in zip(at, grid)]))
-        stat = top.groupBy("_qk").agg(F.count(F.lit(1)).alias("_cnt"), F.max("dist").alias("_far"))
-        gap, full = F.lit(math.inf), F.lit(True)
-        for b, c in zip(at, grid):
-            gap = F.least(gap, F.col(f"q_{c}") - _edge(edges[c], b - r - 1, -math.inf),
-                          _edge(edges[c], b + r, math.inf) - F.col(f"q_{c}"))
-            full = full & (b - r <= 0) & (b + r >= nb[c] - 1)
-        status = (F.when(full | ((F.col("_cnt") >= k) & (F.col("_far") * (1 + EPS_REL) < gap)), "done")
-                  .when(F.col("_cnt") >= k, "box").otherwise("wider"))
-        info = held.cache(pending.join(stat, "_qk", "left").fillna({"_cnt": 0}).withColumn("_status", status))
-        left = {row["_status"] for row in info.select("_status").distinct().collect()}
-        parts.append(top.join(info.where(F.col("_status") == "done").select("_qk"), "_qk", "left_semi"))
-        if "box" in left:
-            rho = F.col("_far") * (1 + EPS_REL) + F.lit(1e-12)
-            boxed = info.where(F.col("_status") == "box")
-            parts.append(candidates(boxed.select("_qk", *vec, "_far"),
-                                    [_bin(F.col(f"q_{c}") - rho, edges[c]) for c in grid],
-                                    [_bin(F.col(f"q_{c}") + rho, edges[c]) for c in grid]))
-        if "wider" not in left:
-            break
-        pending = info.where(F.col("_status") == "wider").select(*pending.columns)
-        r = 2 * r + 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    per_vec = out.join(q.select("_qk", *[F.col(c).alias(f"_v{c}") for c in vec]), "_qk").drop("_qk")
-    on = [q_rows[c] == per_vec[f"_v{c}"] for c in vec]
-    return q_rows.select("_qk", *vec).join(per_vec, on).select("_qk", "_dk", "dist", "nn_rank")
+    start = q.join(of_queries, "_p").drop("_p").withColumn("_node", F.lit(1).cast("bigint"))
+
+    at = start
+    for cells in levels[:-1]:
+        cut = cells.where(F.col("_axis").isNotNull()).select("_g", "_node", "_axis", "_edges")
+        at = at.join(cut, ["_g", "_node"], "left").withColumn(
+            "_node", F.when(F.col("_axis").isNull(), F.col("_node")).otherwise(_part("q_", cols))).select(start.columns)
+    at = held.cache(at)
+    own = _nearest(at.select("_qk", "_g", "_node", *vec).join(d, ["_g", "_node"]).select("_qk", "_g", "_dk", dist.alias("dist")), ["_qk", "_g"], k)
+    near = own.groupBy("_qk", "_g").agg(F.count(F.lit(1)).alias("_cnt"), F.max("dist").alias("_far"))
+    cut = reduce(DataFrame.union, levels).where(F.col("_axis").isNotNull())
+    parent = cut.select("_g", F.col("_node").alias("_up"), *[f"{p}_{c}" for c in cols for p in ("lo", "hi")])
+    bounds = (at.withColumn("_up", _above()).join(near, ["_qk", "_g"], "left")
+              .join(parent, ["_g", "_up"], "left"))
+    bound = F.when(F.col("_cnt") >= k, F.col("_far")).otherwise(F.coalesce(_box_distance(cols, n, True), F.lit(math.inf)))
+    bounds = bounds.groupBy("_qk").agg((F.min(bound) * (1 + EPS_REL) + F.lit(1e-12)).alias("_rho"))
+
+    front = start.join(bounds, "_qk").select(*start.columns, "_rho")
+    met = []
+    for level, cells in enumerate(levels):
+        boxes = cells.select("_g", "_node", (F.col("_axis").isNotNull()).alias("_inner"), *[f"{p}_{c}" for c in cols for p in ("lo", "hi")])
+        if level:  # the parts of the cells before
+            boxes = boxes.withColumn("_up", _above())
+            front = front.withColumnRenamed("_node", "_up").join(boxes, ["_g", "_up"])
+        else:
+            front = front.join(boxes, ["_g", "_node"])
+        front = front.where(_box_distance(cols, n, False) <= F.col("_rho")).select(*start.columns, "_rho", "_inner")
+        if level < len(levels) - 1:
+            front = held.cache(front)
+        met.append(front.where(~F.col("_inner")))
+        front = front.where("_inner").drop("_inner")
+    pairs = reduce(DataFrame.union, met).join(d, ["_g", "_node"]).select("_qk", "_dk", dist.alias("dist"), "_rho")
+    out = _nearest(pairs.where(F.col("dist") <= F.col("_rho")), ["_qk"], k).select(
+        "_qk", "_dk", "dist", (F.col("_rn") - 1).alias("nn_rank"))
+    per_vec = out.join(q.select("_qk", *vec), "_qk").drop("_qk")
+    return join_groups(q_rows.select("_qk", *vec), per_vec, vec).select("_qk", "_dk", "dist", "nn_rank")
 
 
 def _pattern(prefix: str, cols: list[str]) -> Column:
@@ -170,8 +208,7 @@ def _pattern(prefix: str, cols: list[str]) -> Column:
 
 def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
              qkey: str = "key", dkey: str = "key", n_cols: int | None = None,
-             exclude_self: bool = False, grid_dims: int = DEFAULT_GRID_DIMS,
-             cell_target: int | None = None) -> DataFrame:
+             exclude_self: bool = False, cell_target: int | None = None) -> DataFrame:
     """For each query row, its ``k`` nearest donors: ``q_key, d_key, dist, nn_rank``.
 
     Donors at undefined distance (no shared present column) are never chosen;
@@ -181,40 +218,15 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     cols = list(cols)
     if len(cols) > 60:
         raise ValueError("knn_join takes at most 60 columns")
-    n = n_cols or len(cols)
     kk = k + 1 if exclude_self else k
     held = Held()
-    q = held.cache(queries.select(F.col(qkey).alias("_qk"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols])
-                   .withColumn("_p", _pattern("q_", cols)))
+    q = held.cache(queries.select(F.col(qkey).alias("_qk"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols]))
     d = donors.select(F.col(dkey).alias("_dk"), *[F.col(c).cast("double").alias(f"d_{c}") for c in cols])
-    d = d.withColumn("_p", _pattern("d_", cols))
-    # gap patterns, not rows: one row for each set of present columns that occurs
-    q_patterns = sorted(r["_p"] for r in q.select("_p").distinct().collect())
-    empty = queries.sparkSession.createDataFrame([], q.select(F.col("_qk").alias("q_key")).schema.add(
-        "d_key", donors.schema[dkey].dataType).add("dist", "double").add("nn_rank", "integer"))
-    if not q_patterns:
-        held.release()
-        return empty
-    d = held.cache(d)
-    d_patterns = sorted(r["_p"] for r in d.select("_p").distinct().collect())
-    found = None
-    for qp in q_patterns:
-        for dp in d_patterns:
-            shared = [c for i, c in enumerate(cols) if qp & dp & (1 << i)]
-            if not shared:
-                continue
-            part = _search(q.where(F.col("_p") == qp), d.where(F.col("_p") == dp), shared, kk, n, grid_dims,
-                           cell_target or max(16 * kk, 64), held)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        held.release()
-        return empty
+    found = _search(q, d, cols, kk, n_cols or len(cols), cell_target or max(16 * kk, 64), held)
     if exclude_self:
         found = found.where(~F.col("_qk").eqNullSafe(F.col("_dk")))
-    order = Window.partitionBy("_qk").orderBy("dist", "_dk")
-    res = (found.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
-           .select(F.col("_qk").alias("q_key"), F.col("_dk").alias("d_key"), "dist",
-                   (F.col("_rn") - 1).cast("int").alias("nn_rank")))
+    res = _nearest(found, ["_qk"], k).select(
+        F.col("_qk").alias("q_key"), F.col("_dk").alias("d_key"), "dist", (F.col("_rn") - 1).cast("int").alias("nn_rank"))
     res = cut_lineage(res)
     held.release()
     return res

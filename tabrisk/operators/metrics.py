@@ -4,21 +4,20 @@ All metrics are one grouped aggregation over the scored rows (``by`` holds
 e.g. the fold).  ROC-AUC is exact with ties counted half:
 ``sum over scores of pos * (negatives below + negatives tied / 2) / (P * N)``,
 from a ``(group, score)`` count table; the running count of negatives below a
-score is taken inside value buckets and over the bucket totals, so no single
-task orders a whole fold.  Groups may be NULL.
+score is a two-level scan (``ranking.prefix_sums``), so no single task orders a
+whole fold, however large.  Groups may be NULL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabrisk.operators.ranking import _cols, hash_rank, join_groups, key_rank
+from tabrisk.operators.ranking import ROWS_PER_BUCKET, _cols, hash_rank, join_groups, key_rank, prefix_sums
 
 METRIC_NAMES = ["Accuracy", "Precision", "Recall", "F1", "ROC-AUC"]
-SCORE_BUCKETS = 128  # of each group
 
 
 def with_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
@@ -43,23 +42,8 @@ def decide(df: DataFrame, prob: str, threshold: float = 0.1, name: str = "decisi
         f"{name}_label", F.when(d == 1, F.lit(labels[1])).otherwise(F.lit(labels[0])))
 
 
-def _neg_below(counts: DataFrame, g: list[str], buckets: int = SCORE_BUCKETS) -> DataFrame:
-    """Add ``_nb``: negatives with a strictly smaller score in the same group."""
-    cut = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*g).agg(
-        F.array_distinct(F.percentile_approx("_s", cut, max(10000, 10 * buckets))).alias("_bd"))
-    cb = (join_groups(counts, bounds, g)
-          .withColumn("_bk", F.size(F.filter("_bd", lambda e: e < F.col("_s")))).drop("_bd"))
-    per = cb.groupBy(*g, "_bk").agg(F.sum("_neg").alias("_bneg"))
-    prev = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_boff", F.coalesce(F.sum("_bneg").over(prev), F.lit(0))).drop("_bneg")
-    inner = Window.partitionBy(*g, "_bk").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    return (join_groups(cb, per, [*g, "_bk"])
-            .withColumn("_nb", F.col("_boff") + F.coalesce(F.sum("_neg").over(inner), F.lit(0)))
-            .drop("_bk", "_boff"))
-
-
-def auc_exact(df: DataFrame, label: str, score: str, by=None, name: str = "ROC-AUC") -> DataFrame:
+def auc_exact(df: DataFrame, label: str, score: str, by=None, name: str = "ROC-AUC",
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exact ROC-AUC per group with tied scores counted half; NULL without both classes."""
     g = _cols(by)
     y = F.col(label).cast("int")
@@ -68,7 +52,8 @@ def auc_exact(df: DataFrame, label: str, score: str, by=None, name: str = "ROC-A
         df, g = df.withColumn("_one", F.lit(1)), ["_one"]
     counts = df.groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
         F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
-    c = _neg_below(counts, g)
+    # negatives with a smaller score in the same group; a row is one score of one group
+    c = prefix_sums(counts, g, ["_s"], {"_nb": F.col("_neg")}, rows_per_bucket)
     agg = c.groupBy(*g).agg(
         F.sum(F.col("_pos") * (F.col("_nb") + F.col("_neg") / 2.0)).alias("_num"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))

@@ -16,7 +16,7 @@ when one group holds a third of the table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,30 +75,72 @@ def hash_rank(df: DataFrame, group_cols, key: str, seed: int, tag: str,
     return out if u_name else out.drop(u_col)
 
 
-def key_rank(df: DataFrame, group_cols, key: str, name: str = "rank", buckets: int = 128) -> DataFrame:
-    """Dense 0-based rank within groups in ascending order of the unique ``key`` (any orderable type).
+#: Rows of a range bucket aimed at; the number of buckets follows the table.
+ROWS_PER_BUCKET = 1_000_000
 
-    Range buckets come from the ends of range partitions: Spark samples the keys,
-    and a bucket is one partition, so no task orders a whole group.
+
+def prefix_sums(df: DataFrame, group_cols, order: Sequence[str], sums: Mapping[str, Column],
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add, for each of ``sums``, its total over the rows of the group that come
+    before in ``order`` (columns that tell the rows of a group apart).
+
+    A scan in two levels: rows are dealt to range buckets by group and order
+    (Spark samples the bounds), so many that a bucket holds about
+    ``rows_per_bucket`` rows, a group of any size spread over many and many small
+    groups in one; buckets are totalled and the totals summed, a row per bucket
+    and group; each bucket then adds up its own rows.  NULL groups are groups.
     """
-    dealt = cut_lineage(df.repartitionByRange(buckets, key).withColumn("_rk_part", F.spark_partition_id()))
-    return rank_in_buckets(dealt, group_cols, F.col("_rk_part"), [F.col(key)], name).drop("_rk_part")
+    g = _cols(group_cols)
+    own = df.withColumns({f"_ps_{n}": c for n, c in sums.items()})
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+    dealt = cut_lineage(own.repartitionByRange(buckets, *g, *order).withColumn("_ps_b", F.spark_partition_id()))
+    totals = dealt.groupBy(*g, "_ps_b").agg(*[F.sum(f"_ps_{n}").alias(f"_ps_t_{n}") for n in sums])
+    before = Window.partitionBy(*g).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, "_ps_b", *[F.coalesce(F.sum(f"_ps_t_{n}").over(before), F.lit(0)).alias(f"_ps_o_{n}") for n in sums])
+    inner = Window.partitionBy(*g, "_ps_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_groups(dealt, offsets, [*g, "_ps_b"])
+    out = out.withColumns({n: F.col(f"_ps_o_{n}") + F.coalesce(F.sum(f"_ps_{n}").over(inner), F.lit(0)) for n in sums})
+    return out.select(*df.columns, *sums)
+
+
+def key_rank(df: DataFrame, group_cols, key: str, name: str = "rank", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Dense 0-based rank within groups in ascending order of the unique ``key`` (any orderable type)."""
+    return prefix_sums(df, group_cols, [key], {name: F.lit(1).cast("bigint")}, rows_per_bucket)
+
+
+def with_row_index(df: DataFrame, key: str, name: str = "row_index", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Dense 0..n-1 index in ascending order of the unique ``key`` (any orderable type)."""
+    return key_rank(df, None, key, name, rows_per_bucket)
 
 
-def with_row_index(df: DataFrame, key: str, name: str = "row_index",
-                   rows_per_bucket: int = 1_000_000, relative_error: float = 1e-4) -> DataFrame:
-    """Dense 0..n-1 index in ascending ``key`` order (``key`` unique).
+def bottom_k(df: DataFrame, order: Sequence[Column], k: int, group_cols=None, name: str | None = None) -> DataFrame:
+    """The ``k`` first rows of each group in ``order`` (of the table without groups),
+    with their 1-based rank as ``name``.
 
-    Range buckets come from approximate quantiles of the key (a small array on
-    the driver) and grow in number with the table; the index itself is exact.
+    Mergeable: every task keeps its own ``k`` first rows of a group (a group limit,
+    or without groups a top-k), and only those are shuffled.
     """
-    buckets = max(64, -(-df.count() // rows_per_bucket))
-    relative_error = min(relative_error, 0.1 / buckets)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(b for b in df.approxQuantile(key, probs, relative_error) if b is not None))
-    if bounds:
-        arr = F.array(*[F.lit(float(x)) for x in bounds])
-        bucket = F.size(F.filter(arr, lambda e: e < F.col(key).cast("double")))
+    g = _cols(group_cols)
+    rank = name or "_bk_rank"
+    if g:
+        out = df.withColumn(rank, F.row_number().over(Window.partitionBy(*g).orderBy(*order))).where(F.col(rank) <= k)
     else:
-        bucket = F.lit(0)
-    return rank_in_buckets(df, None, bucket, [F.col(key)], name)
+        out = df.orderBy(*order).limit(k)
+        if name:
+            out = out.withColumn(rank, F.row_number().over(Window.orderBy(*order)))  # k rows
+    return out if name else out.drop(rank)
+
+
+def head(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows by ``key`` (a preview, P9)."""
+    return bottom_k(df, [F.col(key).asc_nulls_last()], n)
+
+
+def first_n(df: DataFrame, key: str, n: int, group_cols=None) -> DataFrame:
+    """The first ``n`` rows of each group by ``key`` (T4)."""
+    return bottom_k(df, [F.col(key).asc_nulls_last()], n, group_cols)
+
+
+def last_row(df: DataFrame, key: str, group_cols=None) -> DataFrame:
+    """The last row of each group by ``key`` (T4)."""
+    return bottom_k(df, [F.col(key).desc_nulls_last()], 1, group_cols)

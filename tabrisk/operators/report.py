@@ -4,9 +4,9 @@ Everything up to the prompt is a native projection per row (no shuffle):
 reasons come from the row's attribution array, the record block from the
 row's own columns.  Completions call a caller-supplied client inside
 ``mapInPandas`` — one client per task, one request per row, an exception per
-row becomes text instead of a failed job.  Completions are not idempotent
-across task retries: write them once, keyed by row, and do not recompute them
-by lineage.
+row becomes text instead of a failed job.  Completions are not idempotent:
+``complete_once`` writes them as they are made, keyed by row, and asks only for
+keys without an answer.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from tabrisk.functions.dictionaries import (COMPLETION_ERROR_PREFIX, COMPLETION_METADATA_ERROR_PREFIX,
                                             SYSTEM_PROMPT, USER_PROMPT_TEMPLATE)
 from tabrisk.functions.text import format_by_rule, map_lookup
+from tabrisk.sources.io import append_with_backup, read_current
 
 
 def display_value(col: str, value_labels: Mapping, rules: Mapping) -> Column:
@@ -64,6 +65,14 @@ def reasons_inline(shap_col: str, features: Sequence[str], display_names: Mappin
     return F.array_join(F.transform(F.slice(ordered, 1, k), lambda s: F.element_at(names, s["i"] + 1)), ", ")
 
 
+def record_card(df: DataFrame, key: str, label: str, block: str = "feature_block", status: str = "Actual status",
+                labels: tuple[str, str] = ("No Risk", "Risk"), name: str = "card") -> DataFrame:
+    """Add a card: index, actual label and the record block."""
+    shown = F.when(F.col(label) == 1, F.lit(labels[1])).otherwise(F.lit(labels[0]))
+    lines = [F.concat(F.lit("Index: "), F.col(key).cast("string")), F.concat(F.lit(f"{status}: "), shown), F.col(block)]
+    return df.withColumn(name, F.concat_ws("\n", *lines))
+
+
 # Functions that run in Python workers are shipped by value, so executors do
 # not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,6 +144,30 @@ def complete(df: DataFrame, client_factory: Callable[[], object], key: str,
     return df.select(key, system, user).mapInPandas(run, schema)
 
 
+def complete_once(df: DataFrame, client_factory: Callable[[], object], key: str, path: str, chunks: int = 1,
+                  system: str = "system_prompt", user: str = "user_prompt", run: str = "", **options) -> DataFrame:
+    """Ask for every key that has no answer at ``path`` yet, keep the answers there
+    and return all of them: ``key, completion, run``.
+
+    The answers are an append-only table.  The keys without one are dealt to
+    ``chunks`` by a hash; each chunk is asked for in a single write of its own batch,
+    which a writer must have claimed, so what a chunk has answered stays when a later
+    one fails and is never asked for again.  A call that raises leaves no answer: the
+    next run asks again.  Two calls for one key are only possible where a task fails
+    or an executor is lost before its chunk is written (calls can't be undone); more
+    chunks make that stretch shorter.  ``run`` names the run in its answers.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([df.schema[key], T.StructField("completion", COMPLETION), T.StructField("run", T.StringType())])
+    failed = F.col("completion.finish_reason").eqNullSafe("error")
+    for chunk in range(chunks):
+        answered = read_current(spark, path, schema)
+        todo = df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == chunk).join(answered.select(key), key, "left_anti")
+        answers = complete(todo, client_factory, key, system, user, with_metadata=True, **options)
+        append_with_backup(answers.where(~failed).withColumn("run", F.lit(run)), path)
+    return read_current(spark, path, schema)
+
+
 class EchoClient:
     """Deterministic in-process client for tests: no network, no key.
 

@@ -1281,3 +1281,231 @@ def q_shap_prompts(spark, sf):
     sh = metrics.decide(sh, "prediction", D.DECISION_THRESHOLD, labels=D.STATUS_LABELS)
     blocks = _subject_blocks(fitted, display).select("key", "feature_block")
     return report.prompts(sh.join(blocks, "key")).select("key", "system_prompt", "user_prompt")
+
+
+# ------------------------------------------------- first rows, literal rows, cards
+
+from tabrisk.operators import nodes, ranking  # noqa: E402
+
+_FIRST_COLS = "key, segment, n_orders, label"
+
+
+@register("head_rows", SUBJ + f"SELECT {_FIRST_COLS} FROM subjects ORDER BY key LIMIT 5")
+def q_head_rows(spark, sf):
+    """A preview: the first five records."""
+    return ranking.head(subjects(spark, sf), "key", 5).select(*_FIRST_COLS.split(", "))
+
+
+@register("first_rows", SUBJ + f"""
+SELECT {_FIRST_COLS} FROM subjects QUALIFY row_number() OVER (PARTITION BY segment ORDER BY key) <= 3""")
+def q_first_rows(spark, sf):
+    """The first three records of each segment (T4)."""
+    return ranking.first_n(subjects(spark, sf), "key", 3, "segment").select(*_FIRST_COLS.split(", "))
+
+
+@register("last_row", SUBJ + f"""
+SELECT {_FIRST_COLS}, 'all' AS of FROM subjects WHERE key = (SELECT max(key) FROM subjects)
+UNION ALL SELECT {_FIRST_COLS}, 'segment' FROM subjects QUALIFY row_number() OVER (PARTITION BY segment ORDER BY key DESC) = 1""")
+def q_last_row(spark, sf):
+    """The last record, and the last of each segment (T4)."""
+    s = subjects(spark, sf).select(*_FIRST_COLS.split(", "))
+    return ranking.last_row(s, "key").withColumn("of", F.lit("all")).unionByName(
+        ranking.last_row(s, "key", "segment").withColumn("of", F.lit("segment")))
+
+
+LITERAL_ROWS = [(-1, "BUILDING", "1-URGENT", 0, 3.0, 1000.5, None, 1), (-2, "MACHINERY", "5-LOW", 1, 12.0, 2500.25, 9000.0, 0)]
+
+
+@register("literal_rows", SUBJ + _SUBJECT_ROWS + " UNION ALL SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else repr(v) for v in r) + ")" for r in LITERAL_ROWS) + ") v")
+def q_literal_rows(spark, sf):
+    """The records with two typed in by hand."""
+    s = subjects(spark, sf)
+    return s.unionByName(io.new_rows(spark, LITERAL_ROWS, _SUBJECT_TYPES))
+
+
+@register("record_cards", PREP_ALL + f"""
+SELECT d.key, 'Index: ' || d.key || chr(10) || 'Actual status: '
+       || CASE WHEN d.label = 1 THEN 'Risk' ELSE 'No Risk' END || chr(10) || {_sql_block()} AS card FROM disp d""")
+def q_record_cards(spark, sf):
+    """Index, actual label and shown values of every record."""
+    fitted, _, display, _ = _explained(spark, sf)
+    return report.record_card(_subject_blocks(fitted, display), "key", "label").select("key", "card")
+
+
+class _Flaky(report.EchoClient):
+    """Fails on every third length of prompt."""
+
+    def chat(self, system, user, **options):
+        if len(user) % 3 == 0:
+            raise RuntimeError("unavailable")
+        return super().chat(system, user, **options)
+
+
+@register("completions_resumed", ECHO_SQL + """
+SELECT e.key, e.text, CASE WHEN length(pr.user_prompt) % 3 = 0 THEN 'second' ELSE 'first' END AS run
+FROM echo e JOIN pr ON e.key = pr.key""")
+def q_completions_resumed(spark, sf):
+    """Answers kept from a run whose client failed on some rows, the rest asked for in a second."""
+    path, frame = _scratch(spark), cut_lineage(_prompt_frame(spark, sf))
+    report.complete_once(frame, _Flaky, "key", path, run="first")
+    out = report.complete_once(frame, report.EchoClient, "key", path, chunks=2, run="second")
+    return out.select("key", F.col("completion.text").alias("text"), "run")
+
+
+# ----------------------------------------------------- node tables with known answers
+
+TWO_LEVEL_SQL = """,
+m AS (SELECT avg(avg_price) AS t FROM complete),
+side AS (SELECT label, avg_price <= t AS l, n_orders <= 8 AS few FROM complete, m),
+tree AS (
+  SELECT 0 AS node_id, 0 AS depth, false AS tip, count(*) AS cover, sum(label) AS pos FROM side
+  UNION ALL SELECT 1, 1, false, count(*), sum(label) FROM side WHERE l
+  UNION ALL SELECT 2, 2, true, count(*), sum(label) FROM side WHERE l AND few
+  UNION ALL SELECT 3, 2, true, count(*), sum(label) FROM side WHERE l AND NOT few
+  UNION ALL SELECT 4, 1, true, count(*), sum(label) FROM side WHERE NOT l)"""
+
+
+def _two_level(spark, sf):
+    """A tree set by hand: price at its mean, then orders at 8, with the records' covers and shares."""
+    s = _complete(spark, sf)
+    mean = s.agg(F.avg("avg_price").alias("_t"))
+    sides = s.join(F.broadcast(mean)).withColumns({"_l": F.col("avg_price") <= F.col("_t"), "_few": F.col("n_orders") <= 8})
+    left, few = F.col("_l"), F.col("_few")
+    within = {0: F.lit(True), 1: left, 2: left & few, 3: left & ~few, 4: ~left}
+    got = sides.agg(F.first("_t").alias("t"), *[x for i, w in within.items() for x in (
+        F.count_if(w).alias(f"n{i}"), F.sum(F.when(w, F.col("label"))).alias(f"p{i}"))])
+    shape = {0: (1, 4, 1), 1: (2, 3, 0), 2: (-1, -1, -1), 3: (-1, -1, -1), 4: (-1, -1, -1)}  # left, right, feature
+    rows = [F.struct(F.lit(0).alias("tree_id"), F.lit(i).alias("node_id"), F.lit(a).alias("left"), F.lit(b).alias("right"),
+                     F.lit(f).alias("feature"), (F.col("t") if f == 1 else F.lit(8.0) if f == 0 else F.lit(None).cast("double")).alias("threshold"),
+                     F.array().cast("array<double>").alias("categories"), F.lit(-1).alias("num_categories"),
+                     (F.col(f"p{i}") / F.col(f"n{i}")).alias("value"), F.col(f"n{i}").cast("double").alias("cover"))
+            for i, (a, b, f) in shape.items()]
+    return s, got.select(F.explode(F.array(*rows)).alias("n")).select("n.*")
+
+
+# name -> (split bound as SQL over the left side's cover, depth)
+CUTS = {"whole": ("2", None), "split bound": ("nl + 1", None), "depth 1": ("2", 1), "root only": ("1000000000", None)}
+
+
+def _cut_sql(select):
+    return "\nUNION ALL ".join(
+        "SELECT " + select.format(name=name, depth=99 if depth is None else depth, bound=bound)
+        for name, (bound, depth) in CUTS.items())
+
+
+@register("pruned_nodes", SUBJ.rstrip() + COMPLETE_SQL + TWO_LEVEL_SQL + """,
+b AS (SELECT cover AS nl, (SELECT cover FROM tree WHERE node_id = 0) AS n FROM tree WHERE node_id = 1)
+""" + _cut_sql("""'{name}' AS cut, node_id, tip OR depth >= {depth} OR cover < {bound} AS leaf, CAST(cover AS DOUBLE) AS cover,
+       round(pos / CAST(cover AS DOUBLE), 6) AS value
+FROM tree, b WHERE depth <= {depth} AND (depth = 0 OR n >= {bound}) AND (depth < 2 OR nl >= {bound})"""))
+def q_pruned_nodes(spark, sf):
+    """Covers, shares and leaves of a node table before and after ``min_samples_split`` and depth cuts (M2, M4)."""
+    _, tree = _two_level(spark, sf)
+    tree = cut_lineage(tree)
+    nl = tree.where("node_id = 1").first()["cover"]
+    out = None
+    for name, (bound, depth) in CUTS.items():
+        split = int(nl) + 1 if "nl" in bound else int(bound)
+        part = nodes.prune(tree, split, depth).select(
+            F.lit(name).alias("cut"), "node_id", (F.col("left") < 0).alias("leaf"), "cover", r6("value").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("derived_scores", SUBJ.rstrip() + COMPLETE_SQL + TWO_LEVEL_SQL + """,
+b AS (SELECT cover AS nl, (SELECT cover FROM tree WHERE node_id = 0) AS n FROM tree WHERE node_id = 1),
+v AS (SELECT node_id, pos / CAST(cover AS DOUBLE) AS value FROM tree)
+""" + _cut_sql("""c.key, '{name}' AS cut, round((SELECT value FROM v WHERE node_id = CASE
+       WHEN n < {bound} OR {depth} < 1 THEN 0 WHEN c.avg_price > t THEN 4 WHEN nl < {bound} OR {depth} < 2 THEN 1
+       WHEN c.n_orders <= 8 THEN 2 ELSE 3 END), 6) AS prob FROM complete c, m, b"""))
+def q_derived_scores(spark, sf):
+    """Scores of the whole tree and of trees cut out of it, from one descent (M2, M5)."""
+    s, tree = _two_level(spark, sf)
+    tree = cut_lineage(tree)
+    nl = tree.where("node_id = 1").first()["cover"]
+    cuts = [(1, 99 if depth is None else depth, int(nl) + 1 if "nl" in bound else int(bound)) for bound, depth in CUTS.values()]
+    scored = nodes.score_candidates(s, tree, ["n_orders", "avg_price"], cuts)
+    named = F.array(*[F.lit(n) for n in CUTS])
+    return scored.select("key", F.posexplode("probs").alias("i", "p")).select(
+        "key", F.element_at(named, F.col("i") + 1).alias("cut"), r6("p").alias("prob"))
+
+
+# --------------------------------- what must hold of the model queries, row by row
+
+
+@register("forest_prediction_checks", SUBJ + """
+SELECT key, label, true AS is_probability, true AS class_follows, true AS decision_follows FROM subjects""")
+def q_forest_prediction_checks(spark, sf):
+    out = q_forest_predictions(spark, sf)
+    decided = F.col("prob") >= D.DECISION_THRESHOLD
+    return out.select("key", "label", F.col("prob").between(0, 1).alias("is_probability"),
+                      (F.col("pred") == (F.col("prob") > 0.5).cast("int")).alias("class_follows"),
+                      ((F.col("decision") == decided.cast("int"))
+                       & (F.col("decision_label") == F.when(decided, "Risk").otherwise("No Risk"))).alias("decision_follows"))
+
+
+@register("forest_cv_checks", SUBJ.rstrip() + "," + SCORED_SQL + """
+SELECT fold, count(*) AS n, sum(label) AS positives, true AS metrics_follow FROM scored GROUP BY fold""")
+def q_forest_cv_checks(spark, sf):
+    out = q_forest_cv_metrics(spark, sf)
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    near = lambda c, want: F.abs(F.col(c) - F.coalesce(want, F.lit(0.0))) < 1e-9
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    follow = (near("Accuracy", (tp + tn) / F.col("n")) & near("Precision", ratio(tp, tp + fp)) & near("Recall", ratio(tp, tp + fn))
+              & near("F1", ratio(2 * tp, 2 * tp + fp + fn)) & F.col("`ROC-AUC`").between(0, 1))
+    return out.select("fold", "n", (F.col("tp") + F.col("fn")).cast("double").alias("positives"), follow.alias("metrics_follow"))
+
+
+REGISTERED_GRID = {"n_estimators": [5, 10], "max_depth": [3, 5], "min_samples_split": [2, 60], "min_samples_leaf": [1, 20],
+                   "max_features": ["sqrt"]}
+
+
+@register("grid_search_checks", " UNION ALL ".join(
+    f"SELECT {i} AS candidate, '{json.dumps(c)}' AS params, 5 AS folds, true AS recalls_follow"
+    for i, c in enumerate(forest.expand_grid(REGISTERED_GRID))))
+def q_grid_search_checks(spark, sf):
+    """Every candidate of a grid with split bounds is scored on every fold, from two fits a fold (M2, M4)."""
+    data = _prepared_with_folds(spark, sf)
+    _, table = forest.grid_search(spark, data, FEATURES, "label", REGISTERED_GRID, "fold", parallelism=2)
+    each = F.col("fold_recall")
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(each)
+    follow = ((F.abs(mean - F.col("mean_recall")) < 1e-9) & F.forall(each, lambda r: r.between(0, 1))
+              & F.col("mean_train_recall").between(0, 1) & (F.col("std_recall") >= 0) & (F.col("std_train_recall") >= 0))
+    return table.select("candidate", "params", F.size(each).alias("folds"), follow.alias("recalls_follow"))
+
+
+@register("feature_importance_checks", " UNION ALL ".join(
+    f"SELECT {i} AS pos, '{f}' AS feature, true AS same_from_nodes" for i, f in enumerate(FEATURES)))
+def q_feature_importance_checks(spark, sf):
+    """Spark's importances are those worked out from the node table."""
+    data = _prepared_with_folds(spark, sf)
+    model = forest.fit_forest(data, FEATURES, "label", SMALL_FOREST)
+    own = nodes.node_importances(nodes.forest_nodes(model), len(FEATURES)).select("pos", F.col("importance").alias("_own"))
+    out = forest.feature_importance(spark, model, FEATURES, len(FEATURES)).join(own, "pos")
+    return out.select("pos", "feature", (F.abs(F.col("importance") - F.col("_own")) < 1e-9).alias("same_from_nodes"))
+
+
+@register("shap_checks", SUBJ + """
+SELECT key, true AS adds_up, true AS in_parts, true AS reasons_are_largest, true AS prompt_names_reasons FROM subjects""")
+def q_shap_checks(spark, sf):
+    """Attributions add up, are the same from trees in groups, and reasons and prompts follow from them."""
+    fitted, scaled, display = prepare(subjects(spark, sf), SUBJECT_SPEC)
+    tree = forest.forest_nodes(forest.fit_forest(scaled, FEATURES, "label", SMALL_FOREST))
+    shap = cut_lineage(explain.tree_shap(scaled, tree, FEATURES, "key"))
+    parts = explain.tree_shap(scaled, tree, FEATURES, "key", group_bytes=40_000).select("key", F.col("shap").alias("_parts"))
+    reasons = explain.top_reasons(shap, "key", FEATURES, 3)
+    listed = report.reason_list(reasons, "key", D.SUBJECT_DISPLAY_NAMES, "_listed")
+    got = reasons.groupBy("key").agg(F.sum("shap_value").alias("_top"), F.max("reason_rank").alias("_k"))
+    sh = shap.withColumn("reasons", report.reasons_inline("shap", FEATURES, D.SUBJECT_DISPLAY_NAMES, 3))
+    sh = metrics.decide(sh, "prediction", D.DECISION_THRESHOLD, labels=D.STATUS_LABELS)
+    asked = report.prompts(sh.join(_subject_blocks(fitted, display).select("key", "feature_block"), "key")).select("key", "user_prompt")
+    both = shap.join(parts, "key").join(got, "key", "left").join(listed, "key", "left").join(asked, "key")
+    ordered = F.slice(F.reverse(F.array_sort(F.filter("shap", lambda v: v > 0))), 1, 3)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
+    return both.select(
+        "key", (F.abs(F.col("base_value") + total(F.col("shap")) - F.col("prediction")) < 1e-9).alias("adds_up"),
+        F.forall(F.zip_with("shap", "_parts", lambda a, b: F.abs(a - b)), lambda d: d < 1e-12).alias("in_parts"),
+        ((F.abs(total(ordered) - F.coalesce("_top", F.lit(0.0))) < 1e-12)
+         & (F.size(ordered) == F.coalesce("_k", F.lit(0)))).alias("reasons_are_largest"),
+        F.col("user_prompt").contains(F.coalesce("_listed", F.lit(""))).alias("prompt_names_reasons"))

@@ -366,3 +366,66 @@ def test_clinical_micro_table(spark):
     long = spark.createDataFrame([("bmi", 22.25), ("bmi", None), ("nothing", 9.0)], "feature string, value double")
     shown = [r[0] for r in long.select(format_value("feature", "value", D.CLINICAL_VALUE_LABELS, D.CLINICAL_RULES)).collect()]
     assert shown[0].startswith("22.2") and shown[1] is None and shown[2] == "9.0"
+
+
+@pytest.mark.parametrize("kind", ["ties", "normal", "wide"])
+def test_quantiles_in_rounds(spark, kind):
+    """A tiny limit: many rounds, heavy ties, NULL groups."""
+    rng = np.random.default_rng(17)
+    v = {"ties": rng.integers(0, 4, 3000).astype(float), "normal": rng.normal(size=3000),
+         "wide": rng.normal(size=3000) ** 7 * 1e6}[kind]
+    rows = [(None if i % 5 == 0 else i % 3, float(x)) for i, x in enumerate(v)] + [(1, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    got = {(r.g, r.q_index): r.quantile for r in quantiles.exact_quantiles(df, "v", probs, ["g"], accuracy=200, limit=5).collect()}
+    assert len(got) == 4 * len(probs)
+    for g in (None, 0, 1, 2):
+        own = [x for k, x in rows if k == g and x is not None]
+        for i, p in enumerate(probs):
+            assert got[g, i] == pytest.approx(np.quantile(own, p), rel=1e-12, abs=1e-12)
+
+
+def test_prefix_sums_in_many_buckets(spark):
+    """A hot group of ten times the rows of the others: no bucket is much above its size."""
+    from tabrisk.operators import ranking
+    rows = [(None if i % 11 == 0 else "hot" if i % 11 < 9 else f"g{i % 7}", (i * 7919) % 20011, float(i % 5)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, k bigint, w double")
+    got = ranking.prefix_sums(df, ["g"], ["k"], {"before": F.col("w"), "n": F.lit(1)}, rows_per_bucket=100)
+    seen = {}
+    for r in sorted(got.collect(), key=lambda r: (str(r.g), r.k)):
+        n, w = seen.get(r.g, (0, 0.0))
+        assert (r.n, r.before) == (n, w)
+        seen[r.g] = n + 1, w + r.w
+    assert sum(n for n, _ in seen.values()) == 4000
+    dealt = df.repartitionByRange(40, "g", "k").groupBy(F.spark_partition_id().alias("b")).count().collect()
+    assert max(r["count"] for r in dealt) <= 250 and len(dealt) >= 30
+
+
+def test_auc_of_one_fold_in_many_buckets(spark):
+    rng = np.random.default_rng(31)
+    y, s = rng.integers(0, 2, size=1500), np.round(rng.random(1500), 3)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    got = metrics.auc_exact(df, "y", "s", rows_per_bucket=50).first()[0]
+    pos, neg = s[y == 1], s[y == 0]
+    want = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_codes_of_many_categories_are_dealt(spark):
+    df = spark.range(3000).selectExpr("concat('c', lpad(cast(id * 37 % 3000 as string), 4, '0')) AS s", "cast(id % 3 as string) AS t")
+    enc = encode.fit_ordinal(df, ["s", "t"], rows_per_bucket=100)
+    got = {(r.feature, r.category): r.code for r in enc.table.collect()}
+    assert got == {**{("s", f"c{i:04d}"): i for i in range(3000)}, **{("t", str(i)): i for i in range(3)}}
+
+
+def test_first_and_last_rows(spark):
+    from tabrisk.operators import ranking
+    df = spark.range(100).selectExpr("(id * 37) % 100 AS key", "cast((id * 37) % 100 % 3 AS int) AS g").repartition(5)
+    assert [r.key for r in ranking.head(df, "key", 4).orderBy("key").collect()] == [0, 1, 2, 3]
+    assert sorted((r.g, r.key) for r in ranking.first_n(df, "key", 2, "g").collect()) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
+    assert ranking.last_row(df, "key").first().key == 99
+    assert sorted((r.g, r.key) for r in ranking.last_row(df, "key", ["g"]).collect()) == [(0, 99), (1, 97), (2, 98)]
+    ranked = ranking.bottom_k(df, [F.col("key").desc()], 3, name="n").orderBy("n").collect()
+    assert [(r.n, r.key) for r in ranked] == [(1, 99), (2, 98), (3, 97)]
+    plan = ranking.first_n(df, "key", 2, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -29,7 +29,7 @@ def test_knn_top_k_is_a_pre_shuffle_group_limit(spark):
     q = df.select(F.col("key").alias("_qk"), F.col("a").alias("q_a"), F.col("b").alias("q_b"))
     d = df.select(F.col("key").alias("_dk"), F.col("a").alias("d_a"), F.col("b").alias("d_b"))
     held = Held()
-    out = knn._search(q, d, ["a", "b"], 4, 2, 3, 64, held)
+    out = knn._search(q, d, ["a", "b"], 4, 2, 64, held)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     held.release()
     assert "WindowGroupLimit" in plan
