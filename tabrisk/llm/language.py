@@ -43,17 +43,16 @@ _codes: np.ndarray | None = None
 
 
 def _letter_codes() -> np.ndarray:
-    """Code of every code point below 0x30000: a-z get 1-26, other letters share
-    27-127 by code point, anything else is 0."""
+    """Code of every code point: a-z get 1-26, other letters share 27-127 by code
+    point, anything else is 0."""
     global _codes
     if _codes is None:
         codes = np.zeros(0x110000, np.uint8)
-        for cp in range(0x30000):
+        for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = ord(c.lower()[0])
                 codes[cp] = low - 96 if 97 <= low <= 122 else 27 + low % 101
-        codes[0x30000:] = 27 + np.arange(0x30000, 0x110000) % 101
         _codes = codes
     return _codes
 
@@ -92,6 +91,12 @@ class LanguageModel:
     weights: np.ndarray      # landmarks x languages
     bias: np.ndarray
 
+    @staticmethod
+    def blank() -> "LanguageModel":
+        """Knows no gram: every text with a letter gets the one nameless language."""
+        one = np.zeros((1, 1), np.float32)
+        return LanguageModel([""], np.zeros(0, np.int64), one[:0], one, one[0])
+
     def outputs(self, present: np.ndarray) -> np.ndarray:
         """Regression outputs of texts given as rows of gram presences."""
         size = np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
@@ -125,9 +130,12 @@ def _sample(docs: DataFrame, lang_col: str, text_col: str, where: Column, sample
         F.xxhash64(text_col).alias("_hash"))
     languages = named.select("_lang").distinct().count()
     each = max(1, sample // max(1, languages))
-    order = Window.partitionBy("_lang").orderBy("_hash")
-    drawn = (named.select("_lang", "_hash").distinct().withColumn("_rank", F.row_number().over(order))
-             .where(F.col("_rank") <= each).orderBy("_rank", "_lang").limit(sample))
+    # drawn twice: the first of a language in each of 64 parts of its hashes, then the first of those
+    order = Window.partitionBy("_lang", "_part").orderBy("_hash")
+    drawn = (named.select("_lang", "_hash").distinct().withColumn("_part", F.pmod("_hash", F.lit(64)))
+             .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_part"))
+    order = Window.partitionBy("_lang").orderBy("_hash")      # at most 64 * each rows a language
+    drawn = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).orderBy("_rank", "_lang").limit(sample)
 
     def sets(batches):
         for batch in batches:
@@ -206,6 +214,12 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str
 
 
 def keep_identified(docs: DataFrame, where: Column) -> DataFrame:
-    """The rows whose language is recognised: all that have a letter, however short."""
-    return _predicted(docs, fit_language(docs, where), "text").where(
-        F.col("_lang") != UNDETERMINED).select("_row.*")
+    """The rows whose language is recognised, with it in ``lang`` where that was NULL:
+    all that have a letter, however short; without any labelled text too, but then
+    none gets a language."""
+    model = fit_language(docs, where)
+    if model is None:
+        return _predicted(docs, LanguageModel.blank(), "text").where(F.col("_score") > 0).select("_row.*")
+    rows = _predicted(docs, model, "text").where(F.col("_lang") != UNDETERMINED)
+    named = F.col("_row").withField("lang", F.coalesce(F.col("_row.lang"), F.col("_lang")))
+    return rows.select(named.alias("_row")).select("_row.*")

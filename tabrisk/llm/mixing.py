@@ -8,11 +8,14 @@
 
        1/2 sum_k (sum_d r_d t_d p_dk - T_k)^2 / (N q_k)  +  ridge/2 sum_d t_d (r_d - 1)^2
 
-   (``N`` all tokens, ``q_k`` the domain's share now).  At the minimum ``r_d``
-   is ``max(0, 1 - g . p_d / ridge)`` with one number ``g_k`` a domain, the
-   domain's miss over ``q_k``.  These few numbers are the zero of the gradient
-   of a strictly convex function, found by damped Newton steps; a step is one
-   sum over the table, and an unfinished search is an error.
+   (``N`` all tokens, ``q_k`` the domain's share now) by projected gradient steps
+   ``r <- max(0, y - gradient(y) / L)`` with momentum (``y`` extrapolates the last
+   two rates), restarted when it points uphill.  The gradient of a document is
+   ``g . p_d + ridge (y_d - 1)`` with one number ``g_k`` a domain, the domain's
+   miss over ``q_k``; in the metric of the tokens ``L = 1 + ridge``.  A step is one
+   sum over the table: tasks replay the steps so far on their documents from the
+   numbers ``g``, so rates are not stored between steps.  Steps end when the
+   projected gradient is below a tolerance; its size is returned as ``residual``.
 3. The rate becomes a number of copies by ``floor(rate + u)`` with ``u`` a hash
    of identifier and text, so expected totals are kept and a retried task draws
    alike.
@@ -21,7 +24,8 @@ Tokens are white-space-separated words.  Defined results: NULL text is empty
 and has no tokens (its rate is the one its posterior gives); without labelled
 rows every document belongs to every domain equally; a domain that no document
 belongs to cannot reach a target above 0 and stays empty; repeated rows count
-each; other columns are not read.
+each, and NULL identifiers are rows like any other (rows of one identifier and
+text get one number of copies); other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabrisk.llm.pieces import cut_pieces, text_slices
 from tabrisk.llm.shared import cut, labelled_sample
@@ -40,8 +45,8 @@ SAMPLE = 4000          # labelled documents used to fit, all domains together
 SAMPLE_BYTES = 4 << 20  # a longer single text is not drawn into the sample
 BUCKETS = 1 << 15      # hashed words
 FIT_STEPS = 60
-STEPS = 80             # sums over the table at most
-TOLERANCE = 1e-6       # of the residual of the domain totals, as a share of all tokens
+STEPS = 800            # sums over the table at most
+TOLERANCE = 1e-6       # of the projected gradient, a document's mean by tokens
 RIDGE = 1e-3
 SLICE = 2 << 20
 
@@ -98,12 +103,13 @@ def _fit(doc, word, label, domains, steps: int = FIT_STEPS) -> DomainModel:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str = "doc_id",
-                text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE) -> DomainModel | None:
+                text_col: str = "text", domain_col: str = "domain", sample: int = SAMPLE,
+                sample_bytes: int = SAMPLE_BYTES) -> DomainModel | None:
     """Fit on the documents that ``labels`` puts in one of ``domains``; at most ``sample`` of them,
-    shared out over the domains."""
+    shared out over the domains, none longer than ``sample_bytes``."""
     domains = list(domains)
     picked = labelled_sample(docs, labels.where(F.col(domain_col).isin(domains)), id_col, text_col, domain_col,
-                             sample // len(domains), SAMPLE_BYTES)
+                             sample // len(domains), sample_bytes)
 
     def sets(batches):
         for batch in batches:
@@ -154,58 +160,71 @@ def _uniform(id_col: str, text_col: str) -> Column:
     return F.shiftrightunsigned(bits, 12) / F.lit(float(1 << 52))
 
 
+def _replay(p: np.ndarray, moves: Sequence[tuple], ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates before the last step, point it was taken from, rates after it)."""
+    before = here = now = np.ones(len(p))
+    for g, momentum in moves:
+        here = now + momentum * (now - before)
+        before, now = now, np.maximum(0.0, here - (p @ g + ridge * (here - 1)) / (1 + ridge))
+    return before, here, now
+
+
 def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE, steps: int = STEPS,
               tolerance: float = TOLERANCE) -> DataFrame:
-    """Append ``rate``: ``targets`` are wanted tokens per domain, as multiples of all tokens now."""
+    """Append ``rate`` and ``residual``: ``targets`` are wanted tokens per domain, as multiples of
+    all tokens now."""
     names = [f"p{i}" for i in range(len(targets))]
     table = cut(members)
     total, *now = table.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col(p)) for p in names]).first()
     if not total:
-        return table.withColumn("rate", F.lit(1.0))
+        return table.withColumns({"rate": F.lit(1.0), "residual": F.lit(0.0)})
     # a domain that no document belongs to has no say
     some = [i for i, x in enumerate(now) if x]
-    share = np.array([max(now[i] / total, 1e-9) for i in some])
+    share = np.array([now[i] / total for i in some])
+    scale = np.maximum(share, 1e-9)
     wanted = np.array([targets[i] for i in some], float)
-    p = [F.col(names[i]) for i in some]
-
-    def rate(g: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), 1 - sum((F.lit(float(x)) * c for x, c in zip(g, p)), F.lit(0.0)) / ridge)
-
-    pairs = [(i, j) for i in range(len(p)) for j in range(i + 1)]
-
-    def at(g: np.ndarray):
-        """Value, gradient and curvature of the dual function."""
-        r, weight = rate(g), F.col("n_tokens") / F.lit(float(total))
-        moves = F.when(r > 0, weight).otherwise(0.0)
-        got = table.agg(F.sum(weight * r * r), *[F.sum(weight * r * c) for c in p],
-                        *[F.sum(moves * p[i] * p[j]) for i, j in pairs]).first()
-        curve = np.diag(share)
-        for (i, j), x in zip(pairs, got[1 + len(p):]):
-            curve[i, j] += x / ridge
-            curve[j, i] = curve[i, j]
-        return (share * g * g).sum() / 2 + wanted @ g + ridge / 2 * got[0], share * g + wanted - np.array(got[1:1 + len(p)]), curve
-
-    g = np.zeros(len(p))
-    value, slope, curve = at(g)
-    move, size = np.linalg.solve(curve, -slope), 1.0
-    for _ in range(steps - 1):
-        if abs(slope).max() < tolerance:
+
+    def columns(batch):
+        return np.stack([batch.column(names[i]).to_numpy(zero_copy_only=False) for i in some], 1)
+
+    def sums(moves):
+        """Of one step: domain totals after it, its mean length, whether momentum points uphill."""
+        def part(batches):
+            got = np.zeros(len(some) + 2)
+            for batch in batches:
+                if batch.num_rows:
+                    p, weight = columns(batch), batch.column("n_tokens").to_numpy() / total
+                    before, here, now = _replay(p, moves, ridge)
+                    got += [*((weight * now) @ p), weight @ np.abs(now - here), weight @ ((here - now) * (now - before))]
+            yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], ["s"])
+
+        rows = table.mapInArrow(part, "s array<double>")
+        return np.array(rows.agg(*[F.sum(F.col("s")[i]) for i in range(len(some) + 2)]).first())
+
+    moves: list[tuple] = []
+    before = here = share        # domain totals at all rates 1
+    speed, residual = 1.0, np.inf
+    for _ in range(steps):
+        faster = (1 + (1 + 4 * speed ** 2) ** 0.5) / 2
+        momentum = (speed - 1) / faster if moves else 0.0
+        point = here + momentum * (here - before)
+        moves.append(((point - wanted) / scale, momentum))
+        *after, length, uphill = sums(moves)
+        before, here, speed = here, np.array(after), 1.0 if uphill > 0 else faster
+        residual = length * (1 + ridge)
+        if residual < tolerance:
             break
-        tried = at(g + size * move)
-        if tried[0] <= value + 1e-4 * size * (slope @ move) or abs(tried[1]).max() < abs(slope).max():
-            g = g + size * move
-            value, slope, curve = tried
-            move, size = np.linalg.solve(curve, -slope), 1.0
-        else:
-            size /= 2
-    if not abs(slope).max() < tolerance:
-        raise RuntimeError(f"rates not found in {steps} sums: residual {abs(slope).max():.3g} of all tokens")
-    return table.withColumn("rate", rate(g))
+
+    def rated(batches):
+        for batch in batches:
+            yield batch.append_column("rate", pa.array(_replay(columns(batch), moves, ridge)[2]))
+
+    return table.mapInArrow(rated, T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())])).withColumn("residual", F.lit(float(residual)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], size: float | None = 1.0,
         id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
-    """``<id>, n_tokens, p_<domain>.., rate, copies`` of every row.
+    """``<id>, n_tokens, p_<domain>.., rate, copies, residual`` of every row.
 
     ``labels`` names the domain of some documents; ``weights`` are the target shares; the mixture holds ``size`` times the
     tokens of ``docs``.
@@ -217,7 +236,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], size:
     rated = fit_rates(members, [weights[d] * scale for d in domains])
     return rated.select(
         id_col, "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate",
-        F.floor(F.col("rate") + F.col("_u")).cast("bigint").alias("copies"), "_u")
+        F.floor(F.col("rate") + F.col("_u")).cast("bigint").alias("copies"), "residual", "_u")
 
 
 def apply_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
