@@ -29,7 +29,8 @@ On Spark the tree is never in one place:
 
 Defined results: NULL and empty texts are the end alone (one token); without
 training texts every decision is 1/2 and the word model has N = V = 0; rows
-keep NULL identifiers and repetitions; other columns are not read.
+keep NULL identifiers and repetitions; a very long text is scored whole, as a
+slice of its own; other columns are not read.
 """
 
 from __future__ import annotations

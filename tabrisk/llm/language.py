@@ -15,8 +15,9 @@ the order of a hash of the text; everything else runs over whole texts.
 
 Defined results: a text that is NULL or has no letter gets ``und`` with score
 0; without any labelled text every document does; ties go to the language that
-sorts first; rows keep NULL identifiers and repetitions; other columns are not
-read.
+sorts first; rows keep NULL identifiers and repetitions; very long texts are
+scored whole, one at a time; other columns are not read, and columns that have
+the prediction's names are replaced.
 """
 
 from __future__ import annotations
@@ -208,9 +209,10 @@ def _predicted(docs: DataFrame, model: LanguageModel | None, text_col: str) -> D
 
 def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
                      lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the prediction appended."""
+    """All columns of ``docs`` with the prediction appended; columns that have its names are replaced."""
+    others = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (lang_name, score_name)]
     return _predicted(docs, model, text_col).select(
-        "_row.*", F.col("_lang").alias(lang_name), F.col("_score").alias(score_name))
+        *others, F.col("_lang").alias(lang_name), F.col("_score").alias(score_name))
 
 
 def keep_identified(docs: DataFrame, where: Column) -> DataFrame:

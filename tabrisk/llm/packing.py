@@ -20,6 +20,9 @@ are packed on, as whole items.  No level has larger shards than the first.
 Defined results: items of full capacity or more than it are the caller's to
 cut (:func:`document_pieces` does); items of length 0 take no room and go to
 any bin; ties are broken by the item number; an empty table packs into no bin.
+:func:`pack_documents` gives every row its own items, so repeated rows are packed
+as often as they occur and NULL identifiers are kept; NULL texts are empty; a very
+long text is encoded whole and cut into full pieces; other columns are not read.
 """
 
 from __future__ import annotations

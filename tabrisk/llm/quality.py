@@ -9,8 +9,9 @@ the same training documents turns the share into a probability.
 
 The chain is fitted on the driver by gradient ascent, from the line features of
 a bounded sample of labelled documents (``sample``, half of each class, drawn
-in the order of a hash of the identifier); the lines of a training document carry its
-label.  Labels, language, source and identifiers are never features.
+in the order of a hash of the identifier, of at most ``sample_bytes`` each and
+``sample_lines`` together, which bounds what the driver holds); the lines of a
+training document carry its label.  Labels, language, source and identifiers are never features.
 
 Scoring is vectorised over the documents of a batch: the recursion walks line
 numbers, all documents that still have such a line at once.
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrisk.llm.pieces import cut_pieces, text_slices
@@ -34,6 +35,7 @@ from tabrisk.llm.shared import labelled_sample
 
 SAMPLE = 3000       # labelled documents used to fit, both classes together
 SAMPLE_BYTES = 8 << 20  # a longer single text is not drawn into the sample
+SAMPLE_LINES = 400_000  # lines of the sample; a text with a twentieth of them is not drawn
 STEPS = 150
 PENALTY = 1e-4
 SLICE = 2 << 20
@@ -213,10 +215,15 @@ def fit_chain(features: np.ndarray, size: np.ndarray, first: np.ndarray, label:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                label_col: str = "quality", sample: int = SAMPLE) -> QualityModel | None:
+                label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
+                sample_lines: int = SAMPLE_LINES) -> QualityModel | None:
     """Fit on the documents that ``labels`` marks 1 (good) or 0 (bad); None unless both classes occur."""
     marked = labels.where(F.col(label_col).isin(0, 1))
-    picked = labelled_sample(docs, marked, id_col, text_col, label_col, sample // 2, SAMPLE_BYTES)
+    picked = labelled_sample(docs, marked, id_col, text_col, label_col, sample // 2, sample_bytes)
+    lines = F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1
+    so_far = Window.partitionBy("_y").orderBy(F.xxhash64("_key"), "_key")  # at most sample / 2 rows a class
+    picked = (picked.withColumn("_lines", lines).where(F.col("_lines") <= sample_lines // 20)
+              .withColumn("_sum", F.sum("_lines").over(so_far)).where(F.col("_sum") <= sample_lines // 2))
 
     def features(batches):
         for batch in batches:

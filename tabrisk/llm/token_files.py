@@ -25,8 +25,8 @@ ascending identifiers and a hot identifier does not end in one task.
 
 Defined results: a NULL or empty text gives a document of the end id alone;
 NULL identifiers come first and read back as NULL; repeated rows are written
-as often as they occur; an empty table writes no document; other columns are
-not read.
+as often as they occur; a very long text is one frame like any other, encoded
+whole; an empty table writes no document; other columns are not read.
 """
 
 from __future__ import annotations
