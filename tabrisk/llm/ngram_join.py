@@ -17,11 +17,14 @@ shingle set that falls into it, and counts there; partial counts are summed.
    shingle among the first ``n - ceil(0.8 n) + 1`` of each (shingles without a
    second text count as the rarest and can't match).  Texts that share such a
    shingle, directly or through others, form a candidate group.
-4. *Links.*  A candidate group is compared in blocks of bounded size: a group is
-   cut into chunks, two chunks meet in one task, and the task adds up the partial
-   overlaps of all their pairs fragment by fragment, as matrix products.  Only a
-   spanning forest of the links leaves the task, never the pairs, so a large group
-   of near copies that are not near each other costs arithmetic, not rows.
+4. *Partial overlaps.*  A candidate group is cut into chunks, and the order of the
+   shingles into vertical parts.  For every two chunks and every part one task
+   counts, from that part of the sets alone, the overlap of all pairs as a matrix
+   product and emits the counts as one packed block; small groups share a task.
+5. *Sum per pair.*  The blocks of the parts meet by chunk pair, are summed and
+   compared with the threshold.  Only a spanning forest of the links leaves the
+   task, never the pairs, so a large group of near copies that are not near each
+   other costs arithmetic, not rows.
 
 ``min_percent`` is compared in integers: ``100 * overlap >= min_percent * union``.
 
@@ -47,8 +50,10 @@ from tabrisk.llm.shared import cut
 WORDS = 5
 MIN_PERCENT = 80
 TEXTS_PER_FRAGMENT = 2500
-CHUNK = 1500          # texts of a candidate group in one chunk
-FRAGMENT_COLUMNS = 2048  # shingles of one fragment when chunks are compared
+CHUNK = 1000          # texts of a candidate group in one chunk
+PARTS = 4             # vertical parts in which chunks are compared
+TOGETHER = 2000       # texts of small groups that are compared in one task
+FRAGMENT_COLUMNS = 2048  # shingles of one matrix product
 LOW = np.uint64((1 << 40) - 1)
 SLICE = 1 << 20
 BLOCK_SHINGLES = 800_000
@@ -310,62 +315,116 @@ def _forest(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return list(zip(rows[moved].tolist(), rows[up[moved]].tolist()))
 
 
-def _compare(min_percent: int):
-    def compare(table: pa.Table) -> pa.Table:
-        """Links between two chunks of a candidate group (or within one).
-
-        The shared order of the shingles is cut into fragments; each fragment
-        is a 0/1 matrix of texts and shingles, its product with itself the partial
-        overlaps, and the sum over the fragments the overlap of every pair.
-        """
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        chunk, n = table.column("chunk").to_numpy(), table.column("n").to_numpy()
-        row = table.column("row").to_numpy()
-        lists = table.column("shared").combine_chunks()
-        doc = np.repeat(np.arange(len(row)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        key, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-        often = np.bincount(at, minlength=len(key)) > 1        # a shingle of one text here overlaps with nothing
-        place = np.cumsum(often) - 1
-        doc, at = doc[often[at]], place[at[often[at]]]
-        a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        overlap = np.zeros((len(a), len(b)), np.int64)
-        spot = np.full(len(row), -1)
-        for begin in range(0, int(often.sum()), FRAGMENT_COLUMNS):
-            here = (at >= begin) & (at < begin + FRAGMENT_COLUMNS)
-            parts = []
-            for own in (a, b):
-                spot[:] = -1
-                spot[own] = np.arange(len(own))
-                mine = here & (spot[doc] >= 0)
-                part = np.zeros((len(own), FRAGMENT_COLUMNS), np.float32)
-                part[spot[doc[mine]], at[mine] - begin] = 1
-                parts.append(part)
-            overlap += (parts[0] @ parts[1].T).astype(np.int64)  # a fragment's counts are exact in float32
-        total = n[a][:, None] + n[b][None, :] - overlap
-        hit = 100 * overlap >= min_percent * total
-        hit &= row[a][:, None] != row[b][None, :]
-        left, right = np.nonzero(hit)
-        links = _forest(row, a[left], b[right]) if len(left) else []
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return compare
-
-
-def _link_sets(sets: DataFrame, min_percent: int, chunk: int = CHUNK) -> DataFrame:
+_PARTIAL = "task bigint, component bigint, i int, j int, part int, data binary"
+
+
+def _overlaps(doc: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, texts: int) -> np.ndarray:
+    """Shared keys of every text in ``a`` with every text in ``b``."""
+    key, at = np.unique(key, return_inverse=True)
+    often = np.bincount(at, minlength=len(key)) > 1        # a shingle of one text here overlaps with nothing
+    place = np.cumsum(often) - 1
+    doc, at = doc[often[at]], place[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    out = np.zeros((len(a), len(b)), np.int64)
+    spot = np.full(texts, -1)
+    for begin in range(0, int(often.sum()), FRAGMENT_COLUMNS):
+        low, high = np.searchsorted(at, [begin, begin + FRAGMENT_COLUMNS])
+        sides = []
+        for own in (a, b):
+            spot[:] = -1
+            spot[own] = np.arange(len(own))
+            rows = spot[doc[low:high]]
+            side = np.zeros((len(own), FRAGMENT_COLUMNS), np.float32)
+            side[rows[rows >= 0], at[low:high][rows >= 0] - begin] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)    # exact in float32: at most FRAGMENT_COLUMNS
+    return out
+
+
+def _partial(table: pa.Table) -> pa.Table:
+    """Overlaps within one vertical part, a packed block for each chunk pair of the task."""
+    import zstandard
+
+    table = table.sort_by([(c, "ascending") for c in ("component", "i", "j", "row")]).combine_chunks()
+    component, first, second, chunk, n, row = (table.column(c).to_numpy() for c in ("component", "i", "j", "chunk", "n", "row"))
+    lists = table.column("own").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    keys = lists.flatten().to_numpy(zero_copy_only=False)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    cuts = np.flatnonzero(np.concatenate([[True], (component[1:] != component[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+    out = []
+    for begin, end in zip(cuts, np.append(cuts[1:], len(row))):
+        i, j, part = int(first[begin]), int(second[begin]), table.column("part")[0].as_py()
+        own = chunk[begin:end]
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        doc = np.repeat(np.arange(end - begin), np.diff(ends[begin:end + 1]))
+        counts = _overlaps(doc, keys[ends[begin]:ends[end]], a, b, end - begin)
+        head = np.concatenate([[len(a), len(b)], row[begin:end][a], row[begin:end][b], n[begin:end][a], n[begin:end][b]])
+        out.append((table.column("task")[0].as_py(), int(component[begin]), i, j, part,
+                    pack(head.astype("<i8").tobytes() + counts.astype("<u4").tobytes())))
+    columns = list(zip(*out)) or [[]] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (
+        pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["task", "component", "i", "j", "part", "data"])
+
+
+def _summed(min_percent: int):
+    def add(table: pa.Table) -> pa.Table:
+        """Links of the chunk pairs of a task: the parts' overlaps summed and compared."""
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        total: dict = {}
+        for component, i, j, data in zip(*(table.column(c) for c in ("component", "i", "j", "data"))):
+            raw = unpack(data.as_buffer())
+            x, y = np.frombuffer(raw, "<i8", 2)
+            size = 8 * (2 + 2 * (x + y))
+            counts = np.frombuffer(raw, "<u4", x * y, size).reshape(x, y).astype(np.int64)
+            key = component.as_py(), i.as_py(), j.as_py()
+            if key in total:
+                total[key][1] += counts
+            else:
+                total[key] = [np.frombuffer(raw, "<i8", 2 * (x + y), 16), counts]
+        left, right = [], []
+        for head, overlap in total.values():
+            x, y = overlap.shape
+            row_a, row_b, n_a, n_b = np.split(head, np.cumsum([x, y, x]))
+            hit = 100 * overlap >= min_percent * (n_a[:, None] + n_b[None, :] - overlap)
+            hit &= row_a[:, None] != row_b[None, :]
+            a, b = np.nonzero(hit)
+            if len(a):
+                rows, at = np.unique(np.concatenate([row_a[a], row_b[b]]), return_inverse=True)
+                for p, q in _forest(rows, at[:len(a)], at[len(a):]):
+                    left.append(p)
+                    right.append(q)
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return add
+
+
+def _link_sets(sets: DataFrame, min_percent: int, chunk: int = CHUNK, parts: int = PARTS,
+               together: int = TOGETHER) -> DataFrame:
     """``node, component`` of the linked rows among distinct sets ``row, n, shared``."""
     lists = _rare_first(sets, min_percent)
-    # texts that share a candidate list, directly or through others
-    first = Window.partitionBy("h").orderBy("row")
-    groups = connected_components(lists.select("row", F.min("row").over(first).alias("hub")).where(
+    # texts that share a candidate list, directly or through others; the least row of a list is aggregated before the shuffle
+    hubs = lists.groupBy("h").agg(F.min("row").alias("hub"))
+    groups = connected_components(lists.join(hubs, "h").select("row", "hub").where(
         F.col("row") != F.col("hub")), "row", "hub")
     group = cut(sets.join(groups.withColumnRenamed("node", "row"), "row"))
-    size = group.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    parts = F.ceil(F.col("k") / chunk).cast("int")
-    dealt = group.join(size.select("component", parts.alias("parts")), "component").withColumn(
-        "chunk", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "component", "row", "n", "shared", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    links = cut(pairs.groupBy("component", "i", "j").applyInArrow(_compare(min_percent), "a bigint, b bigint"))
+    size = cut(group.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1))
+    small = F.col("k") <= together // 20
+    tasks = max(1, -(-(size.where(small).agg(F.sum("k")).first()[0] or 0) // together))
+    size = size.select("component", small.alias("small"), F.ceil(F.col("k") / chunk).cast("int").alias("chunks"))
+    dealt = group.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
+        "component", "row", "n", "shared", "chunk", "small", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    task = F.when(F.col("small"), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(
+        F.shiftright(F.xxhash64("component", "i", "j"), 1).bitwiseOR(F.lit(1 << 62)))
+    in_part = lambda p: F.filter("shared", lambda h: F.pmod(F.shiftright(h, 8), F.lit(parts)) == p)
+    vertical = pairs.withColumn("task", task).select(
+        "task", "component", "row", "n", "chunk", "i", "j", F.posexplode(F.array(*[in_part(p) for p in range(parts)])).alias("part", "own"))
+    partial = vertical.groupBy("task", "part").applyInArrow(_partial, _PARTIAL)
+    links = cut(partial.groupBy("task").applyInArrow(_summed(min_percent), "a bigint, b bigint"))
     return connected_components(links)
 
 

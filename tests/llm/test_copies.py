@@ -269,6 +269,32 @@ def test_threshold_is_exact_for_millions_of_shared_shingles(monkeypatch):
     common, n = 4 * m, (3019900, 3019901)
     lists = [np.concatenate([np.arange(common), np.arange(common, k) + (i << 32)]) for i, k in enumerate(n)]
     assert 100 * common == 80 * (sum(n) - common)
-    table = pa.table({"i": [0, 0], "j": [0, 0], "chunk": [0, 0], "n": list(n), "row": [3, 7],
-                      "shared": pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate(lists))})
-    assert len(ngram_join._compare(80)(table)) == 1
+    halves = []
+    for part in range(2):
+        own = [x[x % 2 == part] for x in lists]
+        table = pa.table({"task": [5, 5], "component": [3, 3], "i": [0, 0], "j": [0, 0], "part": [part, part], "chunk": [0, 0],
+                          "n": list(n), "row": [3, 7], "own": pa.ListArray.from_arrays(
+                              np.cumsum([0, *map(len, own)]).astype(np.int32), np.concatenate(own))})
+        halves.append(ngram_join._partial(table))
+    assert len(ngram_join._summed(80)(pa.concat_tables(halves))) == 1
+    assert len(ngram_join._summed(81)(pa.concat_tables(halves))) == 0
+
+
+@pytest.mark.parametrize("chunk, parts, together", [(3, 1, 1), (5, 3, 40), (1000, 4, 2000)])
+def test_links_whatever_the_chunks_and_parts(spark, near_rows, chunk, parts, together):
+    """Sets as rows: the linked rows and their components do not depend on the cuts."""
+    rng = random.Random(4)
+    base = [rng.sample(range(10 ** 6), 40) for _ in range(12)]
+    sets = [sorted(set(rng.choice(base)[: rng.randint(34, 40)]) | {rng.randrange(10 ** 6) for _ in range(rng.randint(0, 5))}) for _ in range(90)]
+    sets = [list(x) for x in {tuple(s) for s in sets}]
+    groups = Groups(range(len(sets)))
+    linked = set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            o = len(set(x) & set(sets[j]))
+            if 100 * o >= 80 * (len(x) + len(sets[j]) - o):
+                groups.join(i, j)
+                linked |= {i, j}
+    df = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "row bigint, n bigint, shared array<bigint>")
+    got = {r.node: r.component for r in ngram_join._link_sets(df, 80, chunk, parts, together).collect()}
+    assert got == {i: groups.find(i) for i in linked} and len(linked) > 20
