@@ -46,6 +46,7 @@ from tabrisk.llm.shared import cut
 
 DEPTH = 5                  # context bytes, at most 7
 BLOCK_BYTES = 32 << 20     # text of a block
+FRAGMENT_BYTES = 16 << 20  # text behind a fragment
 SLICE = 1 << 20
 END = 10                   # newline: end of a text, and what stands before its start
 STRINGS, WORDS_, TOP, BLOCK = 0, 1, 2, 3
@@ -401,7 +402,8 @@ def context_tree_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7")
-    fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_BYTES))
     rows = cut(_blocks(docs, train, id_col, text_col, depth, fragments))
     blocks, sent = rows.where(F.col("kind") == BLOCK), rows.where(F.col("kind") != BLOCK)
     tops = sent.groupBy("frag").applyInArrow(

@@ -48,6 +48,7 @@ FIT_STEPS = 60
 STEPS = 800            # sums over the table at most
 TOLERANCE = 1e-6       # of the projected gradient, a document's mean by tokens
 RIDGE = 1e-3
+ROWS_PER_TASK = 250_000  # documents one task takes a step for
 SLICE = 2 << 20
 
 
@@ -175,7 +176,7 @@ def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE
     all tokens now."""
     names = [f"p{i}" for i in range(len(targets))]
     table = cut(members)
-    total, *now = table.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col(p)) for p in names]).first()
+    rows, total, *now = table.agg(F.count(F.lit(1)), F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col(p)) for p in names]).first()
     if not total:
         return table.withColumns({"rate": F.lit(1.0), "residual": F.lit(0.0)})
     # a domain that no document belongs to has no say
@@ -198,9 +199,11 @@ def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE
                     got += [*((weight * now) @ p), weight @ np.abs(now - here), weight @ ((here - now) * (now - before))]
             yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], ["s"])
 
-        rows = table.mapInArrow(part, "s array<double>")
+        rows = narrow.mapInArrow(part, "s array<double>")
         return np.array(rows.agg(*[F.sum(F.col("s")[i]) for i in range(len(some) + 2)]).first())
 
+    # read by every step: few columns, in tasks that are worth their start
+    narrow = cut(table.select("n_tokens", *names).coalesce(-(-rows // ROWS_PER_TASK)))
     moves: list[tuple] = []
     before = here = share        # domain totals at all rates 1
     speed, residual = 1.0, np.inf
