@@ -16,7 +16,7 @@ the number of jobs does not depend on the patterns.
    costs ``k`` rows.  Queries with identical coordinates have identical
    neighbours, so the search runs once per distinct query vector.
 2. The tree grows level by level.  A cell with more than ``cell_target`` donors
-   is cut at up to 15 quantiles of one axis, the one with the most of them
+   is cut at up to 31 quantiles of one axis, the one with the most of them
    (weighted by the share of queries that have the column), and its parts are
    cells of the next level; heavy parts are cut again, so cells stay small
    whatever the distribution and the number of donors.  Every cell knows the box
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tabrisk.operators.ranking import join_groups
 from tabrisk.session import Held, cut_lineage
 
-FAN_OUT = 16
+FAN_OUT = 32
 EPS_REL = 1e-9
 _CUTS = [i / FAN_OUT for i in range(1, FAN_OUT)]
 
@@ -222,7 +222,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, cols: Sequence[str], k: int,
     held = Held()
     q = held.cache(queries.select(F.col(qkey).alias("_qk"), *[F.col(c).cast("double").alias(f"q_{c}") for c in cols]))
     d = donors.select(F.col(dkey).alias("_dk"), *[F.col(c).cast("double").alias(f"d_{c}") for c in cols])
-    found = _search(q, d, cols, kk, n_cols or len(cols), cell_target or max(16 * kk, 64), held)
+    found = _search(q, d, cols, kk, n_cols or len(cols), cell_target or max(64 * kk, 512), held)
     if exclude_self:
         found = found.where(~F.col("_qk").eqNullSafe(F.col("_dk")))
     res = _nearest(found, ["_qk"], k).select(
