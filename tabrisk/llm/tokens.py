@@ -22,8 +22,10 @@ import pyarrow.compute as pc
 from tabrisk.llm.pieces import Pieces, cut_buffer, cut_pieces, ranges
 
 #: Distinct pieces remembered between batches of one Python worker, and their longest.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 REMEMBER_BYTES = 64
+#: Share of a batch's pieces that a full memory must know to be kept as it is.
+KNOWN = 0.5
 #: Pieces handed to the library as one string.
 JOINED = 256
 #: Such strings encoded by one call; their encodings are large.
@@ -56,8 +58,8 @@ class _Memory:
     def __init__(self, id_type, spans: bool):
         self.hashes = np.zeros(0, np.uint64)         # ascending
         self.number = np.zeros(0, np.int32)          # piece of each hash
-        self.data, self.start = _Grown(np.uint8), _Grown(np.int64)
-        self.ids, self.first = _Grown(id_type), _Grown(np.int64)
+        self.data, self.start = _Grown(np.uint8), _Grown(np.int32)  # at most REMEMBER * REMEMBER_BYTES
+        self.ids, self.first = _Grown(id_type), _Grown(np.int32)
         self.length, self.count = _Grown(np.int32), _Grown(np.int32)
         self.spans = _Grown(np.int32, 2) if spans else None
 
@@ -158,10 +160,9 @@ class TextEncoder:
         new = np.flatnonzero(number < 0)
         ids, spans, count = self._encode_words(words.take(pa.array(new)))
         short = length[new] <= REMEMBER_BYTES
-        if self.memory.start.size + int(short.sum()) <= self.remember:
-            memory = self.memory
-        else:                                        # full: what follows is remembered afresh
-            memory, self.memory = self.memory, _Memory(self.id_type, self.with_spans)
+        memory, keeps = self.memory, self.memory.start.size + int(short.sum()) <= self.remember
+        if not keeps and (number[pieces.index] >= 0).mean() < KNOWN:  # full of what is not met any more
+            self.memory, keeps = _Memory(self.id_type, self.with_spans), int(short.sum()) <= self.remember
         old = np.flatnonzero(number >= 0)
         counts = np.zeros(len(words), np.int64)
         counts[new], counts[old] = count, memory.count[number[old]]
@@ -171,7 +172,7 @@ class TextEncoder:
         first[old] = len(ids) + np.cumsum(counts[old]) - counts[old]
         pool = np.concatenate([ids, memory.ids[take]])
         pool_spans = np.concatenate([spans, memory.spans[take]]) if self.with_spans else None
-        if short.sum() <= self.remember:
+        if keeps:
             own, k = np.flatnonzero(np.repeat(short, count)), new[short]
             self.memory.add(hashes[k], data, start[k], length[k], ids[own], count[short], spans[own] if self.with_spans else None)
         return pool, pool_spans, first, counts
