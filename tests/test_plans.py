@@ -35,6 +35,37 @@ def test_knn_top_k_is_a_pre_shuffle_group_limit(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_knn_plans_follow_the_levels(spark, monkeypatch):
+    """A deeper tree of cells has a plan longer by a scan a level, not one that doubles."""
+    from tabrisk.session import Held
+    monkeypatch.setattr(knn, "FAN_OUT", 2)
+    monkeypatch.setattr(knn, "_CUTS", [0.5])
+
+    def length(n):
+        df = spark.range(n).select(F.col("id").alias("key"), (F.col("id") * 7 % 1009).cast("double").alias("a"))
+        held = Held()
+        out = knn._search(df.select(F.col("key").alias("_qk"), F.col("a").alias("q_a")).where("_qk < 9"),
+                          df.select(F.col("key").alias("_dk"), F.col("a").alias("d_a")), ["a"], 2, 1, 4, held)
+        text = out._jdf.queryExecution().executedPlan().toString()
+        held.release()
+        return len(text)
+
+    small, large = length(8), length(32)
+    assert large < 2.5 * small
+
+
+def test_knn_frees_its_scratch_tables(spark):
+    import os
+
+    from tabrisk.session import checkpoint_dir
+    kept = lambda: {x for x in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if x.startswith("held-")}
+    before = kept()
+    df = spark.range(300).select(F.col("id").alias("key"), (F.col("id") % 97).cast("double").alias("a"))
+    out = knn.knn_join(df, df, ["a"], 2, cell_target=8)
+    assert kept() == before
+    assert out.count() == 600
+
+
 def test_registered_grid_has_distinct_candidates(monkeypatch):
     """No two candidates of the registered search map to the same forest."""
     import json
