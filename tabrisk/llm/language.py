@@ -37,7 +37,7 @@ RIDGE = 1e-3
 SHARPNESS = 4.0    # of the softmax over the regression outputs
 BITS = 7           # of a letter's code; 0 is the boundary
 BLOCK = 256        # texts scored by one matrix product
-SLICE = 1 << 20    # text bytes turned into grams at once
+SLICE = 1 << 18    # text bytes turned into grams at once; a worker needs some hundred bytes for each
 UNDETERMINED = "und"
 
 _codes: np.ndarray | None = None
@@ -185,15 +185,20 @@ def fit_language(docs: DataFrame, where: Column, lang_col: str = "lang", text_co
 
 
 def _predicted(docs: DataFrame, model: LanguageModel | None, text_col: str) -> DataFrame:
-    """``_row`` (the whole row), ``_lang, _score``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                       F.col(text_col).cast("string").alias("_text"))
+    """``_row`` (the whole row), ``_lang, _score``.  A text that is a string column goes
+    to the workers once, inside its row."""
+    inside = docs.columns.index(text_col) if dict(docs.dtypes).get(text_col) == "string" else None
+    beside = [F.col(text_col).cast("string").alias("_text")] if inside is None else []
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *beside)
 
     def predict(batches):
         if model is not None:
             lookup = np.full(GRAMS, -1, np.int32)
             lookup[model.vocabulary] = np.arange(len(model.vocabulary))
         for batch in batches:
+            if inside is not None:
+                row = batch.column("_row")
+                batch = pa.RecordBatch.from_arrays([row, row.field(inside)], ["_row", "_text"])
             for part in text_slices(batch, "_text", SLICE):
                 if model is None:
                     names, score = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)

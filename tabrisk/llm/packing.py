@@ -40,6 +40,7 @@ from tabrisk.llm.pieces import text_slices
 from tabrisk.llm.shared import cut
 from tabrisk.llm.tokens import encoder
 
+SLICE = 1 << 19      # text bytes encoded at once
 SHARD_ITEMS = 4000   # items of one shard (one island's problem)
 ISLANDS = 2
 ROUNDS = 2
@@ -233,7 +234,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
         enc = encoder(vocabulary)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "_text", SLICE):
                 ids, bounds = enc.encode(part.column("_text"))
                 rows = []
                 for key, a, b in zip(part.column("_id").to_pylist(), bounds[:-1], bounds[1:]):

@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,34 @@ def test_language_sample_with_many_copies(spark):
     assert sorted(tuple(r) for r in out) == [("de", "de"), ("en", "en"), ("fr", "fr")]
 
 
+def test_language_workers_get_texts_once(spark):
+    """A string text travels inside its row only; any other type, beside it as a string."""
+    docs = documents(spark, [(1, "hello there", "en"), (2, None, "en"), (3, "", "en"), (4, "bonjour a vous", "fr")])
+    model = language.fit_language(docs, F.lit(True))
+    one = language._predicted(docs, model, "text")
+    assert "_text" not in one._jdf.queryExecution().analyzed().toString()
+    assert {r["_row"].doc_id: r["_lang"] for r in one.collect()} == {1: "en", 2: "und", 3: "und", 4: "fr"}
+    codes = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    assert {r.doc_id: r.lang_pred for r in language.predict_language(codes, model).collect()} == {
+        1: "en", 2: "und", 3: "und", 4: "fr"}
+
+
+def test_language_slices_need_little_memory():
+    """A worker's arrays stay small on a batch of many texts."""
+    texts = pa.array(["some words of a plain text, again and again. " * 60] * 1500)  # 4 MB
+    gram = np.unique(language.grams(texts.slice(0, 1))[1])
+    model = language.LanguageModel(["en"], gram, np.ones((len(gram), 1), np.float32), np.ones((1, 1), np.float32), np.zeros(1, np.float32))
+    lookup = np.full(language.GRAMS, -1, np.int32)
+    lookup[gram] = np.arange(len(gram))
+    language.grams(texts.slice(0, 1))
+    tracemalloc.start()
+    for part in language.text_slices(pa.RecordBatch.from_arrays([texts], ["_text"]), "_text", language.SLICE):
+        assert model.predict(part.column("_text"), lookup)[0] == ["en"] * part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak
+
+
 def test_language_keeps_short_texts_of_many_languages(spark):
     """Every lettered text of a learned language stays, whatever its length and the number of languages."""
     words = ["hello", "bonjour", "guten", "hola", "ciao", "merhaba", "ahoj", "szia", "tere", "labas"]
