@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabrisk.llm.pieces import cut_buffer, text_slices
+from tabrisk.llm.pieces import cut_buffer, give_back, text_slices
 
 SAMPLE = 1600      # labelled texts used to fit, all languages together
 LANDMARKS = 128
@@ -37,7 +37,8 @@ RIDGE = 1e-3
 SHARPNESS = 4.0    # of the softmax over the regression outputs
 BITS = 7           # of a letter's code; 0 is the boundary
 BLOCK = 256        # texts scored by one matrix product
-SLICE = 1 << 18    # text bytes turned into grams at once; a worker needs some hundred bytes for each
+SLICE = 1 << 20    # text bytes scored at once
+PART = 1 << 18     # text bytes turned into grams at once; a worker needs some hundred bytes for each
 UNDETERMINED = "und"
 
 _codes: np.ndarray | None = None
@@ -104,18 +105,19 @@ class LanguageModel:
         return (present @ self.landmark / size) @ self.weights + self.bias
 
     def predict(self, texts: pa.Array, lookup: np.ndarray) -> tuple[list[str], np.ndarray]:
-        doc, gram, has = grams(texts)
-        at = lookup[gram]
-        doc, at = doc[at >= 0], at[at >= 0]
+        has = np.zeros(len(texts), bool)
         best = np.zeros(len(texts), np.int64)
         score = np.zeros(len(texts))
-        order = np.argsort(doc, kind="stable")  # the three gram orders interleave
-        doc, at = doc[order], at[order]
         for begin in range(0, len(texts), BLOCK):
             end = min(begin + BLOCK, len(texts))
-            a, b = np.searchsorted(doc, [begin, end])
             present = np.zeros((end - begin, len(self.vocabulary)), np.float32)
-            present[doc[a:b] - begin, at[a:b]] = 1
+            row = 0
+            for part in text_slices(pa.RecordBatch.from_arrays([texts.slice(begin, BLOCK)], ["_text"]), "_text", PART):
+                doc, gram, lettered = grams(part.column("_text"))
+                at = lookup[gram]
+                present[doc[at >= 0] + row, at[at >= 0]] = 1
+                has[begin + row:begin + row + part.num_rows] = lettered
+                row += part.num_rows
             out = self.outputs(present) * SHARPNESS
             out = np.exp(out - out.max(1, keepdims=True))
             best[begin:end] = out.argmax(1)
@@ -140,7 +142,7 @@ def _sample(docs: DataFrame, lang_col: str, text_col: str, where: Column, sample
 
     def sets(batches):
         for batch in batches:
-            for part in text_slices(batch, "_text", SLICE):
+            for part in text_slices(batch, "_text", PART):
                 doc, gram, _ = grams(part.column("_text"))
                 own = np.unique(doc.astype(np.int64) * GRAMS + gram)
                 cuts = np.searchsorted(own, np.arange(part.num_rows + 1) * GRAMS)
@@ -207,6 +209,7 @@ def _predicted(docs: DataFrame, model: LanguageModel | None, text_col: str) -> D
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), pa.array(names, pa.string()), pa.array(score)],
                     ["_row", "_lang", "_score"])
+        give_back()
 
     schema = rows.select("_row").schema.add("_lang", "string").add("_score", "double")
     return rows.mapInArrow(predict, schema)

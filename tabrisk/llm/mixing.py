@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabrisk.llm.pieces import cut_pieces, text_slices
+from tabrisk.llm.pieces import cut_pieces, give_back, text_slices
 from tabrisk.llm.shared import cut, labelled_sample
 
 SAMPLE = 4000          # labelled documents used to fit, all domains together
@@ -49,7 +49,7 @@ STEPS = 800            # sums over the table at most
 TOLERANCE = 1e-6       # of the projected gradient, a document's mean by tokens
 RIDGE = 1e-3
 ROWS_PER_TASK = 250_000  # documents one task takes a step for
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +149,7 @@ def memberships(docs: DataFrame, model: DomainModel | None, domains: Sequence[st
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), pa.array(counts.astype(np.int64)), *[pa.array(p[:, i]) for i in range(len(domains))],
                      part.column("_u")], ["_id", "n_tokens", *names, "_u"])
+        give_back()
 
     schema = rows.select("_id").schema.add("n_tokens", "long")
     for name in names:

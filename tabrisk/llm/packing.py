@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabrisk.llm.pieces import text_slices
+from tabrisk.llm.pieces import give_back, text_slices
 from tabrisk.llm.shared import cut
 from tabrisk.llm.tokens import encoder
 
@@ -248,6 +248,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     ["item", "doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(pieces, "item bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")

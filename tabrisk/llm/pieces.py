@@ -8,6 +8,7 @@ per-piece work (hashing, sub-word encoding) is done once per distinct piece.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +50,16 @@ def cut_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0]:ends[-1]], ends - ends[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker is kept for later tasks,
+    and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 @dataclass
 class Pieces:
     data: np.ndarray        # bytes of all texts

@@ -5,6 +5,7 @@ import math
 import re
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabrisk.llm import context_tree, language, mixing, quality
+from tabrisk.llm.pieces import give_back
 from tabrisk.llm.shared import crc_mod, labelled_sample
 
 BIG = "/root/testdata/sf0.01"
@@ -102,6 +104,19 @@ def test_language_slices_need_little_memory():
     assert peak < 40e6, peak
 
 
+def test_freed_memory_goes_back():
+    """What a task has freed between things that stay is not held by its worker."""
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    many = [np.ones(8000) for _ in range(1500)]  # 96 MB
+    many = many[::50]
+    before = resident()
+    give_back()
+    assert before - resident() > 40e6
+    assert len(many) == 30
+
+
 def test_language_keeps_short_texts_of_many_languages(spark):
     """Every lettered text of a learned language stays, whatever its length and the number of languages."""
     words = ["hello", "bonjour", "guten", "hola", "ciao", "merhaba", "ahoj", "szia", "tere", "labas"]
