@@ -22,7 +22,7 @@ def new_categories(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["apply_and_append", "new_row_view"])
+@pytest.mark.parametrize("name", ["apply_and_append", "saved_preparation", "new_row_view"])
 def test_new_categories_have_no_code(spark, new_categories, name):
     con = duckdb.connect()
     for t in ("customer", "orders"):
